@@ -2,14 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import decontaminate
+from .langid import language_id
 from .line_dedup import line_dedup
+from .packing import best_fit_packing
 from .simhash import simhash_groups
 
 
+def crc_remainder(modulus: int) -> Column:
+    """crc32 of doc_id as text, modulo ``modulus``; -1 for a null doc_id."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus, F.lit(-1))
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = crc_remainder(4) == 2
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out)
+    return language_id(docs, ~held_out, ["doc_id", "held_out"])
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -18,13 +32,17 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_packing(table(spark, sf_dir, "documents"))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_line_dedup, op5_simhash_near_dedup, op9_benchmark_decontamination)}
+    return {f.__name__: f for f in (op1_language_id, op4_line_dedup, op5_simhash_near_dedup, op6_best_fit_packing, op9_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
