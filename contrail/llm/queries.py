@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .context_mixing import context_mixing_scores
 from .decontaminate import decontaminate
 from .langid import language_id
 from .line_dedup import line_dedup
@@ -41,8 +42,12 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op10_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing_scores(table(spark, sf_dir, "documents"), crc_remainder(5) == 1)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op4_line_dedup, op5_simhash_near_dedup, op6_best_fit_packing, op9_benchmark_decontamination)}
+    return {f.__name__: f for f in (op1_language_id, op4_line_dedup, op5_simhash_near_dedup, op6_best_fit_packing, op9_benchmark_decontamination, op10_context_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
