@@ -31,9 +31,11 @@ MIN_WORDS = 50
 
 
 def _words(line: Column) -> Column:
-    """Number of space-separated words: cheap, and a function of the line alone."""
-    bare = F.trim(F.regexp_replace(line, "[ \\t\\r]+", " "))
-    return F.when(bare == "", 0).otherwise(F.length(bare) - F.length(F.replace(bare, F.lit(" "), F.lit(""))) + 1)
+    """Number of words between blanks; runs of up to eight blanks count as one. Plain byte searches, no patterns."""
+    bare = F.trim(line)
+    for _ in range(3):
+        bare = F.replace(bare, F.lit("  "), F.lit(" "))
+    return F.when(bare == "", 0).otherwise(F.octet_length(bare) - F.octet_length(F.replace(bare, F.lit(" "), F.lit(""))) + 1)
 
 
 def windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -41,7 +43,7 @@ def windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     lines = docs.where(F.length("text") > 0).select(
         F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_th"), F.posexplode(F.split("text", "\n", -1)).alias("_pos", "_line")
     )
-    lines = lines.select("_id", "_th", "_pos", F.xxhash64("_line").alias("_h"), F.length("_line").alias("_len"), _words(F.col("_line")).alias("_n"))
+    lines = lines.select("_id", "_th", "_pos", F.xxhash64("_line").alias("_h"), F.octet_length("_line").alias("_len"), _words(F.col("_line")).alias("_n"))
     # rows of one (doc_id, text) give equal lines, of which one is kept: as the window below needs them by document, this adds no exchange
     lines = lines.where("_n > 0").groupBy("_id", "_th", "_pos").agg(*(F.first(c).alias(c) for c in ("_h", "_len", "_n")))
     order = Window.partitionBy("_id", "_th").orderBy("_pos")
@@ -65,7 +67,7 @@ def windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """For each document with a run seen earlier: the numbers of its lines to delete."""
+    """For each document with a run seen earlier: the ranges (begin, end) of lines to delete."""
     spans = windows(docs, min_words)
     place = F.struct("_id", "_th", "_fp_pos")
     often = spans.groupBy("_fp").agg(F.min(place).alias("_lo"), F.max(place).alias("_hi")).where(~F.col("_lo").eqNullSafe(F.col("_hi"))).select("_fp")
@@ -77,7 +79,11 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     own = F.col("_id").eqNullSafe(F.col("_first._id")) & (F.col("_th") == F.col("_first._th"))
     begin = F.when(own, F.greatest("_start", F.col("_first._end") + 1)).otherwise(F.col("_start"))
     cut = later.select("_id", "_th", begin.alias("_from"), "_end").where("_from <= _end")
-    return cut.select("_id", "_th", F.explode(F.sequence("_from", "_end")).alias("_line")).groupBy("_id", "_th").agg(F.collect_set("_line").alias("_drop"))
+    lines = cut.select("_id", "_th", F.explode(F.sequence("_from", "_end")).alias("_line")).distinct()
+    # neighbouring lines make a range: their number less their rank is one and the same
+    ranked = lines.withColumn("_island", F.col("_line") - F.row_number().over(Window.partitionBy("_id", "_th").orderBy("_line")))
+    ranges = ranked.groupBy("_id", "_th", "_island").agg(F.min("_line").alias("begin"), F.max("_line").alias("end"))
+    return ranges.groupBy("_id", "_th").agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("_drop"))
 
 
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -92,8 +98,8 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     drop = repeated_lines(docs, min_words)
     joined = keyed.join(drop, keyed["id"].eqNullSafe(drop["_id"]) & (keyed["h"] == drop["_th"]), "left")
     lines = F.split(text, "\n", -1)
-    n = F.when(F.length(text) > 0, F.size(lines)).otherwise(0)
-    dropped = F.coalesce(F.array_sort("_drop"), F.array().cast("array<int>"))
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), n - 1), "_drop"), lambda i: F.get(lines, i))
+    n = F.when(F.length(text) > 0, F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).otherwise(0)
+    dropped = F.coalesce(F.flatten(F.transform("_drop", lambda r: F.sequence(r["begin"], r["end"]))), F.array().cast("array<int>"))
+    kept = F.filter(lines, lambda _, i: ~F.exists("_drop", lambda r: i.between(r["begin"], r["end"])))
     cleaned = F.when(F.col("_drop").isNull(), text).otherwise(F.array_join(kept, "\n"))
     return joined.select(*unpacked(columns, text=cleaned), n.alias("n_lines"), (n - F.size(dropped)).alias("kept_lines"), dropped.alias("dropped_lines"))
