@@ -54,7 +54,7 @@ def tree(text: str | None) -> list[list[tuple[int, int, int]]]:
     """Levels of (hash, begin, end) in bytes: leaves, paragraphs, sections, root."""
     data = (text or "").encode()
     ends = leaves(data).tolist()
-    level = [(xxhash.xxh32_intdigest(data[a:b]), a, b) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+    level = [(xxhash.xxh32_intdigest(data[a:b]), a, b) for a, b in zip([0, *ends][:-1], ends, strict=True)]
     out = [level]
     closes = (lambda n: data[n[2] - 1 : n[2]] == b"\n", lambda n: n[0] % SECTION_PARAGRAPHS == 0, lambda n: False)
     for seed, close in enumerate(closes, 1):

@@ -10,7 +10,7 @@ For the rest, each host has a tree of path segments, built level by level over c
 2. **Merge.** Under one parent, a branch whose share of bad labels does not differ from that of its siblings
    together (two-proportion z below ``MERGE_Z``) joins ``*``; what is left apart differs significantly.
 3. **Reject.** A template is blocked if its share of bad labels, smoothed by ``PRIOR_WEIGHT`` labels at the corpus's
-   share, is at least ``PURITY``.
+   share (``PURITY`` / 2 at most), is at least ``PURITY``.
 
 Segments beyond ``DEPTH`` are one ``**``. Every level is a sum by (host, template, segment), combined within tasks
 first, so that a host with a third of all pages costs a few rows.
@@ -104,7 +104,7 @@ def filter_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str,
     tree = path_tree(labelled, depth)
     levels = [f"s{i}" for i in range(1, depth + 1)]
     total = tree.agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b")).first()
-    prior = (total.b or 0) / total.l if total.l else 0.0
+    prior = min((total.b or 0) / total.l if total.l else 0.0, PURITY / 2)  # no label of its own rejects no template
     purity = (F.sum("bad") + PRIOR_WEIGHT * prior) / (F.sum("labelled") + PRIOR_WEIGHT)
     scored = tree.join(tree.groupBy("host", "template").agg(purity.alias("purity")), ["host", "template"]).select("host", *levels, "deeper", "template", "purity")
     keyed = pages.select("page_id", "host", "path", *(segment(i).alias(c) for i, c in enumerate(levels, 1)), segment(depth + 1).isNotNull().alias("deeper"))
@@ -147,7 +147,7 @@ def oracle_sql(depth: int = DEPTH) -> str:
     last = f"t{depth}"
     parts += [
         f"z as (select host, {cols}, deeper, template || case when deeper then '/**' else '' end as template, labelled, bad from {last})",
-        "q as (select case when sum(labelled) > 0 then sum(bad) / sum(labelled) else 0 end as prior from z)",
+        f"q as (select least(case when sum(labelled) > 0 then sum(bad) / sum(labelled) else 0 end, {PURITY / 2}::double) as prior from z)",
         f"u as (select host, template, (sum(bad) + {PRIOR_WEIGHT}::double * any_value(prior)) / (sum(labelled) + {PRIOR_WEIGHT}::double) as purity from z, q group by host, template)",
     ]
     same = " and ".join(f"k.{c} is not distinct from z.{c}" for c in levels)
