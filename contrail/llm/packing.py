@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from string import punctuation
 from zlib import crc32
 
 import numpy as np
@@ -31,7 +32,7 @@ from pyspark.sql import types as T
 from .common import written
 
 CAPACITY, END_ID = 4096, 1
-CACHED = 400_000  # chunks whose ids a task remembers
+CACHED = 1_000_000  # chunks whose ids a task remembers, in each of two generations
 
 
 def default_tokenizer() -> str:
@@ -44,28 +45,77 @@ class Encoder:
     """Ids of texts as little-endian 32-bit strings.
 
     The vocabulary drops white space and never joins across it, so a text's ids are those of its chunks between
-    blanks, one after the other. Chunks repeat, and so each is encoded once and remembered.
+    blanks, one after the other; nor does it join letters and punctuation, so a chunk's are those of its letters
+    and of the punctuation behind them. Chunks repeat, and so each is put together once and remembered, the recent
+    ones in two generations of bounded size.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.known, self.older = {}, {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        #: Whether a token ends a word: by that, words encoded in one call are told apart.
+        self.final = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.final[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def _each(self, chunks: list[str]) -> Iterator[bytes]:
+        for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False):
+            yield np.array(e.ids, "<u4").tobytes()
+
+    def _letters(self, words: list[str]) -> Iterator[bytes]:
+        """The ids of runs of letters."""
+        for i in range(0, len(words), 5000):
+            part = words[i : i + 5000]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ends = (np.flatnonzero(self.final[ids]) + 1).tolist()
+            if len(ends) == len(part):
+                yield from (ids[a:b].tobytes() for a, b in zip([0, *ends[:-1]], ends, strict=True))
+            else:
+                yield from self._each(part)
+
+    def _learn(self, chunks: set[str]) -> None:
+        known, older = self.known, self.older
+        tailed = [(c, w, c[len(w) :]) for c in chunks if (w := c.rstrip(punctuation)) != c and w.isalpha()]
+        words = (chunks - {c for c, _, _ in tailed}) | {w for _, w, _ in tailed} | {t for _, _, t in tailed}
+        words -= known.keys()
+        again = words & older.keys()
+        known.update((w, older[w]) for w in again)
+        words -= again
+        plain = [w for w in words if w.isalpha()]
+        known.update(zip(plain, self._letters(plain), strict=True))
+        odd = [w for w in words if not w.isalpha()]
+        known.update(zip(odd, self._each(odd), strict=True))
+        known.update((c, known[w] + known[t]) for c, w, t in tailed)
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        split = [_lower(t).replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         if len(self.known) > CACHED:
-            self.known.clear()
-        new = [c for c in set().union(*split) if c not in self.known]
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[c] = np.array(e.ids, "<u4").tobytes()
+            self.known, self.older = {}, self.known
+        new = set().union(*split) - self.known.keys()
+        again = new & self.older.keys()
+        self.known.update((c, self.older[c]) for c in again)
+        self._learn(new - again)
         get = self.known.__getitem__
         for chunks in split:
             yield b"".join(map(get, chunks))
 
 
+def _lower(text: str) -> str:
+    """Lower case, as the vocabulary has it, where that is sure to be the same: it makes chunks repeat more.
+
+    Latin-1 letters are; special tokens must be met as they are written.
+    """
+    if "<|" in text:
+        return text
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """One row a piece: doc_id, piece, start, length, ids_crc32 and, if asked for, ids (little-endian 32-bit)."""
 
