@@ -192,5 +192,27 @@ def sql() -> dict[str, str]:
         "t10_live_sessions": f"{p}, c as (select *, sum(case when since is null or since > 1800 then 1 else 0 end) over (partition by icao order by ts, seq rows unbounded preceding) as s from (select *, ts - lag(ts) over (partition by icao order by ts, seq) as since from pts)) select icao, min(ts) as start_ts, max(ts) + 1800 as end_ts, count(*) as n, max(baro_ft) as max_alt_ft from c group by icao, s",
         "s06_latest_wins": f"with {LOG} select icao, source, date, arg_max(status, fetched_at) as status, max(fetched_at) as fetched_at from log group by icao, source, date",
         "o02_newest_legs": f"{legs} select icao, session, takeoff_ts, n_points from legs order by takeoff_ts desc, icao, session limit 50",
+        "w20_peak_rates": f"{s}, r as (select icao, session, ts, rate_fpm from (select *, {STATE} as state from ses) where state = 'airborne'), q as (select icao, session, list(rate_fpm) over w as l, ts - min(ts) over w as span from r window w as (partition by icao, session order by ts range between 3600 preceding and current row)), "
+        "m as (select icao, session, list_filter(l, lambda x: abs(x - list_median(l)) <= 3 * greatest(1, abs(list_median(l))) + 500) as k from q where len(l) >= 4 and span >= 30), b as (select icao, session, max(list_avg(k)) as up, min(list_avg(k)) as down from m where len(k) >= 4 group by icao, session) "
+        "select icao, session, case when up > 0 then round(least(up, 10000)) end as peak_climb, case when down < 0 then round(greatest(down, -10000)) end as peak_descent from b",
+        "a34_go_arounds": f"{s}, t as (select * from (select *, max(ts) over (partition by icao, session) as fin from ses where baro_ft is not null) where fin - ts <= 7200), n as (select *, min(baro_ft) over w as lo, max(baro_ft) over w as hi, count(*) over (partition by icao, session) as n from t window w as (partition by icao, session order by ts range between 600 preceding and 600 following)), "
+        "k as (select icao, session, ts, seq, baro_ft, case when baro_ft = lo then 'low' else 'high' end as kind from n where hi - lo >= 50 and (baro_ft = lo or baro_ft = hi) and n >= 3), f as (select * from (select *, lag(kind) over (partition by icao, session order by ts, seq) as b from k) where b is null or b <> kind), "
+        "c as (select icao, session, kind = 'low' and lead(baro_ft) over (partition by icao, session order by ts, seq) - baro_ft >= 400 as up from f) select icao, session, count(*) filter (up) as go_arounds from c group by icao, session",
+        "a31_phase_budget": f"{s}, r as (select *, {STATE} as state, ts - lag(ts) over (partition by icao, session order by ts, seq) as dt, max(baro_ft) over (partition by icao, session) as top, max(ts) over (partition by icao, session) - min(ts) over (partition by icao, session) as len from ses), "
+        "q as (select *, case when dt <= 60 and rate_fpm > 250 then 'climb' when dt <= 60 and rate_fpm < -250 then 'descent' when baro_ft >= 0.7 * top then 'cruise' else 'level' end as phase, case when dt <= 60 then dt else least(dt, 1800) end as s from r where state = 'airborne' and dt > 0), "
+        "v as (select *, avg(case when phase = 'cruise' then gs_kt end) over (partition by icao, session) as mg, greatest(5, coalesce(stddev_samp(case when phase = 'cruise' then gs_kt end) over (partition by icao, session), 5)) as dg from q), "
+        "u as (select icao, session, sum(case when phase = 'climb' then s else 0 end) as c, sum(case when phase = 'descent' then s else 0 end) as d, sum(case when phase = 'level' then s else 0 end) as l, sum(case when phase = 'cruise' then s else 0 end) as z, max(len) as len, max(top) as top, "
+        "round(sum(case when phase = 'cruise' then baro_ft * s end) / sum(case when phase = 'cruise' and baro_ft is not null then s end)) as alt, list_median(flatten(list(case when phase = 'cruise' and abs(gs_kt - mg) <= 2 * dg then list_transform(range(greatest(1, s)), lambda i: gs_kt) else [] end))) as gs from v group by icao, session) "
+        "select icao, session, " + ", ".join(f"round({x} * case when c + d + l + z > 0 then least(c + d + l + z, len) / (c + d + l + z) else 0 end, 1) as {n}_s" for x, n in (("c", "climb"), ("d", "descent"), ("l", "level"), ("z", "cruise"))) + ", case when top >= 500 and len >= 120 then least(alt, top::double) end as cruise_alt, case when top >= 500 and len >= 120 then round(gs, 1) end as cruise_gs from u",
+        "w16_implied_speeds": f"{s}, r as (select *, ts - lag(ts) over w as dt, {km('lag(lat) over w', 'lag(lon) over w', 'lat', 'lon')} as km, last_value(callsign ignore nulls) over (partition by icao, session order by ts, seq rows between unbounded preceding and 1 preceding) as said from ses window w as (partition by icao, session order by ts, seq)) "
+        "select icao, session, round(max(case when dt >= 10 then km / 1.852::double / (dt / 3600) end), 1) as implied_kt, count(*) filter (callsign <> said) as callsign_changes from r group by icao, session",
+        "g16_landing_anchor": f"{s}, r as (select *, row_number() over (partition by icao, session order by ts desc, seq desc) as back, max(ts) over (partition by icao, session) as fin from ses), q as (select *, row_number() over (partition by icao, session order by coalesce(baro_ft, 1 << 30), back) as pick from r where back <= 240 and fin - ts <= 600) select icao, session, lat, lon, baro_ft as alt_ft from q where pick = 1",
+        "p22_routes": f"{full} select icao, string_agg(destination || ' (' || case when minutes < 1 then '<1m' else floor(minutes)::bigint || 'm' end || ')', ' -> ' order by takeoff_ts, session) as route from fl where destination is not null group by icao",
+        "a17_status": f"{legs} select icao, count(*) as legs, count(distinct takeoff_ts // 86400) as days, count(emergency_squawk) as emergencies, coalesce(string_agg(distinct emergency_squawk, ',' order by emergency_squawk), '') as codes, max(max_alt_ft) as max_alt_ft, sum(n_points)::bigint as points from legs group by icao",
+        "p16_aircraft_search": f"{legs} select icao, max(takeoff_ts) as last_takeoff, count(*) as legs from legs where contains(icao, 'n51') or contains(lower(callsigns), 'n51') group by icao",
+        "a26_global_counts": f"{p} select src, count(distinct icao) as aircraft, count(*) as points, count(distinct ts // 86400) as days from pts group by src",
+        "a24_long_gaps": f"{p}, q as (select * from (select *, (ts, round(lat, 5), round(lon, 5)) is not distinct from lag((ts, round(lat, 5), round(lon, 5))) over (partition by icao order by ts, seq) as same from pts) where not same), g as (select icao, lag(ts) over w as start_ts, ts - lag(ts) over w as gap_s from q window w as (partition by icao order by ts, seq)) select icao, start_ts, gap_s from g where gap_s between 601 and 1800 order by gap_s desc, icao, start_ts limit 50",
+        "a23_off_airport": f"{full} select icao, count(*) as n from fl where landing_type = 'confirmed' and destination is null group by icao order by n desc, icao limit 20",
+        "t07_incremental_legs": f"{legs} select icao, session, takeoff_ts, landing_ts, n_points, max_alt_ft from legs",
     }
     return out

@@ -9,7 +9,7 @@ from ..functions.geo import circular_mean_deg
 from ..functions.identity import hex_to_tail, octal_to_hex, tail_to_hex
 from ..functions.solar import is_night, solar_altitude_deg
 from ..functions.text import duration_label, oooi
-from ..operators import flights, joins, points, rollups, scoring, spatial, tracks
+from ..operators import derived, flights, joins, points, rollups, scoring, spatial, tracks
 from ..sources import adapter as a
 from ..sources import traces
 from ..streaming import live, watch
@@ -411,3 +411,105 @@ def w02_deduplicated(spark, d):
 @query
 def w03_flights(spark, d):
     return flights.flights(a.points(spark, d))
+
+
+@query
+def w20_peak_rates(spark, d):
+    """Windows of an hour, as the synthetic points are minutes apart."""
+    return derived.peak_rates(a.points(spark, d), window_s=3600)
+
+
+@query
+def a34_go_arounds(spark, d):
+    return derived.go_arounds(a.points(spark, d), last_s=7200, near_s=600, min_n=3)
+
+
+@query
+def a31_phase_budget(spark, d):
+    return derived.phase_budget(a.points(spark, d))
+
+
+@query
+def a36_headings(spark, d):
+    return derived.headings(a.points(spark, d))
+
+
+@query
+def w16_implied_speeds(spark, d):
+    return derived.implied_speeds(a.points(spark, d))
+
+
+@query
+def g16_landing_anchor(spark, d):
+    return derived.landing_anchor(a.points(spark, d))
+
+
+@query
+def p22_routes(spark, d):
+    legs = _full_legs(spark, d).where("destination is not null")
+    return derived.route(legs.select("icao", "session", F.col("takeoff_ts").alias("ts"), F.col("destination").alias("airport"), "minutes"))
+
+
+@query
+def a17_status(spark, d):
+    return derived.status(_legs(spark, d))
+
+
+@query
+def p16_aircraft_search(spark, d):
+    return derived.search(_legs(spark, d), "N51")
+
+
+@query
+def p18_badges(spark, d):
+    scores = rollups.spoof_scores(a.points(spark, d)).groupBy("icao").agg(F.count_if("flagged").alias("spoofs"))
+    slow = tracks.islands(a.points(spark, d), F.col("gs_kt") < 30, "icao").groupBy("icao").agg(F.count("*").alias("hovers"))
+    held = joins.in_ranges(a.points(spark, d), a.hex_ranges(spark, d)).select("icao", F.col("country").isin("NATION_3", "NATION_4").alias("military"))
+    stats = held.join(scores, "icao").join(slow, "icao", "left").select("icao", F.coalesce("military", F.lit(False)).alias("military"), "spoofs", F.coalesce("hovers", F.lit(0)).alias("hovers"), F.col("icao").endswith("f").alias("overridden"))
+    return derived.badges(stats)
+
+
+@query
+def s34_snapshot(spark, d):
+    return derived.snapshot(_legs(spark, d))
+
+
+@query
+def a26_global_counts(spark, d):
+    """Totals by network: aircraft, points and days."""
+    p = a.points(spark, d)
+    return p.groupBy("src").agg(F.count_distinct("icao").alias("aircraft"), F.count("*").alias("points"), F.count_distinct(F.floor(F.col("ts") / 86400)).alias("days"))
+
+
+@query
+def a24_long_gaps(spark, d):
+    """A top-k report: the fifty longest gaps over ten minutes."""
+    return tracks.gaps(a.points(spark, d)).where("gap_s > 600").select("icao", "start_ts", "gap_s").orderBy(F.desc("gap_s"), "icao", "start_ts").limit(50)
+
+
+@query
+def a23_off_airport(spark, d):
+    """A top-k report: aircraft by confirmed landings away from any airport."""
+    legs = _full_legs(spark, d).where("landing_type = 'confirmed' and destination is null")
+    return legs.groupBy("icao").agg(F.count("*").alias("n")).where("n > 0").orderBy(F.desc("n"), "icao").limit(20)
+
+
+@query
+def j16_helipad_backfill(spark, d):
+    """The cluster of surface points nearest to each leg's end."""
+    pads = g17_helipads(spark, d).select(F.format_string("pad_%d", "cluster").alias("ident"), "lat", "lon")
+    near = spatial.nearest(_legs(spark, d), pads, ["icao", "session"], (0.02, 0.02), "landing_lat", "landing_lon")
+    return near.where("km <= 2").select("icao", "session", F.col("ident").alias("helipad"), F.round("km", 3).alias("km"))
+
+
+@query
+def t07_incremental_legs(spark, d):
+    """Legs recomputed from each aircraft's safe boundary on, with all earlier ones kept: equal to a full run."""
+    p = a.points(spark, d)
+    full = tracks.legs(p)
+    cut = full.where("takeoff_ts < 28420000").groupBy("icao").agg(F.max("landing_ts").alias("until"))
+    old = full.join(cut, "icao").where("landing_ts <= until").select(*full.columns)
+    fresh = tracks.legs(p.join(cut, "icao", "left").where("until is null or ts > until").select(*p.columns))
+    before = old.groupBy("icao").agg(F.max("session").alias("last"))
+    shifted = fresh.join(before, "icao", "left").withColumn("session", F.col("session") + F.coalesce("last", F.lit(0))).select(*full.columns)
+    return old.unionByName(shifted).select("icao", "session", "takeoff_ts", "landing_ts", "n_points", "max_alt_ft")
