@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LEAF_WORDS, SECTION_PARAGRAPHS, SKETCH = 4, 4, 128
-DOCS_PER_BUCKET, BUCKETS = 4000, 20_000
+DOCS_PER_BUCKET, BUCKETS = 2000, 20_000
 
 
 def leaves(data: bytes) -> np.ndarray:
@@ -156,7 +156,7 @@ def in_order(docs: DataFrame) -> DataFrame:
         return pd.Series([[int(o), int(before[i])] if x else [int(o)] for o, i, x in zip(own, at, leads, strict=True)])
 
     dealt = keyed.select("doc_id", "text", "k", F.posexplode(targets("k")).alias("ghost", "bucket"))
-    return dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket", "ghost", "k", F.xxhash64("text"))
+    return dealt.repartition(2 * buckets, "bucket").sortWithinPartitions("bucket", "ghost", "k", F.xxhash64("text"))
 
 
 def merkle_fingerprints(docs: DataFrame) -> DataFrame:
