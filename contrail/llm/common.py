@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +47,17 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def with_text(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns to keep as one struct ``row``, and ``text`` beside it unless the struct has it: a text goes to Python once."""
+    row = F.struct(*(F.col(quoted(c)).alias(c) for c in keep)).alias("row")
+    return docs.select(row) if "text" in keep else docs.select(row, F.col("text").alias("text"))
+
+
+def text_of(batch: pa.RecordBatch) -> pa.Array:
+    """The texts of a batch of ``with_text`` rows."""
+    return batch.column("text") if "text" in batch.schema.names else batch.column("row").field("text")
+
+
 def packed(docs: DataFrame) -> DataFrame:
     """Each row as one struct column ``row``, so that no input column can clash with an operator's own."""
     return docs.select(F.struct(*(F.col(quoted(c)).alias(c) for c in docs.columns)).alias("row"))

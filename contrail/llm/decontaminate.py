@@ -30,10 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import quoted, written
+from .common import text_of, with_text, written
 
 WINDOW, GRAM = 13, 5
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 2 << 20
 _NONE = np.uint64(2**64 - 1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: A-Z to a-z; ASCII other than letters and digits to a space.
@@ -147,7 +147,7 @@ def _pass(index, last: bool):
             spans = [x or [] for x in batch.column("spans").to_pylist()] if "spans" in names else [[] for _ in range(len(batch))]
             items = batch.column("items").to_pylist() if "items" in names else [()] * len(batch)
             parts, begins, counts, at = [], [], [], 0
-            for t in batch.column("text"):
+            for t in text_of(batch):
                 w = words(t.as_py())
                 parts += [np.fromiter(map(get, w, repeat(0)), np.int32, len(w)), gap]
                 begins.append(at)
@@ -178,7 +178,7 @@ def _pass(index, last: bool):
                     "contaminated": pa.array([h > 0 and 20 * h >= n for h, n in zip(hits, counts, strict=True)], pa.bool_()),
                 }
             else:
-                out["text"] = batch.column("text")
+                out |= {"text": batch.column("text")} if "text" in names else {}
             yield pa.RecordBatch.from_pydict(out)
 
     return run
@@ -212,10 +212,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, columns: list[str] | None =
     and the hit word ranges (spans: begin, end, ...) and items themselves. These replace input columns of equal names."""
     spark, added = docs.sparkSession, ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", "items"]
     keep = [c for c in (columns or docs.columns) if c not in added]
-    rows = docs.select(F.struct(*(F.col(quoted(c)).alias(c) for c in keep)).alias("row"), F.col("text").alias("text"))
+    rows = with_text(docs, keep)
     hits = [T.StructField("spans", T.ArrayType(T.IntegerType())), T.StructField("items", T.ArrayType(T.StringType()))]
     counts = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType()), T.StructField("items_sha256", T.StringType()), T.StructField("contaminated", T.BooleanType())]
-    more = [T.StructField("text", T.StringType())]
+    more = [f for f in rows.schema if f.name == "text"]
     for n, (block, last) in enumerate(blocks(items, block_bytes)):
         rows = written(rows, "decontaminate") if n else rows
         schema = T.StructType([rows.schema["row"], *hits, *(counts if last else more)])

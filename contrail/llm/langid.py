@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import quoted
+from .common import text_of, with_text
 
 DOCS_PER_LANGUAGE, EXCERPT = 400, 2000
 CHAIN, FEATURES = 64, 1 << 16
@@ -178,14 +178,14 @@ def identify(docs: DataFrame, model: Model | None, columns: list[str] | None = N
     the labels of neighbouring words differ. These three replace input columns of equal names."""
     shared, added = docs.sparkSession.sparkContext.broadcast(model), ("lang_pred", "score", "switches")
     keep = [c for c in (columns or docs.columns) if c not in added]
-    rows = docs.select(F.struct(*(F.col(quoted(c)).alias(c) for c in keep)).alias("row"), F.col("text").alias("text"))
+    rows = with_text(docs, keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         known, table = {}, None
         for batch in batches:
             languages, scores, switches = [UNDETERMINED] * len(batch), np.zeros(len(batch)), np.zeros(len(batch), np.int64)
-            texts = batch.column("text").to_pylist() if model else []
+            texts = text_of(batch).to_pylist() if model else []
             at = 0
             while at < len(texts):
                 docs, n, first = [], 0, at
