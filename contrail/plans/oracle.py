@@ -214,5 +214,19 @@ def sql() -> dict[str, str]:
         "a24_long_gaps": f"{p}, q as (select * from (select *, (ts, round(lat, 5), round(lon, 5)) is not distinct from lag((ts, round(lat, 5), round(lon, 5))) over (partition by icao order by ts, seq) as same from pts) where not same), g as (select icao, lag(ts) over w as start_ts, ts - lag(ts) over w as gap_s from q window w as (partition by icao order by ts, seq)) select icao, start_ts, gap_s from g where gap_s between 601 and 1800 order by gap_s desc, icao, start_ts limit 50",
         "a23_off_airport": f"{full} select icao, count(*) as n from fl where landing_type = 'confirmed' and destination is null group by icao order by n desc, icao limit 20",
         "t07_incremental_legs": f"{legs} select icao, session, takeoff_ts, landing_ts, n_points, max_alt_ft from legs",
+        "p13_legs_between": f"{full} select icao, session, takeoff_ts, origin, destination from fl where takeoff_ts // 86400 = 328",
+        "p19_shown_ends": f"{legs}, {PORTS}, {LAND}, o as ({nearest('legs', 'icao, session', 'r.takeoff_lat', 'r.takeoff_lon', 0.15, 0.5)}), e as ({nearest('legs', 'icao, session', 'r.landing_lat', 'r.landing_lon', 0.15, 0.5)}) "
+        "select l.icao as icao, l.session as session, case when o.km <= 2 then o.ident when o.km <= 10 then '~' || o.ident end as from, case when e.km <= 2 then e.ident when e.km <= 10 then '~' || e.ident when landing_type in ('signal_lost', 'dropped') then 'sig lost' end as to from landings l left join o on o.icao = l.icao and o.session = l.session left join e on e.icao = l.icao and e.session = l.session",
+        "p11_type_caps": f"{legs}, {VOTES}, c as (select icao, type_code, count(*) as n, max(fetched_at) as latest from votes where type_code is not null or description is not null group by icao, type_code, description), w as (select icao, arg_max(type_code, (n, latest)) as rt from c group by icao), x as (select icao, max(type_code) as xt from votes where fetched_at % 2 = 0 group by icao), "
+        "t as (select l.*, coalesce(rt, xt) as type_code from legs l left join w using (icao) left join x using (icao)) select icao, session, type_code, case type_code when 'T0' then least(max_alt_ft::double, 2000 * 1.1::double) when 'T1' then least(max_alt_ft::double, 30000 * 1.1::double) else max_alt_ft end as max_alt_ft, case type_code when 'T0' then least(max_gs_kt, 200 * 1.1::double) when 'T1' then least(max_gs_kt, 400 * 1.1::double) else max_gs_kt end as max_gs_kt from t",
+        "p21_links": f"{p}, i as (select distinct icao from pts) select icao, 'map' as site, 'https://map.example/?icao=' || icao as url from i union all select icao, 'photo', 'https://photo.example/' || icao from i",
+        "f12_mix_labels": f"{p}, m as (select icao, count(*) filter (src like 'adsb%') as ad, count(*) filter (src like 'mlat%') as ml, count(*) as n from pts group by icao) select icao, cast(100 * ad // n as varchar) as adsb, cast(100 * ml // n as varchar) as mlat, cast(100 * (n - ad - ml) // n as varchar) as other from m",
+        "a42_layers": f"{p}, c as (select icao, case when src in ('adsb_icao', 'mlat') then src else 'other' end as layer, count(*) as n from pts group by 1, 2) select icao, layer, n, round(100 * n / sum(n) over (partition by icao), 1) as pct from c",
+        "f19_retention": f"with {LOG}, d as (select icao, source, max(case when not (status in (403, 429) or status >= 500) then date end) as last from log group by icao, source), s as (select icao, source, cast(coalesce(last, min(last) over (partition by icao)) + 1 as date) as start from d), m as (select *, (date '2002-01-01' - case source when 'net_a' then 30 when 'net_b' then 3650 end - start)::int as missing_days from s) select icao, source, start, missing_days from m where missing_days > 0",
+        "w33_refused_sources": f"with {LOG}, e as (select source || '-' || icao as source, date, bool_and(status = 403) as refused from log group by 1, 2), r as (select *, row_number() over (partition by source order by date desc) as rank from e) select source, bool_and(refused) as tripped, count(*) as days from r where rank <= 2 group by source",
+        "g08_climbs_between": f"{p}, f as (select *, gs_kt < 120 as i, lag(gs_kt < 120) over (partition by icao order by ts, seq) as b from pts), r as (select *, sum(case when i and not coalesce(b, false) then 1 else 0 end) over (partition by icao order by ts, seq rows unbounded preceding) as run from f), s as (select icao, min(ts) as start_ts, max(ts) as end_ts from r where i group by icao, run), "
+        "g as (select * from (select *, lead(start_ts) over (partition by icao order by start_ts) as nxt from s) where nxt > end_ts + 1) select g.icao as icao, end_ts + 1 as a, max(baro_ft) - 1000 > 500 as climbed from g join pts p on p.icao = g.icao and p.ts between end_ts + 1 and nxt - 1 group by g.icao, end_ts + 1",
+        "a39_promoted_types": f"{legs}, q as (select icao, session, n_points > 12 as overridden, count(*) filter (n_points > 12) over (partition by icao) as n from legs) select icao, session, overridden, true as promoted from q where icao like 'a0000%' and n >= 3",
+        "o07_all_aircraft": f"{p}, {LOG} select icao from pts union select icao from log",
     }
     return out

@@ -9,7 +9,7 @@ from ..functions.geo import circular_mean_deg
 from ..functions.identity import hex_to_tail, octal_to_hex, tail_to_hex
 from ..functions.solar import is_night, solar_altitude_deg
 from ..functions.text import duration_label, oooi
-from ..operators import derived, flights, joins, points, rollups, scoring, spatial, tracks
+from ..operators import derived, flights, joins, points, reports, rollups, scoring, spatial, tracks
 from ..sources import adapter as a
 from ..sources import traces
 from ..streaming import live, watch
@@ -513,3 +513,80 @@ def t07_incremental_legs(spark, d):
     before = old.groupBy("icao").agg(F.max("session").alias("last"))
     shifted = fresh.join(before, "icao", "left").withColumn("session", F.col("session") + F.coalesce("last", F.lit(0))).select(*full.columns)
     return old.unionByName(shifted).select("icao", "session", "takeoff_ts", "landing_ts", "n_points", "max_alt_ft")
+
+
+@query
+def p13_legs_between(spark, d):
+    return reports.legs_between(_full_legs(spark, d), 328, 328).select("icao", "session", "takeoff_ts", "origin", "destination")
+
+
+@query
+def p19_shown_ends(spark, d):
+    legs, ports = _full_legs(spark, d).drop("origin", "destination"), a.airports(spark, d)
+    for end, name in (("takeoff", "origin"), ("landing", "destination")):
+        legs = legs.join(spatial.airport_match(legs, ports, end).select("icao", "session", F.col("airport").alias(name), F.col("near_airport").alias(f"near_{name}")), ["icao", "session"], "left")
+    return reports.shown_ends(legs)
+
+
+@query
+def p11_type_caps(spark, d):
+    caps = spark.createDataFrame([("T0", 2000, 200.0), ("T1", 30000, 400.0)], "type_code string, ceiling_ft int, max_gs double")
+    typed = reports.with_type(_legs(spark, d), rollups.registry_vote(a.registry_votes(spark, d)), _even_votes(spark, d))
+    return reports.type_caps(typed, caps)
+
+
+def _even_votes(spark: SparkSession, d: str) -> DataFrame:
+    return a.registry_votes(spark, d).where("fetched_at % 2 = 0").groupBy("icao").agg(F.max("type_code").alias("type_code"))
+
+
+@query
+def j22_resolve_tails(spark, d):
+    votes = a.registry_votes(spark, d)
+    return reports.resolve_tail(votes.select(F.col("registration").alias("tail")).distinct(), votes.withColumn("registration", F.concat(F.lit("X"), "registration")))
+
+
+@query
+def p21_links(spark, d):
+    return reports.links(a.points(spark, d).select("icao").distinct(), {"map": "https://map.example/?icao=", "photo": "https://photo.example/"})
+
+
+@query
+def f12_mix_labels(spark, d):
+    mix = points.classified(a.points(spark, d)).groupBy("icao").agg(*(F.count_if(F.col("kind") == k).alias(k) for k in ("adsb", "mlat", "other")))
+    return reports.mix_label(mix)
+
+
+@query
+def a42_layers(spark, d):
+    counts = a.points(spark, d).groupBy("icao", F.coalesce("src", F.lit("none")).alias("group")).agg(F.count("*").alias("n"))
+    return reports.layers(counts, ["adsb_icao", "mlat"])
+
+
+@query
+def f19_retention(spark, d):
+    return reports.retention_warnings(rollups.resume_starts(a.fetch_log(spark, d)), {"net_a": 30, "net_b": 3650}, F.lit("2002-01-01").cast("date"))
+
+
+@query
+def w33_refused_sources(spark, d):
+    log = a.fetch_log(spark, d)
+    return reports.refused_sources(log.withColumn("source", F.concat("source", F.lit("-"), "icao")), 2)
+
+
+@query
+def g08_climbs_between(spark, d):
+    """Climbs between consecutive slow runs."""
+    p = a.points(spark, d)
+    runs = tracks.islands(p, F.col("gs_kt") < 120, "icao").withColumn("end_alt_ft", F.lit(1000))
+    return reports.climbs_between(runs, p)
+
+
+@query
+def a39_promoted_types(spark, d):
+    legs = _legs(spark, d).select("icao", "session", (F.col("n_points") > 12).alias("overridden"))
+    return reports.overridden_types(legs, "a0000").where("promoted")
+
+
+@query
+def o07_all_aircraft(spark, d):
+    return a.points(spark, d).select("icao").union(a.fetch_log(spark, d).select("icao")).distinct()
