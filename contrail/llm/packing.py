@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 from string import punctuation
 from zlib import crc32
 
@@ -102,6 +103,12 @@ class Encoder:
             yield b"".join(map(get, chunks))
 
 
+@cache
+def encoder(path: str) -> Encoder:
+    """The worker's own encoder, which outlives a task and so remembers across tasks."""
+    return Encoder(path)
+
+
 def _lower(text: str) -> str:
     """Lower case, as the vocabulary has it, where that is sure to be the same: it makes chunks repeat more.
 
@@ -120,7 +127,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     """One row a piece: doc_id, piece, start, length, ids_crc32 and, if asked for, ids (little-endian 32-bit)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end, width = Encoder(tokenizer), np.array([end_id], "<u4").tobytes(), 4 * capacity
+        encode, end, width = encoder(tokenizer), np.array([end_id], "<u4").tobytes(), 4 * capacity
         for batch in batches:
             for at in range(0, len(batch), 500):
                 part = batch.slice(at, 500)
