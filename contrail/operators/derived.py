@@ -149,3 +149,15 @@ def snapshot(legs: DataFrame) -> DataFrame:
     """One JSON document an aircraft, its legs newest first: for a static export."""
     each = F.reverse(F.array_sort(F.collect_list(F.struct("takeoff_ts", "session", "n_points", "callsigns"))))
     return legs.groupBy("icao").agg(F.to_json(each).alias("legs"))
+
+
+def autopilot_target(points: DataFrame) -> DataFrame:
+    """Per session: the last selected altitude while near the greatest height so far, before any marked descent."""
+    w = over(*KEY)
+    air, rate = F.col("state") == "airborne", F.col("rate_fpm")
+    rows = classified(sessions(points)).withColumns(
+        {"top": F.max("baro_ft").over(w), "sank": F.coalesce(F.max(F.when(air & (rate < -500), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))}
+    )
+    level = (F.col("baro_ft") >= 0.85 * F.col("top")) & (F.abs(F.col("mcp_ft") - F.col("baro_ft")) < 500) & (rate.isNull() | (rate > -250))
+    held = rows.where(F.col("mcp_ft").isNotNull() & air & (F.col("sank") == 0) & level)
+    return held.groupBy(*KEY).agg(F.max_by("mcp_ft", F.struct("ts", "seq")).alias("target_ft"))

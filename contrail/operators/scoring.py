@@ -119,3 +119,22 @@ def spoof_gate(c: Config = DEFAULT) -> Column:
     enough = F.col("v2") >= c.spoof_min_v2
     crude = (F.col("max_alt_ft") < 500) & F.col("origin").isNull() & F.col("destination").isNull() & F.col("callsign").rlike("^EK[0-9]+$")
     return F.when(enough & (pct >= 60), "hard_sil0").when(enough & (pct >= c.spoof_pct) & (F.col("speed_kt") > 900), "sil0_plus_teleport").when(crude, "crude_heuristic")
+
+
+def takeoff_confidence(points: DataFrame, origin_km: DataFrame, c: Config = DEFAULT) -> DataFrame:
+    """Per session: 0.3 if found in mid-air, else by ground points before takeoff and the airport's distance; less with faulty heights.
+
+    origin_km: icao, session, km, where an airport matches.
+    """
+    at = F.struct("ts", "seq")
+    whole = Window.partitionBy("icao", "session")
+    rows = classified(sessions(points, c), c).withColumn("air", F.min(F.when(F.col("state") == "airborne", at)).over(whole))
+    before = (F.col("state") == "ground") & (F.col("air").isNull() | (at < F.col("air")))
+    n = F.count("*")
+    signs = rows.groupBy("icao", "session").agg(
+        F.count_if(before).alias("gp"), (F.min_by("state", at) == "airborne").alias("mid"), ((n >= 10) & (F.count_if(F.col("reason").isin("baro_error", "speed_override")) / n > 0.2)).alias("bad")
+    )
+    q = F.when(F.col("gp") == 0, 0.2).when(F.col("gp") == 1, 0.5).when(F.col("gp") == 2, 0.7).otherwise(1.0)
+    near = (2 * q + 1.5 * (1 - lerp(F.col("km"), 0, 10))) / 3.5
+    value = F.when(F.col("mid"), 0.3).otherwise(F.coalesce(near, q)) * F.when(F.col("bad"), 0.3).otherwise(1.0)
+    return signs.join(origin_km, ["icao", "session"], "left").select("icao", "session", F.round(value, 2).alias("confidence"))

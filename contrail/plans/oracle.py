@@ -9,7 +9,8 @@ PTS = """pts as (select lpad(lower(to_hex(10485760 + user_id)), 6, '0') as icao,
  (event_id * 29 % 3000 - 1500)::double as rate_fpm, case when event_id % 97 = 0 then '7700' when event_id % 5 = 0 then '1200' else cast(1000 + k as varchar) end as squawk,
  case when event_id % 3 = 0 then 'N' || (user_id % 7 + 1) || (event_id % 2) end as callsign,
  case event_type when 'click' then 'adsb_icao' when 'view' then 'mlat' when 'purchase' then 'tisb_icao' when 'error' then 'mode_s' end as src,
- case when event_id % 3 <> 0 then 2 else 0 end as version, case when k < 12 then 0 else 3 end as sil, case when k % 2 = 0 then 0 else 8 end as nic, 'A' || (k % 4) as category
+ case when event_id % 3 <> 0 then 2 else 0 end as version, case when k < 12 then 0 else 3 end as sil, case when k % 2 = 0 then 0 else 8 end as nic, 'A' || (k % 4) as category,
+ case when event_type <> 'signup' and event_id % 4 = 0 then cast(floor(value * 100) as int) + cast(event_id % 7 * 200 - 600 as int) end as mcp_ft
  from (select *, cast(json_extract_string(props, '$.k') as bigint) as k from events))"""
 
 SES = """ses as (select *, sum(case when since is null or abs(since) > 1800 then 1 else 0 end) over (partition by icao order by ts, seq rows unbounded preceding)::bigint as session
@@ -204,6 +205,11 @@ def sql() -> dict[str, str]:
         "u as (select icao, session, sum(case when phase = 'climb' then s else 0 end) as c, sum(case when phase = 'descent' then s else 0 end) as d, sum(case when phase = 'level' then s else 0 end) as l, sum(case when phase = 'cruise' then s else 0 end) as z, max(len) as len, max(top) as top, "
         "round(sum(case when phase = 'cruise' then baro_ft * s end) / sum(case when phase = 'cruise' and baro_ft is not null then s end)) as alt, list_median(flatten(list(case when phase = 'cruise' and abs(gs_kt - mg) <= 2 * dg then list_transform(range(greatest(1, s)), lambda i: gs_kt) else [] end))) as gs from v group by icao, session) "
         "select icao, session, " + ", ".join(f"round({x} * case when c + d + l + z > 0 then least(c + d + l + z, len) / (c + d + l + z) else 0 end, 1) as {n}_s" for x, n in (("c", "climb"), ("d", "descent"), ("l", "level"), ("z", "cruise"))) + ", case when top >= 500 and len >= 120 then least(alt, top::double) end as cruise_alt, case when top >= 500 and len >= 120 then round(gs, 1) end as cruise_gs from u",
+        "w21_autopilot_target": f"{s}, r as (select *, {STATE} as state from ses), q as (select *, max(baro_ft) over w as top, coalesce(max(case when state = 'airborne' and rate_fpm < -500 then 1 else 0 end) over (partition by icao, session order by ts, seq rows between unbounded preceding and 1 preceding), 0) as sank from r window w as (partition by icao, session order by ts, seq rows unbounded preceding)) "
+        "select icao, session, arg_max(mcp_ft, (ts, seq)) as target_ft from q where mcp_ft is not null and state = 'airborne' and sank = 0 and baro_ft >= 0.85 * top and abs(mcp_ft - baro_ft) < 500 and (rate_fpm is null or rate_fpm > -250) group by icao, session",
+        "c02_takeoff_confidence": f"{legs}, {PORTS}, n as ({nearest('legs', 'icao, session', 'r.takeoff_lat', 'r.takeoff_lon', 0.15, 0.5)}), r as (select icao, session, ts, seq, {STATE} as state, {REASON} as reason from ses), f as (select *, min(case when state = 'airborne' then (ts, seq) end) over (partition by icao, session) as air from r), "
+        "g as (select icao, session, count(*) filter (state = 'ground' and (air is null or (ts, seq) < air)) as gp, arg_min(state, (ts, seq)) = 'airborne' as mid, count(*) >= 10 and count(*) filter (reason in ('baro_error', 'speed_override')) / count(*) > 0.2 as bad from f group by icao, session), "
+        f"j as (select g.*, case when km <= 10 then km end as km from g left join n using (icao, session)), s as (select *, case when gp = 0 then 0.2 when gp = 1 then 0.5 when gp = 2 then 0.7 else 1 end::double as q from j) select icao, session, round(case when mid then 0.3 else case when km is null then q else (2 * q + 1.5 * (1 - {lerp('km', 0, 10)})) / 3.5 end end::double * case when bad then 0.3::double else 1 end, 2) as confidence from s",
         "w16_implied_speeds": f"{s}, r as (select *, ts - lag(ts) over w as dt, {km('lag(lat) over w', 'lag(lon) over w', 'lat', 'lon')} as km, last_value(callsign ignore nulls) over (partition by icao, session order by ts, seq rows between unbounded preceding and 1 preceding) as said from ses window w as (partition by icao, session order by ts, seq)) "
         "select icao, session, round(max(case when dt >= 10 then km / 1.852::double / (dt / 3600) end), 1) as implied_kt, count(*) filter (callsign <> said) as callsign_changes from r group by icao, session",
         "g16_landing_anchor": f"{s}, r as (select *, row_number() over (partition by icao, session order by ts desc, seq desc) as back, max(ts) over (partition by icao, session) as fin from ses), q as (select *, row_number() over (partition by icao, session order by coalesce(baro_ft, 1 << 30), back) as pick from r where back <= 240 and fin - ts <= 600) select icao, session, lat, lon, baro_ft as alt_ft from q where pick = 1",

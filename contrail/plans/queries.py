@@ -590,3 +590,14 @@ def a39_promoted_types(spark, d):
 @query
 def o07_all_aircraft(spark, d):
     return a.points(spark, d).select("icao").union(a.fetch_log(spark, d).select("icao")).distinct()
+
+
+@query
+def w21_autopilot_target(spark, d):
+    return derived.autopilot_target(a.points(spark, d))
+
+
+@query
+def c02_takeoff_confidence(spark, d):
+    near = spatial.nearest(_legs(spark, d), a.airports(spark, d), ["icao", "session"], (0.15, 0.5), "takeoff_lat", "takeoff_lon").where("km <= 10")
+    return scoring.takeoff_confidence(a.points(spark, d), near.select("icao", "session", "km"))

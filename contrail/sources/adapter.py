@@ -34,6 +34,7 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("k") < 12, 0).otherwise(3).alias("sil"),
         F.when(F.col("k") % 2 == 0, 0).otherwise(8).alias("nic"),
         F.concat(F.lit("A"), (F.col("k") % 4).cast("string")).alias("category"),
+        F.when(~surface & (F.col("event_id") % 4 == 0), F.floor(F.col("value") * 100).cast("int") + (F.col("event_id") % 7 * 200 - 600).cast("int")).alias("mcp_ft"),
     )
 
 
