@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import license_scan as licenses
-from . import url_filter
+from . import oracle, url_filter
 from .chat import digests, format_conversations
 from .common import table
 from .context_mixing import context_mixing_scores
@@ -41,7 +41,8 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.withColumn("dropped_lines", F.array_join("dropped_lines", ","))
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,4 +87,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_license_scan": licenses.oracle_sql(), "op7_url_filter": url_filter.oracle_sql()}
+    return oracle.sql()

@@ -13,7 +13,7 @@ from .helpers import documents
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_against_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "labels"):
+    for t in ("documents", "pages", "labels", "benchmark", "conversations"):
         con.sql(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     expected = con.sql(queries.oracle_sql()[name])
     found = [tuple(r[c] for c in expected.columns) for r in queries.queries()[name](spark, DATA).collect()]
