@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 DEPTH, MAX_CHILDREN, MIN_SUPPORT = 4, 20, 20
 MERGE_Z, PRIOR_WEIGHT, PURITY = 1.64, 10.0, 0.5
 RULES = [
@@ -70,7 +72,7 @@ def path_tree(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
     levels = [f"s{i}" for i in range(1, depth + 1)]
     cut = pages.select("host", "labelled", "bad", *(segment(i).alias(c) for i, c in enumerate(levels, 1)), segment(depth + 1).isNotNull().alias("deeper"))
     paths = cut.groupBy("host", *levels, "deeper").agg(F.count("*").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
-    paths = paths.withColumn("template", F.lit(""))
+    paths = written(paths.withColumn("template", F.lit("")), "paths")
     for c in levels:
         key = ["host", "template"]
         kids = paths.where(F.col(c).isNotNull()).groupBy(*key, c).agg(*(F.sum(x).alias(x) for x in ("n", "labelled", "bad")))
@@ -85,6 +87,7 @@ def path_tree(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
         name = F.when(F.col("kids") == 1, F.col(c)).when(few | ~differs, F.lit("*")).otherwise(F.col(c))
         named = kids.join(whole, key).select(*key, c, F.concat(F.lit("/"), name).alias("_step"))
         paths = paths.join(named, [*key, c], "left").withColumn("template", F.concat("template", F.coalesce("_step", F.lit("")))).drop("_step")
+        paths = written(paths, "paths")  # each level reads the last one three times
     return paths.withColumn("template", F.concat("template", F.when(F.col("deeper"), "/**").otherwise("")))
 
 
