@@ -30,12 +30,20 @@ from .common import packed, unpacked
 MIN_WORDS = 50
 
 
-def _words(line: Column) -> Column:
-    """Number of words between blanks; runs of up to eight blanks count as one. Plain byte searches, no patterns."""
-    bare = F.trim(line)
-    for _ in range(3):
-        bare = F.replace(bare, F.lit("  "), F.lit(" "))
-    return F.when(bare == "", 0).otherwise(F.octet_length(bare) - F.octet_length(F.replace(bare, F.lit(" "), F.lit(""))) + 1)
+def _bare(line: Column) -> Column:
+    """The line with tabs, carriage returns, vertical tabs and form feeds as spaces, trimmed."""
+    for blank in "\t\r\v\f":
+        line = F.replace(line, F.lit(blank), F.lit(" "))
+    return F.trim(line)
+
+
+def _words(bare: Column) -> Column:
+    """Number of words of a bare line between runs, of any length, of spaces. Plain byte searches, no patterns."""
+    letters = F.octet_length(F.replace(bare, F.lit(" "), F.lit("")))
+    # only spaces are left, so that two other blanks can mark each: a run of any length then falls to one pair
+    runs = F.replace(F.replace(bare, F.lit(" "), F.lit("\t\r")), F.lit("\r\t"), F.lit(""))
+    apart = F.when(F.contains(bare, F.lit("  ")), F.octet_length(runs) / 2 - letters / 2).otherwise(F.octet_length(bare) - letters).cast("int")
+    return F.when(bare == "", 0).otherwise(apart + 1)
 
 
 def windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -43,7 +51,9 @@ def windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     lines = docs.where(F.length("text") > 0).select(
         F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_th"), F.posexplode(F.split("text", "\n", -1)).alias("_pos", "_line")
     )
-    lines = lines.select("_id", "_th", "_pos", F.xxhash64("_line").alias("_h"), F.octet_length("_line").alias("_len"), _words(F.col("_line")).alias("_n"))
+    # apart, so that a bare line is made once for all that is asked of it
+    lines = lines.select("_id", "_th", "_pos", F.xxhash64("_line").alias("_h"), F.octet_length("_line").alias("_len"), _bare(F.col("_line")).alias("_bare"))
+    lines = lines.select("_id", "_th", "_pos", "_h", "_len", _words(F.col("_bare")).alias("_n"))
     # rows of one (doc_id, text) give equal lines, of which one is kept: as the window below needs them by document, this adds no exchange
     lines = lines.where("_n > 0").groupBy("_id", "_th", "_pos").agg(*(F.first(c).alias(c) for c in ("_h", "_len", "_n")))
     order = Window.partitionBy("_id", "_th").orderBy("_pos")

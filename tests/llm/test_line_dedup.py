@@ -57,6 +57,19 @@ def test_lone_lines_and_edge_cases(spark):
     check(spark, [None, "", "\n\n", "a short line\na short line", "x\n" * 300, long_line, long_line + "\nmore", "x\n" * 300], 50)
 
 
+def test_words_between_blanks_of_any_kind_and_number(spark):
+    tabbed = "\t".join(f"w{i}" for i in range(60))
+    short = "\n".join("\t".join(f"v{i}{j}" for j in range(10)) for i in range(6))
+    mixed = " \v\f\r\t".join(f"u{i}" for i in range(55))
+    padded = "a" + " " * 400 + "b"
+    blank = "\n".join("\t" * 60 for _ in range(60))
+    texts = [tabbed, tabbed + "\nmore", short, "x\n" + short, mixed, mixed, padded, padded + "\nmore", padded, blank, blank]
+    check(spark, texts, 50)
+    found = {r.doc_id: r.text for r in line_dedup(documents(spark, texts)).collect()}
+    assert (found[1], found[3], found[5]) == ("more", "x", "")
+    assert [found[i] for i in (6, 7, 8, 9, 10)] == texts[6:]
+
+
 def test_repeated_rows_null_ids_and_columns(spark):
     passage = "\n".join(" ".join(f"w{i}{j}" for i in range(30)) for j in range(3))
     docs = documents(spark, [passage, passage, passage, "tail"], ids=[None, 5, 5, 5])
