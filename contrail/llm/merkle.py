@@ -5,9 +5,9 @@ to a multiple of ``LEAF_WORDS`` and after as many words at most (in text without
 that an edit moves only the next few cuts. A section is a run of paragraphs that ends where a paragraph's hash says so. Each node hashes its
 children's hashes; equal roots mean equal texts, and differing branches lead down to the edited ranges.
 
-A fingerprint is the root and a bounded sketch of the tree: its ``SKETCH`` least leaf hashes. The likeness of two
-fingerprints is the share of leaves they have in common (Dice), exact up to that many leaves and estimated
-beyond; equal roots have likeness 1.
+A fingerprint is the whole tree in text: root, number of leaves, and each section's hash with its paragraphs' and their
+leaves' hashes. It grows with the text. The likeness of two fingerprints is the share of leaves they have in common,
+counted as often as they occur (Dice); it is found by descending only branches that differ. Equal roots have likeness 1.
 
 Defined results: null text is empty; the empty text has a root and no leaves; rows are ordered by doc_id (null
 first), rows of one doc_id by text hash, so that each has a next row; a lone row is its own next.
@@ -16,6 +16,7 @@ first), rows of one doc_id by text hash, so that each has a next row; a lone row
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +26,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LEAF_WORDS, SECTION_PARAGRAPHS, SKETCH = 4, 4, 128
+LEAF_WORDS, SECTION_PARAGRAPHS = 4, 4
 DOCS_PER_BUCKET, BUCKETS = 2000, 20_000
+HELD = 1 << 24  # characters of fingerprints, beyond which rows go out
 
 
 def leaves(data: bytes) -> np.ndarray:
@@ -76,21 +78,39 @@ def _parent(children: list[tuple[int, int, int]], seed: int) -> tuple[int, int,
 
 
 def fingerprint(text: str | None) -> str:
-    levels = tree(text)
-    sketch = np.unique(np.array([h for h, _, _ in levels[0]], np.uint32))[:SKETCH]
-    return f"{levels[-1][0][0]:032x}.{sketch.astype('>u4').tobytes().hex()}"
+    """root.leaves.sections in hex: sections parted by ``;`` are ``hash:paragraphs``, and paragraphs parted by ``,`` their hash and leaf hashes."""
+    leaf, paragraph, section, root = tree(text)
+    digits = np.array([h for h, _, _ in leaf], ">u4").tobytes().hex()
+    ends = np.searchsorted([e for _, _, e in leaf], [e for _, _, e in paragraph], "right").tolist()
+    bodies = [f"{h:032x}{digits[8 * i : 8 * j]}" for (h, _, _), i, j in zip(paragraph, [0, *ends], ends, strict=False)]
+    ends = np.searchsorted([e for _, _, e in paragraph], [e for _, _, e in section], "right").tolist()
+    sections = ";".join(f"{h:032x}:{','.join(bodies[i:j])}" for (h, _, _), i, j in zip(section, [0, *ends], ends, strict=False))
+    return f"{root[0][0]:032x}.{len(leaf)}.{sections}"
+
+
+def _apart(x: list[str], y: list[str]) -> tuple[list[str], list[str]]:
+    """The branches of each side that the other lacks; a branch is named by its hash, and each matches one."""
+    left = Counter(n[:32] for n in x)
+    left.subtract(n[:32] for n in y)
+    out: tuple[list[str], list[str]] = [], []
+    for side, nodes, sign in zip(out, (x, y), (1, -1), strict=True):
+        for n in nodes:
+            if sign * left[n[:32]] > 0:
+                left[n[:32]] -= sign
+                side.append(n)
+    return out
 
 
 def likeness(a: str, b: str) -> float:
-    """Dice coefficient of the leaves behind two fingerprints."""
+    """Dice coefficient of the leaves of two fingerprints. What equal branches hold is common; the differing ones are descended."""
     if a[:32] == b[:32]:
         return 1.0
-    x, y = ({s[i : i + 8] for i in range(33, len(s), 8)} for s in (a, b))
-    union = x | y
-    if len(x) >= SKETCH or len(y) >= SKETCH:  # the least of the union are a fair sample of it
-        union = set(sorted(union)[:SKETCH])
-    shared = len(x & y & union)
-    return 2 * shared / (len(union) + shared) if union else 0.0
+    (_, n, x), (_, m, y) = a.split(".", 2), b.split(".", 2)
+    sides = _apart(x.split(";") if x else [], y.split(";") if y else [])
+    sides = _apart(*([p for s in side for p in s[33:].split(",")] for side in sides))
+    lost, new = _apart(*([p[i : i + 8] for p in side for i in range(32, len(p), 8)] for side in sides))
+    both = int(n) + int(m)
+    return (both - len(lost) - len(new)) / both
 
 
 def edits(old: str | None, new: str | None) -> list[tuple[int, int]]:
@@ -168,8 +188,14 @@ def merkle_fingerprints(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, held, done = None, None, False
+        kinds = (pa.int64(), *[pa.string()] * 3, *[pa.float64()] * 2)
         for batch in batches:
-            rows, owners = [], []
+            rows, owners, size = [], [], 0
+
+            def out() -> pa.RecordBatch:
+                cols = [pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds)]  # noqa: B023
+                return pa.RecordBatch.from_arrays([pa.array(owners, batch.schema.field("doc_id").type), *cols], names)  # noqa: B023
+
             for i, (b, ghost, text) in enumerate(zip(batch.column("bucket").to_pylist(), batch.column("ghost").to_pylist(), batch.column("text").to_pylist(), strict=True)):
                 if b != bucket:
                     bucket, held, done = b, None, False
@@ -184,10 +210,12 @@ def merkle_fingerprints(docs: DataFrame) -> DataFrame:
                     new_print = fingerprint(new) if new != old else old_print
                     owners.append(doc_id)
                     rows.append((len(old), hashlib.sha256(new.encode()).hexdigest(), old_print, new_print, likeness(old_print, new_print), likeness(old_print, print_)))
+                    size += len(old_print) + len(new_print)
+                    if size > HELD:
+                        yield out()
+                        rows, owners, size = [], [], 0
                 held, done = (text, print_, batch.column("doc_id")[i].as_py()), bool(ghost)
-            kinds = (pa.int64(), *[pa.string()] * 3, *[pa.float64()] * 2)
-            cols = [pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([pa.array(owners, batch.schema.field("doc_id").type), *cols], names)
+            yield out()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

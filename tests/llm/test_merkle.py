@@ -1,4 +1,6 @@
 import hashlib
+import random
+from collections import Counter
 
 from contrail.llm import merkle
 from contrail.llm.merkle import edits, fingerprint, likeness, merkle_fingerprints, merkle_nodes, tree
@@ -44,6 +46,25 @@ def test_roots_and_edits():
     assert edits(text, text) == [] and tree("")[-1][0][1:] == (0, 0)
 
 
+def test_likeness_reads_the_whole_tree():
+    def exact(a, b):
+        x, y = (Counter(h for h, _, _ in tree(t)[0]) for t in (a, b))
+        return 2 * (x & y).total() / (x.total() + y.total())
+
+    rng = random.Random(3)
+    text = "\n".join(" ".join(f"w{rng.randint(0, 9999)}" for _ in range(rng.randint(1, 40))) for _ in range(300))
+    lines = text.split("\n")
+    for at in range(0, 300, 10):  # one small edit anywhere shows
+        changed = "\n".join([*lines[:at], "edited " + lines[at], *lines[at + 1 :]])
+        found = likeness(fingerprint(text), fingerprint(changed))
+        assert found == exact(text, changed) and 0.99 < found < 1
+    other = "\n".join(" ".join(f"v{rng.randint(0, 9999)}" for _ in range(20)) for _ in range(300))
+    for shared in ("\n" + lines[7] + "\n", "\n" + "\n".join(lines[50:80]) + "\n", "\n" + lines[7] + ("\n" + lines[9]) * 3 + "\n"):
+        for a, b in ((text, other + shared), (text, shared * 3 + other), (text + shared, shared + other), (text, text + shared)):
+            assert likeness(fingerprint(a), fingerprint(b)) == exact(a, b) > 0
+    assert likeness(fingerprint(""), fingerprint("a")) == 0 and likeness(fingerprint(""), fingerprint(None)) == 1
+
+
 def test_nodes_cover_the_text(spark):
     rows = merkle_nodes(documents(spark, ["a b c\nd e", None, "x" * 3000])).collect()
     for level in range(4):
