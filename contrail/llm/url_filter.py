@@ -12,7 +12,7 @@ For the rest, each host has a tree of path segments, built level by level over c
 3. **Reject.** A template is blocked if its share of bad labels, smoothed by ``PRIOR_WEIGHT`` labels at the corpus's
    share (``PURITY`` / 2 at most), is at least ``PURITY``.
 
-Segments beyond ``DEPTH`` are one ``**``. Every level is a sum by (host, template, segment), combined within tasks
+The tree goes down to the last segment of every path; what lies beyond ``DEPTH`` and never parts is written ``**``. Every level is a sum by (host, template, segment), combined within tasks
 first, so that a host with a third of all pages costs a few rows.
 
 Defined results: a null url, or one without ``://``, has an empty host and path and is allowed unless its template
@@ -57,25 +57,27 @@ def rule_of(rules: list[tuple[str, str, str]] = RULES) -> tuple[Column, Column]:
     )
 
 
-def segment(depth: int) -> Column:
-    """The generalised segment of ``path`` at a depth from 1; null where the path has ended."""
-    s = F.get(F.split("path", "/"), F.lit(depth))
-    digits = F.regexp_replace(s, "^[0-9]+", "{n}")
-    return F.when(s.isNull() | (s == ""), F.lit(None)).when(s.rlike("^[0-9]+([.][a-z]+)?$"), digits).otherwise(s)
+def segments() -> Column:
+    """All generalised segments of ``path``, null where one is empty; an empty last one is left out."""
+    cut = F.split("path", "/")
+    digits = lambda s: F.when(s.rlike("^[0-9]+([.][a-z]+)?$"), F.regexp_replace(s, "^[0-9]+", "{n}")).otherwise(s)
+    all_ = F.transform(F.slice(cut, 2, F.greatest(F.size(cut) - 1, F.lit(0))), lambda s: F.when(s != "", digits(s)))
+    return F.when(F.get(all_, F.size(all_) - 1).isNull() & (F.size(all_) > 0), F.slice(all_, 1, F.greatest(F.size(all_) - 1, F.lit(0)))).otherwise(all_)
 
 
 def path_tree(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(host, s1 ... s<depth>, deeper, template): the template of each generalised path.
+    """(host, segments, template, labelled, bad): the template of each generalised path, down to its last segment.
 
-    pages: host, path, labelled (0 or 1), bad (0 or 1).
+    pages: host, path, labelled (0 or 1), bad (0 or 1). Below ``depth``, a branch that never parts is written ``**``.
     """
-    levels = [f"s{i}" for i in range(1, depth + 1)]
-    cut = pages.select("host", "labelled", "bad", *(segment(i).alias(c) for i, c in enumerate(levels, 1)), segment(depth + 1).isNotNull().alias("deeper"))
-    paths = cut.groupBy("host", *levels, "deeper").agg(F.count("*").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
-    paths = written(paths.withColumn("template", F.lit("")), "paths")
-    for c in levels:
+    cut = pages.select("host", "labelled", "bad", segments().alias("segments"))
+    paths = cut.groupBy("host", "segments").agg(F.count("*").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
+    paths = written(paths.withColumn("template", F.lit("")).withColumn("top", F.lit("")), "paths")
+    deepest = paths.agg(F.max(F.size("segments"))).first()[0] or 0
+    for i in range(deepest):
         key = ["host", "template"]
-        kids = paths.where(F.col(c).isNotNull()).groupBy(*key, c).agg(*(F.sum(x).alias(x) for x in ("n", "labelled", "bad")))
+        at = paths.withColumn("_s", F.get("segments", F.lit(i)))
+        kids = at.where(F.col("_s").isNotNull()).groupBy(*key, "_s").agg(*(F.sum(x).alias(x) for x in ("n", "labelled", "bad")))
         whole = kids.groupBy(*key).agg(F.count("*").alias("kids"), F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"))
         # the branch against its siblings
         others, others_bad = F.col("all_labelled") - F.col("labelled"), F.col("all_bad") - F.col("bad")
@@ -84,11 +86,17 @@ def path_tree(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
         apart = F.abs(F.col("bad") / F.col("labelled") - others_bad / others)
         differs = F.when((F.col("labelled") > 0) & (others > 0) & (share > 0) & (share < 1), apart >= MERGE_Z * spread).otherwise(False)
         few = (F.col("kids") > MAX_CHILDREN) & (F.col("n") < MIN_SUPPORT)
-        name = F.when(F.col("kids") == 1, F.col(c)).when(few | ~differs, F.lit("*")).otherwise(F.col(c))
-        named = kids.join(whole, key).select(*key, c, F.concat(F.lit("/"), name).alias("_step"))
-        paths = paths.join(named, [*key, c], "left").withColumn("template", F.concat("template", F.coalesce("_step", F.lit("")))).drop("_step")
+        name = F.when(F.col("kids") == 1, F.col("_s")).when(few | ~differs, F.lit("*")).otherwise(F.col("_s"))
+        named = kids.join(whole, key).select(*key, "_s", F.concat(F.lit("/"), name).alias("_step"))
+        paths = at.join(named, [*key, "_s"], "left").withColumn("template", F.concat("template", F.coalesce("_step", F.lit("")))).drop("_step", "_s")
+        if i < depth:
+            paths = paths.withColumn("top", F.col("template"))
         paths = written(paths, "paths")  # each level reads the last one three times
-    return paths.withColumn("template", F.concat("template", F.when(F.col("deeper"), "/**").otherwise("")))
+    # a lone template below the first levels holds the same paths under its short name
+    deeper = F.size("segments") > depth
+    lone = paths.where(deeper).groupBy("host", "top").agg((F.min("template") == F.max("template")).alias("_lone"))
+    short = F.when(deeper & F.col("_lone"), F.concat("top", F.lit("/**"))).otherwise(F.col("template"))
+    return paths.join(lone, ["host", "top"], "left").select("host", "segments", short.alias("template"), "labelled", "bad")
 
 
 def filter_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]] = RULES, depth: int = DEPTH) -> DataFrame:
@@ -105,17 +113,14 @@ def filter_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str,
         "host", "path", F.col("_toxic").isNotNull().cast("int").alias("labelled"), F.coalesce((F.col("_toxic") > 0).cast("int"), F.lit(0)).alias("bad")
     )
     tree = path_tree(labelled, depth)
-    levels = [f"s{i}" for i in range(1, depth + 1)]
     total = tree.agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b")).first()
     prior = min((total.b or 0) / total.l if total.l else 0.0, PURITY / 2)  # no label of its own rejects no template
     purity = (F.sum("bad") + PRIOR_WEIGHT * prior) / (F.sum("labelled") + PRIOR_WEIGHT)
-    scored = tree.join(tree.groupBy("host", "template").agg(purity.alias("purity")), ["host", "template"]).select("host", *levels, "deeper", "template", "purity")
-    keyed = pages.select("page_id", "host", "path", *(segment(i).alias(c) for i, c in enumerate(levels, 1)), segment(depth + 1).isNotNull().alias("deeper"))
-    same = keyed["host"] == scored["host"]
-    for c in levels:
-        same &= keyed[c].eqNullSafe(scored[c])
+    scored = tree.join(tree.groupBy("host", "template").agg(purity.alias("purity")), ["host", "template"]).select("host", "segments", "template", "purity")
+    keyed = pages.select("page_id", "host", "path", segments().alias("segments"))
+    same = (keyed["host"] == scored["host"]) & (keyed["segments"] == scored["segments"])
     rule, verdict = rule_of(rules)
-    out = keyed.join(scored.withColumnRenamed("deeper", "_deeper"), same & (keyed["deeper"] == F.col("_deeper")), "left")
+    out = keyed.join(scored, same, "left")
     own = F.when(F.col("purity") >= PURITY, "block").otherwise("allow")
     return out.select("page_id", keyed["host"], "path", "template", "purity").withColumn("rule", rule).withColumn("verdict", F.coalesce(verdict, own)).select("page_id", "host", "path", "rule", "verdict", "template", "purity")
 

@@ -60,3 +60,13 @@ def test_bad_branch_is_rejected_and_variables_are_generalised(spark):
     assert {(r.template, r.verdict) for r in rows[120:180]} == {("/*/{n}/a/b/**", "allow")}
     assert rows[180][1:] == rows[0][1:]
     assert filter_urls(pages_of(spark, urls).where("false"), labels).count() == 0
+
+
+def test_branches_that_part_deep_down_are_told_apart(spark):
+    urls = [f"https://site.org/a/b/c/d/e/{kind}/{i + first}/" for kind, first in (("spam", 0), ("news", 100)) for i in range(60)]
+    urls += [f"https://site.org/a/b/c//d/{kind}/{i + first}" for kind, first in (("ads", 0), ("art", 100)) for i in range(60)] + ["https://site.org/a/b/c/d", "https://site.org/a/b/c/d/e", "https://site.org/"]
+    labels = spark.createDataFrame([(i, 1, 1) for i in range(60)] + [(i, 1, 0) for i in range(100, 160)], "doc_id long, quality int, toxic int")
+    rows = sorted(filter_urls(pages_of(spark, urls), labels).collect(), key=lambda r: r.page_id)
+    assert [r.verdict for r in rows[:240]] == (["block"] * 60 + ["allow"] * 60) * 2
+    assert [r.template for r in rows[:120:60]] == ["/a/b/c/d/e/spam/{n}", "/a/b/c/d/e/news/{n}"]
+    assert [(r.template, r.verdict) for r in rows[240:242]] == [("/a/b/c/d", "allow"), ("/a/b/c/d/e", "allow")]
