@@ -29,17 +29,28 @@ g as (select conv_id, count(*) as n_turns, string_agg(role || chr(10) || text ||
 select conv_id, n_turns, sha256(said) as turns_sha256, length(loss)::bigint as loss_chars, sha256(loss) as loss_sha256, chars::bigint as formatted_chars from g
 """
 
-_BARE = "replace(replace(replace(trim(line, ' '), '  ', ' '), '  ', ' '), '  ', ' ')"
+_SPACED = "translate(line, chr(9) || chr(11) || chr(12) || chr(13), '    ')"
+
+
+def _alike(a: str, b: str) -> str:
+    """How many first elements two lists have in common."""
+    same = f"list_transform(list_zip({a}, {b}), lambda z: coalesce(z[1] = z[2], false))"
+    return f"case when list_position({same}, false) > 0 then list_position({same}, false) - 1 else len({same}) end"
+
 
 LINE_DEDUP = f"""
 with l as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as pos from documents where text <> ''),
-w as (select doc_id, pos, line, case when {_BARE} = '' then 0 else strlen({_BARE}) - strlen(replace({_BARE}, ' ', '')) + 1 end as n from l),
-c as (select doc_id, pos, line, sum(n) over (partition by doc_id order by pos) as cum from w where n > 0),
-r as (select doc_id, pos as fin, cum, min(pos) over k as start, string_agg(line, chr(10)) over k as run from c window k as (partition by doc_id order by cum range between 49 preceding and current row)),
-o as (select *, first_value(doc_id) over f as d0, first_value(start) over f as s0, first_value(fin) over f as f0 from r where cum >= 50 window f as (partition by run order by doc_id, start rows between unbounded preceding and unbounded following)),
-x as (select distinct doc_id, unnest(range(case when doc_id = d0 then greatest(start, f0 + 1) else start end, fin + 1)) as pos from o where not (doc_id = d0 and start = s0)),
-k as (select doc_id, string_agg(line, chr(10) order by pos) as text from l where (doc_id, pos) not in (select doc_id, pos from x) group by doc_id),
-m as (select doc_id, count(*) as n, string_agg(cast(pos as varchar), ',' order by pos) as cut from x group by doc_id)
+w as (select doc_id, pos, line, len(list_filter(string_split({_SPACED}, ' '), lambda x: x <> '')) as n from l),
+c as (select doc_id, pos, line, sum(n) over (partition by doc_id order by pos) as cum, row_number() over (partition by doc_id order by pos) - 1 as rk from w where n > 0),
+g as (select doc_id, list(line order by rk) as ls, list(pos order by rk) as ps from c group by doc_id),
+r as (select doc_id, rk as fin, cum, min(rk) over k as start, string_agg(line, chr(10)) over k as run from c window k as (partition by doc_id order by cum range between 49 preceding and current row)),
+o as (select *, first_value(doc_id) over f as d0, first_value(start) over f as s0, first_value(fin) over f as f0 from r where cum >= 50 window f as (partition by run order by doc_id, start, fin rows between unbounded preceding and unbounded following)),
+x as (select distinct doc_id, d0, start - s0 as shift, unnest(range(case when doc_id = d0 then greatest(start, f0 + 1) else start end, fin + 1)) as rk from o where not (doc_id = d0 and start = s0 and fin = f0)),
+i as (select doc_id, d0, shift, min(rk) as lo, max(rk) as hi from (select *, rk - row_number() over (partition by doc_id, d0, shift order by rk) as island from x) group by doc_id, d0, shift, island),
+e as (select i.*, a.ps as ps, {_alike("list_reverse(a.ls[:lo])", "list_reverse(b.ls[:lo - shift])")} as back, {_alike("a.ls[hi + 2:]", "b.ls[hi - shift + 2:]")} as ahead from i join g a on a.doc_id = i.doc_id join g b on b.doc_id = d0),
+y as (select distinct doc_id, unnest(ps[lo - case when doc_id = d0 then least(back, greatest(0, lo - 1 - hi + shift)) else back end + 1:hi + ahead + 1]) as pos from e),
+k as (select doc_id, string_agg(line, chr(10) order by pos) as text from l where (doc_id, pos) not in (select doc_id, pos from y) group by doc_id),
+m as (select doc_id, count(*) as n, string_agg(cast(pos as varchar), ',' order by pos) as cut from y group by doc_id)
 select d.doc_id as doc_id, case when m.n is null then d.text else coalesce(k.text, '') end as text, case when d.text <> '' then len(string_split(d.text, chr(10))) else 0 end::int as n_lines,
  (case when d.text <> '' then len(string_split(d.text, chr(10))) else 0 end - coalesce(m.n, 0))::int as kept_lines, coalesce(cut, '') as dropped_lines from documents d left join k using (doc_id) left join m using (doc_id)
 """

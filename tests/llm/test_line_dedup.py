@@ -1,25 +1,40 @@
 import random
 
-from contrail.llm.line_dedup import line_dedup
+from contrail.llm.line_dedup import line_dedup, shared_windows, windows
 
 from .helpers import documents
 
 
 def expected(texts, min_words):
-    seen, out = {}, []
+    """Plain version: match windows with their first place, join them to ranges, grow the ranges, delete."""
+    seen, kept, out = {}, [], []
     for d, t in enumerate(texts):
         lines = t.split("\n") if t else []
         full = [i for i, x in enumerate(lines) if x.split()]
-        drop = set()
+        kept.append([lines[i] for i in full])
+        matched = set()
         for j in range(len(full)):
             k, n = j, len(lines[full[j]].split())
             while n < min_words and k > 0:
                 k -= 1
                 n += len(lines[full[k]].split())
             if n >= min_words:
-                first = seen.setdefault(tuple(lines[p] for p in full[k : j + 1]), (d, full[k], full[j]))
-                if first != (d, full[k], full[j]):
-                    drop |= set(range(max(full[k], first[2] + 1) if first[0] == d else full[k], full[j] + 1))
+                first = seen.setdefault(tuple(lines[p] for p in full[k : j + 1]), (d, k, j))
+                if first != (d, k, j):
+                    matched |= {(first[0], k - first[1], r) for r in range(max(k, first[2] + 1) if first[0] == d else k, j + 1)}
+        drop = set()
+        for other, shift, r in matched:
+            if (other, shift, r - 1) in matched:
+                continue
+            end = r
+            while (other, shift, end + 1) in matched:
+                end += 1
+            x, y, begin, stop = kept[d], kept[other], r, end
+            while begin > 0 and begin > shift and x[begin - 1] == y[begin - 1 - shift] and not (other == d and begin - 1 <= end - shift):
+                begin -= 1
+            while stop + 1 < len(x) and stop + 1 - shift < len(y) and x[stop + 1] == y[stop + 1 - shift]:
+                stop += 1
+            drop |= {full[q] for q in range(begin, stop + 1)}
         out.append(("\n".join(x for i, x in enumerate(lines) if i not in drop) if drop else t, sorted(drop)))
     return out
 
@@ -52,6 +67,23 @@ def test_one_hot_passage_stays_once(spark):
     assert all(r.text == f"intro {r.doc_id}\noutro {r.doc_id}" for r in rows[1:])
 
 
+def test_short_lines_at_the_ends_of_a_run_belong_to_it(spark):
+    body = " ".join(f"w{i}" for i in range(60))
+    texts = [f"alpha\nhead line\n{body}\ntail line\nomega", f"beta\nhead line\n\n{body}\ntail line\ngamma", f"head line\ntail line\n{body}"]
+    rows = line_dedup(documents(spark, texts)).orderBy("doc_id").collect()
+    assert [r.text for r in rows] == [texts[0], "beta\n\ngamma", "head line\ntail line"]
+
+
+def test_fingerprints_guard_every_repeated_run(spark):
+    """Without shared fingerprints nothing is matched: windows of no common fingerprint never reach the match."""
+    body = "\n".join(" ".join(f"w{i}{j}" for i in range(20)) for j in range(4))
+    docs = documents(spark, [body, body, "other words\n" * 3])
+    lines = windows(docs.select("doc_id", "text"))
+    assert lines.where("_from is not null").count() == 4
+    assert shared_windows(lines).select("_fp").distinct().count() == lines.where("_from is not null").select("_fp").distinct().count()
+    assert shared_windows(lines.where("_d.id = 0")).count() == 0
+
+
 def test_lone_lines_and_edge_cases(spark):
     long_line = " ".join(["word"] * 20_000)
     check(spark, [None, "", "\n\n", "a short line\na short line", "x\n" * 300, long_line, long_line + "\nmore", "x\n" * 300], 50)
