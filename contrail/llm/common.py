@@ -72,16 +72,17 @@ def unpacked(columns: list[str], **changed: Column) -> list[Column]:
     return [changed.get(c, F.col("row").getField(c)).alias(c) for c in columns]
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected ``edges`` (u, v): rows (node, root), root the least node reachable.
 
     Alternates large-star and small-star steps, each a minimum by node and a join back, which AQE can split at
-    a hub. Each round is written to the shared folder; only a row count and a checksum come to the driver.
+    a hub. Rounds go on until nothing changes, about as many as the logarithm of the longest chain; each is written to
+    the shared folder, and only a row count and a checksum come to the driver.
     Null ends are dropped. Nodes without an edge to another node do not appear.
     """
     edges = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     seen = None
-    for _ in range(max_rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -92,4 +93,3 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if now == seen:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = now
-    raise RuntimeError(f"components did not settle within {max_rounds} rounds")

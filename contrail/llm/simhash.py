@@ -4,13 +4,13 @@ Fingerprint: of all word shingles (repeats included) of a text, hashed by XXH64
 is one in more than half of the hashes.
 
 Links are fingerprints at ``radius`` (3) or fewer differing bits. The distinct fingerprints, not the documents,
-are dealt into *shards*: with the 64 bits cut in b blocks, two fingerprints within the radius agree on at least
-b - radius blocks, so they meet in the shard of those blocks. b follows from the number of distinct fingerprints,
-so that a shard stays small at any size. A shard that is still large is dealt once more on its remaining bits by
-the same pigeonhole argument, which keeps all links. Inside a task each shard becomes a BK-tree, whose children
-are keyed by integer Hamming distance to their parent; a search follows only edges within the radius of its own
-distance. The trees live where their shard is shuffled to rather than in a broadcast, since all fingerprints
-together grow with the corpus. A shard gives a spanning set of links, never all pairs of a group.
+are dealt into *shards* of about ``TREE``: with the 64 bits cut in b blocks, two fingerprints within the radius agree on
+at least b - radius blocks, so they meet in the shard of those blocks, or of as many of their bits as the number of
+fingerprints asks for. A shard of over ``SHARD`` is dealt again on all bits of its blocks, then on the bits it lacks by the
+same argument; one that is still too large is cut in chunks, of which every two meet in a task. All that keeps all links. Inside a task each shard becomes a BK-tree, whose children are keyed by integer Hamming
+distance to their parent; a search follows only edges within the radius of its own distance. The trees live where their
+shard is shuffled to rather than in a broadcast, since all fingerprints together grow with the corpus. A shard gives a
+spanning set of links, never all pairs of a group.
 
 Defined results: null, empty and blank texts have fingerprint zero and link like any other; rows of one doc_id
 are one node each by text; a null doc_id never names a component unless all its members are null.
@@ -30,25 +30,39 @@ from pyspark.sql import functions as F
 from .common import components, written
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
-SHARD = 4096  # fingerprints in one tree, beyond which a shard is dealt again
+TREE, SHARD = 256, 4096  # fingerprints in a tree: about, and beyond which a shard is dealt again
 
 
-def fingerprint(text: str | None, k: int = SHINGLE) -> int:
-    """SimHash of one text. Bytes split at ASCII white space, and lower-case A-Z only, as asked."""
+def shingle_hashes(text: str | None, k: int = SHINGLE) -> Iterator[np.ndarray]:
+    """Hashes of all shingles of one text, in pieces. Bytes split at ASCII white space, and lower-case A-Z only, as asked."""
     words = text.encode().lower().split() if text else []
     if not words:
-        return 0
+        return
     if len(words) <= k:
-        return xxhash.xxh64_intdigest(b" ".join(words), SEED)
+        yield np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], np.uint64)
+        return
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     begins = np.concatenate([[0], ends[: len(words) - k] + 1]).tolist()
     joined = memoryview(b" ".join(words))
-    ends = ends[k - 1 :].tolist()
-    ones, step = np.zeros(64, np.int64), 1 << 15
+    ends, step = ends[k - 1 :].tolist(), 1 << 15
     for i in range(0, len(ends), step):
-        h = np.array([xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(begins[i : i + step], ends[i : i + step], strict=True)], np.uint64)
+        yield np.array([xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(begins[i : i + step], ends[i : i + step], strict=True)], np.uint64)
+
+
+def majority(hashes: list[np.ndarray]) -> int:
+    """The bits that are one in more than half of the hashes."""
+    n = sum(map(len, hashes))
+    if n == 1:
+        return int(hashes[0][0])
+    ones = np.zeros(64, np.int64)
+    for h in hashes:
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(ends), bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: str | None, k: int = SHINGLE) -> int:
+    """SimHash of one text."""
+    return majority(list(shingle_hashes(text, k)))
 
 
 def fingerprints(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
@@ -73,44 +87,77 @@ def _signed(mask: int) -> Column:
     return F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long")
 
 
-def shards(fps: DataFrame, count: int, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
-    """(mask, value, fp): each fingerprint in every shard that one of its links may need."""
+def _first_masks(count: int, radius: int) -> dict[int, int]:
+    """Masks that deal ``count`` fingerprints into shards of about TREE, and for each the whole blocks it is a part of."""
     blocks = radius + 1
-    while count >> (64 * (blocks - radius) // blocks) > shard // 16 and blocks < radius + 5:
+    while count >> (64 * (blocks - radius) // blocks) > TREE and blocks < radius + 5:
         blocks += 1
+    whole = _masks(list(range(64)), blocks, radius)
+    need = (count // TREE).bit_length()
+
+    def part(mask: int) -> int:
+        return sum(1 << b for b in [b for b in range(64) if mask >> b & 1][:need])
+
+    parts = {part(m): m for m in whole}
+    return parts if len(parts) == len(whole) or not need else {m: m for m in whole}
+
+
+def shards(fps: DataFrame, count: int, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
+    """(mask, value, part, fp): each fingerprint in every shard that one of its links may need."""
 
     def dealt(df: DataFrame, masks: dict[int, list[int]]) -> DataFrame:
         """Deals rows of each shard kind (its mask) by the finer masks given for it."""
         pick = F.create_map(*(x for m, finer in masks.items() for x in (_signed(m), F.array(*map(_signed, finer)))))
-        return df.withColumn("mask", F.explode(pick[F.col("mask")])).withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
-
-    first = _masks(list(range(64)), blocks, radius)
-    out = dealt(fps.withColumn("mask", F.lit(0).cast("long")), {0: first})
-    size = out.groupBy("mask", "value").count()
-    large = written(size.where(F.col("count") > shard).select("mask", "value"), "shards")
-    if large.isEmpty():
-        return out
-    finer = {m: [m | x for x in _masks([b for b in range(64) if not m >> b & 1], radius + 1, radius)] for m in first}
-    return out.join(large, ["mask", "value"], "left_anti").unionByName(dealt(out.join(large, ["mask", "value"], "left_semi"), finer).select(*out.columns))
+        return df.withColumn("mask", F.explode(pick[F.col("mask")])).withColumn("value", F.col("fp").bitwiseAND(F.col("mask"))).select("mask", "value", "fp")
+
+    first = _first_masks(count, radius)
+    # the rest of its blocks; then every block of the bits they lack, as links inside the shard agree on one of those
+    wider = {part: [whole] for part, whole in first.items() if part != whole} if len(first) > 1 else {}
+    finer = {m: [m | x for x in _masks([b for b in range(64) if not m >> b & 1], radius + 1, radius)] for m in (first.values() if len(first) > 1 else first)}
+    rows, done = dealt(fps.withColumn("mask", F.lit(0).cast("long")), {0: list(first)}), []
+    for masks in [*(m for m in (wider, finer) if m), None]:
+        large = written(rows.groupBy("mask", "value").agg(F.count("*").alias("n")).where(F.col("n") > shard), "shards")
+        if large.isEmpty():
+            break
+        if masks is not None:
+            keep = masks if masks is finer else masks | {m: [m] for m in first if m not in masks}
+            done.append(rows.join(large, ["mask", "value"], "left_anti").select("mask", "value", F.lit(0).alias("part"), "fp"))
+            rows = dealt(rows.join(large, ["mask", "value"], "left_semi"), keep)
+        else:
+            # alike on most bits: cut in chunks, of which every two meet
+            chunks = F.ceil(2 * F.col("n") / shard).cast("int")
+            cut = rows.join(large, ["mask", "value"], "left").withColumns({"c": F.coalesce(chunks, F.lit(1)), "i": F.pmod(F.xxhash64("fp"), F.coalesce(chunks, F.lit(1)).cast("long")).cast("int")})
+            others = F.filter(F.sequence(F.lit(0), F.col("c") - 1), lambda j: (j != F.col("i")) | (F.col("c") == 1))
+            return _together(cut.select("mask", "value", F.explode(F.transform(others, lambda j: F.least("i", j) * F.col("c") + F.greatest("i", j))).alias("part"), "fp"), done)
+    return _together(rows.select("mask", "value", F.lit(0).alias("part"), "fp"), done)
+
+
+def _together(rows: DataFrame, done: list[DataFrame]) -> DataFrame:
+    for small in done:
+        rows = rows.unionByName(small)
+    return rows
 
 
 class Tree:
-    """BK-tree over integers under Hamming distance: a node is (value, {distance: child})."""
+    """BK-tree over integers under Hamming distance: a node is (value, {distance: child}). Counts the nodes its searches visit."""
 
     def __init__(self):
         self.root: tuple[int, dict] | None = None
+        self.visited = 0
 
     def within(self, value: int, radius: int) -> list[int]:
         """Values at ``radius`` or less: only edges whose key is within the radius of the node's distance can lead to one."""
-        found, stack = [], [self.root] if self.root else []
+        found, stack, seen = [], [self.root] if self.root else [], 0
         while stack:
             at, children = stack.pop()
+            seen += 1
             d = (at ^ value).bit_count()
             if d <= radius:
                 found.append(at)
             for key in range(max(0, d - radius), d + radius + 1) if len(children) > 2 * radius else children:
                 if abs(key - d) <= radius and key in children:
                     stack.append(children[key])
+        self.visited += seen
         return found
 
     def add(self, value: int) -> None:
@@ -157,11 +204,11 @@ def links(fps: DataFrame, count: int, radius: int = RADIUS) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["u", "v"])
 
         for batch in batches:
-            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("mask", "value", "fp")]
-            cut = np.flatnonzero(np.concatenate([[True], (np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0), [True]]))
-            fp = cols[2].view(np.uint64).tolist()
+            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("mask", "value", "part", "fp")]
+            cut = np.flatnonzero(np.concatenate([[True], (np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0) | (np.diff(cols[2]) != 0), [True]]))
+            fp = cols[3].view(np.uint64).tolist()
             for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True) if len(fp) else ():
-                if (this := (cols[0][a], cols[1][a])) != key:
+                if (this := (cols[0][a], cols[1][a], cols[2][a])) != key:
                     if len(held) > 1:
                         yield close()
                     key, held = this, []
@@ -169,7 +216,7 @@ def links(fps: DataFrame, count: int, radius: int = RADIUS) -> DataFrame:
         if len(held) > 1:
             yield close()
 
-    dealt = shards(fps, count, radius).repartition("mask", "value").sortWithinPartitions("mask", "value")
+    dealt = shards(fps, count, radius).repartition("mask", "value", "part").sortWithinPartitions("mask", "value", "part")
     return dealt.mapInArrow(run, "u long, v long")
 
 

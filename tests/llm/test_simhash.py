@@ -2,7 +2,7 @@ import random
 
 import xxhash
 from contrail.llm.common import components
-from contrail.llm.simhash import Tree, shards, simhash_groups, spanning
+from contrail.llm.simhash import Tree, _first_masks, shards, simhash_groups, spanning
 
 from .helpers import blank_words, documents, grouped
 
@@ -52,13 +52,33 @@ def test_tree_finds_all_within_radius():
     assert len(spanning(values)) < len(values)
 
 
+def test_a_tree_visits_a_part_of_its_nodes():
+    rng = random.Random(6)
+    tree = Tree()
+    for _ in range(256):
+        tree.add(rng.getrandbits(64))
+    tree.visited = 0
+    for _ in range(100):
+        tree.within(rng.getrandbits(64), 3)
+    assert tree.visited < 0.5 * 100 * 256
+
+
+def test_shards_hold_real_trees_at_any_size():
+    for count in (0, 1, 300, 5_000, 10**6, 10**8, 10**10):
+        masks = _first_masks(count, 3)
+        assert all(m & whole == m for m, whole in masks.items())
+        bits = min(m.bit_count() for m in masks)
+        assert count < 256 or count >> bits <= 2 * 256
+
+
 def test_large_shards_are_dealt_again_without_losing_links(spark):
     rng = random.Random(7)
     values = {rng.getrandbits(20) << 20 for _ in range(300)}
     fps = spark.createDataFrame([(v,) for v in values], "fp long")
     met = {}
     for r in shards(fps, len(values), shard=8).collect():
-        met.setdefault((r.mask, r.value), set()).add(r.fp)
+        met.setdefault((r.mask, r.value, r.part), set()).add(r.fp)
+    assert max(map(len, met.values())) <= 20
     pairs = {(a, b) for group in met.values() for a in group for b in group if a < b and (a ^ b).bit_count() <= 3}
     assert pairs == {(a, b) for a in values for b in values if a < b and (a ^ b).bit_count() <= 3}
 
