@@ -6,16 +6,17 @@ that an edit moves only the next few cuts. A section is a run of paragraphs that
 children's hashes; equal roots mean equal texts, and differing branches lead down to the edited ranges.
 
 A fingerprint is the whole tree in text: root, number of leaves, and each section's hash with its paragraphs' and their
-leaves' hashes. It grows with the text. The likeness of two fingerprints is the share of leaves they have in common,
+leaves' hashes. All hashes have 128 bits, of which a fingerprint holds 64 of each leaf's. It grows with the text. The likeness of two fingerprints is the share of leaves they have in common,
 counted as often as they occur (Dice); it is found by descending only branches that differ. Equal roots have likeness 1.
 
 Defined results: null text is empty; the empty text has a root and no leaves; rows are ordered by doc_id (null
-first), rows of one doc_id by text hash, so that each has a next row; a lone row is its own next.
+first), rows of one doc_id by text hash, so that each has a next row; a lone row is its own next. doc_id is a whole number.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LEAF_WORDS, SECTION_PARAGRAPHS = 4, 4
-DOCS_PER_BUCKET, BUCKETS = 2000, 20_000
+DOCS_PER_BUCKET = 2000
 HELD = 1 << 24  # characters of fingerprints, beyond which rows go out
 
 
@@ -56,7 +57,7 @@ def tree(text: str | None) -> list[list[tuple[int, int, int]]]:
     """Levels of (hash, begin, end) in bytes: leaves, paragraphs, sections, root."""
     data = (text or "").encode()
     ends = leaves(data).tolist()
-    level = [(xxhash.xxh32_intdigest(data[a:b]), a, b) for a, b in zip([0, *ends][:-1], ends, strict=True)]
+    level = [(xxhash.xxh3_128_intdigest(data[a:b]), a, b) for a, b in zip([0, *ends][:-1], ends, strict=True)]
     out = [level]
     closes = (lambda n: data[n[2] - 1 : n[2]] == b"\n", lambda n: n[0] % SECTION_PARAGRAPHS == 0, lambda n: False)
     for seed, close in enumerate(closes, 1):
@@ -80,9 +81,9 @@ def _parent(children: list[tuple[int, int, int]], seed: int) -> tuple[int, int,
 def fingerprint(text: str | None) -> str:
     """root.leaves.sections in hex: sections parted by ``;`` are ``hash:paragraphs``, and paragraphs parted by ``,`` their hash and leaf hashes."""
     leaf, paragraph, section, root = tree(text)
-    digits = np.array([h for h, _, _ in leaf], ">u4").tobytes().hex()
+    digits = np.array([h & (1 << 64) - 1 for h, _, _ in leaf], ">u8").tobytes().hex()
     ends = np.searchsorted([e for _, _, e in leaf], [e for _, _, e in paragraph], "right").tolist()
-    bodies = [f"{h:032x}{digits[8 * i : 8 * j]}" for (h, _, _), i, j in zip(paragraph, [0, *ends], ends, strict=False)]
+    bodies = [f"{h:032x}{digits[16 * i : 16 * j]}" for (h, _, _), i, j in zip(paragraph, [0, *ends], ends, strict=False)]
     ends = np.searchsorted([e for _, _, e in paragraph], [e for _, _, e in section], "right").tolist()
     sections = ";".join(f"{h:032x}:{','.join(bodies[i:j])}" for (h, _, _), i, j in zip(section, [0, *ends], ends, strict=False))
     return f"{root[0][0]:032x}.{len(leaf)}.{sections}"
@@ -108,7 +109,7 @@ def likeness(a: str, b: str) -> float:
     (_, n, x), (_, m, y) = a.split(".", 2), b.split(".", 2)
     sides = _apart(x.split(";") if x else [], y.split(";") if y else [])
     sides = _apart(*([p for s in side for p in s[33:].split(",")] for side in sides))
-    lost, new = _apart(*([p[i : i + 8] for p in side for i in range(32, len(p), 8)] for side in sides))
+    lost, new = _apart(*([p[i : i + 16] for p in side for i in range(32, len(p), 16)] for side in sides))
     both = int(n) + int(m)
     return (both - len(lost) - len(new)) / both
 
@@ -147,15 +148,16 @@ def merkle_nodes(docs: DataFrame) -> DataFrame:
 def in_order(docs: DataFrame) -> DataFrame:
     """doc_id, text, bucket and ghost, dealt and sorted so that each row's next row follows it in its task.
 
-    Buckets are ranges of doc_id at approximate quantiles, of about DOCS_PER_BUCKET rows. Each bucket also gets the
-    first rows of the bucket behind it as ghosts; the last gets those of the first. Texts are shuffled once.
+    Buckets are ranges of doc_id at approximate quantiles, of about DOCS_PER_BUCKET rows, or of as many as there are
+    buckets: both then grow with the root of the corpus. Each is one task, which streams it, and also gets the first
+    rows of the bucket behind it as ghosts; the last gets those of the first. Texts are shuffled once.
     """
     lowest = -(1 << 63)
     keyed = docs.select("doc_id", "text", F.coalesce(F.col("doc_id"), F.lit(lowest)).cast("long").alias("k"))
     n = keyed.count()
-    buckets = min(BUCKETS, 1 + n // DOCS_PER_BUCKET)
+    buckets = 1 + n // max(DOCS_PER_BUCKET, math.isqrt(n))
     quantiles = [i / buckets for i in range(1, buckets)]
-    bounds = keyed.agg(F.percentile_approx("k", quantiles, 100 * buckets)).first()[0] if quantiles and n else []
+    bounds = keyed.agg(F.percentile_approx("k", quantiles, 50 * buckets)).first()[0] if quantiles and n else []
     edges = np.unique(np.array(bounds or [], np.int64))
 
     @F.pandas_udf("int")
@@ -176,7 +178,7 @@ def in_order(docs: DataFrame) -> DataFrame:
         return pd.Series([[int(o), int(before[i])] if x else [int(o)] for o, i, x in zip(own, at, leads, strict=True)])
 
     dealt = keyed.select("doc_id", "text", "k", F.posexplode(targets("k")).alias("ghost", "bucket"))
-    return dealt.repartition(2 * buckets, "bucket").sortWithinPartitions("bucket", "ghost", "k", F.xxhash64("text"))
+    return dealt.repartitionById(len(edges) + 1, F.col("bucket")).sortWithinPartitions("bucket", "ghost", "k", F.xxhash64("text"))
 
 
 def merkle_fingerprints(docs: DataFrame) -> DataFrame:

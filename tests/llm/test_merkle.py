@@ -70,3 +70,9 @@ def test_nodes_cover_the_text(spark):
     for level in range(4):
         own = sorted((r.begin, r.end) for r in rows if r.doc_id == 2 and r.level == level)
         assert own[0][0] == 0 and own[-1][1] == 3000 and all(a[1] == b[0] for a, b in zip(own, own[1:], strict=False))
+
+
+def test_short_texts_have_roots_of_their_own():
+    prints = {fingerprint(f"id{i}")[:32] for i in range(40_000)}
+    assert len(prints) == 40_000
+    assert likeness(fingerprint("id34682"), fingerprint("id113420")) == 0
