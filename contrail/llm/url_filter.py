@@ -5,12 +5,14 @@ rule fits its host and all its subdomains if the path starts with the rule's; th
 
 For the rest, each host has a tree of path segments, built level by level over counts, never over pages:
 
-1. **Generalise.** A segment of digits becomes ``{n}`` (with its extension, if any); at the others, a node with
-   more than ``MAX_CHILDREN`` children turns those seen fewer than ``MIN_SUPPORT`` times into ``*``.
+1. **Generalise.** A segment of digits becomes ``{n}`` (with its extension, if any), dates ``{date}``, UUIDs ``{uuid}``
+   and long hexadecimal names ``{hex}``; at the others, a node with more than ``MAX_CHILDREN`` children turns those seen
+   fewer than ``MIN_SUPPORT`` times into ``*``.
 2. **Merge.** Under one parent, a branch whose share of bad labels does not differ from that of its siblings
    together (two-proportion z below ``MERGE_Z``) joins ``*``; what is left apart differs significantly.
-3. **Reject.** A template is blocked if its share of bad labels, smoothed by ``PRIOR_WEIGHT`` labels at the corpus's
-   share (``PURITY`` / 2 at most), is at least ``PURITY``.
+3. **Reject.** A template is blocked if its share of bad labels, smoothed, is at least ``PURITY``. Smoothing adds
+   ``PRIOR_WEIGHT`` labels at the share of its host, which is smoothed by that of the domain above it in the same way, and
+   so on up to the corpus's share (``PURITY`` / 2 at most): a sparse host is judged by the hosts beside it.
 
 The tree goes down to the last segment of every path; what lies beyond ``DEPTH`` and never parts is written ``**``. Every level is a sum by (host, template, segment), combined within tasks
 first, so that a host with a third of all pages costs a few rows.
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import written
 
 DEPTH, MAX_CHILDREN, MIN_SUPPORT = 4, 20, 20
-MERGE_Z, PRIOR_WEIGHT, PURITY = 1.64, 10.0, 0.5
+MERGE_Z, PRIOR_WEIGHT, PURITY = 1.64, 4.0, 0.3
 RULES = [
     ("com", "/", "allow"),
     ("example.com", "/en/", "block"),
@@ -57,21 +59,35 @@ def rule_of(rules: list[tuple[str, str, str]] = RULES) -> tuple[Column, Column]:
     )
 
 
+#: Forms of variable segments: pattern and what stands for it. Digits keep their extension.
+FORMS = [
+    ("^[0-9]{4}-[0-9]{1,2}(-[0-9]{1,2})?$", "{date}"),
+    ("^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$", "{uuid}"),
+    ("^[a-f]*[0-9][0-9a-f]{7,}$|^[a-f]{8,}[0-9][0-9a-f]*$", "{hex}"),
+]
+
+
 def segments() -> Column:
     """All generalised segments of ``path``, null where one is empty; an empty last one is left out."""
     cut = F.split("path", "/")
-    digits = lambda s: F.when(s.rlike("^[0-9]+([.][a-z]+)?$"), F.regexp_replace(s, "^[0-9]+", "{n}")).otherwise(s)
-    all_ = F.transform(F.slice(cut, 2, F.greatest(F.size(cut) - 1, F.lit(0))), lambda s: F.when(s != "", digits(s)))
+
+    def form(s: Column) -> Column:
+        out = F.when(s.rlike("^[0-9]+([.][a-z]+)?$"), F.regexp_replace(s, "^[0-9]+", "{n}"))
+        for pattern, name in FORMS:
+            out = out.when(s.rlike(pattern), F.lit(name))
+        return out.otherwise(s)
+
+    all_ = F.transform(F.slice(cut, 2, F.greatest(F.size(cut) - 1, F.lit(0))), lambda s: F.when(s != "", form(s)))
     return F.when(F.get(all_, F.size(all_) - 1).isNull() & (F.size(all_) > 0), F.slice(all_, 1, F.greatest(F.size(all_) - 1, F.lit(0)))).otherwise(all_)
 
 
-def path_tree(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
+def path_tree(paths: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(host, segments, template, labelled, bad): the template of each generalised path, down to its last segment.
 
-    pages: host, path, labelled (0 or 1), bad (0 or 1). Below ``depth``, a branch that never parts is written ``**``.
+    paths: host, segments, and the numbers of pages (n), labelled and bad ones. Below ``depth``, a branch that never
+    parts is written ``**``.
     """
-    cut = pages.select("host", "labelled", "bad", segments().alias("segments"))
-    paths = cut.groupBy("host", "segments").agg(F.count("*").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
+    paths = paths.groupBy("host", "segments").agg(*(F.sum(x).alias(x) for x in ("n", "labelled", "bad")))
     paths = written(paths.withColumn("template", F.lit("")).withColumn("top", F.lit("")), "paths")
     deepest = paths.agg(F.max(F.size("segments"))).first()[0] or 0
     for i in range(deepest):
@@ -99,6 +115,16 @@ def path_tree(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
     return paths.join(lone, ["host", "top"], "left").select("host", "segments", short.alias("template"), "labelled", "bad")
 
 
+def host_shares(tree: DataFrame, prior: float) -> DataFrame:
+    """(host, share): each host's share of bad labels, smoothed by that of the domain above it, and so on up."""
+    parts = F.split("host", "[.]")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    chain = tree.groupBy("host").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")).select("host", "labelled", "bad", F.posexplode(above).alias("_up", "_domain"))
+    sums = chain.groupBy("_domain").agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b"))
+    steps = chain.join(sums, "_domain").groupBy("host").agg(F.array_sort(F.collect_list(F.struct((-F.col("_up")).alias("down"), "l", "b"))).alias("_steps"))
+    return steps.select("host", F.aggregate("_steps", F.lit(float(prior)), lambda p, x: (x["b"] + PRIOR_WEIGHT * p) / (x["l"] + PRIOR_WEIGHT)).alias("share"))
+
+
 def filter_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]] = RULES, depth: int = DEPTH) -> DataFrame:
     """page_id, host, path, rule, verdict, template and purity (the smoothed share of bad labels).
 
@@ -106,23 +132,25 @@ def filter_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str,
     labelled toxic.
     """
     pages = with_host_and_path(pages.select("page_id", "url"))
-    judged = labels.where("toxic is not null").groupBy(F.col("doc_id").alias("_doc")).agg(F.max("toxic").alias("_toxic"))
+    judged = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").alias("_doc")).agg(F.max("toxic").alias("_toxic"))
     number = F.regexp_extract("path", "/([0-9]{1,18})", 1)
-    pages = pages.withColumn("_number", F.when(number != "", number.cast("long")))
-    labelled = pages.join(judged, F.col("_number") == F.col("_doc"), "left").select(
-        "host", "path", F.col("_toxic").isNotNull().cast("int").alias("labelled"), F.coalesce((F.col("_toxic") > 0).cast("int"), F.lit(0)).alias("bad")
-    )
-    tree = path_tree(labelled, depth)
+    keyed = pages.select("page_id", "host", "path", segments().alias("segments"), F.when(number != "", number.cast("long")).alias("_number"))
+    # counted before any join: a page without a number meets no label, and a hot number is one row a path
+    seen = keyed.groupBy("host", "segments", "_number").agg(F.count("*").alias("n"))
+    met = seen.where("_number is not null").join(judged, F.col("_number") == F.col("_doc"), "left")
+    met = met.select("host", "segments", "n", F.when(F.col("_toxic").isNotNull(), F.col("n")).otherwise(0).alias("labelled"), F.when(F.col("_toxic") > 0, F.col("n")).otherwise(0).alias("bad"))
+    none = seen.where("_number is null").select("host", "segments", "n", F.lit(0).cast("long").alias("labelled"), F.lit(0).cast("long").alias("bad"))
+    tree = path_tree(met.unionByName(none), depth)
     total = tree.agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b")).first()
     prior = min((total.b or 0) / total.l if total.l else 0.0, PURITY / 2)  # no label of its own rejects no template
-    purity = (F.sum("bad") + PRIOR_WEIGHT * prior) / (F.sum("labelled") + PRIOR_WEIGHT)
-    scored = tree.join(tree.groupBy("host", "template").agg(purity.alias("purity")), ["host", "template"]).select("host", "segments", "template", "purity")
-    keyed = pages.select("page_id", "host", "path", segments().alias("segments"))
+    own = tree.groupBy("host", "template").agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b")).join(host_shares(tree, prior), "host")
+    pure = own.select("host", "template", ((F.col("b") + PRIOR_WEIGHT * F.col("share")) / (F.col("l") + PRIOR_WEIGHT)).alias("purity"))
+    scored = tree.join(pure, ["host", "template"]).select("host", "segments", "template", "purity")
     same = (keyed["host"] == scored["host"]) & (keyed["segments"] == scored["segments"])
     rule, verdict = rule_of(rules)
     out = keyed.join(scored, same, "left")
-    own = F.when(F.col("purity") >= PURITY, "block").otherwise("allow")
-    return out.select("page_id", keyed["host"], "path", "template", "purity").withColumn("rule", rule).withColumn("verdict", F.coalesce(verdict, own)).select("page_id", "host", "path", "rule", "verdict", "template", "purity")
+    learned = F.when(F.col("purity") >= PURITY, "block").otherwise("allow")
+    return out.select("page_id", keyed["host"], "path", "template", "purity").withColumn("rule", rule).withColumn("verdict", F.coalesce(verdict, learned)).select("page_id", "host", "path", "rule", "verdict", "template", "purity")
 
 
 def oracle_sql(depth: int = DEPTH) -> str:
@@ -132,7 +160,7 @@ def oracle_sql(depth: int = DEPTH) -> str:
 
     def seg(i: int) -> str:
         s = f"string_split(path, '/')[{i + 1}]"
-        return f"case when {s} is null or {s} = '' then null when regexp_matches({s}, '^[0-9]+([.][a-z]+)?$') then regexp_replace({s}, '^[0-9]+', '{{n}}') else {s} end"
+        return f"case when {s} is null or {s} = '' then null when regexp_matches({s}, '^[0-9]+([.][a-z]+)?$') then regexp_replace({s}, '^[0-9]+', '{{n}}') " + "".join(f"when regexp_matches({s}, '{p}') then '{n}' " for p, n in FORMS) + f"else {s} end"
 
     ordered = sorted(RULES, key=lambda r: (-len(r[0] + r[1]), r))
     fits = [(f"(host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}')", h + p, v) for h, p, v in ordered]
@@ -156,9 +184,13 @@ def oracle_sql(depth: int = DEPTH) -> str:
     parts += [
         f"z as (select host, {cols}, deeper, template || case when deeper then '/**' else '' end as template, labelled, bad from {last})",
         f"q as (select least(case when sum(labelled) > 0 then sum(bad) / sum(labelled) else 0 end, {PURITY / 2}::double) as prior from z)",
-        f"u as (select host, template, (sum(bad) + {PRIOR_WEIGHT}::double * any_value(prior)) / (sum(labelled) + {PRIOR_WEIGHT}::double) as purity from z, q group by host, template)",
+        "hs as (select host, string_split(host, '.') as ps, sum(labelled) as l, sum(bad) as b from z group by host)",
+        "ch as (select host, l, b, ps, unnest(range(1, len(ps) + 1)) as i from hs)",
+        "dm as (select array_to_string(ps[i:], '.') as domain, array_to_string(ps[i + 1:], '.') as above, sum(l) as l, sum(b) as b, len(ps) - i as d from ch group by 1, 2, len(ps) - i)",
+        f"sh as (select domain, d, (b + {PRIOR_WEIGHT}::double * prior) / (l + {PRIOR_WEIGHT}::double) as share from dm, q where d = 0 union all select dm.domain, dm.d, (dm.b + {PRIOR_WEIGHT}::double * sh.share) / (dm.l + {PRIOR_WEIGHT}::double) from dm join sh on dm.above = sh.domain and dm.d = sh.d + 1)",
+        f"u as (select z.host as host, template, (sum(bad) + {PRIOR_WEIGHT}::double * any_value(share)) / (sum(labelled) + {PRIOR_WEIGHT}::double) as purity from z join hs on hs.host = z.host join sh on sh.domain = z.host and d = len(ps) - 1 group by z.host, template)",
     ]
     same = " and ".join(f"k.{c} is not distinct from z.{c}" for c in levels)
     rule = "case " + " ".join(f"when {f} then '{r}'" for f, r, _ in fits) + " end"
     verdict = "case " + " ".join(f"when {f} then '{v}'" for f, _, v in fits) + f" when purity >= {PURITY} then 'block' else 'allow' end"
-    return f"with {', '.join(parts)}, o as (select page_id, k.host as host, path, z.template as template, purity from k join z on k.host = z.host and k.deeper = z.deeper and {same} join u on u.host = z.host and u.template = z.template) select page_id, host, path, {rule} as rule, {verdict} as verdict, template, purity from o"
+    return f"with recursive {', '.join(parts)}, o as (select page_id, k.host as host, path, z.template as template, purity from k join z on k.host = z.host and k.deeper = z.deeper and {same} join u on u.host = z.host and u.template = z.template) select page_id, host, path, {rule} as rule, {verdict} as verdict, template, purity from o"
