@@ -207,12 +207,19 @@ def blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[l
         yield [(r.i, r.t) for r in named.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b).collect()], b == n - 1
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, columns: list[str] | None = None, window: int = WINDOW, k: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+ADDED = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", "items"]
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, columns: list[str] | None = None, **options: int) -> DataFrame:
     """Per document: ``columns`` of it (all by default), n_words, n_hit, n_items, items_sha256, contaminated,
     and the hit word ranges (spans: begin, end, ...) and items themselves. These replace input columns of equal names."""
-    spark, added = docs.sparkSession, ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", "items"]
-    keep = [c for c in (columns or docs.columns) if c not in added]
-    rows = with_text(docs, keep)
+    keep = [c for c in (columns or docs.columns) if c not in ADDED]
+    return decontaminated(docs, items, keep, **options).select(*(F.col("row").getField(c).alias(c) for c in keep), *ADDED)
+
+
+def decontaminated(docs: DataFrame, items: DataFrame, keep: list[str], window: int = WINDOW, k: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The same with the columns to keep in one struct ``row``, so that none clashes."""
+    spark, rows = docs.sparkSession, with_text(docs, keep)
     hits = [T.StructField("spans", T.ArrayType(T.IntegerType())), T.StructField("items", T.ArrayType(T.StringType()))]
     counts = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType()), T.StructField("items_sha256", T.StringType()), T.StructField("contaminated", T.BooleanType())]
     more = [f for f in rows.schema if f.name == "text"]
@@ -220,4 +227,4 @@ def decontaminate(docs: DataFrame, items: DataFrame, columns: list[str] | None =
         rows = written(rows, "decontaminate") if n else rows
         schema = T.StructType([rows.schema["row"], *hits, *(counts if last else more)])
         rows = rows.mapInArrow(_pass(spark.sparkContext.broadcast(Index(block, window, k)), last), schema)
-    return rows.select(*(F.col("row").getField(c).alias(c) for c in keep), *added)
+    return rows

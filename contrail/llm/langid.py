@@ -7,9 +7,9 @@ learned with the feature weights from code-switched sequences spliced from docum
 Forward-backward over chains of ``CHAIN`` consecutive words of the whole text gives each word's marginals. The
 document's language is the one with the largest mean marginal, and that mean is its score.
 
-Training fits the classifier on a bounded sample: at most ``DOCS_PER_LANGUAGE`` labelled documents of each
-language, chosen by a hash of doc_id, of each an excerpt of at most ``EXCERPT`` characters. The model's size is
-fixed by ``FEATURES``; it is broadcast. Predictions read the whole of every text and never see lang, source or
+Training fits the classifier on a bounded sample of rows: at most ``DOCS_PER_LANGUAGE`` labelled documents of each
+language, chosen by a hash of doc_id, with their whole texts, of which ``SEQUENCES`` chains are spliced. The model's size
+is fixed by ``FEATURES`` and the number of languages; it is broadcast. Predictions read the whole of every text and never see lang, source or
 doc_id. They shuffle nothing.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0, and so is everything if no
@@ -20,28 +20,35 @@ from __future__ import annotations
 
 import random
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import text_of, with_text
 
-DOCS_PER_LANGUAGE, EXCERPT = 400, 2000
+DOCS_PER_LANGUAGE = 400
 CHAIN, FEATURES = 64, 1 << 16
 SEQUENCES, STEPS, RATE, RIDGE = 2000, 40, 0.15, 1e-6
 CACHED = 300_000  # words whose scores a task remembers
 UNDETERMINED = "und"
 _WORDS = re.compile(r"[^\W\d_]+").findall
+_MARK = re.compile("[" + "".join(chr(c) for c in range(0x300, 0x1F000) if unicodedata.category(chr(c))[0] == "M") + "]").search
+_MARKED_WORDS = regex.compile(r"\p{L}[\p{L}\p{M}]*").findall
 
 
 def words(text: str | None) -> list[str]:
-    found = _WORDS(text.lower()) if text else []
+    """Runs of letters, with the combining marks that belong to them."""
+    if not text:
+        return []
+    found = (_WORDS if text.isascii() or not _MARK(text) else _MARKED_WORDS)(text.lower())
     return found if any(c.isalpha() for w in found for c in w) else []
 
 
@@ -101,6 +108,16 @@ class Model:
         return m[step, row], (forward, backward, e, real, turn, m)
 
 
+def turned(forward: np.ndarray, backward: np.ndarray, e: np.ndarray, real: np.ndarray, turn: np.ndarray) -> np.ndarray:
+    """Expected number of turns from each language to each, summed step by step."""
+    out = np.zeros(turn.shape)
+    for t in range(1, len(e)):
+        a, b = forward[t - 1], e[t] * backward[t]
+        whole = ((a @ turn) * b).sum(axis=1, keepdims=True)
+        out += turn * ((a * real[t] / np.maximum(whole, 1e-30)).T @ b)
+    return out
+
+
 def train(samples: list[tuple[str, str]], seed: int = 7) -> Model | None:
     """Fits the field to (language, text) samples by Adam on the exact gradient."""
     by_language: dict[str, list[list[str]]] = {}
@@ -143,9 +160,7 @@ def train(samples: list[tuple[str, str]], seed: int = 7) -> Model | None:
         wrong = found - truth
         by_word = np.stack([np.bincount(ids, wrong[:, j], len(vocabulary)) for j in range(k)], axis=1)
         emission = np.stack([np.bincount(at, by_word[owner, j], FEATURES) for j in range(k)], axis=1)
-        joint = forward[:-1, :, :, None] * turn[None, None] * (e[1:] * backward[1:])[:, :, None, :]
-        joint *= real[1:, :, :, None] / np.maximum(joint.sum(axis=(2, 3), keepdims=True), 1e-30)
-        gradients = [emission, joint.sum(axis=(0, 1)) - pairs, m[0].sum(axis=0) - heads]
+        gradients = [emission, turned(forward, backward, e, real, turn) - pairs, m[0].sum(axis=0) - heads]
         for p, g, (first, second) in zip(parameters, gradients, moments, strict=True):
             g = g / n + RIDGE * p
             first += 0.1 * (g - first)
@@ -154,8 +169,8 @@ def train(samples: list[tuple[str, str]], seed: int = 7) -> Model | None:
     return model
 
 
-def sample(docs: DataFrame, where: Column | None = None, per_language: int = DOCS_PER_LANGUAGE, excerpt: int = EXCERPT) -> list[tuple[str, str]]:
-    """At most ``per_language`` labelled excerpts of each language: a bounded amount, chosen by a hash of doc_id."""
+def sample(docs: DataFrame, where: Column | None = None, per_language: int = DOCS_PER_LANGUAGE) -> list[tuple[str, str]]:
+    """At most ``per_language`` labelled texts of each language: a bounded number, chosen by a hash of doc_id."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.lit(True) if where is None else where))
     counts = {r.lang: r["count"] for r in labelled.groupBy("lang").count().collect()}
     if not counts:
@@ -163,8 +178,7 @@ def sample(docs: DataFrame, where: Column | None = None, per_language: int = DOC
     share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 1.3 * per_language / n))))
     h = F.xxhash64("doc_id")
     drawn = labelled.where(F.pmod(h, F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003)
-    at = F.pmod(F.shiftright(h, 20), F.greatest(F.lit(1), F.length("text") - excerpt))
-    rows = drawn.select("lang", h.alias("h"), F.substring("text", (at + 1).cast("int"), F.lit(excerpt)).alias("text")).collect()
+    rows = drawn.select("lang", h.alias("h"), "text").collect()
     out, taken = [], Counter()
     for r in sorted(rows, key=lambda r: (r.lang, r.h, r.text)):
         taken[r.lang] += 1
@@ -173,12 +187,19 @@ def sample(docs: DataFrame, where: Column | None = None, per_language: int = DOC
     return out
 
 
+ADDED = ("lang_pred", "score", "switches")
+
+
 def identify(docs: DataFrame, model: Model | None, columns: list[str] | None = None) -> DataFrame:
     """``columns`` of each document (all by default), lang_pred, score, and switches: the number of places where
     the labels of neighbouring words differ. These three replace input columns of equal names."""
-    shared, added = docs.sparkSession.sparkContext.broadcast(model), ("lang_pred", "score", "switches")
-    keep = [c for c in (columns or docs.columns) if c not in added]
-    rows = with_text(docs, keep)
+    keep = [c for c in (columns or docs.columns) if c not in ADDED]
+    return identified(docs, model, keep).select(*(F.col("row").getField(c).alias(c) for c in keep), *ADDED)
+
+
+def identified(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
+    """The same with the columns to keep in one struct ``row``, so that none clashes."""
+    shared, rows = docs.sparkSession.sparkContext.broadcast(model), with_text(docs, keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -213,7 +234,7 @@ def identify(docs: DataFrame, model: Model | None, columns: list[str] | None = N
             yield pa.RecordBatch.from_pydict({"row": batch.column("row"), "lang_pred": pa.array(languages, pa.string()), "score": pa.array(scores), "switches": pa.array(switches)})
 
     schema = T.StructType([rows.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("switches", T.LongType())])
-    return rows.mapInArrow(run, schema).select(*(F.col("row").getField(c).alias(c) for c in keep), *added)
+    return rows.mapInArrow(run, schema)
 
 
 def language_id(docs: DataFrame, trained_on: Column | None = None, columns: list[str] | None = None) -> DataFrame:

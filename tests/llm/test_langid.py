@@ -1,11 +1,49 @@
+from itertools import pairwise, product
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from contrail.llm import queries
-from contrail.llm.langid import identify, language_id, sample, train
+from contrail.llm.langid import Model, identify, language_id, sample, train, turned, words
 
 from ..conftest import DATA
 from .helpers import documents
 
+
+
+def test_marginals_and_turns_against_enumeration():
+    rng = np.random.default_rng(4)
+    model = Model(["a", "b", "c"], {})
+    model.transition, model.start = rng.normal(size=(3, 3)).astype(np.float32), rng.normal(size=3).astype(np.float32)
+    counts = np.array([1, 4, 3])
+    scores = rng.normal(size=(8, 3)).astype(np.float32)
+    found, (forward, backward, e, real, turn, _) = model.marginals(scores, counts)
+    expected, turns, at = np.zeros((8, 3)), np.zeros((3, 3)), 0
+    for n in counts:
+        paths = list(product(range(3), repeat=n))
+        weight = np.exp([model.start[p[0]] + sum(scores[at + i, s] for i, s in enumerate(p)) + sum(model.transition[a, b] for a, b in pairwise(p)) for p in paths])
+        for p, w in zip(paths, weight / weight.sum(), strict=True):
+            for i, s in enumerate(p):
+                expected[at + i, s] += w
+            for a, b in pairwise(p):
+                turns[a, b] += w
+        at += n
+    assert np.allclose(found, expected, atol=1e-5) and np.allclose(turned(forward, backward, e, real, turn), turns, atol=1e-5)
+
+
+def test_training_raises_the_likelihood_of_its_labels():
+    model = train([(x, t) for x, t in TEXTS.items() for _ in range(5)])
+    for i, x in enumerate(model.languages):
+        w = words(TEXTS[x])
+        found, _ = model.marginals(model.scores(w), np.array([len(w)]))
+        assert found[:, i].mean() > 0.8
+
+
+def test_words_keep_their_combining_marks():
+    assert words("नमस्ते दुनिया, e\u0301te\u0301 x1y") == ["नमस्ते", "दुनिया", "e\u0301te\u0301", "x", "y"]
+    assert words("12 \u0301") == [] == words(None)
+
+
 TEXTS = {"en": "the cat and the dog with this", "fr": "le chat et les chiens avec une", "de": "der hund und die katze mit einem"}
 
 
