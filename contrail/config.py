@@ -22,6 +22,25 @@ class Config:
     stitch_speed_kt: float = 300
     stitch_slack: float = 1.2
     stitch_endurance_ratio: float = 0.4
+    stitch_ground_s: float = 900
+    stitch_fresh_ft: float = 8000
+    stitch_climb_ft: float = 2000
+    endurance_min: float = 240
+    viable_min: float = 3
+    viable_points: int = 10
+    still_km: float = 0.5
+    still_ft: float = 1000
+    still_kt: float = 15
+    agree_ft: float = 5000
+    tail_s: float = 120
+    flare_from_s: float = 180
+    flare_to_s: float = 30
+    probable_km: float = 46.3
+    aligned_short_s: float = 30
+    aligned_long_s: float = 60
+    aligned_short_bonus: float = 0.15
+    aligned_long_bonus: float = 0.25
+    resume_days: int = 90
     spoof_pct: float = 10
     spoof_min_v2: int = 25
     on_field_km: float = 2

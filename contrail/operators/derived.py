@@ -47,14 +47,14 @@ def go_arounds(points: DataFrame, last_s: int = 600, near_s: int = 30, dip_ft: f
 
 
 def phase_budget(points: DataFrame, c: Config = DEFAULT) -> DataFrame:
-    """Seconds of climb, descent, level and cruise, scaled to the session's duration, with cruise height and speed.
+    """Whole seconds of climb, descent, level and cruise, scaled to the session's duration, with cruise height and speed.
 
     Level time counts as cruise from 0.7 of the greatest height on. Cruise height is the time-weighted mean, cruise
     speed the time-weighted median of what lies within two deviations.
     """
     whole = Window.partitionBy(*KEY)
     dt = F.col("ts") - F.lag("ts").over(over(*KEY))
-    rows = classified(sessions(points, c), c).withColumns({"dt": dt, "top": F.max("baro_ft").over(whole), "len": F.max("ts").over(whole) - F.min("ts").over(whole)})
+    rows = classified(sessions(points, c), c).withColumns({"dt": dt, "top": F.max("baro_ft").over(whole), "fast": F.max("gs_kt").over(whole), "len": F.max("ts").over(whole) - F.min("ts").over(whole)})
     air = rows.where((F.col("state") == "airborne") & (F.col("dt") > 0))
     rate, near = F.coalesce("rate_fpm", F.lit(0.0)), F.col("dt") <= c.phase_gap_s
     phase = F.when(near & (rate > c.phase_rate_fpm), "climb").when(near & (rate < -c.phase_rate_fpm), "descent").when(F.col("baro_ft") >= 0.7 * F.col("top"), "cruise").otherwise("level")
@@ -70,13 +70,25 @@ def phase_budget(points: DataFrame, c: Config = DEFAULT) -> DataFrame:
         *(total(p).alias(p) for p in ("climb", "descent", "level", "cruise")),
         F.max("len").alias("len"),
         F.max("top").alias("top"),
-        F.round(F.sum(F.when(cruise, F.col("baro_ft") * F.col("s"))) / F.sum(F.when(cruise & F.col("baro_ft").isNotNull(), F.col("s")))).alias("cruise_alt"),
+        (F.sum(F.when(cruise, F.col("baro_ft") * F.col("s"))) / F.sum(F.when(cruise & F.col("baro_ft").isNotNull(), F.col("s")))).alias("cruise_alt"),
+        F.max("fast").alias("max_gs"),
         F.percentile(F.when(steady, F.col("gs_kt")), F.lit(0.5), F.greatest(F.lit(1), F.col("s")).cast("long")).alias("cruise_gs"),
     )
+    # short and low flights, and those never level, have no cruise
+    enough = (F.col("top") >= 500) & (F.col("len") >= 120) & (F.col("level") + F.col("cruise") > 0)
     all_s = F.col("climb") + F.col("descent") + F.col("level") + F.col("cruise")
-    scale = F.when(all_s > 0, F.least(all_s, F.col("len")) / all_s).otherwise(0.0)
-    enough = (F.col("top") >= 500) & (F.col("len") >= 120)
-    return sums.select(*KEY, *(F.round(F.col(p) * scale, 1).alias(f"{p}_s") for p in ("climb", "descent", "level", "cruise")), F.when(enough, F.least("cruise_alt", F.col("top").cast("double"))).alias("cruise_alt"), F.when(enough, F.round("cruise_gs", 1)).alias("cruise_gs"))
+    active = F.when(F.col("len") > 0, F.least(all_s, F.col("len"))).otherwise(all_s)
+    bins = ("climb", "descent", "level", "cruise")
+    scaled = [F.col(p) * active / F.nullif(all_s, F.lit(0)) for p in bins]
+    whole = [F.floor(x) for x in scaled]
+    # what the whole seconds lack goes to the bins with the largest remainders, the later bin first on ties
+    left = F.rint(active) - sum(whole)
+    rests = [x - w for x, w in zip(scaled, whole, strict=True)]
+    rank = [sum((F.when((rests[j] > rests[i]) | ((rests[j] == rests[i]) & F.lit(j > i)), 1).otherwise(0) for j in range(4)), F.lit(0)) for i in range(4)]
+    dripped = [(w + F.when(r < F.abs(left), F.signum(left)).otherwise(0)).cast("long") for w, r in zip(whole, rank, strict=True)]
+    plain = [F.col("climb"), F.col("descent"), F.col("level") + F.col("cruise"), F.lit(None).cast("long")]
+    seconds = [F.when(enough & (all_s > 0), d).otherwise(x).alias(f"{p}_s") for p, d, x in zip(bins, dripped, plain, strict=True)]
+    return sums.select(*KEY, *seconds, F.when(enough, F.least(F.rint("cruise_alt"), F.col("top").cast("double"))).alias("cruise_alt"), F.when(enough, F.least(F.rint("cruise_gs"), F.col("max_gs"))).alias("cruise_gs"))
 
 
 def headings(points: DataFrame) -> DataFrame:
@@ -161,3 +173,9 @@ def autopilot_target(points: DataFrame) -> DataFrame:
     level = (F.col("baro_ft") >= 0.85 * F.col("top")) & (F.abs(F.col("mcp_ft") - F.col("baro_ft")) < 500) & (rate.isNull() | (rate > -250))
     held = rows.where(F.col("mcp_ft").isNotNull() & air & (F.col("sank") == 0) & level)
     return held.groupBy(*KEY).agg(F.max_by("mcp_ft", F.struct("ts", "seq")).alias("target_ft"))
+
+
+def emergency_flags(points: DataFrame) -> DataFrame:
+    """Per session: the last emergency said that is not none; null if there was none. points: session and emergency."""
+    said = F.when(F.col("emergency") != "none", F.col("emergency"))
+    return points.groupBy(*KEY).agg(F.max_by(said, F.when(said.isNotNull(), F.struct("ts", "seq"))).alias("emergency_flag"))

@@ -1,98 +1,139 @@
 """Flight extraction: the folds that are truly sequential, run per session in Arrow batches.
 
 Only three steps need a fold: dropping near-repeats of the previous *kept* point, the ground and airborne state
-machine, and the greedy joining of fragments. Points reach them dealt and sorted by (aircraft, session); each
-session is one group, so one aircraft's history spreads over tasks. Everything else about a flight is an
-aggregate over the labelled points.
+machine, and the greedy joining of fragments. Points are dealt by (aircraft, session), so that one aircraft's history
+spreads over tasks, and sorted; a fold then runs over whole batches and starts anew at each session. Everything else
+about a flight is an aggregate over the labelled points.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..functions.geo import haversine_km
 from .points import classified
+from .scoring import endurance
 from .tracks import sessions
 
 
+Fold = Callable[[Iterator[tuple]], Iterator]
+
+
+def in_order(points: DataFrame, c: Config = DEFAULT) -> DataFrame:
+    """``points`` with session, dealt by it and sorted within."""
+    return sessions(points, c).repartition("icao", "session").sortWithinPartitions("icao", "session", "ts", "seq")
+
+
+def folded(batch: pa.RecordBatch, columns: list[str], key: list, step: list, start: Callable[[], Callable]) -> list:
+    """One value a row of ``batch``: what ``step`` says of ``columns``; made anew by ``start`` where a session begins.
+
+    key and step are one-element lists that carry the session and its step from batch to batch.
+    """
+    out = []
+    names = zip(batch.column("icao").to_pylist(), batch.column("session").to_pylist(), strict=True)
+    for now, row in zip(names, zip(*(batch.column(x).to_pylist() for x in columns), strict=True), strict=True):
+        if now != key[0]:
+            key[0], step[0] = now, start()
+        out.append(step[0](*row))
+    return out
+
+
+def keeper(c: Config = DEFAULT) -> Callable[[float, float, float], bool]:
+    """Whether each next point of a session is kept: not within a second and a thousandth of a degree of the last one kept."""
+    last = None
+
+    def step(ts: float, lat: float, lon: float) -> bool:
+        nonlocal last
+        near = last and abs(ts - last[0]) < c.dedupe_s and abs(lat - last[1]) < c.dedupe_deg and abs(lon - last[2]) < c.dedupe_deg
+        if not near:
+            last = ts, lat, lon
+        return not near
+
+    return step
+
+
 def deduplicated(points: DataFrame, c: Config = DEFAULT) -> DataFrame:
-    """Drops a point within a second and a thousandth of a degree of the last point kept, per aircraft and session."""
+    """Drops near-repeats of the last point kept, per aircraft and session."""
+    cut = in_order(points, c)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "seq"], kind="stable")
-        keep, last = [], None
-        for ts, lat, lon in zip(pdf.ts.tolist(), pdf.lat.tolist(), pdf.lon.tolist(), strict=True):
-            near = last and abs(ts - last[0]) < c.dedupe_s and abs(lat - last[1]) < c.dedupe_deg and abs(lon - last[2]) < c.dedupe_deg
-            keep.append(not near)
-            if not near:
-                last = ts, lat, lon
-        return pdf[keep]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, step = [None], [None]
+        for batch in batches:
+            yield batch.filter(pa.array(folded(batch, ["ts", "lat", "lon"], key, step, lambda: keeper(c)), pa.bool_()))
 
-    cut = sessions(points, c)
-    return cut.groupBy("icao", "session").applyInPandas(run, cut.schema)
+    return cut.mapInArrow(run, cut.schema)
 
 
-def label(states: list[str], ts: list[float], gs_null: list[bool], c: Config = DEFAULT) -> list[tuple[int, str]]:
-    """(fragment, role) of each point of one session, in order.
+def labeller(c: Config = DEFAULT) -> Callable[[str, float, bool], tuple[int, str]]:
+    """(fragment, role) of each next point of a session.
 
     Roles: none (before any flight), airborne, landing (the touchdown), post_ground. A flight takes off at the first
     airborne point; a ground point lands it, but without speed two are needed; after landing up to
     ``post_landing_points`` ground points within ``post_landing_s`` still belong to it, and flying again opens the
     next.
     """
-    out, fragment, state, since, landed, lone = [], 0, None, 0.0, 0, False
-    for s, t, no_gs in zip(states, ts, gs_null, strict=True):
+    fragment, state, since, landed, lone = 0, None, 0.0, 0, False
+
+    def step(s: str, t: float, gs: float | None) -> tuple[int, str]:
+        nonlocal fragment, state, since, landed, lone
         if state == "post" and t - since > c.post_landing_s:
             state = "ground"
         if s == "airborne":
             lone = False
             if state != "airborne":
                 fragment, state = fragment + 1, "airborne"
-            out.append((fragment, "airborne"))
-        elif s == "ground" and state == "airborne":
-            if no_gs and not lone:
+            return fragment, "airborne"
+        if s == "ground" and state == "airborne":
+            if gs is None and not lone:
                 lone = True
-                out.append((fragment, "airborne"))
-            else:
-                state, since, landed, lone = "post", t, 1, False
-                out.append((fragment, "landing"))
-        elif s == "ground" and state == "post":
+                return fragment, "airborne"
+            state, since, landed, lone = "post", t, 1, False
+            return fragment, "landing"
+        if s == "ground" and state == "post":
             landed += 1
-            out.append((fragment, "post_ground"))
             if landed >= c.post_landing_points:
                 state = "ground"
+            return fragment, "post_ground"
+        if s == "ground":
+            state = "ground"
         else:
-            if s == "ground":
-                state = "ground"
-            else:
-                lone = False
-            out.append((fragment, state if state == "airborne" else "none"))
-    return out
+            lone = False
+        return fragment, state if state == "airborne" else "none"
+
+    return step
+
+
+def label(states: list[str], ts: list[float], gs_null: list[bool], c: Config = DEFAULT) -> list[tuple[int, str]]:
+    """(fragment, role) of each point of one session, in order."""
+    step = labeller(c)
+    return [step(s, t, None if n else 0.0) for s, t, n in zip(states, ts, gs_null, strict=True)]
 
 
 def labelled(points: DataFrame, c: Config = DEFAULT) -> DataFrame:
     """``points`` with session, state, fragment and role."""
-    cut = classified(sessions(points, c), c)
+    cut = classified(in_order(points, c), c)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "seq"], kind="stable")
-        found = label(pdf.state.tolist(), pdf.ts.tolist(), pdf.gs_kt.isna().tolist(), c)
-        return pdf.assign(fragment=[f for f, _ in found], role=[r for _, r in found])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, step = [None], [None]
+        for batch in batches:
+            found = folded(batch, ["state", "ts", "gs_kt"], key, step, lambda: labeller(c))
+            more = [pa.array([f for f, _ in found], pa.int64()), pa.array([r for _, r in found], pa.string())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "fragment", "role"])
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema)
-    return cut.groupBy("icao", "session").applyInPandas(run, f"{fields}, fragment long, role string")
+    return cut.mapInArrow(run, f"{fields}, fragment long, role string")
 
 
 def fragments_of(points: DataFrame, c: Config = DEFAULT) -> DataFrame:
     """One row a flight fragment, of the points that belong to one."""
     at = F.struct("ts", "seq")
     flown = labelled(points, c).where((F.col("fragment") > 0) & (F.col("role") != "none"))
-    air = F.col("role") == "airborne"
+    air, height = F.col("role") == "airborne", F.coalesce("baro_ft", "geom_ft")
     rows = flown.groupBy("icao", "session", "fragment").agg(
         F.min("ts").alias("takeoff_ts"),
         F.max("ts").alias("last_ts"),
@@ -103,6 +144,8 @@ def fragments_of(points: DataFrame, c: Config = DEFAULT) -> DataFrame:
         F.max_by("lat", at).alias("last_lat"),
         F.max_by("lon", at).alias("last_lon"),
         F.max_by(F.when(air, F.col("baro_ft")), F.when(air & F.col("baro_ft").isNotNull(), at)).alias("last_alt_ft"),
+        F.min_by(height, F.when(air & height.isNotNull(), at)).alias("first_alt_ft"),
+        F.max(F.when(air, height)).alias("peak_ft"),
         F.max("baro_ft").alias("max_alt_ft"),
         F.max("gs_kt").alias("max_gs_kt"),
         F.min_by("callsign", F.when(F.col("callsign").isNotNull(), at)).alias("callsign"),
@@ -110,10 +153,11 @@ def fragments_of(points: DataFrame, c: Config = DEFAULT) -> DataFrame:
     return rows.withColumn("mid_air", F.row_number().over(Window.partitionBy("icao", "session").orderBy("fragment")) == 1)
 
 
-def stitched(fragments: DataFrame, c: Config = DEFAULT, endurance_min: float = 240) -> DataFrame:
+def stitched(fragments: DataFrame, c: Config = DEFAULT, types: DataFrame | None = None) -> DataFrame:
     """Joins a fragment without a landing to the next one found in mid-air, pair by pair from the left.
 
-    Adds flight_ts, the takeoff of the first of the pair. Pairs that may join are marked by lead; only the choice
+    How long a gap may be follows the type's endurance (types: icao, type_code). A long gap before a fragment that begins
+    low and climbs away is a new departure and stays one. Adds flight_ts, the takeoff of the first of the pair. Pairs that may join are marked by lead; only the choice
     among overlapping pairs is a fold, over runs of marked rows: every second mark of a run counts.
     """
     w = Window.partitionBy("icao").orderBy("takeoff_ts", "session", "fragment")
@@ -121,21 +165,23 @@ def stitched(fragments: DataFrame, c: Config = DEFAULT, endurance_min: float = 2
     gap = nxt("takeoff_ts") - F.col("last_ts")
     km = haversine_km(F.col("last_lat"), F.col("last_lon"), nxt("takeoff_lat"), nxt("takeoff_lon"))
     reach = F.greatest(gap, F.lit(60)) / 3600 * c.stitch_speed_kt * 1.852 * c.stitch_slack
-    window_s = max(c.stitch_gap_min, c.stitch_endurance_ratio * endurance_min) * 60
+    typed = fragments.join(types.select("icao", "type_code"), "icao", "left") if types is not None else fragments.withColumn("type_code", F.lit(None).cast("string"))
+    window_s = F.greatest(F.lit(float(c.stitch_gap_min)), c.stitch_endurance_ratio * endurance(c=c)) * 60
+    fresh = (gap > c.stitch_ground_s) & (nxt("first_alt_ft") < c.stitch_fresh_ft) & (nxt("peak_ft") - nxt("first_alt_ft") > c.stitch_climb_ft)
     level = F.coalesce(F.abs(nxt("last_alt_ft") - F.col("last_alt_ft")) <= c.stitch_alt_ft, F.lit(True))
-    joins = F.col("landing_ts").isNull() & nxt("mid_air") & gap.between(0, window_s) & (km <= reach) & level
-    marked = fragments.withColumn("_joins", F.coalesce(joins, F.lit(False)))
+    joins = F.col("landing_ts").isNull() & nxt("mid_air") & gap.between(0, window_s) & (km <= reach) & level & ~F.coalesce(fresh, F.lit(False))
+    marked = typed.withColumn("_joins", F.coalesce(joins, F.lit(False)))
     ran = marked.withColumn("_run", F.sum(F.when(F.col("_joins"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, -1)))
     place = F.row_number().over(Window.partitionBy("icao", F.coalesce("_run", F.lit(0))).orderBy("takeoff_ts", "session", "fragment"))
     # within a run the marks alternate: first of a pair, second of a pair
     placed = ran.withColumn("_second", (F.pmod(place, F.lit(2)) == 0))
     before = F.lag("takeoff_ts").over(w)
-    return placed.withColumn("flight_ts", F.when(F.col("_second"), before).otherwise(F.col("takeoff_ts"))).drop("_joins", "_run", "_second")
+    return placed.withColumn("flight_ts", F.when(F.col("_second"), before).otherwise(F.col("takeoff_ts"))).drop("_joins", "_run", "_second", "type_code")
 
 
-def flights(points: DataFrame, c: Config = DEFAULT) -> DataFrame:
-    """Flights of all aircraft: labelled, stitched, and freed of slivers."""
-    parts = stitched(fragments_of(points, c), c)
+def flights(points: DataFrame, c: Config = DEFAULT, types: DataFrame | None = None) -> DataFrame:
+    """Flights of all aircraft: labelled, stitched, and freed of single points and short hops."""
+    parts = stitched(fragments_of(points, c), c, types)
     at = F.col("takeoff_ts")
     whole = parts.groupBy("icao", "flight_ts").agg(
         F.count("*").alias("fragments"),

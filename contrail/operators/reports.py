@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..fixed import CEILING_FT, MAX_GS_KT
 from ..functions.identity import is_address, tail_to_hex
 from ..functions.text import any_contains, clean, percent_floor, pick
 from .joins import within_intervals
+from .scoring import literal_map
 
 
 def legs_between(legs: DataFrame, from_day: int | None = None, to_day: int | None = None, airport: str | None = None) -> DataFrame:
@@ -25,11 +27,19 @@ def shown_ends(legs: DataFrame) -> DataFrame:
     return legs.select("icao", "session", end("origin", "near_origin", F.lit(None)).alias("from"), end("destination", "near_destination", lost).alias("to"))
 
 
-def type_caps(legs: DataFrame, caps: DataFrame) -> DataFrame:
-    """Heights and speeds held to 1.1 times what the type can do. caps: type_code, ceiling_ft, max_gs."""
-    joined = legs.join(caps, "type_code", "left")
-    capped = lambda x, cap: F.when(F.col(cap).isNull(), F.col(x)).otherwise(F.least(F.col(x).cast("double"), F.col(cap) * 1.1))
-    return joined.select("icao", "session", "type_code", capped("max_alt_ft", "ceiling_ft").alias("max_alt_ft"), capped("max_gs_kt", "max_gs").alias("max_gs_kt"))
+def type_caps(legs: DataFrame, ceilings: dict[str, int] = CEILING_FT, speeds: dict[str, int] = MAX_GS_KT) -> DataFrame:
+    """``legs`` with heights and speeds held to what the type can do.
+
+    A tenth more height is allowed only where the selected altitude (target_ft) is within 5,000 ft of it; speeds always have a
+    tenth. Unknown types have 60,000 ft and 800 kt. cruise_alt and cruise_gs stay below the capped values.
+    """
+    known = lambda values, default: F.coalesce(F.try_element_at(literal_map(values), F.col("type_code")), F.lit(default))
+    ceiling, agrees = known(ceilings, 60_000), F.abs(F.col("max_alt_ft") - F.col("target_ft")) <= 5000
+    cap = F.when(agrees, F.floor(ceiling * 1.1)).otherwise(ceiling).cast("int")
+    gs_cap = F.floor(known(speeds, 800) * 1.1).cast("double")
+    alt = F.when(F.col("max_alt_ft").isNotNull(), F.least("max_alt_ft", cap))
+    lower = lambda x, y: F.when(F.col(x).isNotNull(), F.least(F.col(x), y))
+    return legs.withColumns({"_alt": alt}).withColumns({"cruise_alt": lower("cruise_alt", F.col("_alt").cast("double")), "max_gs_kt": lower("max_gs_kt", gs_cap), "cruise_gs": lower("cruise_gs", gs_cap), "max_alt_ft": F.col("_alt")}).drop("_alt")
 
 
 def overridden_types(legs: DataFrame, prefix: str = "ae69", least: int = 3) -> DataFrame:

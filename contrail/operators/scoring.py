@@ -6,49 +6,65 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
+from ..fixed import CALLSIGN_MISSION, ENDURANCE_MIN, NEVER_SURVEY, OFFSHORE_OPERATORS, TRAINERS
 from ..functions.geo import haversine_m, lerp
 from .points import classified
 from .tracks import over, sessions
 
-#: Callsign prefixes and operators that tell a mission, type codes of trainers and of jets that never survey.
-CALLSIGN_MISSION = {"LIFE": "medical", "MEDEVAC": "medical", "RESCUE": "rescue", "COAST": "coast_guard", "POLICE": "police", "FIRE": "firefighting"}
-OPERATOR_MISSION = {"OFFSHORE": "offshore", "PETROLEUM": "offshore"}
-TRAINERS = ("C150", "C152", "C172", "P28A", "DA20", "DA40", "SR20")
-NEVER_SURVEY = ("GLF4", "GLF5", "GLF6", "GLEX", "CL60", "C680", "C750")
+
+def literal_map(values: dict) -> Column:
+    return F.create_map(*(F.lit(x) for kv in values.items() for x in kv))
+
+
+def endurance(type_code: str = "type_code", c: Config = DEFAULT) -> Column:
+    """Longest plausible flight of a type, in minutes."""
+    return F.coalesce(F.try_element_at(literal_map({k: float(v) for k, v in ENDURANCE_MIN.items()}), F.col(type_code)), F.lit(float(c.endurance_min)))
+
+
+def _descent(inside: Column, place: Column) -> Column:
+    """Descent over the points ``inside`` a window: by rates weighted by their place in it, else by its heights, else a half."""
+    at = F.struct("ts", "seq")
+    rated = F.when(inside & F.col("rate_fpm").isNotNull(), place)
+    mean = F.sum(rated * F.col("rate_fpm")) / F.sum(rated)
+    high = F.when(inside & F.col("baro_ft").isNotNull(), at)
+    fell = F.max_by("baro_ft", high) - F.min_by("baro_ft", high)
+    span = F.greatest(F.lit(1), F.max(F.when(inside, F.col("ts"))) - F.min(F.when(inside, F.col("ts"))))
+    return F.when(F.count(rated) > 0, lerp(-mean, 0, 800)).when(F.count(high) >= 2, lerp(-fell / span * 60, 0, 800)).otherwise(0.5)
 
 
 def leg_signals(points: DataFrame, c: Config = DEFAULT) -> DataFrame:
-    """Per session, what classification needs: the tail's weighted descent, last values, ground points, jump and errors."""
+    """Per session, what classification needs: descent at the end and before the flare, last values, ground points, jump and errors."""
     w = over("icao", "session")
     whole = Window.partitionBy("icao", "session")
     back = over("icao", "session", order=[F.desc("ts"), F.desc("seq")])
-    rows = classified(sessions(points, c), c).withColumns({"back": F.row_number().over(back), "end": F.max("ts").over(whole), "jump": haversine_m(F.lag("lat").over(w), F.lag("lon").over(w), F.col("lat"), F.col("lon"))})
-    tail = F.col("end") - F.col("ts") <= 600
-    # later points weigh more: the weight is the place within the tail, from its oldest
-    weighed = rows.withColumn("weight", F.when(tail, F.row_number().over(w)))
-    first = F.min(F.when(tail, F.col("weight"))).over(whole)
-    weighed = weighed.withColumn("weight", F.col("weight") - first + 1)
-    rated = F.when(F.col("weight").isNotNull() & F.col("rate_fpm").isNotNull(), F.col("weight"))
-    mean = F.sum(rated * F.col("rate_fpm")) / F.sum(rated)
     at = F.struct("ts", "seq")
     ground, air = F.col("state") == "ground", F.col("state") == "airborne"
-    return weighed.groupBy("icao", "session").agg(
+    rows = classified(sessions(points, c), c).withColumns({"back": F.row_number().over(back), "end": F.max("ts").over(whole), "jump": haversine_m(F.lag("lat").over(w), F.lag("lon").over(w), F.col("lat"), F.col("lon")), "rn": F.row_number().over(w), "last_air": F.max(F.when(air, at)).over(whole)})
+    # touchdown: the first ground point that no airborne one follows
+    rows = rows.withColumn("down", F.min(F.when(ground & (F.col("last_air").isNull() | (at > F.col("last_air"))), F.col("ts"))).over(whole))
+    tail = F.col("end") - F.col("ts") <= c.tail_s
+    flare = F.coalesce(F.col("ts").between(F.col("down") - c.flare_from_s, F.col("down") - c.flare_to_s), F.lit(False))
+    first = lambda inside: F.min(F.when(inside, F.col("rn"))).over(whole)
+    rows = rows.withColumns({"tail": tail, "flare": flare, "tail_at": F.col("rn") - first(tail) + 1, "flare_at": F.col("rn") - first(flare) + 1})
+    return rows.groupBy("icao", "session").agg(
         F.count("*").alias("n"),
         ((F.max("ts") - F.min("ts")) / 60).alias("minutes"),
-        F.coalesce(lerp(-mean, 0, 800), F.lit(0.5)).alias("descent"),
+        _descent(F.col("tail"), F.col("tail_at")).alias("descent"),
+        F.when(F.count_if("flare") > 0, _descent(F.col("flare"), F.col("flare_at"))).alias("flare_descent"),
         F.count_if((F.col("back") <= 5) & (F.col("rate_fpm") <= -200)).alias("sinking"),
         F.count_if(F.col("reason").isin("baro_error", "speed_override")).alias("errors"),
         F.count_if(ground).alias("ground_points"),
         F.max(F.when(ground & (F.col("back") <= 5), F.col("jump"))).alias("jump_m"),
         F.max_by("baro_ft", F.when(air & F.col("baro_ft").isNotNull(), at)).alias("last_alt"),
+        F.max_by("baro_ft", at).alias("seen_alt"),
         F.max_by("gs_kt", at).alias("last_gs"),
         F.max("baro_ft").alias("max_alt"),
         (F.max_by("state", at) == "ground").alias("landed"),
     )
 
 
-def landing_type(endurance_min: float = 240) -> Column:
-    """Over leg_signals: altitude_error, dropped, signal_lost, uncertain or confirmed; the first rule that fits."""
+def landing_type(longest: Column | None = None) -> Column:
+    """Over leg_signals (and the type's longest flight in minutes): altitude_error, dropped, signal_lost, uncertain or confirmed; the first rule that fits."""
     alt, gs = F.coalesce("last_alt", F.lit(0)), F.coalesce("last_gs", F.lit(0.0))
     airborne = (alt > 2000) | (gs > 100) | (F.coalesce("max_alt", F.lit(0)) > 3000)
     no_ground = F.when(F.col("ground_points") == 0, 1.0).when(F.col("ground_points") == 1, 0.3).when(F.col("ground_points") == 2, 0.1).otherwise(0.0)
@@ -58,40 +74,47 @@ def landing_type(endurance_min: float = 240) -> Column:
         F.when((F.col("n") >= 10) & (F.col("errors") / F.col("n") > 0.2), "altitude_error")
         .when(~F.col("landed") & airborne & (alt < 5000) & (F.col("sinking") >= 3), "dropped")
         .when(~F.col("landed") & airborne, "signal_lost")
-        .when(~F.col("landed") | (F.col("minutes") > endurance_min), "uncertain")
+        .when(~F.col("landed") | (F.col("minutes") > (F.lit(DEFAULT.endurance_min) if longest is None else longest)), "uncertain")
         .when(lost > 0.6, "signal_lost")
         .otherwise("confirmed")
     )
 
 
 def landing_confidence() -> Column:
-    """Weighted geometric mean of the landing's factors; fixed where the type leaves no doubt or no hope."""
+    """Weighted geometric mean of the landing's factors (km: to the airport, if one matches); fixed where the type leaves no doubt or no hope."""
     ground = F.when(F.col("ground_points") == 0, 0.0).when(F.col("ground_points") == 1, 0.5).otherwise(F.least(F.lit(1.0), 0.5 + 0.25 * (F.col("ground_points") - 1)))
     short = F.when(F.col("minutes") < 1440, 1.0).when(F.col("minutes") < 2880, 0.5).otherwise(0.1)
+    near = F.coalesce(1 - lerp(F.col("km"), 0, 10), F.lit(0.3))
     factors = [
-        (F.col("descent"), 2), (F.coalesce(lerp(F.col("last_gs"), 180, 30), F.lit(0.5)), 2), (F.coalesce(lerp(F.col("last_alt"), 5000, 500), F.lit(0.5)), 2),
-        (F.lit(0.3), 2), (1 - lerp(F.coalesce("jump_m", F.lit(0.0)), 200, 500), 1), (ground, 1.5), (short, 0.5),
+        (F.coalesce("flare_descent", "descent"), 2), (F.coalesce(lerp(F.col("last_gs"), 180, 30), F.lit(0.5)), 2), (F.coalesce(lerp(F.col("last_alt"), 5000, 500), F.lit(0.5)), 2),
+        (near, 2), (1 - lerp(F.coalesce("jump_m", F.lit(0.0)), 200, 500), 1), (ground, 1.5), (short, 0.5),
     ]
     mean = F.exp(sum(w * F.ln(F.greatest(F.lit(0.01), x)) for x, w in factors) / sum(w for _, w in factors))
     t = F.col("landing_type")
     return F.round(F.when(t.isin("signal_lost", "dropped"), 0.0).when(t == "altitude_error", 0.1).when(t == "uncertain", 0.15).otherwise(mean), 2)
 
 
-def landings(points: DataFrame, c: Config = DEFAULT) -> DataFrame:
-    rows = leg_signals(points, c).withColumn("landing_type", landing_type())
-    return rows.withColumn("confidence", landing_confidence()).select("icao", "session", "landing_type", "confidence", F.round("descent", 3).alias("descent"), "ground_points", "last_alt")
+def landings(points: DataFrame, c: Config = DEFAULT, ports: DataFrame | None = None, types: DataFrame | None = None) -> DataFrame:
+    """Landing type and confidence of each session.
+
+    ports: icao, session, km to the airport at the landing, where one matches. types: icao, type_code, for the type's endurance.
+    """
+    rows = leg_signals(points, c)
+    rows = rows.join(ports.select("icao", "session", "km"), ["icao", "session"], "left") if ports is not None else rows.withColumn("km", F.lit(None).cast("double"))
+    rows = rows.join(types.select("icao", "type_code"), "icao", "left") if types is not None else rows.withColumn("type_code", F.lit(None).cast("string"))
+    rows = rows.withColumn("landing_type", landing_type(endurance(c=c)))
+    return rows.withColumn("confidence", landing_confidence()).select("icao", "session", "landing_type", "confidence", F.round("descent", 3).alias("descent"), "ground_points", "last_alt", "seen_alt")
 
 
 def mission() -> Column:
     """Of callsign, operator, origin, destination, max_alt_ft, loiter, cruise_gs and type_code; the first rule that fits."""
-    call, op = F.upper(F.coalesce("callsign", F.lit(""))), F.upper(F.coalesce("operator", F.lit("")))
+    call, op = F.upper(F.trim(F.coalesce("callsign", F.lit("")))), F.upper(F.coalesce("operator", F.lit("")))
     same, has = F.col("origin") == F.col("destination"), F.col("origin").isNotNull() & F.col("destination").isNotNull()
     kind, alt = F.coalesce("type_code", F.lit("")), F.col("max_alt_ft")
-    rules = [(F.contains(op, F.lit(k)), v) for k, v in OPERATOR_MISSION.items()]
+    rules = [(F.contains(op, F.lit(k)), "offshore") for k in OFFSHORE_OPERATORS]
     rules += [(call.startswith(k), v) for k, v in CALLSIGN_MISSION.items()]
     rules += [
-        (call.startswith("N911"), "medical"),
-        (call.rlike("MT$") & ~call.rlike("[LRA]MT$"), "medical"),
+        (call.rlike("MT$") & ~call.rlike("[LRA]MT$"), "ems_hems"),
         ((F.col("loiter") > 3) & (F.col("cruise_gs") < 120) & ~kind.isin(*NEVER_SURVEY), "survey"),
         (same & (alt < 5000) & kind.isin(*TRAINERS), "training"),
         (same & (alt < 3000) & ~kind.isin(*NEVER_SURVEY), "pattern"),
@@ -102,15 +125,35 @@ def mission() -> Column:
 
 
 def events(legs: DataFrame) -> DataFrame:
-    """Zero or more events a leg: type, severity and time. legs: emergency_squawk, landing_type, airport, hover_s, go_arounds."""
+    """Zero or more events a leg: time, callsign, type, severity and summary.
+
+    legs: icao, session, takeoff_ts, callsign, emergency_squawk, emergency_flag, landing_type, airport, hover_s, go_arounds.
+    """
     made = [
-        (F.col("emergency_squawk").isNotNull(), "emergency_squawk", "emergency"),
-        ((F.col("landing_type") == "confirmed") & F.col("airport").isNull(), "off_airport_landing", "unusual"),
-        (F.col("hover_s") >= 300, "long_hover", "unusual"),
-        (F.col("go_arounds") >= 2, "multiple_go_arounds", "unusual"),
+        (F.col("emergency_squawk").isNotNull(), "emergency_squawk", "emergency", F.concat(F.lit("squawk "), "emergency_squawk")),
+        (F.col("emergency_flag").isNotNull(), "emergency_flag", "emergency", F.concat(F.lit("emergency flag: "), "emergency_flag")),
+        ((F.col("landing_type") == "confirmed") & F.col("airport").isNull(), "off_airport_landing", "unusual", F.lit("confirmed landing, no airport or helipad match")),
+        (F.col("hover_s") >= 300, "long_hover", "unusual", F.format_string("hover %ds (%.1f min)", F.col("hover_s").cast("long"), F.col("hover_s") / 60)),
+        (F.col("go_arounds") >= 2, "multiple_go_arounds", "unusual", F.concat(F.col("go_arounds").cast("string"), F.lit(" go-arounds on this flight"))),
     ]
-    each = F.array_compact(F.array(*(F.when(c, F.struct(F.lit(t).alias("type"), F.lit(s).alias("severity"))) for c, t, s in made)))
-    return legs.select("icao", "session", F.col("landing_ts").alias("ts"), F.explode(each).alias("e")).select("icao", "session", "ts", "e.*")
+    each = F.array_compact(F.array(*(F.when(c, F.struct(F.lit(t).alias("type"), F.lit(s).alias("severity"), m.alias("summary"))) for c, t, s, m in made)))
+    return legs.select("icao", "session", F.col("takeoff_ts").alias("ts"), "callsign", F.explode(each).alias("e")).select("icao", "session", "ts", "callsign", "e.*")
+
+
+def spoof_events(scores: DataFrame) -> DataFrame:
+    """One event for each aircraft and day that is flagged: its first second, first callsign, and the pooled share."""
+    n = F.when(F.col("sources") == "", 0).otherwise(F.size(F.split("sources", ",")))
+    share = F.rint(1000 * F.col("sil0") / F.col("v2")) / 10
+    text = F.format_string("pooled v2 samples with sil=0: %.1f%% (%d v2 samples across %d source(s))", share, "v2", n)
+    return scores.where("flagged").select("icao", F.lit(None).cast("long").alias("session"), F.col("first_ts").alias("ts"), "callsign", F.lit("spoof_bimodal_integrity").alias("type"), F.lit("unusual").alias("severity"), text.alias("summary"))
+
+
+def event_feed(legs: DataFrame, scores: DataFrame | None = None, since: int | None = None, severity: str = "all") -> DataFrame:
+    """Events of legs that took off from ``since`` on, and of flagged days if scores are given, of one severity or all."""
+    out = events(legs if since is None else legs.where(F.col("takeoff_ts") >= since))
+    if scores is not None:
+        out = out.unionByName(spoof_events(scores if since is None else scores.where(F.col("day") >= since // 86400)))
+    return out if severity == "all" else out.where(F.col("severity") == severity)
 
 
 def spoof_gate(c: Config = DEFAULT) -> Column:

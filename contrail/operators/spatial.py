@@ -54,13 +54,18 @@ def airport_match(legs: DataFrame, airports: DataFrame, end: str, c: Config = DE
     return found.select("icao", "session", F.when(on, F.col("ident")).alias("airport"), F.when(~on, F.col("ident")).alias("near_airport"), F.round("km", 2).alias("km"))
 
 
-def probable_destination(legs: DataFrame, airports: DataFrame, reach_km: float = 46.3) -> DataFrame:
-    """Where a leg may have been going: the nearest airport in reach, with a confidence from height and distance."""
-    found = nearest(legs, airports, ["icao", "session"], (0.5, 0.5), "landing_lat", "landing_lon").where(F.col("km") <= reach_km)
-    alt = F.when(F.coalesce("max_alt_ft", F.lit(0)) == 0, 5000).otherwise(F.col("max_alt_ft"))
-    low = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (5000 - alt) / 4500))
-    joined = found.join(legs.select("icao", "session", "max_alt_ft"), ["icao", "session"])
-    return joined.select("icao", "session", F.col("ident").alias("probable"), F.round("km", 2).alias("km"), F.round(0.4 * low + 0.4 * F.greatest(F.lit(0.0), 1 - F.col("km") / reach_km) + 0.2 * 0.5, 3).alias("confidence"))
+def probable_destination(landings: DataFrame, anchors: DataFrame, airports: DataFrame, c: Config = DEFAULT) -> DataFrame:
+    """Where a leg whose end was not seen may have been going: the nearest airport to its anchor, with a confidence.
+
+    landings: landing_type, descent and seen_alt by session; anchors: lat and lon by session. Height, distance and descent count
+    0.4, 0.4 and 0.2; an unknown height, or none, counts as 5,000 ft.
+    """
+    lost = landings.where(F.col("landing_type").isin("signal_lost", "dropped")).join(anchors.select("icao", "session", "lat", "lon"), ["icao", "session"])
+    found = nearest(lost, airports, ["icao", "session"], (0.5, 0.5)).where(F.col("km") <= c.probable_km)
+    alt = F.coalesce(F.nullif("seen_alt", F.lit(0)), F.lit(5000))
+    low, close = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (5000 - alt) / 4500)), F.greatest(F.lit(0.0), 1 - F.col("km") / c.probable_km)
+    joined = found.join(landings.select("icao", "session", "seen_alt", "descent"), ["icao", "session"])
+    return joined.select("icao", "session", F.col("ident").alias("probable"), F.round("km", 2).alias("km"), F.round(0.4 * low + 0.4 * close + 0.2 * F.col("descent"), 2).alias("confidence"))
 
 
 def split_on_gaps(kept: DataFrame, key: list[str], gap_s: float, min_s: float, *measures: Column) -> DataFrame:
@@ -83,14 +88,35 @@ def runway_alignment(points: DataFrame, ends: DataFrame, gap_s: float = 20, min_
     return split_on_gaps(kept, ["icao", "p_ident", "p_runway"], gap_s, min_s, F.round(F.min("offset_m"), 1).alias("offset_m"), F.round(F.min("km"), 1).alias("km"))
 
 
-def navaid_alignment(points: DataFrame, navaids: DataFrame, tolerance_deg: float = 1, gap_s: float = 120, min_s: float = 30, max_nm: float = 500, pass_nm: float = 80, delta: float = 2.0) -> DataFrame:
-    """Segments flown towards a beacon within ``tolerance_deg``, keyed by its ident, that pass it within ``pass_nm``."""
-    pairs = nearby(points, prefixed(navaids), delta).withColumn("nm", F.col("km") / NM_KM)
+def navaid_alignment(points: DataFrame, navaids: DataFrame, tolerance_deg: float = 1, gap_s: float = 120, min_s: float = 30, max_nm: float = 500, pass_nm: float = 80) -> DataFrame:
+    """Segments flown towards a beacon within ``tolerance_deg``, keyed by its ident, that pass it within ``pass_nm``.
+
+    Only beacons that some point of the aircraft passes within ``pass_nm`` can have a segment; those pairs are found on
+    the grid first, and only they are followed out to ``max_nm``.
+    """
+    asked = points.where("track_deg is not null").select("icao", "ts", "seq", "lat", "lon", "track_deg")
+    beacons = prefixed(navaids.select("ident", "lat", "lon"))
+    passed = _within_nm(asked.select("icao", "lat", "lon").distinct(), beacons, pass_nm).select("icao", "p_ident", "p_lat", "p_lon").distinct()
+    pairs = asked.join(passed, "icao")
+    nm = haversine_km(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon")) / NM_KM
     bearing = bearing_deg(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon"))
-    kept = pairs.where(F.col("track_deg").isNotNull() & (smallest_angle_deg(bearing, F.col("track_deg")) < tolerance_deg) & (F.col("nm") <= max_nm))
+    kept = pairs.where(smallest_angle_deg(bearing, F.col("track_deg")) < tolerance_deg).withColumn("nm", nm).where(F.col("nm") <= max_nm)
     return split_on_gaps(kept, ["icao", "p_ident"], gap_s, min_s, F.round(F.min("nm"), 2).alias("nm")).where(F.col("nm") < pass_nm)
 
 
+def _within_nm(points: DataFrame, places: DataFrame, nm: float) -> DataFrame:
+    """Pairs within ``nm`` nautical miles, on a grid as high as that and, at its latitude, as wide."""
+    step = nm / 60 * 1.01
+    row = lambda lat: F.floor(lat / step).cast("long")
+    # a row of cells is as wide as its end that is farther from the equator needs
+    wide = lambda cy: step / F.greatest(F.lit(0.01), F.cos(F.radians(F.least(F.lit(89.4), F.greatest(F.abs(cy), F.abs(cy + 1)) * step))))
+    left = points.withColumn("cy", row(F.col("lat"))).withColumn("cx", F.floor(F.col("lon") / wide(F.col("cy"))).cast("long"))
+    rows = places.select("*", F.explode(F.array(*(row(F.col("p_lat")) + i for i in (-1, 0, 1)))).alias("cy"))
+    right = rows.select("*", F.explode(F.array(*((F.floor(F.col("p_lon") / wide(F.col("cy"))) + i).cast("long") for i in (-1, 0, 1)))).alias("cx"))
+    near = haversine_km(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon")) <= nm * NM_KM
+    return left.join(right, ["cy", "cx"]).where(near)
+
+
 def takeoff_runway(points: DataFrame, ends: DataFrame, gap_s: float = 20, min_gs: float = 80, zone_m: float = 6000, near_half_m: float = 25, opening_deg: float = 5, above_ft: float = 2000) -> DataFrame:
     """Per aircraft and airport: the runway whose departure wedge holds the longest run of climbing points; the first name on ties.
 
@@ -167,7 +193,7 @@ def least_reachable(links: DataFrame) -> DataFrame:
     before = None
     while True:
         label = checkpointed(label)
-        now = label.agg(F.sum("cluster")).first()[0]
+        now = label.agg(F.bit_xor(F.xxhash64("u", "cluster"))).first()[0]
         if now == before:
             return label
         before = now

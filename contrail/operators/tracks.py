@@ -143,12 +143,18 @@ def squawk_summary(points: DataFrame) -> DataFrame:
 
 
 def persisted_maxima(points: DataFrame, c: Config = DEFAULT, window_s: float | None = None) -> DataFrame:
-    """Per session: the greatest height and speed kept up by ``persist_points`` samples within the window; else the raw ones."""
+    """Per session: the greatest height and speed kept up by ``persist_points`` samples within the window; else the raw ones.
+
+    Only airborne heights that the selected altitude agrees with, within ``agree_ft``, can be kept up.
+    """
     s = window_s or c.persist_s
     w = Window.partitionBy("icao", "session").orderBy("ts").rangeBetween(-int(s), 0)
     held = lambda x: F.when(F.count(x).over(w) >= c.persist_points, F.min(x).over(w))
-    kept = sessions(points, c).withColumns({"_alt": held("baro_ft"), "_gs": held("gs_kt")})
-    return kept.groupBy("icao", "session").agg(F.coalesce(F.max("_alt"), F.max("baro_ft")).alias("alt_ft"), F.coalesce(F.max("_gs"), F.max("gs_kt")).alias("gs_kt"))
+    rows = classified(sessions(points, c), c)
+    alt = F.when(F.col("state") == "airborne", F.coalesce("baro_ft", "geom_ft"))
+    rows = rows.withColumns({"_raw": alt, "_sure": F.when(F.abs(alt - F.col("mcp_ft")) <= c.agree_ft, alt)})
+    kept = rows.withColumns({"_alt": held("_sure"), "_gs": held("gs_kt")})
+    return kept.groupBy("icao", "session").agg(F.coalesce(F.max("_alt"), F.max("_raw")).alias("alt_ft"), F.coalesce(F.max("_gs"), F.max("gs_kt")).alias("gs_kt"))
 
 
 def phase_seconds(points: DataFrame, c: Config = DEFAULT) -> DataFrame:
@@ -205,9 +211,18 @@ def category_mode(points: DataFrame) -> DataFrame:
     return counts.groupBy("icao").agg(F.min_by("category", F.struct(-F.col("count"), "category")).alias("category"))
 
 
-def safe_boundary(days: DataFrame, since: str, max_gap_days: int = 2) -> DataFrame:
-    """Per aircraft: the last day on or before ``since`` that no earlier day can reach across, to recompute from."""
+def safe_boundary(days: DataFrame, since: str, c: Config = DEFAULT, types: DataFrame | None = None) -> DataFrame:
+    """Per aircraft with a day from ``since`` on: the last day, up to the first of those, that no earlier day can reach across.
+
+    A gap of days is safe if it resets the state and is too long for a stitch of that type (types: icao, type_code).
+    """
+    from .scoring import endurance
+
+    typed = days.join(types.select("icao", "type_code"), "icao", "left") if types is not None else days.withColumn("type_code", F.lit(None).cast("string"))
     w = Window.partitionBy("icao").orderBy("day")
     gap = F.datediff("day", F.lag("day").over(w))
-    starts = days.withColumn("_cut", gap.isNull() | (gap > max_gap_days))
-    return starts.where(F.col("_cut") & (F.col("day") <= F.lit(since).cast("date"))).groupBy("icao").agg(F.max("day").alias("boundary"))
+    reach = F.greatest(F.lit(float(c.stitch_gap_min)), endurance(c=c) * c.stitch_endurance_ratio)
+    safe = gap.isNull() | ((gap > c.day_gap_days) & ((gap - 1) * 1440 > reach))
+    first = F.min(F.when(F.col("day") >= F.lit(since).cast("date"), F.col("day"))).over(Window.partitionBy("icao"))
+    starts = typed.withColumns({"_cut": safe, "_first": first})
+    return starts.where(F.col("_cut") & (F.col("day") <= F.col("_first"))).groupBy("icao").agg(F.max("day").alias("boundary"))

@@ -74,30 +74,48 @@ def lerp(x: str, low: float, high: float) -> str:
     return f"(case when {v} < 0 then 0 when {v} > 1 then 1 else {v} end)"
 
 
+def descent(inside: str, place: str) -> str:
+    """Descent over the points inside a window."""
+    rated = f"case when {inside} and rate_fpm is not null then {place} end"
+    high = f"filter ({inside} and baro_ft is not null)"
+    fell = f"(arg_max(baro_ft, (ts, seq)) {high} - arg_min(baro_ft, (ts, seq)) {high})"
+    span = f"greatest(1, max(case when {inside} then ts end) - min(case when {inside} then ts end))"
+    return f"(case when count({rated}) > 0 then {lerp(f'-(sum({rated} * rate_fpm) / sum({rated}))', 0, 800)} when count(*) {high} >= 2 then {lerp(f'(-{fell} / {span} * 60)', 0, 800)} else 0.5 end)::double"
+
+
+#: The distance to the airport at each landing, where one matches; NO_PORT where none is asked for.
+NO_PORT = "pk as (select icao, session, null::double as km from ses where false)"
+PORT = f"pk as (select icao, session, km from ({nearest('legs', 'icao, session', 'r.landing_lat', 'r.landing_lon', 0.15, 0.5)}) where km <= 10)"
+
 LAND = f"""cl as (select *, {STATE} as state, {REASON} as reason, row_number() over (partition by icao, session order by ts desc, seq desc) as back, max(ts) over (partition by icao, session) as fin,
  row_number() over (partition by icao, session order by ts, seq) as rn, 1000 * {km("lag(lat) over w", "lag(lon) over w", "lat", "lon")} as jump from ses window w as (partition by icao, session order by ts, seq)),
- wt as (select *, case when fin - ts <= 600 then rn - min(case when fin - ts <= 600 then rn end) over (partition by icao, session) + 1 end as weight from cl),
- sig as (select icao, session, count(*) as n, (max(ts) - min(ts)) / 60 as minutes, coalesce({lerp("-(sum(case when rate_fpm is not null then weight end * rate_fpm) / sum(case when rate_fpm is not null then weight end))", 0, 800)}, 0.5) as descent,
+ la as (select *, max(case when state = 'airborne' then (ts, seq) end) over (partition by icao, session) as last_air from cl),
+ dn as (select *, min(case when state = 'ground' and (last_air is null or (ts, seq) > last_air) then ts end) over (partition by icao, session) as down from la),
+ wf as (select *, fin - ts <= 120 as tail, coalesce(ts between down - 180 and down - 30, false) as flare from dn),
+ wt as (select *, rn - min(case when tail then rn end) over (partition by icao, session) + 1 as tail_at, rn - min(case when flare then rn end) over (partition by icao, session) + 1 as flare_at from wf),
+ sig as (select icao, session, count(*) as n, (max(ts) - min(ts)) / 60 as minutes, {descent("tail", "tail_at")} as descent, case when count(*) filter (flare) > 0 then {descent("flare", "flare_at")} end as flare_descent,
  count(*) filter (back <= 5 and rate_fpm <= -200) as sinking, count(*) filter (reason in ('baro_error', 'speed_override')) as errors, count(*) filter (state = 'ground') as ground_points, max(case when state = 'ground' and back <= 5 then jump end) as jump_m,
- arg_max(baro_ft, (ts, seq)) filter (state = 'airborne' and baro_ft is not null) as last_alt, arg_max(gs_kt, (ts, seq)) as last_gs, max(baro_ft) as max_alt, arg_max(state, (ts, seq)) = 'ground' as landed from wt group by icao, session),
- typed as (select *, case when n >= 10 and errors / n > 0.2 then 'altitude_error'
+ arg_max(baro_ft, (ts, seq)) filter (state = 'airborne' and baro_ft is not null) as last_alt, max(case when back = 1 then baro_ft end) as seen_alt, arg_max(gs_kt, (ts, seq)) as last_gs, max(baro_ft) as max_alt, arg_max(state, (ts, seq)) = 'ground' as landed from wt group by icao, session),
+ typed as (select sig.*, pk.km, case when n >= 10 and errors / n > 0.2 then 'altitude_error'
   when not landed and (coalesce(last_alt, 0) > 2000 or coalesce(last_gs, 0) > 100 or coalesce(max_alt, 0) > 3000) and coalesce(last_alt, 0) < 5000 and sinking >= 3 then 'dropped'
   when not landed and (coalesce(last_alt, 0) > 2000 or coalesce(last_gs, 0) > 100 or coalesce(max_alt, 0) > 3000) then 'signal_lost' when not landed or minutes > 240 then 'uncertain'
-  when ({lerp("coalesce(last_alt, 0)", 500, 5000)} * 3 + {lerp("coalesce(last_gs, 0)", 30, 180)} * 2.5 + (case ground_points when 0 then 1 when 1 then 0.3 when 2 then 0.1 else 0 end)::double * 3 + (1 - descent) * 2 + {lerp("coalesce(jump_m, 0)", 100, 500)} * 1.5) / 12 > 0.6 then 'signal_lost' else 'confirmed' end as landing_type from sig),
+  when ({lerp("coalesce(last_alt, 0)", 500, 5000)} * 3 + {lerp("coalesce(last_gs, 0)", 30, 180)} * 2.5 + (case ground_points when 0 then 1 when 1 then 0.3 when 2 then 0.1 else 0 end)::double * 3 + (1 - descent) * 2 + {lerp("coalesce(jump_m, 0)", 100, 500)} * 1.5) / 12 > 0.6 then 'signal_lost' else 'confirmed' end as landing_type from sig left join pk using (icao, session)),
  landings as (select icao, session, landing_type, round(case when landing_type in ('signal_lost', 'dropped') then 0 when landing_type = 'altitude_error' then 0.1 when landing_type = 'uncertain' then 0.15 else
-  exp((2 * ln(greatest(0.01, descent)) + 2 * ln(greatest(0.01, coalesce({lerp("last_gs", 180, 30)}, 0.5))) + 2 * ln(greatest(0.01, coalesce({lerp("last_alt", 5000, 500)}, 0.5))) + 2 * ln(0.3::double) + ln(greatest(0.01, 1 - {lerp("coalesce(jump_m, 0)", 200, 500)}))
+  exp((2 * ln(greatest(0.01, coalesce(flare_descent, descent))) + 2 * ln(greatest(0.01, coalesce({lerp("last_gs", 180, 30)}, 0.5))) + 2 * ln(greatest(0.01, coalesce({lerp("last_alt", 5000, 500)}, 0.5))) + 2 * ln(greatest(0.01, coalesce(1 - case when km is not null then {lerp("km", 0, 10)} end, 0.3::double))) + ln(greatest(0.01, 1 - {lerp("coalesce(jump_m, 0)", 200, 500)}))
   + 1.5 * ln(greatest(0.01, (case ground_points when 0 then 0 when 1 then 0.5 else least(1, 0.5 + 0.25 * (ground_points - 1)) end)::double)) + 0.5 * ln((case when minutes < 1440 then 1 when minutes < 2880 then 0.5 else 0.1 end)::double)) / 11) end::double, 2) as confidence,
- round(descent, 3) as descent, ground_points, last_alt from typed)"""
+ round(descent, 3) + 0 as descent, ground_points, last_alt, seen_alt from typed)"""
 
 FULL = f"""ori as (select icao, session, ident as origin from ({nearest("legs", "icao, session", "r.takeoff_lat", "r.takeoff_lon", 0.15, 0.5)}) where km <= 10), des as (select icao, session, ident as destination from ({nearest("legs", "icao, session", "r.landing_lat", "r.landing_lon", 0.15, 0.5)}) where km <= 10),
  fl as (select *, (landing_ts - takeoff_ts) / 60 as minutes, nullif(string_split(callsigns, ',')[1], '') as callsign from legs join (select icao, session, landing_type from landings) using (icao, session) left join ori using (icao, session) left join des using (icao, session))"""
 
-MISSION = """mis as (select *, case when session % 29 = 0 then 'offshore' when callsign like 'N911%' then 'medical' when max_km > 0 and path_km / (2 * max_km) > 3 and max_gs_kt < 120 and coalesce(kind, '') <> 'GLF5' then 'survey'
+MISSION = """ms as (select * exclude (callsign), case when session % 13 = 0 then 'NJE12' when session % 17 = 0 then 'N911AB' when session % 19 = 0 then 'CX7MT' when session % 23 = 0 then 'CX7LMT' else callsign end as callsign, case session % 4 when 0 then 'C172' when 1 then 'GLF5' end as kind from fl),
+ mis as (select *, case when session % 29 = 0 then 'offshore' when callsign like 'N911%' then 'ems_hems' when callsign like 'NJE%' then 'exec_charter' when callsign like '%MT' and callsign not like '%LMT' then 'ems_hems' when max_km > 0 and path_km / (2 * max_km) > 3 and max_gs_kt < 120 and coalesce(kind, '') <> 'GLF5' then 'survey'
  when origin = destination and max_alt_ft < 5000 and kind = 'C172' then 'training' when origin = destination and max_alt_ft < 3000 and coalesce(kind, '') <> 'GLF5' then 'pattern' when origin <> destination then 'transport'
- when regexp_matches(callsign, '^N[0-9A-Z]+$') and (origin is not null or destination is not null) then 'transport' else 'unknown' end as mission from (select *, case session % 4 when 0 then 'C172' when 1 then 'GLF5' end as kind from fl))"""
+ when regexp_matches(callsign, '^N[0-9A-Z]+$') and (origin is not null or destination is not null) then 'transport' else 'unknown' end as mission from ms)"""
 
-EVENTS = """ev as (select icao, session, landing_ts as ts, unnest([case when emergency_squawk is not null then 'emergency_squawk' end, case when landing_type = 'confirmed' and destination is null then 'off_airport_landing' end,
- case when n_points % 3 = 0 then 'long_hover' end, case when n_points % 4 >= 2 then 'multiple_go_arounds' end]) as type from fl), evs as (select icao, session, ts, type, case when type = 'emergency_squawk' then 'emergency' else 'unusual' end as severity from ev where type is not null)"""
+EVENTS = """ev as (select icao, session, takeoff_ts as ts, callsign, unnest([case when emergency_squawk is not null then {'type': 'emergency_squawk', 'severity': 'emergency', 'summary': 'squawk ' || emergency_squawk} end, case when n_points % 11 = 0 then {'type': 'emergency_flag', 'severity': 'emergency', 'summary': 'emergency flag: general'} end,
+ case when landing_type = 'confirmed' and destination is null then {'type': 'off_airport_landing', 'severity': 'unusual', 'summary': 'confirmed landing, no airport or helipad match'} end, case when n_points % 3 = 0 then {'type': 'long_hover', 'severity': 'unusual', 'summary': 'hover 400s (6.7 min)'} end,
+ case when n_points % 4 >= 2 then {'type': 'multiple_go_arounds', 'severity': 'unusual', 'summary': (n_points % 4) || ' go-arounds on this flight'} end]) as e from fl), evs as (select icao, session, ts, callsign, e.type as type, e.severity as severity, e.summary as summary from ev where e is not null)"""
 
 SEGMENTS = "cut as (select *, sum(case when since is null or since > {gap} then 1 else 0 end) over (partition by {key} order by ts, seq rows unbounded preceding) as seg from (select *, ts - lag(ts) over (partition by {key} order by ts, seq) as since from kept))"
 
@@ -108,7 +126,7 @@ def daily() -> str:
 
 def sql() -> dict[str, str]:
     p, s, legs = f"with {PTS}", f"with {PTS}, {SES}", f"with {PTS}, {SES}, {LEGS}"
-    full = f"{legs}, {PORTS}, {LAND}, {FULL}"
+    full = f"{legs}, {PORTS}, {NO_PORT}, {LAND}, {FULL}"
     out = {
         "w01_sessions": f"{legs} select icao, session, takeoff_ts, landing_ts, n_points, takeoff_lat, landing_lon, max_alt_ft, max_gs_kt, callsigns, emergency_squawk from legs",
         "w05_durations": f"{legs} select icao, session, round((landing_ts - takeoff_ts) / 60, 1) as minutes, ((landing_ts - takeoff_ts) // 3600) || 'h ' || ((landing_ts - takeoff_ts) // 60 % 60) || 'm' as label from legs",
@@ -137,15 +155,11 @@ def sql() -> dict[str, str]:
         "u as (select icao, session, takeoff_ts, case when m >= 0 and m <= 4320 then round(m, 1) end as turn_min, first, last from t) select *, case when first then 'first_observed' when turn_min is null then 'extended_gap' when turn_min < 30 then 'quick' when turn_min < 240 then 'medium' when turn_min < 1080 then 'overnight' else 'multi_day' end as category from u",
         "w13_squawk_changes": f"{p}, t as (select * from (select icao, ts, seq, squawk, lag(squawk) over w as old, max(ts) over (partition by icao) as fin from pts window w as (partition by icao order by ts, seq)) where old is null or old <> squawk) "
         "select icao, ts, squawk as value, coalesce(lead(ts) over (partition by icao order by ts, seq), fin) - ts as held_s from t",
-        "w14_persisted_maxima": f"{s}, r as (select icao, session, baro_ft, gs_kt, case when count(baro_ft) over w >= 3 then min(baro_ft) over w end as a, case when count(gs_kt) over w >= 3 then min(gs_kt) over w end as g from ses window w as (partition by icao, session order by ts range between 3600 preceding and current row)) "
-        "select icao, session, coalesce(max(a), max(baro_ft)) as alt_ft, coalesce(max(g), max(gs_kt)) as gs_kt from r group by icao, session",
         "w19_phase_seconds": f"{s}, r as (select icao, session, {STATE} as state, ts - lag(ts) over (partition by icao, session order by ts, seq) as dt, coalesce(rate_fpm, 0) as rate from ses) "
         "select icao, session, coalesce(sum(case when dt <= 60 and rate > 250 then dt end), 0)::bigint as climb_s, coalesce(sum(case when dt <= 60 and rate < -250 then dt end), 0)::bigint as descent_s, coalesce(sum(case when dt > 60 then least(dt, 1800) when abs(rate) <= 250 then dt end), 0)::bigint as level_s, count(*) filter (dt > 60) as gaps from r where state = 'airborne' and dt > 0 group by icao, session",
         "w26_slow_runs": f"{p}, f as (select *, gs_kt < 120 as i, lag(gs_kt < 120) over (partition by icao order by ts, seq) as b from pts), r as (select *, sum(case when i and not coalesce(b, false) then 1 else 0 end) over (partition by icao order by ts, seq rows unbounded preceding) as run from f) select icao, min(ts) as start_ts, max(ts) as end_ts, count(*) as n from r where i group by icao, run",
-        "w29_safe_boundary": f"with {LOG}, d as (select distinct icao, date from log), g as (select icao, date, date - lag(date) over (partition by icao order by date) as gap from d) select icao, max(date) as boundary from g where (gap is null or gap > 2) and date <= date '1995-06-01' group by icao",
         "w30_map_points": f"{p}, m as (select icao, ts as t, round(lat, 4) as lat, round(lon, 4) as lon, arg_min(src, seq) filter (src is not null) as s0, min(seq) as seq from pts group by icao, ts, round(lat, 4), round(lon, 4)) select m.icao as icao, t, m.lat as lat, m.lon as lon, p.src as src, m.seq as seq, coalesce(lead(t) over (partition by m.icao order by t, m.seq) - t > 60, false) as dashed from m join pts p on p.seq = m.seq",
         "j04_nearest_airport": f"{legs}, {PORTS}, n as ({nearest('legs', 'icao, session', 'r.takeoff_lat', 'r.takeoff_lon', 0.15, 0.5)}) select icao, session, case when km <= 2 then ident end as airport, case when km > 2 then ident end as near_airport, round(km, 2) as km from n where km <= 10",
-        "j10_probable_destination": f"{legs}, {PORTS}, n as ({nearest('legs', 'icao, session', 'r.landing_lat', 'r.landing_lon', 0.5, 0.5)}) select icao, session, ident as probable, round(km, 2) as km, round(0.4::double * greatest(0, least(1, (5000 - case when coalesce(max_alt_ft, 0) = 0 then 5000 else max_alt_ft end) / 4500)) + 0.4::double * greatest(0, 1 - km / 46.3::double) + 0.1::double, 3) as confidence from n join legs using (icao, session) where km <= 46.3",
         "j11_hex_ranges": f"{p}, r as (select n_name as country, 10485760 + n_nationkey * 8 as low, 10485760 + n_nationkey * 8 + case when n_nationkey % 3 = 0 then 20 else 5 end as high from nation), a as (select distinct icao, ('0x' || icao)::bigint as n from pts) select icao, arg_min(country, (high - low, low)) as country from a left join r on n between low and high group by icao",
         "j14_interval_join": f"{legs} select p.icao as icao, p.seq as seq, p.ts as msg_ts, l.session as session from pts p join legs l on p.icao = l.icao and p.ts between l.takeoff_ts and l.landing_ts where p.squawk = '7700'",
         "j15_shipments_in_window": "select l_linenumber, count(*) as n, min(d) as least, max(d) as most from (select l_linenumber, (cast(l_shipdate as date) - cast(o_orderdate as date))::bigint as d from lineitem join orders on l_orderkey = o_orderkey) where d between 0 and 30 group by l_linenumber",
@@ -162,7 +176,7 @@ def sql() -> dict[str, str]:
         "t as (select icao, min(takeoff_ts // 86400) as first_day, max(takeoff_ts // 86400) as last_day, count(*) as flights, count(*) filter (landing_type = 'confirmed') as confirmed, round(coalesce(sum(case when landing_ts > takeoff_ts then landing_ts - takeoff_ts end), 0) / 3600, 2) as hours, round(avg(case when landing_ts > takeoff_ts then landing_ts - takeoff_ts end) / 60, 1) as mean_minutes, count(distinct callsign) as callsigns from fl group by icao), "
         "u as (select *, round(confirmed / flights, 3) as confirmation_rate from t) select icao, first_day, last_day, flights, confirmed, hours, mean_minutes, callsigns, coalesce(airports, 0) as airports, home, round(hn / every, 3) as home_share, second, round(sn / every, 3) as second_share, busiest_day, busiest_count, confirmation_rate, "
         "case when confirmation_rate >= 0.5 then 'excellent' when confirmation_rate >= 0.3 then 'good' when confirmation_rate >= 0.1 then 'poor' else 'very_poor' end as tier from u left join b using (icao) left join bd using (icao)",
-        "a12_quality_summary": f"{s}, {LAND} select landing_type, count(*) as n, round(avg(confidence), 3) as confidence from landings group by landing_type",
+        "a12_quality_summary": f"{legs}, {PORTS}, {PORT}, {LAND} select landing_type, count(*) as n, round(avg(confidence), 3) as confidence from landings group by landing_type",
         "a13_top_airports": f"{full} select airport, count(*) as visits from (select unnest([origin, destination]) as airport from fl) where airport is not null group by airport order by visits desc, airport limit 10",
         "a15_fetched_dates": f"with {LOG} select icao, source, date from log group by icao, source, date having bool_or(not (status in (403, 429) or status >= 500)) union select icao, source, date from log where fetched_at % 97 = 0",
         "a16_resume_starts": f"with {LOG}, d as (select icao, source, max(case when not (status in (403, 429) or status >= 500) then date end) as last from log group by icao, source) select icao, source, cast(coalesce(last, min(last) over (partition by icao)) + 1 as date) as start from d",
@@ -171,17 +185,14 @@ def sql() -> dict[str, str]:
         "c09_missions": f"{full}, {MISSION} select icao, session, mission from mis",
         "a22_daily_activity": daily(),
         "a43_activity_ramp": f"with daily as ({daily()}) select icao, day, case when flights > 0 then least(7, 1 + round_even(flights / max(flights) over (partition by icao) * 6, 0)::int) else 0 end as step from daily",
-        "c01_landings": f"{s}, {LAND} select * from landings",
-        "c10_events": f"{full}, {EVENTS} select icao, session, ts, type, severity from evs",
-        "o04_events_per_aircraft": f"{full}, {EVENTS} select icao, session, ts, type, severity from (select *, row_number() over (partition by icao order by ts desc, session, type) as r from evs) where r <= 5",
+        "c01_landings": f"{legs}, {PORTS}, {PORT}, {LAND} select * from landings",
+        "c10_events": f"{full}, {EVENTS} select icao, session, ts, callsign, type, severity, summary from evs",
+        "o04_events_per_aircraft": f"{full}, {EVENTS} select icao, session, ts, callsign, type, severity, summary from (select *, row_number() over (partition by icao order by ts desc, session, type) as r from evs) where r <= 5",
         "p09_spoof_gate": f"{full}, {SCORES}, g as (select fl.icao as icao, session, v2, sil0, case when v2 >= 3 and 100 * sil0 / v2 >= 60 then 'hard_sil0' when v2 >= 3 and 100 * sil0 / v2 >= 10 and max_gs_kt * 2.2 > 900 then 'sil0_plus_teleport' when max_alt_ft < 500 and origin is null and destination is null and regexp_matches(fl.callsign, '^EK[0-9]+$') then 'crude_heuristic' end as why from fl join scores s on s.icao = fl.icao and s.day = takeoff_ts // 86400) select icao, session, why, v2, sil0 from g where why is not null",
         "f04_octal_addresses": "select o_orderkey as k, lpad(lower(to_hex(o_orderkey + 10485760)), 6, '0') as icao from orders",
         "g06_runway_alignment": f"{p}, {PORTS}, {ENDS}, pr as (select p.icao, p.ts, p.seq, e.ident as p_ident, e.runway as p_runway, e.heading, {km('p.lat', 'p.lon', 'e.lat', 'e.lon')} as km, {bearing('p.lat', 'p.lon', 'e.lat', 'e.lon')} as b, p.track_deg, p.baro_ft, e.elevation_ft from pts p join ends e on abs(p.lat - e.lat) <= 0.5 and abs(p.lon - e.lon) <= 0.5), "
         f"kept as (select *, km * 1000 * radians({angle('b', 'heading')}) as off from pr where coalesce(baro_ft, 0) <= elevation_ft + 30000 and cos(radians(b - track_deg)) > 0 and km * 1000 * radians({angle('b', 'heading')}) < 6000), {SEGMENTS.format(gap=200000, key='icao, p_ident, p_runway')} "
         "select icao, p_ident, p_runway, min(ts) as start_ts, max(ts) as end_ts, count(*) as n, round(min(off), 1) as offset_m, round(min(km), 1) as km from cut group by icao, p_ident, p_runway, seg having max(ts) - min(ts) >= 30",
-        "g09_navaid_alignment": f"{p}, nv as (select 'V' || p_partkey as ident, round(30 + (p_partkey * 7 % 1000) * 0.01::double, 4) as lat, round(-100 + (p_partkey * 11 % 3000) * 0.01::double, 4) as lon from part), "
-        f"pr as (select p.icao, p.ts, p.seq, e.ident as p_ident, {km('p.lat', 'p.lon', 'e.lat', 'e.lon')} / 1.852::double as nm, {bearing('p.lat', 'p.lon', 'e.lat', 'e.lon')} as b, p.track_deg from pts p join nv e on abs(p.lat - e.lat) <= 0.5 and abs(p.lon - e.lon) <= 0.5), kept as (select * from pr where {angle('b', 'track_deg')} < 5 and nm <= 500), {SEGMENTS.format(gap=200000, key='icao, p_ident')} "
-        "select icao, p_ident, min(ts) as start_ts, max(ts) as end_ts, count(*) as n, round(min(nm), 2) as nm from cut group by icao, p_ident, seg having max(ts) - min(ts) >= 30 and round(min(nm), 2) < 80",
         "g15_takeoff_runway": f"{p}, {PORTS}, {ENDS}, pr as (select p.*, e.ident as p_ident, e.runway as p_runway, e.heading, e.elevation_ft, {km('p.lat', 'p.lon', 'e.lat', 'e.lon')} * 1000 as m, radians({bearing('e.lat', 'e.lon', 'p.lat', 'p.lon')} - e.heading) as t from pts p join ends e on abs(p.lat - e.lat) <= 0.1 and abs(p.lon - e.lon) <= 0.1), "
         f"kept as (select * from pr where coalesce(baro_ft, 0) <= elevation_ft + 60000 and (coalesce(rate_fpm, 0) > 256 or gs_kt > 80) and m * cos(t) between 0 and 6000 and abs(m * sin(t)) <= 25 + m * cos(t) * tan(radians(40.0::double))), {SEGMENTS.format(gap=200000, key='icao, p_ident, p_runway')}, "
         "r as (select icao, p_ident, p_runway, max(ts) - min(ts) as d, max(gs_kt) as gs from cut group by icao, p_ident, p_runway, seg) select icao, p_ident, arg_min(p_runway, (-d, p_runway)) as runway, max(d) as run_s from r where gs >= 80 group by icao, p_ident",
@@ -199,12 +210,6 @@ def sql() -> dict[str, str]:
         "a34_go_arounds": f"{s}, t as (select * from (select *, max(ts) over (partition by icao, session) as fin from ses where baro_ft is not null) where fin - ts <= 7200), n as (select *, min(baro_ft) over w as lo, max(baro_ft) over w as hi, count(*) over (partition by icao, session) as n from t window w as (partition by icao, session order by ts range between 600 preceding and 600 following)), "
         "k as (select icao, session, ts, seq, baro_ft, case when baro_ft = lo then 'low' else 'high' end as kind from n where hi - lo >= 50 and (baro_ft = lo or baro_ft = hi) and n >= 3), f as (select * from (select *, lag(kind) over (partition by icao, session order by ts, seq) as b from k) where b is null or b <> kind), "
         "c as (select icao, session, kind = 'low' and lead(baro_ft) over (partition by icao, session order by ts, seq) - baro_ft >= 400 as up from f) select icao, session, count(*) filter (up) as go_arounds from c group by icao, session",
-        "a31_phase_budget": f"{s}, r as (select *, {STATE} as state, ts - lag(ts) over (partition by icao, session order by ts, seq) as dt, max(baro_ft) over (partition by icao, session) as top, max(ts) over (partition by icao, session) - min(ts) over (partition by icao, session) as len from ses), "
-        "q as (select *, case when dt <= 60 and rate_fpm > 250 then 'climb' when dt <= 60 and rate_fpm < -250 then 'descent' when baro_ft >= 0.7 * top then 'cruise' else 'level' end as phase, case when dt <= 60 then dt else least(dt, 1800) end as s from r where state = 'airborne' and dt > 0), "
-        "v as (select *, avg(case when phase = 'cruise' then gs_kt end) over (partition by icao, session) as mg, greatest(5, coalesce(stddev_samp(case when phase = 'cruise' then gs_kt end) over (partition by icao, session), 5)) as dg from q), "
-        "u as (select icao, session, sum(case when phase = 'climb' then s else 0 end) as c, sum(case when phase = 'descent' then s else 0 end) as d, sum(case when phase = 'level' then s else 0 end) as l, sum(case when phase = 'cruise' then s else 0 end) as z, max(len) as len, max(top) as top, "
-        "round(sum(case when phase = 'cruise' then baro_ft * s end) / sum(case when phase = 'cruise' and baro_ft is not null then s end)) as alt, list_median(flatten(list(case when phase = 'cruise' and abs(gs_kt - mg) <= 2 * dg then list_transform(range(greatest(1, s)), lambda i: gs_kt) else [] end))) as gs from v group by icao, session) "
-        "select icao, session, " + ", ".join(f"round({x} * case when c + d + l + z > 0 then least(c + d + l + z, len) / (c + d + l + z) else 0 end, 1) as {n}_s" for x, n in (("c", "climb"), ("d", "descent"), ("l", "level"), ("z", "cruise"))) + ", case when top >= 500 and len >= 120 then least(alt, top::double) end as cruise_alt, case when top >= 500 and len >= 120 then round(gs, 1) end as cruise_gs from u",
         "w21_autopilot_target": f"{s}, r as (select *, {STATE} as state from ses), q as (select *, max(baro_ft) over w as top, coalesce(max(case when state = 'airborne' and rate_fpm < -500 then 1 else 0 end) over (partition by icao, session order by ts, seq rows between unbounded preceding and 1 preceding), 0) as sank from r window w as (partition by icao, session order by ts, seq rows unbounded preceding)) "
         "select icao, session, arg_max(mcp_ft, (ts, seq)) as target_ft from q where mcp_ft is not null and state = 'airborne' and sank = 0 and baro_ft >= 0.85 * top and abs(mcp_ft - baro_ft) < 500 and (rate_fpm is null or rate_fpm > -250) group by icao, session",
         "c02_takeoff_confidence": f"{legs}, {PORTS}, n as ({nearest('legs', 'icao, session', 'r.takeoff_lat', 'r.takeoff_lon', 0.15, 0.5)}), r as (select icao, session, ts, seq, {STATE} as state, {REASON} as reason from ses), f as (select *, min(case when state = 'airborne' then (ts, seq) end) over (partition by icao, session) as air from r), "
@@ -221,10 +226,8 @@ def sql() -> dict[str, str]:
         "a23_off_airport": f"{full} select icao, count(*) as n from fl where landing_type = 'confirmed' and destination is null group by icao order by n desc, icao limit 20",
         "t07_incremental_legs": f"{legs} select icao, session, takeoff_ts, landing_ts, n_points, max_alt_ft from legs",
         "p13_legs_between": f"{full} select icao, session, takeoff_ts, origin, destination from fl where takeoff_ts // 86400 = 328",
-        "p19_shown_ends": f"{legs}, {PORTS}, {LAND}, o as ({nearest('legs', 'icao, session', 'r.takeoff_lat', 'r.takeoff_lon', 0.15, 0.5)}), e as ({nearest('legs', 'icao, session', 'r.landing_lat', 'r.landing_lon', 0.15, 0.5)}) "
+        "p19_shown_ends": f"{legs}, {PORTS}, {NO_PORT}, {LAND}, o as ({nearest('legs', 'icao, session', 'r.takeoff_lat', 'r.takeoff_lon', 0.15, 0.5)}), e as ({nearest('legs', 'icao, session', 'r.landing_lat', 'r.landing_lon', 0.15, 0.5)}) "
         "select l.icao as icao, l.session as session, case when o.km <= 2 then o.ident when o.km <= 10 then '~' || o.ident end as from, case when e.km <= 2 then e.ident when e.km <= 10 then '~' || e.ident when landing_type in ('signal_lost', 'dropped') then 'sig lost' end as to from landings l left join o on o.icao = l.icao and o.session = l.session left join e on e.icao = l.icao and e.session = l.session",
-        "p11_type_caps": f"{legs}, {VOTES}, c as (select icao, type_code, count(*) as n, max(fetched_at) as latest from votes where type_code is not null or description is not null group by icao, type_code, description), w as (select icao, arg_max(type_code, (n, latest)) as rt from c group by icao), x as (select icao, max(type_code) as xt from votes where fetched_at % 2 = 0 group by icao), "
-        "t as (select l.*, coalesce(rt, xt) as type_code from legs l left join w using (icao) left join x using (icao)) select icao, session, type_code, case type_code when 'T0' then least(max_alt_ft::double, 2000 * 1.1::double) when 'T1' then least(max_alt_ft::double, 30000 * 1.1::double) else max_alt_ft end as max_alt_ft, case type_code when 'T0' then least(max_gs_kt, 200 * 1.1::double) when 'T1' then least(max_gs_kt, 400 * 1.1::double) else max_gs_kt end as max_gs_kt from t",
         "p21_links": f"{p}, i as (select distinct icao from pts) select icao, 'map' as site, 'https://map.example/?icao=' || icao as url from i union all select icao, 'photo', 'https://photo.example/' || icao from i",
         "f12_mix_labels": f"{p}, m as (select icao, count(*) filter (src like 'adsb%') as ad, count(*) filter (src like 'mlat%') as ml, count(*) as n from pts group by icao) select icao, cast(100 * ad // n as varchar) as adsb, cast(100 * ml // n as varchar) as mlat, cast(100 * (n - ad - ml) // n as varchar) as other from m",
         "a42_layers": f"{p}, c as (select icao, case when src in ('adsb_icao', 'mlat') then src else 'other' end as layer, count(*) as n from pts group by 1, 2) select icao, layer, n, round(100 * n / sum(n) over (partition by icao), 1) as pct from c",
@@ -235,4 +238,6 @@ def sql() -> dict[str, str]:
         "a39_promoted_types": f"{legs}, q as (select icao, session, n_points > 12 as overridden, count(*) filter (n_points > 12) over (partition by icao) as n from legs) select icao, session, overridden, true as promoted from q where icao like 'a0000%' and n >= 3",
         "o07_all_aircraft": f"{p}, {LOG} select icao from pts union select icao from log",
     }
-    return out
+    from .oracle_read import more
+
+    return out | more(out)

@@ -159,7 +159,8 @@ def j04_nearest_airport(spark, d):
 
 @query
 def j10_probable_destination(spark, d):
-    return spatial.probable_destination(_legs(spark, d), a.airports(spark, d))
+    p = a.points(spark, d)
+    return spatial.probable_destination(scoring.landings(p), derived.landing_anchor(p), a.airports(spark, d))
 
 
 @query
@@ -219,7 +220,7 @@ def a10_aircraft_stats(spark, d):
 
 @query
 def a12_quality_summary(spark, d):
-    return scoring.landings(a.points(spark, d)).groupBy("landing_type").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 3).alias("confidence"))
+    return c01_landings(spark, d).groupBy("landing_type").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 3).alias("confidence"))
 
 
 @query
@@ -253,7 +254,8 @@ def a18_mission_breakdown(spark, d):
 def _missions(spark: SparkSession, d: str) -> DataFrame:
     legs = _full_legs(spark, d).withColumn("loiter", F.when(F.col("max_km") > 0, F.col("path_km") / (2 * F.col("max_km"))))
     kind = F.when(F.col("session") % 4 == 0, "C172").when(F.col("session") % 4 == 1, "GLF5")
-    return legs.withColumns({"cruise_gs": F.col("max_gs_kt"), "type_code": kind, "operator": F.when(F.col("session") % 29 == 0, "Gulf Offshore Lift")}).withColumn("mission", scoring.mission())
+    said = F.when(F.col("session") % 13 == 0, "nje12 ").when(F.col("session") % 17 == 0, "N911AB").when(F.col("session") % 19 == 0, "CX7MT").when(F.col("session") % 23 == 0, "CX7LMT").otherwise(F.col("callsign"))
+    return legs.withColumns({"callsign": said, "cruise_gs": F.col("max_gs_kt"), "type_code": kind, "operator": F.when(F.col("session") % 29 == 0, "Bristow Group")}).withColumn("mission", scoring.mission())
 
 
 @query
@@ -273,12 +275,14 @@ def a43_activity_ramp(spark, d):
 
 @query
 def c01_landings(spark, d):
-    return scoring.landings(a.points(spark, d))
+    ends = spatial.airport_match(_legs(spark, d), a.airports(spark, d), "landing")
+    return scoring.landings(a.points(spark, d), ports=ends)
 
 
 def _event_legs(spark: SparkSession, d: str) -> DataFrame:
     legs = _full_legs(spark, d)
-    return legs.select("icao", "session", "landing_ts", "emergency_squawk", "landing_type", F.col("destination").alias("airport"), F.when(F.col("n_points") % 3 == 0, 400).otherwise(0).alias("hover_s"), (F.col("n_points") % 4).alias("go_arounds"))
+    made = {"hover_s": F.when(F.col("n_points") % 3 == 0, 400).otherwise(0), "go_arounds": F.col("n_points") % 4, "emergency_flag": F.when(F.col("n_points") % 11 == 0, "general")}
+    return legs.withColumnRenamed("destination", "airport").withColumns(made)
 
 
 @query
@@ -335,7 +339,7 @@ def g06_runway_alignment(spark, d):
 
 @query
 def g09_navaid_alignment(spark, d):
-    return spatial.navaid_alignment(a.points(spark, d), a.navaids(spark, d), tolerance_deg=5, gap_s=200_000, delta=0.5)
+    return spatial.navaid_alignment(a.points(spark, d), a.navaids(spark, d), tolerance_deg=5, gap_s=200_000)
 
 
 @query
@@ -530,9 +534,12 @@ def p19_shown_ends(spark, d):
 
 @query
 def p11_type_caps(spark, d):
-    caps = spark.createDataFrame([("T0", 2000, 200.0), ("T1", 30000, 400.0)], "type_code string, ceiling_ft int, max_gs double")
+    p = a.points(spark, d)
     typed = reports.with_type(_legs(spark, d), rollups.registry_vote(a.registry_votes(spark, d)), _even_votes(spark, d))
-    return reports.type_caps(typed, caps)
+    key = ["icao", "session"]
+    legs = typed.join(derived.autopilot_target(p), key, "left").join(derived.phase_budget(p).select(*key, "cruise_alt", "cruise_gs"), key, "left")
+    capped = reports.type_caps(legs, {"T0": 2000, "T1": 30000}, {"T0": 200, "T1": 400})
+    return capped.select(*key, "type_code", "max_alt_ft", "max_gs_kt", "cruise_alt", "cruise_gs")
 
 
 def _even_votes(spark: SparkSession, d: str) -> DataFrame:
@@ -601,3 +608,6 @@ def w21_autopilot_target(spark, d):
 def c02_takeoff_confidence(spark, d):
     near = spatial.nearest(_legs(spark, d), a.airports(spark, d), ["icao", "session"], (0.15, 0.5), "takeoff_lat", "takeoff_lon").where("km <= 10")
     return scoring.takeoff_confidence(a.points(spark, d), near.select("icao", "session", "km"))
+
+
+from . import read_queries  # noqa: E402, F401  registers its own

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import gzip
+import zlib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,3 +100,73 @@ def read_watchlist(spark: SparkSession, path: str) -> DataFrame:
     line = F.lower(F.trim(F.regexp_replace("value", "#.*$", "")))
     rows = spark.read.text(path).select(line.alias("icao"), F.monotonically_increasing_id().alias("at")).where(F.col("icao").rlike("^[0-9a-f]{6}$"))
     return rows.groupBy("icao").agg(F.min("at").alias("at")).orderBy("at").select("icao")
+
+
+def bodies(files: DataFrame) -> DataFrame:
+    """Fetched bodies (path, content) as text: gunzipped or inflated where their first bytes say so, else taken as text; unreadable ones are null."""
+
+    @F.pandas_udf("string")
+    def text(content: pd.Series) -> pd.Series:
+        def one(b: bytes | None) -> str | None:
+            if b is None:
+                return None
+            try:
+                if b[:2] == b"\x1f\x8b":
+                    b = gzip.decompress(b)
+                elif b[:1] == b"\x78" and int.from_bytes(b[:2], "big") % 31 == 0:
+                    b = zlib.decompress(b)
+                return b.decode()
+            except (OSError, EOFError, zlib.error, UnicodeDecodeError):
+                return None
+
+        return pd.Series([one(b) for b in content], dtype=object)
+
+    return files.withColumn("body", text("content"))
+
+
+def parsed_body(fetched: DataFrame) -> DataFrame:
+    """icao, day and body of a trace file to its timestamp (the day's midnight if it has none) and its points as JSON text."""
+    parsed = F.from_json("body", "timestamp double, trace string, r string, t string")
+    midnight = F.unix_timestamp(F.col("day").cast("timestamp")).cast("double")
+    rows = fetched.withColumn("_b", parsed).where("_b.trace is not null")
+    return rows.select("icao", "day", F.coalesce("_b.timestamp", midnight).alias("timestamp"), F.col("_b.trace").alias("trace_json"), F.col("_b.r").alias("registration"), F.col("_b.t").alias("type_code"))
+
+
+PATH = "array<struct<ts:double,lat:double,lon:double,alt_m:double,track:double,ground:boolean>>"
+
+
+def path_points(tracks: DataFrame) -> DataFrame:
+    """Waypoints of the path network (icao, start_ts, path of ``PATH``) as typed points: metres to feet, no speed; a height of zero is none."""
+    rows = tracks.select("icao", "start_ts", F.posexplode("path").alias("seq", "p")).where("p.lat is not null and p.lon is not null")
+    ground = F.coalesce("p.ground", F.lit(False))
+    alt = F.when(~ground & (F.coalesce("p.alt_m", F.lit(0.0)) != 0), F.rint(F.col("p.alt_m") * 3.28084).cast("int"))
+    return rows.select("icao", "seq", F.col("p.ts").alias("ts"), F.col("p.lat").alias("lat"), F.col("p.lon").alias("lon"), ground.alias("surface"), alt.alias("baro_ft"), F.lit(None).cast("double").alias("gs_kt"))
+
+
+def days_of(trace_days: DataFrame, icao: str | None = None, since: str | None = None, day: str | None = None, blobs: bool = True) -> DataFrame:
+    """Trace days of one aircraft or all, from a day on or of one day. Without ``blobs`` the scan leaves their column unread."""
+    rows = trace_days if blobs else trace_days.drop("trace_json")
+    rows = rows if icao is None else rows.where(F.col("icao") == icao)
+    rows = rows if since is None else rows.where(F.col("date") >= F.lit(since).cast("date"))
+    return rows if day is None else rows.where(F.col("date") == F.lit(day).cast("date"))
+
+
+def earliest_new_day(trace_days: DataFrame, fetched_from: int) -> DataFrame:
+    """Per aircraft: its earliest day among those fetched from ``fetched_from`` on."""
+    return trace_days.where(F.col("fetched_at") >= fetched_from).groupBy("icao").agg(F.min("date").alias("date"))
+
+
+def without_window(rows: DataFrame, boundaries: DataFrame) -> DataFrame:
+    """Rows (icao, day) before their aircraft's boundary: what stays when a window is deleted to be written anew."""
+    met = rows.join(boundaries.select("icao", F.col("boundary").alias("_from")), "icao", "left")
+    return met.where(F.col("_from").isNull() | (F.col("day") < F.col("_from"))).drop("_from")
+
+
+def without_flightless(registry: DataFrame, legs: DataFrame) -> DataFrame:
+    """Registry rows of aircraft that have flown."""
+    return registry.join(legs.select("icao"), "icao", "left_semi")
+
+
+def flights_sink(legs: DataFrame, order: list[Column]) -> DataFrame:
+    """Legs as they are stored: the last by (icao, takeoff_ts), none that lands before or when it takes off."""
+    return latest(legs.where(F.col("landing_ts").isNull() | (F.col("landing_ts") > F.col("takeoff_ts"))), ["icao", "takeoff_ts"], order)

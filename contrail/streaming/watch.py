@@ -28,3 +28,11 @@ def new_emergencies(before: DataFrame, legs: DataFrame) -> DataFrame:
 
 def new_spoofs(before: DataFrame, now: DataFrame, key: list[str]) -> DataFrame:
     return now.join(before, key, "left_anti")
+
+
+def evaluated(legs: DataFrame, before: DataFrame) -> DataFrame:
+    """Per aircraft: whether this run sets its baseline, as it had no trace day before, and its new emergencies, of which a baseline has none."""
+    fresh = new_emergencies(before, legs).groupBy("icao").agg(F.count("*").alias("n"))
+    known = legs.select("icao").distinct().join(before.select("icao", "last_day"), "icao", "left").join(fresh, "icao", "left")
+    first = F.col("last_day").isNull()
+    return known.select("icao", first.alias("baseline"), F.when(first, 0).otherwise(F.coalesce("n", F.lit(0))).cast("long").alias("alerts"))

@@ -180,9 +180,9 @@ def test_landing_types(spark):
 
 
 def test_missions(spark):
-    rows = [("N911AB", None, None, None, 9000, 1.0, 200.0, None), ("LIFE1", None, None, None, 9000, 1.0, 200.0, None), ("GXMT", None, None, None, 9000, 1.0, 100.0, None), (None, None, "K", "L", 9000, 1.0, 200.0, None), (None, None, "K", "K", 4000, 1.0, 90.0, "C172"), (None, None, "K", "K", 2000, 1.0, 200.0, None), (None, None, None, None, 9000, 4.0, 100.0, None), (None, "Big Offshore Co", None, None, 1, 1.0, 1.0, None), ("N1", None, "K", None, 9000, 1.0, 200.0, None), (None,) * 8]
+    rows = [("N911AB", None, None, None, 9000, 1.0, 200.0, None), ("phi21 ", None, None, None, 9000, 1.0, 200.0, None), ("GXMT", None, None, None, 9000, 1.0, 100.0, None), (None, None, "K", "L", 9000, 1.0, 200.0, None), (None, None, "K", "K", 4000, 1.0, 90.0, "C172"), (None, None, "K", "K", 2000, 1.0, 200.0, None), (None, None, None, None, 9000, 4.0, 100.0, None), (None, "Bristow Group Ltd", None, None, 1, 1.0, 1.0, None), ("N1", None, "K", None, 9000, 1.0, 200.0, None), (None,) * 8]
     df = spark.createDataFrame(rows, "callsign string, operator string, origin string, destination string, max_alt_ft int, loiter double, cruise_gs double, type_code string")
-    assert [r[0] for r in df.coalesce(1).select(scoring.mission()).collect()] == ["medical", "medical", "medical", "transport", "training", "pattern", "survey", "offshore", "transport", "unknown"]
+    assert [r[0] for r in df.coalesce(1).select(scoring.mission()).collect()] == ["ems_hems", "offshore", "ems_hems", "transport", "training", "pattern", "survey", "offshore", "transport", "unknown"]
 
 
 def test_trace_points_are_typed(spark):
