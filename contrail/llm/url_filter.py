@@ -12,13 +12,14 @@ For the rest, each host has a tree of path segments, built level by level over c
    together (two-proportion z below ``MERGE_Z``) joins ``*``; what is left apart differs significantly.
 3. **Reject.** A template is blocked if its share of bad labels, smoothed, is at least ``PURITY``. Smoothing adds
    ``PRIOR_WEIGHT`` labels at the share of its host, which is smoothed by that of the domain above it in the same way, and
-   so on up to the corpus's share (``PURITY`` / 2 at most): a sparse host is judged by the hosts beside it.
+   so on up to the corpus's share (``PURITY`` / 2 at most): a sparse host is judged by the hosts beside it. A template
+   without a label of its own needs twice the ``PURITY``.
 
 The tree goes down to the last segment of every path; what lies beyond ``DEPTH`` and never parts is written ``**``. Every level is a sum by (host, template, segment), combined within tasks
 first, so that a host with a third of all pages costs a few rows.
 
 Defined results: a null url, or one without ``://``, has an empty host and path and is allowed unless its template
-says otherwise; unlabelled templates are judged by the corpus's share; repeated rows get equal verdicts.
+says otherwise; unlabelled templates are judged by their host's share; repeated rows get equal verdicts.
 """
 
 from __future__ import annotations
@@ -144,13 +145,13 @@ def filter_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str,
     total = tree.agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b")).first()
     prior = min((total.b or 0) / total.l if total.l else 0.0, PURITY / 2)  # no label of its own rejects no template
     own = tree.groupBy("host", "template").agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b")).join(host_shares(tree, prior), "host")
-    pure = own.select("host", "template", ((F.col("b") + PRIOR_WEIGHT * F.col("share")) / (F.col("l") + PRIOR_WEIGHT)).alias("purity"))
-    scored = tree.join(pure, ["host", "template"]).select("host", "segments", "template", "purity")
+    pure = own.select("host", "template", "l", ((F.col("b") + PRIOR_WEIGHT * F.col("share")) / (F.col("l") + PRIOR_WEIGHT)).alias("purity"))
+    scored = tree.join(pure, ["host", "template"]).select("host", "segments", "template", "purity", F.when(F.col("l") > 0, PURITY).otherwise(2 * PURITY).alias("least"))
     same = (keyed["host"] == scored["host"]) & (keyed["segments"] == scored["segments"])
     rule, verdict = rule_of(rules)
     out = keyed.join(scored, same, "left")
-    learned = F.when(F.col("purity") >= PURITY, "block").otherwise("allow")
-    return out.select("page_id", keyed["host"], "path", "template", "purity").withColumn("rule", rule).withColumn("verdict", F.coalesce(verdict, learned)).select("page_id", "host", "path", "rule", "verdict", "template", "purity")
+    learned = F.when(F.col("purity") >= F.col("least"), "block").otherwise("allow")
+    return out.select("page_id", keyed["host"], "path", "template", "purity", "least").withColumn("rule", rule).withColumn("verdict", F.coalesce(verdict, learned)).select("page_id", "host", "path", "rule", "verdict", "template", "purity")
 
 
 def oracle_sql(depth: int = DEPTH) -> str:
@@ -188,9 +189,9 @@ def oracle_sql(depth: int = DEPTH) -> str:
         "ch as (select host, l, b, ps, unnest(range(1, len(ps) + 1)) as i from hs)",
         "dm as (select array_to_string(ps[i:], '.') as domain, array_to_string(ps[i + 1:], '.') as above, sum(l) as l, sum(b) as b, len(ps) - i as d from ch group by 1, 2, len(ps) - i)",
         f"sh as (select domain, d, (b + {PRIOR_WEIGHT}::double * prior) / (l + {PRIOR_WEIGHT}::double) as share from dm, q where d = 0 union all select dm.domain, dm.d, (dm.b + {PRIOR_WEIGHT}::double * sh.share) / (dm.l + {PRIOR_WEIGHT}::double) from dm join sh on dm.above = sh.domain and dm.d = sh.d + 1)",
-        f"u as (select z.host as host, template, (sum(bad) + {PRIOR_WEIGHT}::double * any_value(share)) / (sum(labelled) + {PRIOR_WEIGHT}::double) as purity from z join hs on hs.host = z.host join sh on sh.domain = z.host and d = len(ps) - 1 group by z.host, template)",
+        f"u as (select z.host as host, template, (sum(bad) + {PRIOR_WEIGHT}::double * any_value(share)) / (sum(labelled) + {PRIOR_WEIGHT}::double) as purity, case when sum(labelled) > 0 then {PURITY}::double else {2 * PURITY}::double end as least from z join hs on hs.host = z.host join sh on sh.domain = z.host and d = len(ps) - 1 group by z.host, template)",
     ]
     same = " and ".join(f"k.{c} is not distinct from z.{c}" for c in levels)
     rule = "case " + " ".join(f"when {f} then '{r}'" for f, r, _ in fits) + " end"
-    verdict = "case " + " ".join(f"when {f} then '{v}'" for f, _, v in fits) + f" when purity >= {PURITY} then 'block' else 'allow' end"
-    return f"with recursive {', '.join(parts)}, o as (select page_id, k.host as host, path, z.template as template, purity from k join z on k.host = z.host and k.deeper = z.deeper and {same} join u on u.host = z.host and u.template = z.template) select page_id, host, path, {rule} as rule, {verdict} as verdict, template, purity from o"
+    verdict = "case " + " ".join(f"when {f} then '{v}'" for f, _, v in fits) + " when purity >= least then 'block' else 'allow' end"
+    return f"with recursive {', '.join(parts)}, o as (select page_id, k.host as host, path, z.template as template, purity, least from k join z on k.host = z.host and k.deeper = z.deeper and {same} join u on u.host = z.host and u.template = z.template) select page_id, host, path, {rule} as rule, {verdict} as verdict, template, purity from o"

@@ -1,11 +1,16 @@
 """Queries that DuckDB can run too, and their edge cases."""
 
+import textwrap
+from pathlib import Path
+
 import duckdb
 import pytest
 from contrail.llm import license_scan as licenses
 from contrail.llm import queries
 from contrail.llm.url_filter import filter_urls, with_host_and_path
 
+from pyspark.sql import functions as F
+
 from ..conftest import DATA
 from .helpers import documents
 
@@ -23,7 +28,7 @@ def test_against_sql(spark, name):
 def test_licenses(spark):
     mit = dict(licenses.KNOWN[::-1])["MIT"]
     whole = next(t for n, t in licenses.KNOWN if n == "MIT" and t.startswith("Permission"))
-    texts = [None, "", "Copyright (c) 2020 Someone\n\n" + whole.upper().replace(" ", "\n"), whole.replace("sublicense", "sublicence") + "  ", whole + " extra", "x\nReleased under the MIT Licence\ny", "(c) me", mit, "z " * 50_000]
+    texts = [None, "", "Copyright (c) 2020 Someone\n\n" + whole.upper().replace(" ", "\n"), whole.replace("sublicense", "sublicence") + "  ", whole + " extra", "x\nReleased under the MIT Licence\ny", "(c) 2020 me", mit, "z " * 50_000]
     rows = sorted(licenses.license_scan(documents(spark, [*texts, "dup", "dup"], ids=[*range(len(texts)), 50, 50])).collect(), key=lambda r: r.doc_id)
     assert [r.license for r in rows] == [None, None, "MIT", "MIT", None, None, None, "MIT", None, None, None]
     assert [r.notices for r in rows][4:7] == ["", "MIT", ""]
@@ -31,6 +36,20 @@ def test_licenses(spark):
     assert licenses.license_scan(documents(spark, ["a"]).where("false")).count() == 0
 
 
+def test_whole_licences_however_they_are_wrapped(spark):
+    folder = Path("/usr/share/common-licenses")
+    texts = [(n, (folder / f).read_text("latin-1")) for n, f in (("GPL-3.0", "GPL-3"), ("Apache-2.0", "Apache-2.0"), ("MPL-2.0", "MPL-2.0"), ("BSD-3-Clause", "BSD")) if (folder / f).exists()]
+    isc = next(t for n, t in licenses.KNOWN if n == "ISC" and t.startswith("Permission"))
+    texts.append(("ISC", "Copyright (c) 2020, A Holder <a@b.c>\n" + "\n".join(textwrap.wrap(isc, 72)).replace("the above\n", "the above ").replace("above copyright", "above\ncopyright")))
+    joined = [(n, "\n\n".join(" ".join(p.split()) if "OPYRIGHT (" not in p else p for p in t.upper().split("\n\n"))) for n, t in texts]
+    found = {r.doc_id: r.license for r in licenses.license_scan(documents(spark, [t for _, t in texts + joined])).collect()}
+    assert [found[i] for i in range(2 * len(texts))] == [n for n, _ in texts] * 2
+    own = licenses.digests_of(spark.createDataFrame([("OWN-1", "Do as you like,\nbut\ncopyright notices stay.")], "license string, text string"))
+    rows = licenses.license_scan(documents(spark, ["do as you like but copyright\nNotices stay", "do as you like"]), own).orderBy("doc_id").collect()
+    assert [r.license for r in rows] == ["OWN-1", None]
+    assert "copyright owner" in spark.range(1).select(licenses.canonical_line(F.lit("Copyright owner"))).first()[0]
+
+
 def pages_of(spark, urls):
     return spark.createDataFrame([(i, u, "h", "x") for i, u in enumerate(urls)], "page_id long, url string, html string, host string").drop("host")
 
@@ -62,6 +81,21 @@ def test_bad_branch_is_rejected_and_variables_are_generalised(spark):
     assert filter_urls(pages_of(spark, urls).where("false"), labels).count() == 0
 
 
+def test_sparse_hosts_are_judged_by_the_hosts_beside_them(spark):
+    urls = [f"https://h{i}.bad.org/x/{i}" for i in range(30)] + [f"https://h{i}.good.org/x/{i + 100}" for i in range(30)] + ["https://new.bad.org/x/900", "https://new.good.org/x/901", "https://other.net/x/902"]
+    labels = spark.createDataFrame([(i, 1, 1) for i in range(30)] + [(i, 1, 0) for i in range(100, 130)], "doc_id long, quality int, toxic int")
+    rows = sorted(filter_urls(pages_of(spark, urls), labels).collect(), key=lambda r: r.page_id)
+    assert [r.verdict for r in rows[60:]] == ["block", "allow", "allow"]
+
+
+def test_long_urls_other_columns_and_repeated_ids(spark):
+    rows = [(1, "https://a.org/" + "s/" * 60 + "x" * 50_000, "own"), (1, "https://b.org/2024-05-12/deadbeef01/123e4567-e89b-12d3-a456-426614174000/7.html", "own"), (1, "https://b.org/2024-05-12/deadbeef01/123e4567-e89b-12d3-a456-426614174000/7.html", "own"), (None, "https://b.org", "own")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, host string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    found = filter_urls(pages, labels).collect()
+    assert len(found) == 4 and sum(r.template == "/{date}/{hex}/{uuid}/{n}.html" or r.template == "/{date}/{hex}/{uuid}/**" for r in found) == 2
+
+
 def test_branches_that_part_deep_down_are_told_apart(spark):
     urls = [f"https://site.org/a/b/c/d/e/{kind}/{i + first}/" for kind, first in (("spam", 0), ("news", 100)) for i in range(60)]
     urls += [f"https://site.org/a/b/c//d/{kind}/{i + first}" for kind, first in (("ads", 0), ("art", 100)) for i in range(60)] + ["https://site.org/a/b/c/d", "https://site.org/a/b/c/d/e", "https://site.org/"]
