@@ -9,9 +9,10 @@ document therefore has a fingerprint in common with its item: this is guaranteed
 position that shares a fingerprint with the benchmark the match is extended both ways over every window around
 it, and each such window is compared word by word. Items shorter than a window are looked up whole.
 
-The benchmark side is broadcast in blocks of at most ``block_bytes`` of text, whatever its size: a larger
-benchmark makes more passes over the documents, each written to the shared folder, and never a larger broadcast.
-Documents are not shuffled at all, so neither hot sources nor hot passages gather anywhere.
+A benchmark of at most ``block_bytes`` of text is broadcast, and documents are not shuffled at all, so neither hot sources
+nor hot passages gather anywhere. A larger one is never broadcast whole: fingerprints of both sides are joined first, in
+one pass over the documents; only texts that share one go on, through blocks of ``block_bytes`` each. Items shorter than
+a window have no fingerprint, and what blocks they fill are held against all documents.
 
 Defined results: null text has no words and is clean; repeated rows each get their own result; items with null
 text are ignored, repeated item_ids count once, a null item_id is written as the empty string.
@@ -21,10 +22,12 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +37,7 @@ from .common import text_of, with_text, written
 
 WINDOW, GRAM = 13, 5
 BLOCK_BYTES = 2 << 20
+PIECE_BYTES = 16 << 20
 _NONE = np.uint64(2**64 - 1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: A-Z to a-z; ASCII other than letters and digits to a space.
@@ -136,13 +140,24 @@ class Index:
                     yield n, s[same], at[same]
 
 
+def pieces(batches: Iterator[pa.RecordBatch], most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that their texts together have about ``most`` bytes, or are one text."""
+    for batch in batches:
+        size = np.asarray(pc.coalesce(pc.binary_length(text_of(batch)), 0))
+        part = np.cumsum(size) // most
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(batch)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if b > a or not len(batch):
+                yield batch.slice(a, b - a)
+
+
 def _pass(index, last: bool):
     """A mapInArrow function that adds one block's spans (begin, end, begin, end ...) and items to each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix: Index = index.value
         get, gap = ix.vocab.get, np.zeros(ix.window, np.int32)
-        for batch in batches:
+        for batch in pieces(batches):
             names = batch.schema.names
             spans = [x or [] for x in batch.column("spans").to_pylist()] if "spans" in names else [[] for _ in range(len(batch))]
             items = batch.column("items").to_pylist() if "items" in names else [()] * len(batch)
@@ -193,18 +208,54 @@ def _covered(spans: list[int]) -> int:
     return n
 
 
-def blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[list[tuple[str, str]], bool]]:
-    """The benchmark's items (id as text, text) in blocks of ``block_bytes`` at most, or of one item; and whether each is the last."""
-    named = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), F.col("text").alias("t")).where("t is not null").distinct()
-    total = named.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)), F.count("*")).first()
-    n = max(1, -(-total[0] // block_bytes))
-    while 1 < n < total[1]:
-        by = named.groupBy(F.pmod(F.xxhash64("i", "t"), F.lit(n))).agg(F.sum(F.octet_length("t")).alias("b"), F.count("*").alias("c"))
+def named(items: DataFrame) -> DataFrame:
+    """The benchmark's items: id as text, and text."""
+    return items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), F.col("text").alias("t")).where("t is not null").distinct()
+
+
+def text_bytes(items: DataFrame) -> tuple[int, int]:
+    """Bytes of text and number of ``named`` items."""
+    return tuple(items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)), F.count("*")).first())
+
+
+def blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[str, str]]]:
+    """``named`` items in blocks of ``block_bytes`` at most, or of one item; one empty block if there are none."""
+    size, count = text_bytes(items)
+    n = max(1, -(-size // block_bytes))
+    while 1 < n < count:
+        by = items.groupBy(F.pmod(F.xxhash64("i", "t"), F.lit(n))).agg(F.sum(F.octet_length("t")).alias("b"), F.count("*").alias("c"))
         if by.where((F.col("b") > block_bytes) & (F.col("c") > 1)).isEmpty():
             break
         n *= 2
     for b in range(n):
-        yield [(r.i, r.t) for r in named.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b).collect()], b == n - 1
+        yield [(r.i, r.t) for r in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b).collect()]
+
+
+def fingerprinted(texts: DataFrame, window: int, k: int) -> DataFrame:
+    """(name, fp): the different fingerprints of each text (name, t), as longs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owners, prints = [], []
+            for i, t in enumerate(batch.column("t")):
+                w = words(t.as_py())
+                if len(w) >= window:
+                    grams = _grams(np.fromiter(map(xxhash.xxh64_intdigest, w), np.uint64, len(w)), k)
+                    prints.append(np.unique(grams[winnow(grams, window - k + 1)]))
+                    owners.append(np.full(len(prints[-1]), i))
+            fp = np.concatenate(prints) if prints else np.empty(0, np.uint64)
+            at = pa.array(np.concatenate(owners) if owners else np.empty(0, np.int64), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("name").take(at), pa.array(fp.view(np.int64))], ["name", "fp"])
+
+    return texts.select("name", "t").mapInArrow(run, "name binary, fp long")
+
+
+def _is_long(window: int):
+    @F.pandas_udf("boolean")
+    def long(t: pd.Series) -> pd.Series:
+        return t.map(lambda x: len(words(x)) >= window).astype(bool)
+
+    return long("t")
 
 
 ADDED = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", "items"]
@@ -219,12 +270,32 @@ def decontaminate(docs: DataFrame, items: DataFrame, columns: list[str] | None =
 
 def decontaminated(docs: DataFrame, items: DataFrame, keep: list[str], window: int = WINDOW, k: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The same with the columns to keep in one struct ``row``, so that none clashes."""
-    spark, rows = docs.sparkSession, with_text(docs, keep)
+    rows, bench = with_text(docs, keep), named(items)
+    if text_bytes(bench)[0] <= block_bytes:
+        return through(rows, blocks(bench, block_bytes), window, k)
+    bench = written(bench.withColumn("long", _is_long(window)), "benchmark")
+    long, short = (bench.where(c).drop("long") for c in ("long", "not long"))
+    text = F.col("text") if "text" in rows.columns else F.col("row").getField("text")
+    rows = rows.withColumn("_name", F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary"))))
+    prints = fingerprinted(rows.select(F.col("_name").alias("name"), text.alias("t")), window, k)
+    asked = written(fingerprinted(long.select(F.encode("i", "UTF-8").alias("name"), "t"), window, k).select("fp").distinct(), "fingerprints")
+    met = written(prints.join(asked, "fp", "left_semi").select(F.col("name").alias("_name")).distinct(), "met")
+    near, far = (rows.join(met, "_name", how).drop("_name") for how in ("left_semi", "left_anti"))
+    found = through(near, chain(blocks(long, block_bytes), blocks(short, block_bytes)), window, k)
+    return found.unionByName(through(far, blocks(short, block_bytes), window, k))
+
+
+def through(rows: DataFrame, parts: Iterator[list[tuple[str, str]]], window: int, k: int) -> DataFrame:
+    """``rows`` held against each block in turn; between two they are written."""
+    spark = rows.sparkSession
     hits = [T.StructField("spans", T.ArrayType(T.IntegerType())), T.StructField("items", T.ArrayType(T.StringType()))]
     counts = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType()), T.StructField("items_sha256", T.StringType()), T.StructField("contaminated", T.BooleanType())]
     more = [f for f in rows.schema if f.name == "text"]
-    for n, (block, last) in enumerate(blocks(items, block_bytes)):
-        rows = written(rows, "decontaminate") if n else rows
-        schema = T.StructType([rows.schema["row"], *hits, *(counts if last else more)])
-        rows = rows.mapInArrow(_pass(spark.sparkContext.broadcast(Index(block, window, k)), last), schema)
+    block = next(parts)
+    while block is not None:
+        after = next(parts, None)
+        schema = T.StructType([rows.schema["row"], *hits, *(more if after is not None else counts)])
+        rows = rows.mapInArrow(_pass(spark.sparkContext.broadcast(Index(block, window, k)), after is None), schema)
+        rows = rows if after is None else written(rows, "decontaminate")
+        block = after
     return rows
