@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from .oracle import BUCKET, ENDS, EVENTS, FULL, LAND, LEGS, LOG, MISSION, NO_PORT, PORTS, PTS, REASON, SCORES, SEGMENTS, SES, STATE, VOTES, angle, bearing, km, nearest
 
 
@@ -40,7 +42,7 @@ def more(known: dict[str, str]) -> dict[str, str]:
         "m as (select *, case when max_alt_ft is not null then least(max_alt_ft, case when abs(max_alt_ft - target_ft) <= 5000 then floor(ceiling * 1.1::double) else ceiling end)::int end as alt from k) "
         "select icao, session, type_code, alt as max_alt_ft, least(max_gs_kt, gcap) as max_gs_kt, case when cruise_alt is not null then least(cruise_alt, alt::double) end as cruise_alt, case when cruise_gs is not null then least(cruise_gs, gcap) end as cruise_gs from m"
     )
-    return out | read(known | out)
+    return out | read(known | out) | more_functions()
 
 
 #: A type for each aircraft, by the last digit of its address.
@@ -154,6 +156,62 @@ def read(known: dict[str, str]) -> dict[str, str]:
     }
 
 
+def solar(name: str, rows: str, ts: str, lat: str, lon: str) -> str:
+    """A table ``name`` with the sun's altitude at each row of ``rows``, by the almanac's series."""
+    steps = [
+        ("t", f"(({ts}) / 86400.0::double + 2440587.5::double - 2451545.0::double) / 36525.0::double"),
+        ("l0d", "(((280.46646::double + t * (36000.76983::double + t * 0.0003032::double)) % 360) + 360) % 360"),
+        ("m", "radians(357.52911::double + t * (35999.05029::double - 0.0001537::double * t))"),
+        ("e", "0.016708634::double - t * (0.000042037::double + 0.0000001267::double * t)"),
+        ("c", "sin(m) * (1.914602::double - t * (0.004817::double + 0.000014::double * t)) + sin(2 * m) * (0.019993::double - 0.000101::double * t) + sin(3 * m) * 0.000289::double"),
+        ("om", "radians(125.04::double - 1934.136::double * t)"),
+        ("la", "radians(l0d + c - 0.00569::double - 0.00478::double * sin(om))"),
+        ("ep", "radians(23 + (26 + (21.448::double - t * (46.815::double + t * (0.00059::double - t * 0.001813::double))) / 60) / 60 + 0.00256::double * cos(om))"),
+        ("de", "asin(sin(ep) * sin(la))"),
+        ("yy", "pow(tan(ep / 2), 2)"),
+        ("l0", "radians(l0d)"),
+        ("eq", "4 * degrees(yy * sin(2 * l0) - 2 * e * sin(m) + 4 * e * yy * sin(m) * cos(2 * l0) - 0.5::double * yy * yy * sin(4 * l0) - 1.25::double * e * e * sin(2 * m))"),
+        ("mi", f"((((({ts}) % 86400) / 60 + eq + 4 * ({lon})) % 1440) + 1440) % 1440"),
+        ("up", f"sin(radians({lat})) * sin(de) + cos(radians({lat})) * cos(de) * cos(radians(mi / 4 - 180))"),
+        ("high", "90 - degrees(acos(greatest(-1.0::double, least(1.0::double, up))))"),
+    ]
+    inner = rows
+    for column, formula in steps:
+        inner = f"(select *, {formula} as {column} from {inner})"
+    return f"{name} as (select icao, session, high from {inner})"
+
+
+def more_functions() -> dict[str, str]:
+    """Codes, times, corners, the sun and headings."""
+    p, s, legs = f"with {PTS}", f"with {PTS}, {SES}", f"with {PTS}, {SES}, {LEGS}"
+    letters = "ABCDEFGHJKLMNPQRSTUVWXYZ"
+    grid = lambda x: f"round_even({x} / 0.1::double, 0) * 0.1::double"
+    at = lambda k: f"((ts // 3600 + {k}) % 24) * 3600 + seq % 60 * 60"
+    near = lambda k: f"(ts // 86400 * 86400 + {at(k)} - case when ts // 86400 * 86400 + {at(k)} - ts > 43200 then 86400 when ts // 86400 * 86400 + {at(k)} - ts < -43200 then -86400 else 0 end)"
+
+    def ahead(lat: str, lon: str, deg: str, metres: float) -> tuple[str, str]:
+        d = f"{metres!r}::double / 6371000.0::double"
+        end = f"asin(sin(radians({lat})) * cos({d}) + cos(radians({lat})) * sin({d}) * cos(radians({deg})))"
+        east = f"atan2(sin(radians({deg})) * sin({d}) * cos(radians({lat})), cos({d}) - sin(radians({lat})) * sin({end}))"
+        return f"degrees({end})", f"((({lon} + degrees({east}) + 540) % 360) + 360) % 360 - 180"
+
+    far = 25 + 6000 * math.tan(math.radians(5))
+    y, x = ahead("lat", "lon", "heading", 6000)
+    corners = {"near_left": ahead("lat", "lon", "heading - 90", 25), "near_right": ahead("lat", "lon", "heading + 90", 25), "far_right": ahead("flat", "flon", "heading + 90", far), "far_left": ahead("flat", "flon", "heading - 90", far)}
+    mean = lambda held, n: f"case when count(track_deg) filter ({held}) >= {n} then ((degrees(atan2(sum(sin(radians(track_deg))) filter ({held}), sum(cos(radians(track_deg))) filter ({held}))) + 360) % 360 + 360) % 360 end"
+    ends = [mean(f"fin - ts <= {sec} and coalesce(gs_kt, 0) >= {kt}", n) for sec, kt, n in ((60, 40, 3), (120, 10, 3), (240, 10, 3), (600, 10, 3), (600, 0, 1))]
+    return {
+        "f01_tail_numbers": f"with l as (select unnest(string_split('{','.join(letters)}', ',')) as x), q as (select '' as s union all select x from l union all select a.x || b.x from l a, l b), t as (select 'N' || n || s as tail from (select unnest(range(1, 1000)) as n), q union all select 'N' || n || s from (select unnest(range(1000, 10000)) as n), (select '' as s union all select x from l union all select unnest(range(10))::varchar)), "
+        f"o as (select tail, row_number() over (order by translate(tail, '{letters}0123456789', '0123456789:;<=>?@ABCDEFGHIJKLMNOPQ')) - 1 as nr from t) select lower(to_hex(nr + 10485761)) as icao, tail, lower(to_hex(nr + 10485761)) as back from orders join o on nr = o_orderkey * 7919 % 915399",
+        "f05_oooi_times": f"{p} select icao, min(case when seq % 5 < 4 then {near(0)} end)::bigint as out_ts, min(case when seq % 5 = 2 then {near(1)} when seq % 5 in (0, 1, 3) then {near(22)} end)::bigint as off_ts, max(case when seq % 5 = 2 then {near(2)} end)::bigint as on_ts, max(case when seq % 5 = 2 then {near(23)} when seq % 5 in (0, 1, 3) then {near(3)} end)::bigint as in_ts from pts group by icao",
+        "g12_departure_wedges": f"with {PORTS}, {ENDS}, f as (select *, {y} as flat, {x} as flon from ends) select ident, runway, " + ", ".join(f"round({v}, 5) as {c}_{n}" for c, pair in corners.items() for n, v in zip(("lat", "lon"), pair, strict=True)) + " from f",
+        "g21_solar": f"{legs}, {solar('s0', 'legs', 'takeoff_ts', 'takeoff_lat', 'takeoff_lon')}, {solar('s1', 'legs', 'takeoff_ts // 300 * 300', grid('takeoff_lat'), grid('takeoff_lon'))}, {solar('s2', 'legs', 'landing_ts // 300 * 300', grid('landing_lat'), grid('landing_lon'))} select s0.icao as icao, s0.session as session, round(s0.high, 3) as altitude, s1.high < -6 or s2.high < -6 as night from s0 join s1 using (icao, session) join s2 using (icao, session)",
+        "a36_headings": f"{s}, r as (select *, ts - min(ts) over (partition by icao, session) as ago, max(ts) over (partition by icao, session) as fin, lag(lat) over w as blat, lag(lon) over w as blon from ses window w as (partition by icao, session order by ts, seq)), m as (select *, 1000 * {km('blat', 'blon', 'lat', 'lon')} > 50 as far, {bearing('blat', 'blon', 'lat', 'lon')} as brg from r) "
+        f"select icao, session, round({mean('ago <= 60 and (gs_kt is null or gs_kt > 40)', 1)}, 1) as takeoff_deg, round(coalesce({', '.join(ends)}, arg_max(brg, (ts, seq)) filter (far)), 1) as landing_deg from m group by icao, session",
+        "w02_deduplicated": f"{s}, d as (select *, coalesce(ts = lag(ts) over w and abs(lat - lag(lat) over w) < 0.001 and abs(lon - lag(lon) over w) < 0.001, false) as near from ses window w as (partition by icao, session order by ts, seq)) select icao, count(*) as n, sum(seq)::bigint as seqs from d where not near group by icao",
+    }
+
+
 def tail_number(tail: str) -> str:
     """Place of a tail number of one to five digits among all tail numbers: each digit opens a block of all that follow it."""
     d = [f"try_cast(nullif(substr({tail}, {i}, 1), '') as bigint)" for i in range(2, 7)]
