@@ -48,7 +48,12 @@ def words(text: str | None) -> list[str]:
     """Runs of letters, with the combining marks that belong to them."""
     if not text:
         return []
-    found = (_WORDS if text.isascii() or not _MARK(text) else _MARKED_WORDS)(text.lower())
+    try:
+        text.encode("latin-1")  # the quickest way to see that there are no marks
+        find = _WORDS
+    except UnicodeEncodeError:
+        find = _MARKED_WORDS if _MARK(text) else _WORDS
+    found = find(text.lower())
     return found if any(c.isalpha() for w in found for c in w) else []
 
 
