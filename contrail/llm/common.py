@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Hashable
 from functools import cache
 
 import pyarrow as pa
@@ -72,6 +73,17 @@ def unpacked(columns: list[str], **changed: Column) -> list[Column]:
     return [changed.get(c, F.col("row").getField(c)).alias(c) for c in columns]
 
 
+_kept: dict = {}
+
+
+def kept(key: Hashable, make: Callable[[], object]) -> object:
+    """What a Python worker keeps across its tasks under ``key``. It keeps one thing at a time: another one takes its place."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected ``edges`` (u, v): rows (node, root), root the least node reachable.
 

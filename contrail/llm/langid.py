@@ -32,12 +32,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_of, with_text
+from .common import kept, text_of, with_text
 
 DOCS_PER_LANGUAGE = 400
 CHAIN, FEATURES = 64, 1 << 16
 SEQUENCES, STEPS, RATE, RIDGE = 2000, 40, 0.15, 1e-6
-CACHED = 300_000  # words whose scores a task remembers
+CACHED = 100_000  # words whose scores a task remembers
 UNDETERMINED = "und"
 _WORDS = re.compile(r"[^\W\d_]+").findall
 _MARK = re.compile("[" + "".join(chr(c) for c in range(0x300, 0x1F000) if unicodedata.category(chr(c))[0] == "M") + "]").search
@@ -207,16 +207,17 @@ def identified(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFra
     shared, rows = docs.sparkSession.sparkContext.broadcast(model), with_text(docs, keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("language", lambda: None)  # lets go of what another operator kept
         model = shared.value
         known, table = {}, None
         for batch in batches:
             languages, scores, switches = [UNDETERMINED] * len(batch), np.zeros(len(batch)), np.zeros(len(batch), np.int64)
-            texts = text_of(batch).to_pylist() if model else []
+            texts = text_of(batch) if model else []
             at = 0
             while at < len(texts):
                 docs, n, first = [], 0, at
                 while at < len(texts) and (not n or n < 150_000):
-                    docs.append(words(texts[at]))
+                    docs.append(words(texts[at].as_py()))
                     n += len(docs[-1])
                     at += 1
                 if not n:

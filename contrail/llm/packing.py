@@ -20,7 +20,6 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from functools import cache
 from string import punctuation
 from zlib import crc32
 
@@ -30,10 +29,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import kept, written
 
 CAPACITY, END_ID = 4096, 1
-CACHED = 1_000_000  # chunks whose ids a task remembers, in each of two generations
+CACHED = 600_000  # chunks whose ids a task remembers, in each of two generations
 
 
 def default_tokenizer() -> str:
@@ -103,10 +102,9 @@ class Encoder:
             yield b"".join(map(get, chunks))
 
 
-@cache
 def encoder(path: str) -> Encoder:
-    """The worker's own encoder, which outlives a task and so remembers across tasks."""
-    return Encoder(path)
+    """The worker's own encoder, which outlives a task and so remembers across tasks, until another operator's turn."""
+    return kept(("encoder", path), lambda: Encoder(path))
 
 
 def _lower(text: str) -> str:
