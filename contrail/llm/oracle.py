@@ -55,6 +55,16 @@ select d.doc_id as doc_id, case when m.n is null then d.text else coalesce(k.tex
  (case when d.text <> '' then len(string_split(d.text, chr(10))) else 0 end - coalesce(m.n, 0))::int as kept_lines, coalesce(cut, '') as dropped_lines from documents d left join k using (doc_id) left join m using (doc_id)
 """
 
+FILL_IN_MIDDLE = """
+with d as (select doc_id, coalesce(text, '') as t, sha256('1:' || coalesce(doc_id::varchar, '')) as x from documents),
+h as (select doc_id, t, length(t)::bigint as n, ('0x' || x[1:8])::bigint as h1, ('0x' || x[9:16])::bigint as h2, ('0x' || x[17:24])::bigint as h3, ('0x' || x[25:32])::bigint as h4 from d),
+c as (select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+ case when n = 0 or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 90 then 'plain' when h4 % 100 < 20 then 'spm' else 'psm' end as form from h),
+p as (select *, substr(t, 1, a) as pre, substr(t, a + 1, b - a) as mid, substr(t, b + 1) as suf from c)
+select doc_id, n, form, case when form <> 'plain' then a end as prefix_chars, case when form <> 'plain' then b - a end as middle_chars,
+ sha256(case form when 'plain' then t when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid else '<S>' || suf || '<P>' || pre || '<M>' || mid end) as output_sha256, sha256(t) as restored_sha256 from p
+"""
+
 
 def sql() -> dict[str, str]:
     return {
@@ -63,4 +73,5 @@ def sql() -> dict[str, str]:
         "op4_line_dedup": LINE_DEDUP,
         "op7_url_filter": url_filter.oracle_sql(),
         "op9_benchmark_decontamination": DECONTAMINATION,
+        "op12_fill_in_middle": FILL_IN_MIDDLE,
     }

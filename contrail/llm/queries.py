@@ -11,6 +11,7 @@ from .chat import digests, format_conversations
 from .common import table
 from .context_mixing import context_mixing_scores
 from .decontaminate import decontaminate
+from .fill_in_middle import fill_in_middle, restored
 from .langid import language_id
 from .line_dedup import line_dedup
 from .merkle import merkle_fingerprints
@@ -70,6 +71,12 @@ def op10_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_mixing_scores(table(spark, sf_dir, "documents"), crc_remainder(5) == 1)
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fill_in_middle(table(spark, sf_dir, "documents"), ["doc_id"])
+    text = restored(F.col("output"), F.col("form"))
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(text, 256).alias("restored_sha256"))
+
+
 def queries() -> dict:
     found = (
         op1_language_id,
@@ -82,6 +89,7 @@ def queries() -> dict:
         op8_merkle_fingerprint,
         op9_benchmark_decontamination,
         op10_context_mixing,
+        op12_fill_in_middle,
     )
     return {f.__name__: f for f in found}
 
