@@ -65,6 +65,26 @@ select doc_id, n, form, case when form <> 'plain' then a end as prefix_chars, ca
  sha256(case form when 'plain' then t when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid else '<S>' || suf || '<P>' || pre || '<M>' || mid end) as output_sha256, sha256(t) as restored_sha256 from p
 """
 
+#: The crc32 of a string whose letters have one or two bytes: a table of 256 remainders, then one step a byte.
+_CRC_TABLE = "list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end))"
+_BYTES = "flatten(list_transform(string_split({x}, ''), lambda c: case when unicode(c) < 128 then [unicode(c)::bigint] else [195::bigint, unicode(c)::bigint - 64] end))"
+_CRC = f"xor(list_reduce(list_concat([4294967295::bigint], {_BYTES}), lambda c, b: xor(c >> 8, tbl[(xor(c, b) & 255) + 1])), 4294967295)"
+
+SPELLING = f"""
+with recursive r as (select doc_id, {_LOW.format(x="unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\u00C0-\u00FF]+'))")} as run from documents),
+o as (select doc_id, run, count(*) as n from r where length(run) >= 6 group by doc_id, run),
+h as (select run, n, {_CRC.format(x="coalesce(doc_id::varchar, '') || ':' || run")} as h from o, (select {_CRC_TABLE} as tbl)),
+c as (select case when h % 199 = 0 then run[:h % length(run)] || run[h % length(run) + 2:] else run end as word, sum(n) as n from h group by 1),
+v as materialized (select word, n::bigint as n from c where length(word) >= 6 and n >= 5),
+x as materialized (select word, i, word[:i] || word[i + 2:] as short from (select word, unnest(range(length(word))) as i from v)),
+p as (select distinct a, b from (select x.word as a, y.word as b from x join x y on x.short = y.short and x.i = y.i and x.word <> y.word
+ union all select x.word, v.word from x join v on v.word = x.short union all select v.word, x.word from x join v on v.word = x.short)),
+b as (select a as word, count(*) as n_near, min_by(v.word, (-v.n, v.word)) as near, max(v.n) as near_n from p join v on v.word = p.b group by a),
+f as materialized (select v.word, v.n, coalesce(n_near, 0) as n_near, case when near_n >= 5 * n then near end as form, case when near_n >= 5 * n then near_n end as form_n from v left join b using (word)),
+w as (select word, word as at, form as next from f union all select w.word, f.word, f.form from w join f on f.word = w.next)
+select word, form, w.at as root, n, n_near, form_n from f join w using (word) where w.next is null
+"""
+
 
 def sql() -> dict[str, str]:
     return {
@@ -74,4 +94,5 @@ def sql() -> dict[str, str]:
         "op7_url_filter": url_filter.oracle_sql(),
         "op9_benchmark_decontamination": DECONTAMINATION,
         "op12_fill_in_middle": FILL_IN_MIDDLE,
+        "op13_spelling_variants": SPELLING,
     }

@@ -17,6 +17,7 @@ from .line_dedup import line_dedup
 from .merkle import merkle_fingerprints
 from .packing import best_fit_packing
 from .simhash import simhash_groups
+from .spelling import spelling_variants
 
 
 def crc_remainder(modulus: int) -> Column:
@@ -77,6 +78,10 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(text, 256).alias("restored_sha256"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"), drop_every=199)
+
+
 def queries() -> dict:
     found = (
         op1_language_id,
@@ -90,6 +95,7 @@ def queries() -> dict:
         op9_benchmark_decontamination,
         op10_context_mixing,
         op12_fill_in_middle,
+        op13_spelling_variants,
     )
     return {f.__name__: f for f in found}
 
