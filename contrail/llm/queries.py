@@ -15,6 +15,7 @@ from .fill_in_middle import fill_in_middle, restored
 from .langid import language_id
 from .line_dedup import line_dedup
 from .merkle import merkle_fingerprints
+from .mixing import mix
 from .packing import best_fit_packing
 from .simhash import simhash_groups
 from .spelling import spelling_variants
@@ -72,6 +73,10 @@ def op10_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_mixing_scores(table(spark, sf_dir, "documents"), crc_remainder(5) == 1)
 
 
+def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "times")
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fill_in_middle(table(spark, sf_dir, "documents"), ["doc_id"])
     text = restored(F.col("output"), F.col("form"))
@@ -94,6 +99,7 @@ def queries() -> dict:
         op8_merkle_fingerprint,
         op9_benchmark_decontamination,
         op10_context_mixing,
+        op11_source_mix,
         op12_fill_in_middle,
         op13_spelling_variants,
     )
