@@ -13,6 +13,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..config import DEFAULT, Config
 from ..functions.geo import haversine_km
@@ -69,134 +71,178 @@ def deduplicated(points: DataFrame, c: Config = DEFAULT) -> DataFrame:
     return cut.mapInArrow(run, cut.schema)
 
 
-def labeller(c: Config = DEFAULT) -> Callable[[str, float, bool], tuple[int, str]]:
-    """(fragment, role) of each next point of a session.
+class Machine:
+    """The ground and airborne states of one aircraft, point by point. Its attributes are all it remembers.
 
-    Roles: none (before any flight), airborne, landing (the touchdown), post_ground. A flight takes off at the first
-    airborne point; a ground point lands it, but without speed two are needed; after landing up to
-    ``post_landing_points`` ground points within ``post_landing_s`` still belong to it, and flying again opens the
-    next.
+    A flight opens with the first airborne point, found in mid-air if nothing was known before, else observed: it then took off
+    at the last ground point. A ground point lands it, but without speed two are needed. Up to ``post_landing_points`` ground points
+    within ``post_landing_s``, and the one that ends that, still belong to it; so does the point by which flying again opens the next.
     """
-    fragment, state, since, landed, lone = 0, None, 0.0, 0, False
 
-    def step(s: str, t: float, gs: float | None) -> tuple[int, str]:
-        nonlocal fragment, state, since, landed, lone
-        if state == "post" and t - since > c.post_landing_s:
-            state = "ground"
+    def __init__(self, c: Config = DEFAULT, state: tuple | None = None):
+        self.limits = c.post_landing_s, c.post_landing_points
+        self.fragment, self.state, self.since, self.landed, self.lone, self.ground, self.said = state or (0, "none", 0.0, 0, False, None, None)
+
+    def remembered(self) -> tuple:
+        return self.fragment, self.state, self.since, self.landed, self.lone, self.ground, self.said
+
+    def step(self, s: str, ts: float, lat: float, lon: float, gs: float | None = 0.0, callsign: str | None = None) -> tuple:
+        """(fragment, role, shared, from) of the next point. Roles: none (of no flight), airborne, landing, post_ground.
+
+        shared: the point also ends the fragment before. from: where and when the flight that opens here took off, and the callsign then.
+        """
+        self.said = callsign or self.said
+        before = self.state
+        if before == "air":
+            lone, self.lone = self.lone, False
+            if s == "ground":
+                if gs is None and not lone:
+                    self.lone = True
+                    return self.fragment, "airborne", False, None
+                self.state, self.since, self.landed, self.ground = "post", ts, 1, (ts, lat, lon)
+                return self.fragment, "landing", False, None
+            return self.fragment, "airborne", False, None
         if s == "airborne":
-            lone = False
-            if state != "airborne":
-                fragment, state = fragment + 1, "airborne"
-            return fragment, "airborne"
-        if s == "ground" and state == "airborne":
-            if gs is None and not lone:
-                lone = True
-                return fragment, "airborne"
-            state, since, landed, lone = "post", t, 1, False
-            return fragment, "landing"
-        if s == "ground" and state == "post":
-            landed += 1
-            if landed >= c.post_landing_points:
-                state = "ground"
-            return fragment, "post_ground"
+            self.fragment, self.state = self.fragment + 1, "air"
+            seen = self.ground if before != "none" else None
+            return self.fragment, "airborne", before == "post", (*(seen or (ts, lat, lon)), seen is None, self.said)
         if s == "ground":
-            state = "ground"
-        else:
-            lone = False
-        return fragment, state if state == "airborne" else "none"
-
-    return step
+            self.ground = ts, lat, lon
+        if before == "post":
+            self.landed += s == "ground"
+            if ts - self.since > self.limits[0] or self.landed >= self.limits[1]:
+                self.state = "ground"
+            return self.fragment, "post_ground" if s == "ground" else "airborne", False, None
+        if s == "ground":
+            self.state = "ground"
+        return self.fragment, "none", False, None
 
 
 def label(states: list[str], ts: list[float], gs_null: list[bool], c: Config = DEFAULT) -> list[tuple[int, str]]:
     """(fragment, role) of each point of one session, in order."""
-    step = labeller(c)
-    return [step(s, t, None if n else 0.0) for s, t, n in zip(states, ts, gs_null, strict=True)]
+    step = Machine(c).step
+    return [step(s, t, 0.0, 0.0, None if n else 0.0)[:2] for s, t, n in zip(states, ts, gs_null, strict=True)]
 
 
 def labelled(points: DataFrame, c: Config = DEFAULT) -> DataFrame:
-    """``points`` with session, state, fragment and role."""
+    """``points`` with session, state, fragment, role, shared and from: (ts, lat, lon, mid_air, callsign) where a fragment opens."""
     cut = classified(in_order(points, c), c)
+    kind = cut.schema["ts"].dataType.simpleString()
+    added = T.StructType.fromDDL(f"fragment long, role string, shared boolean, `from` struct<ts: {kind}, lat: double, lon: double, mid_air: boolean, callsign: string>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, step = [None], [None]
         for batch in batches:
-            found = folded(batch, ["state", "ts", "gs_kt"], key, step, lambda: labeller(c))
-            more = [pa.array([f for f, _ in found], pa.int64()), pa.array([r for _, r in found], pa.string())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "fragment", "role"])
+            found = folded(batch, ["state", "ts", "lat", "lon", "gs_kt", "callsign"], key, step, lambda: Machine(c).step)
+            opened = pa.array([f and dict(zip(("ts", "lat", "lon", "mid_air", "callsign"), f, strict=True)) for *_, f in found], to_arrow_type(added["from"].dataType))
+            more = [pa.array([x[i] for x in found], k) for i, k in enumerate((pa.int64(), pa.string(), pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more, opened], [*batch.schema.names, *added.names])
+
+    return cut.mapInArrow(run, T.StructType([*cut.schema.fields, *added.fields]))
+
 
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema)
-    return cut.mapInArrow(run, f"{fields}, fragment long, role string")
+def said_before(points: DataFrame, c: Config = DEFAULT) -> DataFrame:
+    """Per session: the last callsign its aircraft said in any earlier one. A window over sessions, not points."""
+    heard = F.col("callsign").isNotNull()
+    last = sessions(points, c).groupBy("icao", "session").agg(F.max_by("callsign", F.when(heard, F.struct("ts", "seq"))).alias("last"))
+    before = Window.partitionBy("icao").orderBy("session").rowsBetween(Window.unboundedPreceding, -1)
+    return last.select("icao", "session", F.last("last", ignorenulls=True).over(before).alias("before"))
+
+
+def recorded(points: DataFrame, c: Config = DEFAULT) -> DataFrame:
+    """The labelled points that belong to a fragment; one that ends a fragment and opens the next counts for both."""
+    flown = labelled(points, c).where((F.col("fragment") > 0) & (F.col("role") != "none"))
+    of = F.explode(F.when(F.col("shared"), F.array("fragment", F.col("fragment") - 1)).otherwise(F.array("fragment"))).alias("of")
+    rows = flown.select("*", of)
+    return rows.withColumns({"from": F.when(F.col("of") == F.col("fragment"), F.col("from")), "fragment": F.col("of")}).drop("of", "shared")
 
 
 def fragments_of(points: DataFrame, c: Config = DEFAULT) -> DataFrame:
-    """One row a flight fragment, of the points that belong to one."""
+    """One row a flight fragment."""
     at = F.struct("ts", "seq")
-    flown = labelled(points, c).where((F.col("fragment") > 0) & (F.col("role") != "none"))
     air, height = F.col("role") == "airborne", F.coalesce("baro_ft", "geom_ft")
-    rows = flown.groupBy("icao", "session", "fragment").agg(
-        F.min("ts").alias("takeoff_ts"),
+    flying = air & (F.col("state") == "airborne") & height.isNotNull()
+    landing = F.struct("ts", "lat", "lon")
+    rows = recorded(points, c).groupBy("icao", "session", "fragment").agg(
+        F.max("from").alias("from"),
+        F.min("ts").alias("first_ts"),
         F.max("ts").alias("last_ts"),
-        F.min(F.when(F.col("role") == "landing", F.col("ts"))).alias("landing_ts"),
+        F.max(F.when(F.col("role") == "landing", landing)).alias("landing"),
         F.count("*").alias("n_points"),
-        F.min_by("lat", at).alias("takeoff_lat"),
-        F.min_by("lon", at).alias("takeoff_lon"),
-        F.max_by("lat", at).alias("last_lat"),
-        F.max_by("lon", at).alias("last_lon"),
-        F.max_by(F.when(air, F.col("baro_ft")), F.when(air & F.col("baro_ft").isNotNull(), at)).alias("last_alt_ft"),
-        F.min_by(height, F.when(air & height.isNotNull(), at)).alias("first_alt_ft"),
-        F.max(F.when(air, height)).alias("peak_ft"),
+        F.count_if(F.col("role").isin("landing", "post_ground")).alias("landing_points"),
+        F.min_by(F.struct("lat", "lon"), at).alias("first"),
+        F.max_by(F.struct("lat", "lon"), at).alias("last"),
+        F.max_by(height, F.when(height.isNotNull(), at)).alias("seen_alt_ft"),
+        F.max_by(height, F.when(flying, at)).alias("last_alt_ft"),
+        F.min_by(height, F.when(flying, at)).alias("first_alt_ft"),
+        F.max(F.when(flying, height)).alias("peak_ft"),
         F.max("baro_ft").alias("max_alt_ft"),
         F.max("gs_kt").alias("max_gs_kt"),
-        F.min_by("callsign", F.when(F.col("callsign").isNotNull(), at)).alias("callsign"),
     )
-    return rows.withColumn("mid_air", F.row_number().over(Window.partitionBy("icao", "session").orderBy("fragment")) == 1)
+    named = rows.join(said_before(points, c), ["icao", "session"]).select(
+        "icao", "session", "fragment",
+        F.col("from.ts").alias("takeoff_ts"), F.col("from.lat").alias("takeoff_lat"), F.col("from.lon").alias("takeoff_lon"), F.col("from.mid_air").alias("mid_air"),
+        F.coalesce("from.callsign", "before").alias("callsign"),
+        "first_ts", "last_ts", F.col("landing.ts").alias("landing_ts"), F.col("landing.lat").alias("landing_lat"), F.col("landing.lon").alias("landing_lon"), "n_points", "landing_points",
+        F.col("first.lat").alias("first_lat"), F.col("first.lon").alias("first_lon"), F.col("last.lat").alias("last_lat"), F.col("last.lon").alias("last_lon"),
+        "seen_alt_ft", "last_alt_ft", "first_alt_ft", "peak_ft", "max_alt_ft", "max_gs_kt",
+    )
+    return named
+
+
+def whole_enough(fragments: DataFrame, c: Config = DEFAULT) -> DataFrame:
+    """Without single points and short hops. This comes before stitching, so that no sliver is joined to a flight."""
+    minutes = F.round((F.col("last_ts") - F.col("first_ts")) / 60, 1)
+    km = haversine_km(F.col("takeoff_lat"), F.col("takeoff_lon"), F.col("landing_lat"), F.col("landing_lon"))
+    short = F.col("landing_ts").isNotNull() & (minutes < c.min_flight_min) & (km < c.min_flight_km)
+    return fragments.where((F.col("n_points") > 1) & ~short)
 
 
 def stitched(fragments: DataFrame, c: Config = DEFAULT, types: DataFrame | None = None) -> DataFrame:
     """Joins a fragment without a landing to the next one found in mid-air, pair by pair from the left.
 
     How long a gap may be follows the type's endurance (types: icao, type_code). A long gap before a fragment that begins
-    low and climbs away is a new departure and stays one. Adds flight_ts, the takeoff of the first of the pair. Pairs that may join are marked by lead; only the choice
-    among overlapping pairs is a fold, over runs of marked rows: every second mark of a run counts.
+    low and climbs away is a new departure and stays one. Adds flight: the session and fragment of the first of the pair. Pairs
+    that may join are marked by lead; only the choice among overlapping pairs is a fold, over runs of marked rows: every
+    second mark of a run counts.
     """
-    w = Window.partitionBy("icao").orderBy("takeoff_ts", "session", "fragment")
+    order = ["session", "fragment"]
+    w = Window.partitionBy("icao").orderBy(*order)
     nxt = lambda x: F.lead(x).over(w)
-    gap = nxt("takeoff_ts") - F.col("last_ts")
+    gap = nxt("first_ts") - F.col("last_ts")
     km = haversine_km(F.col("last_lat"), F.col("last_lon"), nxt("takeoff_lat"), nxt("takeoff_lon"))
     reach = F.greatest(gap, F.lit(60)) / 3600 * c.stitch_speed_kt * 1.852 * c.stitch_slack
     typed = fragments.join(types.select("icao", "type_code"), "icao", "left") if types is not None else fragments.withColumn("type_code", F.lit(None).cast("string"))
     window_s = F.greatest(F.lit(float(c.stitch_gap_min)), c.stitch_endurance_ratio * endurance(c=c)) * 60
-    fresh = (gap > c.stitch_ground_s) & (nxt("first_alt_ft") < c.stitch_fresh_ft) & (nxt("peak_ft") - nxt("first_alt_ft") > c.stitch_climb_ft)
-    level = F.coalesce(F.abs(nxt("last_alt_ft") - F.col("last_alt_ft")) <= c.stitch_alt_ft, F.lit(True))
+    peak = F.coalesce(nxt("peak_ft"), F.lit(0))
+    fresh = (gap > c.stitch_ground_s) & (nxt("first_alt_ft") < c.stitch_fresh_ft) & (peak - nxt("first_alt_ft") > c.stitch_climb_ft)
+    level = F.coalesce(F.abs(nxt("last_alt_ft") - F.col("seen_alt_ft")) <= c.stitch_alt_ft, F.lit(True))
     joins = F.col("landing_ts").isNull() & nxt("mid_air") & gap.between(0, window_s) & (km <= reach) & level & ~F.coalesce(fresh, F.lit(False))
     marked = typed.withColumn("_joins", F.coalesce(joins, F.lit(False)))
-    ran = marked.withColumn("_run", F.sum(F.when(F.col("_joins"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    place = F.row_number().over(Window.partitionBy("icao", F.coalesce("_run", F.lit(0))).orderBy("takeoff_ts", "session", "fragment"))
+    ran = marked.withColumn("_run", F.coalesce(F.sum(F.when(F.col("_joins"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    place = F.row_number().over(Window.partitionBy("icao", "_run").orderBy(*order))
     # within a run the marks alternate: first of a pair, second of a pair
-    placed = ran.withColumn("_second", (F.pmod(place, F.lit(2)) == 0))
-    before = F.lag("takeoff_ts").over(w)
-    return placed.withColumn("flight_ts", F.when(F.col("_second"), before).otherwise(F.col("takeoff_ts"))).drop("_joins", "_run", "_second", "type_code")
+    placed = ran.withColumn("_second", F.pmod(place, F.lit(2)) == 0)
+    name = F.struct(*order)
+    return placed.withColumn("flight", F.when(F.col("_second"), F.lag(name).over(w)).otherwise(name)).drop("_joins", "_run", "_second", "type_code")
 
 
-def flights(points: DataFrame, c: Config = DEFAULT, types: DataFrame | None = None) -> DataFrame:
-    """Flights of all aircraft: labelled, stitched, and freed of single points and short hops."""
-    parts = stitched(fragments_of(points, c), c, types)
-    at = F.col("takeoff_ts")
-    whole = parts.groupBy("icao", "flight_ts").agg(
+def merged(parts: DataFrame) -> DataFrame:
+    """One row a flight, of the fragments that ``stitched`` gave it: the takeoff of the first, the end of the last, sums and greatest."""
+    at = F.struct("session", "fragment")
+    first, last = (lambda x: F.min_by(x, at).alias(x)), (lambda x: F.max_by(x, at).alias(x))
+    whole = parts.groupBy("icao", "flight").agg(
         F.count("*").alias("fragments"),
-        F.max("last_ts").alias("last_ts"),
-        F.max_by("landing_ts", at).alias("landing_ts"),
-        F.sum("n_points").alias("n_points"),
-        F.min_by("takeoff_lat", at).alias("takeoff_lat"),
-        F.min_by("takeoff_lon", at).alias("takeoff_lon"),
-        F.max_by("last_lat", at).alias("last_lat"),
-        F.max_by("last_lon", at).alias("last_lon"),
-        F.max("max_alt_ft").alias("max_alt_ft"),
-        F.max("max_gs_kt").alias("max_gs_kt"),
+        *map(first, ["takeoff_ts", "takeoff_lat", "takeoff_lon", "mid_air", "first_ts", "first_alt_ft"]),
         F.min_by("callsign", F.when(F.col("callsign").isNotNull(), at)).alias("callsign"),
+        *map(last, ["last_ts", "landing_ts", "landing_lat", "landing_lon", "last_lat", "last_lon", "landing_points", "seen_alt_ft", "last_alt_ft"]),
+        F.sum("n_points").alias("n_points"),
+        *(F.max(x).alias(x) for x in ("peak_ft", "max_alt_ft", "max_gs_kt")),
     )
-    minutes = (F.coalesce("landing_ts", "last_ts") - F.col("flight_ts")) / 60
-    km = haversine_km(F.col("takeoff_lat"), F.col("takeoff_lon"), F.col("last_lat"), F.col("last_lon"))
-    short = F.col("landing_ts").isNotNull() & (minutes < c.min_flight_min) & (km < c.min_flight_km)
-    return whole.withColumns({"minutes": F.round(minutes, 1), "landed": F.col("landing_ts").isNotNull()}).where((F.col("n_points") > 1) & ~short)
+    minutes = F.round((F.col("last_ts") - F.col("first_ts")) / 60, 1)
+    return whole.withColumns({"minutes": minutes, "landed": F.col("landing_ts").isNotNull(), "signal_gaps": F.col("fragments") - 1})
+
+
+def flights(points: DataFrame, c: Config = DEFAULT, types: DataFrame | None = None) -> DataFrame:
+    """Flights of all aircraft: labelled, freed of single points and short hops, and stitched."""
+    return merged(stitched(whole_enough(fragments_of(points, c), c), c, types)).drop("flight")

@@ -238,6 +238,7 @@ def sql() -> dict[str, str]:
         "a39_promoted_types": f"{legs}, q as (select icao, session, n_points > 12 as overridden, count(*) filter (n_points > 12) over (partition by icao) as n from legs) select icao, session, overridden, true as promoted from q where icao like 'a0000%' and n >= 3",
         "o07_all_aircraft": f"{p}, {LOG} select icao from pts union select icao from log",
     }
+    from .oracle_flights import sql as of_flights
     from .oracle_read import more
 
-    return out | more(out)
+    return out | more(out) | of_flights()

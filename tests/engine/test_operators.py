@@ -63,7 +63,7 @@ def test_state_machine_labels():
     assert [r for _, r in label([g, a, a, g, g, a, u])] == ["none", "airborne", "airborne", "landing", "post_ground", "airborne", "airborne"]
     assert [f for f, _ in label([g, a, a, g, g, a, u])] == [0, 1, 1, 1, 1, 2, 2]
     assert [r for _, r in label([a, g, g, g, g, g, g])] == ["airborne", "landing"] + ["post_ground"] * 4 + ["none"]
-    assert [r for _, r in label([a, g, g], [0, 10, 71])] == ["airborne", "landing", "none"]
+    assert [r for _, r in label([a, g, g, g], [0, 10, 71, 72])] == ["airborne", "landing", "post_ground", "none"]
     assert [r for _, r in label([a, g, a, g, g], null=[False, True, False, True, False])] == ["airborne", "airborne", "airborne", "airborne", "landing"]
 
 
@@ -74,13 +74,31 @@ def test_flights_of_a_simple_day(spark):
     rows = flights.flights(track(spark, up + down)).collect()
     assert len(rows) == 1
     f = rows[0]
-    assert (f.flight_ts, f.landing_ts, f.fragments, f.landed, f.max_alt_ft, f.n_points) == (120, 1320, 1, True, 5000, 23)
+    assert (f.takeoff_ts, f.first_ts, f.landing_ts, f.mid_air, f.fragments, f.landed, f.max_alt_ft, f.n_points, f.minutes) == (60, 120, 1320, False, 1, True, 5000, 23, 20.3)
 
 
 def test_stitching_is_pairwise(spark):
     rows = [{"ts": leg * 3000 + i * 60, "lat": 10 + (leg * 10 + i) * 0.05, "baro_ft": 20000} for leg in range(3) for i in range(10)]
-    found = sorted(flights.flights(track(spark, rows)).collect(), key=lambda r: r.flight_ts)
-    assert [(r.flight_ts, r.fragments) for r in found] == [(0, 2), (6000, 1)]
+    found = sorted(flights.flights(track(spark, rows)).collect(), key=lambda r: r.takeoff_ts)
+    assert [(r.takeoff_ts, r.fragments, r.signal_gaps) for r in found] == [(0, 2, 1), (6000, 1, 0)]
+
+
+def test_an_observed_takeoff_is_not_stitched(spark):
+    lost = [{"ts": i * 60, "lat": 10 + i * 0.05, "baro_ft": 6000, "callsign": "AB1"} for i in range(12)]
+    ground = [{"ts": 4260 + i * 60, "surface": True, "baro_ft": None, "geom_ft": None, "gs_kt": 8.0, "lat": 10.6} for i in range(3)]
+    up = [{"ts": 4440 + i * 60, "lat": 10.6 + i * 0.05, "baro_ft": 500 + i * 500} for i in range(12)]
+    first, second = sorted(flights.flights(track(spark, lost + ground + up)).collect(), key=lambda r: r.takeoff_ts)
+    assert (first.mid_air, first.takeoff_ts, first.landed, first.fragments) == (True, 0, False, 1)
+    assert (second.mid_air, second.takeoff_ts, second.takeoff_lat, second.first_ts, second.callsign) == (False, 4380, 10.6, 4440, "AB1")
+
+
+def test_touch_and_go_shares_its_point(spark):
+    up = [{"ts": i * 60, "lat": 10 + i * 0.05} for i in range(10)]
+    touch = [{"ts": 600, "surface": True, "baro_ft": None, "geom_ft": None, "gs_kt": 60.0, "lat": 10.5}]
+    again = [{"ts": 630 + i * 60, "lat": 10.5 + i * 0.05} for i in range(10)]
+    first, second = sorted(flights.flights(track(spark, up + touch + again)).collect(), key=lambda r: r.takeoff_ts)
+    assert (first.landing_ts, first.last_ts, first.n_points) == (600, 630, 12)
+    assert (second.takeoff_ts, second.first_ts, second.n_points, second.mid_air) == (600, 630, 10, False)
 
 
 def test_turnarounds(spark):

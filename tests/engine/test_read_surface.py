@@ -48,11 +48,11 @@ def test_types_and_military_ranges_overlay_identities(spark):
     assert found == {"a": ("Bell 407", None, False), "b": (None, "US", True)}
 
 
-FRAGMENT = "icao string, session long, fragment long, takeoff_ts long, last_ts long, landing_ts long, n_points long, takeoff_lat double, takeoff_lon double, last_lat double, last_lon double, last_alt_ft int, first_alt_ft int, peak_ft int, max_alt_ft int, max_gs_kt double, callsign string, mid_air boolean"
+FRAGMENT = "icao string, session long, fragment long, first_ts long, last_ts long, landing_ts long, n_points long, takeoff_lat double, takeoff_lon double, last_lat double, last_lon double, last_alt_ft int, first_alt_ft int, peak_ft int, max_alt_ft int, seen_alt_ft int, max_gs_kt double, callsign string, mid_air boolean"
 
 
 def fragment(icao, session, begin, end, first, peak, last, landing=None, lat=30.0):
-    return (icao, session, 1, begin, end, landing, 10, lat, -90.0, lat, -90.0, last, first, peak, peak, 200.0, None, True)
+    return (icao, session, 1, begin, end, landing, 10, lat, -90.0, lat, -90.0, last, first, peak, peak, last, 200.0, None, True)
 
 
 def test_a_new_departure_is_not_stitched_to_the_flight_before(spark):
@@ -64,8 +64,8 @@ def test_a_new_departure_is_not_stitched_to_the_flight_before(spark):
         fragment("far", 1, 0, 1000, 20000, 30000, 30000), fragment("far", 2, 1000 + 7200, 9000, 30000, 31000, 31000),
     ]
     types = spark.createDataFrame([("far", "C17")], "icao string, type_code string")
-    found = flights.stitched(spark.createDataFrame(rows, FRAGMENT), DEFAULT, types).groupBy("icao").agg({"flight_ts": "max"}).collect()
-    assert {r[0]: r[1] == 0 for r in found} == {"hole": True, "dep": False, "low": True, "long": False, "far": True}
+    found = flights.stitched(spark.createDataFrame(rows, FRAGMENT), DEFAULT, types).groupBy("icao").agg({"flight.session": "max"}).collect()
+    assert {r[0]: r[1] == 1 for r in found} == {"hole": True, "dep": False, "low": True, "long": False, "far": True}
 
 
 def test_alignment_adds_confidence_and_finds_dropped_approaches(spark):
