@@ -47,4 +47,5 @@ FLIGHTS = f"with recursive {PTS}, {SES}, {MACHINE}, {FRAGMENTS}, {STITCHED}"
 
 def sql() -> dict[str, str]:
     shown = "*, round((last_ts - first_ts) / 60, 1) as minutes, landing_ts is not null as landed, fragments - 1 as signal_gaps"
-    return {"w03_flights": f"{FLIGHTS} select {shown} from fl"}
+    whole = f"{FLIGHTS} select {shown} from fl"
+    return {"w03_flights": whole, "t09_live_flights": whole}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from ..functions.text import duration_label, oooi
 from ..operators import derived, flights, joins, points, reports, rollups, scoring, spatial, tracks
 from ..sources import adapter as a
 from ..sources import traces
+from ..sources.store import shared_folder
+from ..streaming import flights as live_flights
 from ..streaming import live, watch
 
 #: Where the reference region's own thresholds would find nothing in the synthetic points, a query says so with its own.
@@ -388,6 +392,20 @@ def t09_hourly_windows(spark, d):
     return live.windowed_counts(rows).select("icao", F.unix_seconds("start").alias("start_ts"), "n", "gs")
 
 
+@query
+def t09_live_flights(spark, d):
+    """The batch's flights from a stream: points arrive in four parts and out of order by up to an hour, then a clock that ends them."""
+    folder, parts = f"{shared_folder(spark)}/live-flights-{uuid.uuid4().hex}", 4
+    rows = a.points(spark, d).withColumn("event_time", F.timestamp_seconds("ts"))
+    low, high = rows.agg(F.min("ts"), F.max("ts")).first()
+    sent = F.floor((F.col("ts") - low + F.pmod(F.xxhash64("seq"), F.lit(3600))) * parts / (high - low + 3600))
+    clock = spark.createDataFrame([("~", -1, high + 10 * 86400)], "icao string, seq long, ts long").withColumn("event_time", F.timestamp_seconds("ts"))
+    for batch in [*(rows.where(sent == k) for k in range(parts)), rows.limit(0).unionByName(clock, allowMissingColumns=True)]:
+        batch.write.mode("append").parquet(f"{folder}/points")
+        live_flights.run_to_end(spark.readStream.schema(rows.schema).parquet(f"{folder}/points"), f"{folder}/flights", f"{folder}/progress")
+    return live_flights.settled_flights(spark.read.parquet(f"{folder}/flights"))
+
+
 @query
 def t10_live_sessions(spark, d):
     rows = a.points(spark, d).withColumn("event_time", F.timestamp_seconds("ts"))
