@@ -141,12 +141,19 @@ def labelled(points: DataFrame, c: Config = DEFAULT) -> DataFrame:
     return cut.mapInArrow(run, T.StructType([*cut.schema.fields, *added.fields]))
 
 
-def said_before(points: DataFrame, c: Config = DEFAULT) -> DataFrame:
-    """Per session: the last callsign its aircraft said in any earlier one. A window over sessions, not points."""
+def said_before(points: DataFrame, c: Config = DEFAULT, carried: DataFrame | None = None) -> DataFrame:
+    """Per session: the last callsign its aircraft said in any earlier one. A window over sessions, not points.
+
+    carried (icao, callsign): what it said before the first of these points.
+    """
     heard = F.col("callsign").isNotNull()
     last = sessions(points, c).groupBy("icao", "session").agg(F.max_by("callsign", F.when(heard, F.struct("ts", "seq"))).alias("last"))
     before = Window.partitionBy("icao").orderBy("session").rowsBetween(Window.unboundedPreceding, -1)
-    return last.select("icao", "session", F.last("last", ignorenulls=True).over(before).alias("before"))
+    rows = last.select("icao", "session", F.last("last", ignorenulls=True).over(before).alias("before"))
+    if carried is None:
+        return rows
+    told = carried.select("icao", F.col("callsign").alias("told"))
+    return rows.join(told, "icao", "left").select("icao", "session", F.coalesce("before", "told").alias("before"))
 
 
 def recorded(points: DataFrame, c: Config = DEFAULT) -> DataFrame:
@@ -157,8 +164,8 @@ def recorded(points: DataFrame, c: Config = DEFAULT) -> DataFrame:
     return rows.withColumns({"from": F.when(F.col("of") == F.col("fragment"), F.col("from")), "fragment": F.col("of")}).drop("of", "shared")
 
 
-def fragments_of(points: DataFrame, c: Config = DEFAULT) -> DataFrame:
-    """One row a flight fragment."""
+def fragments_of(points: DataFrame, c: Config = DEFAULT, carried: DataFrame | None = None) -> DataFrame:
+    """One row a flight fragment. carried: as for ``said_before``."""
     at = F.struct("ts", "seq")
     air, height = F.col("role") == "airborne", F.coalesce("baro_ft", "geom_ft")
     flying = air & (F.col("state") == "airborne") & height.isNotNull()
@@ -179,7 +186,7 @@ def fragments_of(points: DataFrame, c: Config = DEFAULT) -> DataFrame:
         F.max("baro_ft").alias("max_alt_ft"),
         F.max("gs_kt").alias("max_gs_kt"),
     )
-    named = rows.join(said_before(points, c), ["icao", "session"]).select(
+    named = rows.join(said_before(points, c, carried), ["icao", "session"]).select(
         "icao", "session", "fragment",
         F.col("from.ts").alias("takeoff_ts"), F.col("from.lat").alias("takeoff_lat"), F.col("from.lon").alias("takeoff_lon"), F.col("from.mid_air").alias("mid_air"),
         F.coalesce("from.callsign", "before").alias("callsign"),
@@ -243,6 +250,6 @@ def merged(parts: DataFrame) -> DataFrame:
     return whole.withColumns({"minutes": minutes, "landed": F.col("landing_ts").isNotNull(), "signal_gaps": F.col("fragments") - 1})
 
 
-def flights(points: DataFrame, c: Config = DEFAULT, types: DataFrame | None = None) -> DataFrame:
-    """Flights of all aircraft: labelled, freed of single points and short hops, and stitched."""
-    return merged(stitched(whole_enough(fragments_of(points, c), c), c, types)).drop("flight")
+def flights(points: DataFrame, c: Config = DEFAULT, types: DataFrame | None = None, carried: DataFrame | None = None) -> DataFrame:
+    """Flights of all aircraft: labelled, freed of single points and short hops, and stitched. carried: as for ``said_before``."""
+    return merged(stitched(whole_enough(fragments_of(points, c, carried), c), c, types)).drop("flight")

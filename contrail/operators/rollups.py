@@ -21,7 +21,12 @@ def spoof_scores(points: DataFrame, c: Config = DEFAULT) -> DataFrame:
         F.min("ts").alias("first_ts"),
         F.min("callsign").alias("callsign"),
     )
-    pct = F.when(F.col("v2") > 0, 100 * F.col("sil0") / F.col("v2")).otherwise(0.0)
+    return scores_of(rows, c)
+
+
+def scores_of(days: DataFrame, c: Config = DEFAULT) -> DataFrame:
+    """The score of counted or stored days: v2, sil0."""
+    rows, pct = days, F.when(F.col("v2") > 0, 100 * F.col("sil0") / F.col("v2")).otherwise(0.0)
     return rows.withColumn("sil0_pct", F.round(pct, 2)).withColumn("flagged", (F.col("v2") >= c.spoof_min_v2) & (pct >= c.spoof_pct))
 
 

@@ -42,10 +42,19 @@ STITCHED = f"""pair as (select a.icao, a.i, coalesce(a.landing_ts is null and b.
   max(case when i = last_i then landing_points end) as landing_points, max(case when i = last_i then seen_alt_ft end) as seen_alt_ft, max(case when i = last_i then last_alt_ft end) as last_alt_ft,
   sum(n_points)::bigint as n_points, max(peak_ft) as peak_ft, max(max_alt_ft) as max_alt_ft, max(max_gs_kt) as max_gs_kt from (select *, max(i) over (partition by icao, flight) as last_i from named) group by icao, flight)"""
 
+#: The same points over more days: every two hours begin one or three days after the two before.
+SPREAD = PTS.replace("pts as", "raw as", 1) + ", pts as (select * replace (ts + (2 * (ts // 7200) - ts // 7200 % 2) * 86400 as ts) from raw)"
+
 FLIGHTS = f"with recursive {PTS}, {SES}, {MACHINE}, {FRAGMENTS}, {STITCHED}"
 
 
 def sql() -> dict[str, str]:
     shown = "*, round((last_ts - first_ts) / 60, 1) as minutes, landing_ts is not null as landed, fragments - 1 as signal_gaps"
     whole = f"{FLIGHTS} select {shown} from fl"
-    return {"w03_flights": whole, "t09_live_flights": whole}
+    end = "lag(coalesce(landing_ts, last_ts)) over (partition by icao order by first_ts, takeoff_ts)"
+    kept = f"with recursive {SPREAD}, {SES}, {MACHINE}, {FRAGMENTS}, {STITCHED} select {shown}, round((takeoff_ts - {end}) / 60, 1) as ground_min, date '1970-01-01' + (takeoff_ts // 86400)::int as day from fl"
+    listed = lambda what: f"coalesce(string_agg(distinct {what}, ',' order by {what}), '')"
+    counts = "count(*) as n_points, count(*) filter (version = 2) as v2, count(*) filter (version = 2 and sil = 0) as sil0, count(*) filter (version = 2 and nic = 0) as nic0"
+    days = f"select icao, date '1970-01-01' + (ts // 86400)::int as day, {counts}, {listed('case when version = 2 then src end')} as sources, {listed('src')} as all_sources, min(ts) as first_ts, min(callsign) as callsign from pts group by 1, 2"
+    scored = f"with {SPREAD}, d as ({days}) select *, round(case when v2 > 0 then 100 * sil0 / v2 else 0 end, 2) as sil0_pct, v2 >= 25 and case when v2 > 0 then 100 * sil0 / v2 else 0 end >= 10 as flagged from d"
+    return {"w03_flights": whole, "t09_live_flights": whole, "t07_incremental_extract": kept, "s06_trace_store": scored}

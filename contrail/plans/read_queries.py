@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+from datetime import date, timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import oooi
-from ..operators import derived, enrich, feeds, joins, rollups, scoring, spatial, tracks
+from ..operators import derived, enrich, extract, feeds, joins, rollups, scoring, spatial, tracks
 from ..sources import adapter as a
 from ..sources import registry, traces
+from ..sources.store import TraceStore, shared_folder
 from ..streaming import watch
 from .queries import _even_votes, _full_legs, _legs, a10_aircraft_stats, query
 
@@ -351,6 +355,38 @@ def t07_refusals(spark, d):
     return feeds.refusals(a.points(spark, d), legs, "new")
 
 
+def _store(spark: SparkSession, d: str) -> TraceStore:
+    """An empty store for the points of ``adapter.spread_points``."""
+    name = f"trace_{uuid.uuid4().hex}"
+    return TraceStore(spark, name, f"{shared_folder(spark)}/{name}", 16).open(a.spread_points(spark, d).schema)
+
+
+@query
+def s06_trace_store(spark, d):
+    """Trace days put in the store in two parts, then some of them again: the statistics kept beside the points, and their scores."""
+    store, points = _store(spark, d), a.spread_points(spark, d)
+    day = F.pmod(F.floor(F.col("ts") / 86400), F.lit(5))
+    store.put(points.where(day < 3))
+    store.put(points.where((day >= 3) & (F.col("seq") % 2 == 0)))
+    store.put(points.where(day >= 3))
+    return rollups.scores_of(store.days()).drop("last_callsign")
+
+
+@query
+def t07_incremental_extract(spark, d):
+    """Flights kept as a table: a full run without the last third and one earlier day, then late and new days by increments."""
+    points, store = a.spread_points(spark, d), _store(spark, d)
+    table, spoofs = (extract.FlightTable(spark, f"{store.folder}/{x}", 4) for x in ("flights", "spoofs"))
+    low, high = points.agg(F.min(F.floor(F.col("ts") / 86400)), F.max(F.floor(F.col("ts") / 86400))).first()
+    day, cut, late = F.floor(F.col("ts") / 86400), low + (high - low) * 2 // 3, low + (high - low) // 3
+    store.put(points.where((day < cut) & (day != late)))
+    extract.full_extract(store, table, spoofs)
+    for part, since in ((day == late, late), (day >= cut, cut)):
+        store.put(points.where(part))
+        extract.incremental_extract(store, table, spoofs, str(date(1970, 1, 1) + timedelta(days=since)))
+    return table.read().drop("extractor_version")
+
+
 @query
 def t08_carried_state(spark, d):
     p = a.points(spark, d)

@@ -38,6 +38,12 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def spread_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``points`` over more days: every two hours begin one or three days after the two before."""
+    block = F.floor(F.col("ts") / 7200).cast("bigint")
+    return points(spark, sf_dir).withColumn("ts", F.col("ts") + (2 * block - block % 2) * 86400)
+
+
 def airports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """supplier as airports over the region where the points are."""
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("bigint").alias("k"), "s_acctbal")
