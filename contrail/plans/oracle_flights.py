@@ -57,4 +57,4 @@ def sql() -> dict[str, str]:
     counts = "count(*) as n_points, count(*) filter (version = 2) as v2, count(*) filter (version = 2 and sil = 0) as sil0, count(*) filter (version = 2 and nic = 0) as nic0"
     days = f"select icao, date '1970-01-01' + (ts // 86400)::int as day, {counts}, {listed('case when version = 2 then src end')} as sources, {listed('src')} as all_sources, min(ts) as first_ts, min(callsign) as callsign from pts group by 1, 2"
     scored = f"with {SPREAD}, d as ({days}) select *, round(case when v2 > 0 then 100 * sil0 / v2 else 0 end, 2) as sil0_pct, v2 >= 25 and case when v2 > 0 then 100 * sil0 / v2 else 0 end >= 10 as flagged from d"
-    return {"w03_flights": whole, "t09_live_flights": whole, "t07_incremental_extract": kept, "s06_trace_store": scored}
+    return {"w03_flights": whole, "t09_live_flights": whole, "t07_incremental_extract": kept, "s06_trace_store": scored, "s13_backfill": scored}

@@ -7,12 +7,13 @@ from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import oooi
 from ..operators import derived, enrich, extract, feeds, joins, rollups, scoring, spatial, tracks
 from ..sources import adapter as a
-from ..sources import registry, traces
-from ..sources.store import TraceStore, shared_folder
+from ..sources import backfill, registry, traces
+from ..sources.store import TraceStore, day_of, shared_folder
 from ..streaming import watch
 from .queries import _even_votes, _full_legs, _legs, a10_aircraft_stats, query
 
@@ -372,6 +373,20 @@ def s06_trace_store(spark, d):
     return rollups.scores_of(store.days()).drop("last_callsign")
 
 
+@query
+def s13_backfill(spark, d):
+    """Raw trace days as JSON, moved into the store batch by batch by two runs, the first of which stops early: the days stored."""
+    store, points = _store(spark, d), a.spread_points(spark, d)
+    kept = [c for c in points.columns if c != "icao"]
+    row = F.array_sort(F.collect_list(F.struct("ts", "seq", *(c for c in kept if c not in ("ts", "seq")))))
+    raw = points.groupBy("icao", day_of(F.col("ts")).alias("day")).agg(F.to_json(row).alias("body"))
+    kind = f"array<{T.StructType([points.schema[c] for c in kept]).simpleString()}>"
+    decoded = lambda rows: rows.select("icao", F.inline(F.from_json("body", kind)))
+    for most in (2, None):
+        backfill.backfill(raw, decoded, store, f"{store.folder}/progress", rows=300, most=most)
+    return rollups.scores_of(store.days()).drop("last_callsign")
+
+
 @query
 def t07_incremental_extract(spark, d):
     """Flights kept as a table: a full run without the last third and one earlier day, then late and new days by increments."""

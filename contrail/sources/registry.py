@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.identity import octal_to_hex
 from ..functions.text import clean, pick
+from .archives import text_table
 
 #: Column names of the files, and ours.
 MASTER = {
@@ -61,6 +62,21 @@ def refreshed(tables: dict[str, DataFrame], folder: str) -> str:
     return version
 
 
+#: The registry bundle: its members, the columns each must have, and the shape each gets.
+BUNDLE = {
+    "master": ("MASTER.txt", ["N-NUMBER", "MODE S CODE", "NAME"], master),
+    "deregistered": ("DEREG.txt", ["N-NUMBER", "MODE-S-CODE", "NAME"], deregistered),
+    "aircraft_reference": ("ACFTREF.txt", ["CODE", "MFR", "MODEL"], aircraft_reference),
+}
+
+
+def refreshed_from(spark: SparkSession, archive: str, folder: str) -> str:
+    """A new version of all three tables from one zip archive. A missing member or a header without its columns
+    fails before anything is written, and readers keep the version they have."""
+    tables = {name: shape(text_table(spark, archive, member, required)) for name, (member, required, shape) in BUNDLE.items()}
+    return refreshed(tables, folder)
+
+
 def current(spark, folder: str, name: str) -> DataFrame:
     """The table ``name`` of the newest version."""
     version = spark.read.parquet(f"{folder}/versions").agg(F.max_by("version", "at")).first()[0]
