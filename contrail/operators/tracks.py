@@ -14,6 +14,7 @@ from ..functions.geo import haversine_km
 from .points import classified
 
 ORDER = ["ts", "seq"]
+CHUNK_S = 86400  # seconds of an aircraft's points that one task takes in order
 
 
 def over(*key: str, order: list[str] | None = None) -> WindowSpec:
@@ -25,10 +26,33 @@ def numbered(points: DataFrame, starts: Column, name: str, *key: str) -> DataFra
     return points.withColumn(name, F.sum(F.when(starts, 1).otherwise(0)).over(over(*key)))
 
 
-def sessions(points: DataFrame, c: Config = DEFAULT) -> DataFrame:
+def cut(points: DataFrame, gap_s: float, name: str, spread: bool = True) -> DataFrame:
+    """Adds ``name``, a number within each aircraft that grows after more than ``gap_s`` without a point.
+
+    A segmented scan: chunks of an aircraft's days are numbered by themselves, and a window over one row a chunk carries the last
+    time and the count so far from chunk to chunk, so that an aircraft with a third of all points is many tasks' work. Without
+    ``spread`` it is one window by aircraft, which a table that is dealt by aircraft plans without an exchange.
+    """
+    if not spread:
+        since = F.col("ts") - F.lag("ts").over(over("icao"))
+        return numbered(points, since.isNull() | (since > gap_s), name, "icao")
+    key = ["icao", "_chunk"]
+    w = over(*key)
+    rows = points.withColumn("_chunk", F.coalesce(F.floor(F.col("ts") / CHUNK_S), F.lit(-1)))
+    starts = F.when(F.col("ts") - F.lag("ts").over(w) > gap_s, 1).otherwise(0)
+    marked = rows.withColumn("_starts", starts).withColumn("_inner", F.sum("_starts").over(w))
+    parts = marked.groupBy(*key).agg(F.min("ts").alias("_first"), F.max("ts").alias("_last"), F.max("_inner").alias("_all"))
+    v = Window.partitionBy("icao").orderBy("_chunk")
+    quiet = F.col("_first") - F.lag("_last").over(v)
+    opened = parts.withColumn("_opens", F.when(quiet.isNull() | (quiet > gap_s), 1).otherwise(0))
+    before = F.coalesce(F.sum(F.col("_opens") + F.col("_all")).over(v.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("_opens")
+    carried = opened.select(*key, before.alias("_before"))
+    return marked.join(carried, key).withColumn(name, F.col("_before") + F.col("_inner")).select(*points.columns, name)
+
+
+def sessions(points: DataFrame, c: Config = DEFAULT, spread: bool = True) -> DataFrame:
     """``session`` within each aircraft: a new one after more than ``session_gap_min``."""
-    since = F.col("ts") - F.lag("ts").over(over("icao"))
-    return numbered(points, since.isNull() | (F.abs(since) > c.session_gap_min * 60), "session", "icao")
+    return cut(points, c.session_gap_min * 60, "session", spread)
 
 
 def legs(points: DataFrame, c: Config = DEFAULT) -> DataFrame:
@@ -61,25 +85,50 @@ def path_metrics(legs: DataFrame) -> DataFrame:
     return legs.select("icao", "session", F.round("path_km", 3).alias("path_km"), F.round("max_km", 3).alias("max_km"), loiter.alias("loiter"), efficiency.alias("efficiency"))
 
 
-def gaps(points: DataFrame, c: Config = DEFAULT) -> DataFrame:
+def gaps(points: DataFrame, c: Config = DEFAULT, spread: bool = True) -> DataFrame:
     """Signal gaps of ``gap_min_s`` to ``gap_max_s`` between consecutive distinct points, with the source mix on both sides."""
-    w = over("icao")
-    cell = F.struct("ts", F.round("lat", 5), F.round("lon", 5))
-    distinct = points.withColumn("_same", cell.eqNullSafe(F.lag(cell).over(w))).where("not _same")
-    adsb = F.col("src").startswith("adsb").cast("int")
-    pre, post = w.rowsBetween(-c.gap_context, -1), w.rowsBetween(0, c.gap_context - 1)
-    found = distinct.select(
-        "icao",
-        F.lag("ts").over(w).alias("start_ts"),
-        F.col("ts").alias("end_ts"),
-        (F.col("ts") - F.lag("ts").over(w)).alias("gap_s"),
-        F.lag("lat").over(w).alias("lat"),
-        F.lag("lon").over(w).alias("lon"),
-        F.lag(F.when(~F.col("surface"), F.col("baro_ft"))).over(w).alias("alt_ft"),
-        (F.sum(F.coalesce(adsb, F.lit(0))).over(pre) / F.count("*").over(pre)).alias("pre_adsb"),
-        (F.sum(F.coalesce(adsb, F.lit(0))).over(post) / F.count("*").over(post)).alias("post_adsb"),
-    )
-    return found.where(F.col("gap_s").between(c.gap_min_s, c.gap_max_s))
+    k, key = c.gap_context, ["icao", "_chunk"]
+    place = F.struct("ts", F.round("lat", 5), F.round("lon", 5))
+    adsb = F.coalesce(F.col("src").startswith("adsb").cast("int"), F.lit(0))
+    seen = F.struct("ts", "lat", "lon", F.when(~F.col("surface"), F.col("baro_ft")).alias("alt_ft"), adsb.alias("adsb"))
+    rows = points.select("icao", "ts", "seq", place.alias("_place"), seen.alias("_seen"), (F.coalesce(F.floor(F.col("ts") / CHUNK_S), F.lit(-1)) if spread else F.lit(0)).alias("_chunk"))
+    w, v = over(*key) if spread else over("icao"), Window.partitionBy("icao").orderBy("_chunk")
+    marked = rows.withColumn("_same", F.col("_place").eqNullSafe(F.lag("_place").over(w)))
+    if spread:
+        ends = rows.groupBy(*key).agg(F.max_by("_place", F.struct("ts", "seq")).alias("_end"))
+        told = ends.select(*key, F.lag("_end").over(v).alias("_told"))
+        first = F.row_number().over(w) == 1
+        marked = marked.withColumn("_first", first).join(told, key).withColumn("_same", F.when(F.col("_first"), F.col("_place").eqNullSafe(F.col("_told"))).otherwise(F.col("_same"))).drop("_first", "_told")
+    distinct = marked.where("not _same").drop("_same", "_place")
+    near = lambda frame: F.struct(F.sum("_seen.adsb").over(frame).alias("adsb"), F.count("*").over(frame).alias("n"))
+    framed = distinct.withColumns({"_last": F.lag("_seen").over(w), "_pre": near(w.rowsBetween(-k, -1)), "_post": near(w.rowsBetween(0, k - 1))})
+    if spread:
+        framed = _with_neighbours(distinct, framed, k, key, w, v)
+    share = lambda x: F.col(f"{x}.adsb") / F.col(f"{x}.n")
+    gap = F.col("ts") - F.col("_last.ts")
+    found = framed.where(gap.between(c.gap_min_s, c.gap_max_s))
+    return found.select("icao", F.col("_last.ts").alias("start_ts"), F.col("ts").alias("end_ts"), gap.alias("gap_s"), "_last.lat", "_last.lon", "_last.alt_ft", share("_pre").alias("pre_adsb"), share("_post").alias("post_adsb"))
+
+
+def _with_neighbours(distinct: DataFrame, framed: DataFrame, k: int, key: list[str], w: WindowSpec, v: WindowSpec) -> DataFrame:
+    """``framed`` with what lies beyond a chunk's ends: its frames of ``k`` rows and its first row's last one take up rows of other chunks.
+
+    A chunk gives its first and last ``k`` rows; as each has a row at least, ``k`` chunks on either side are enough.
+    """
+    back = over(*key, order=[F.desc("ts"), F.desc("seq")])
+    numbered_ = distinct.select(*key, "ts", "seq", "_seen", F.row_number().over(w).alias("_i"), F.row_number().over(back).alias("_j"))
+    some = lambda at: F.array_sort(F.collect_list(F.when(F.col(at) <= k, F.struct("ts", "seq", "_seen"))))
+    ends = numbered_.where((F.col("_i") <= k) | (F.col("_j") <= k)).groupBy(*key).agg(some("_i").alias("_head"), some("_j").alias("_tail"))
+    flat = lambda x, low, high: F.flatten(F.collect_list(x).over(v.rowsBetween(low, high)))["_seen"]
+    sides = ends.select(*key, flat("_tail", -k, -1).alias("_before"), flat("_head", 1, k).alias("_after"))
+    both = framed.join(sides, key)
+    lacking, none = (lambda x: k - F.col(f"{x}.n")), F.array().cast("array<int>")
+    size = F.size("_before")
+    before = F.when((lacking("_pre") > 0) & (size > 0), F.slice(F.col("_before")["adsb"], F.greatest(F.lit(1), size - lacking("_pre") + 1).cast("int"), lacking("_pre").cast("int"))).otherwise(none)
+    after = F.when(lacking("_post") > 0, F.slice(F.col("_after")["adsb"], 1, lacking("_post").cast("int"))).otherwise(none)
+    more = lambda x, far: F.struct((F.coalesce(F.col(f"{x}.adsb"), F.lit(0)) + F.aggregate(far, F.lit(0), lambda s, y: s + y)).alias("adsb"), (F.col(f"{x}.n") + F.size(far)).alias("n"))
+    last = F.coalesce("_last", F.try_element_at("_before", F.lit(-1)))
+    return both.withColumns({"_last": last, "_pre": more("_pre", before), "_post": more("_post", after)})
 
 
 def classify_gaps(gaps: DataFrame) -> DataFrame:
@@ -94,13 +143,12 @@ def classify_gaps(gaps: DataFrame) -> DataFrame:
     return gaps.withColumn("gap_class", kind)
 
 
-def fragments(points: DataFrame, c: Config = DEFAULT) -> DataFrame:
+def fragments(points: DataFrame, c: Config = DEFAULT, spread: bool = True) -> DataFrame:
     """Per (aircraft, fragment): extent, heights with ground as zero, speeds, integrity counts and source counts."""
-    since = F.col("ts") - F.lag("ts").over(over("icao"))
-    cut = numbered(points, since.isNull() | (since > c.fragment_gap_s), "fragment", "icao")
+    cut_ = cut(points, c.fragment_gap_s, "fragment", spread)
     at = F.struct("ts", "seq")
     v2 = F.col("version") == 2
-    return cut.groupBy("icao", "fragment").agg(
+    return cut_.groupBy("icao", "fragment").agg(
         F.count("*").alias("n"),
         F.min("ts").alias("start_ts"),
         F.max("ts").alias("end_ts"),

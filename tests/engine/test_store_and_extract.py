@@ -106,9 +106,9 @@ def test_the_store_plans_no_exchange_and_prunes_days(spark, tmp_path):
     store = opened(spark, tmp_path, rows)
     store.put(track(spark, rows))
     points = store.points()
-    for df in (tracks.sessions(points), tracks.gaps(points), rollups.spoof_scores(points)):
+    for df in (tracks.sessions(points, spread=False), tracks.gaps(points, spread=False), rollups.spoof_scores(points)):
         assert "Exchange" not in plan(df) and "SelectedBucketsCount: 4 out of 4" in plan(df)
-    assert "Exchange" in plan(tracks.sessions(track(spark, rows)))
+    assert "Exchange" in plan(tracks.sessions(track(spark, rows), spread=False))
     some = points.where("day >= date '2022-01-20'")
     assert "PartitionFilters: [isnotnull(day" in plan(some) and some.count() == sum(day_of(r) >= 19_012 for r in rows)
     # another session's view of the folder, and the statistics as they were written
