@@ -92,30 +92,25 @@ def gaps(points: DataFrame, c: Config = DEFAULT, spread: bool = True) -> DataFra
     adsb = F.coalesce(F.col("src").startswith("adsb").cast("int"), F.lit(0))
     seen = F.struct("ts", "lat", "lon", F.when(~F.col("surface"), F.col("baro_ft")).alias("alt_ft"), adsb.alias("adsb"))
     rows = points.select("icao", "ts", "seq", place.alias("_place"), seen.alias("_seen"), (F.coalesce(F.floor(F.col("ts") / CHUNK_S), F.lit(-1)) if spread else F.lit(0)).alias("_chunk"))
-    w, v = over(*key) if spread else over("icao"), Window.partitionBy("icao").orderBy("_chunk")
-    marked = rows.withColumn("_same", F.col("_place").eqNullSafe(F.lag("_place").over(w)))
-    if spread:
-        ends = rows.groupBy(*key).agg(F.max_by("_place", F.struct("ts", "seq")).alias("_end"))
-        told = ends.select(*key, F.lag("_end").over(v).alias("_told"))
-        first = F.row_number().over(w) == 1
-        marked = marked.withColumn("_first", first).join(told, key).withColumn("_same", F.when(F.col("_first"), F.col("_place").eqNullSafe(F.col("_told"))).otherwise(F.col("_same"))).drop("_first", "_told")
-    distinct = marked.where("not _same").drop("_same", "_place")
+    w = over(*key) if spread else over("icao")
+    # repeated points have one time, and so lie in one chunk
+    distinct = rows.withColumn("_same", F.col("_place").eqNullSafe(F.lag("_place").over(w))).where("not _same").drop("_same", "_place")
     near = lambda frame: F.struct(F.sum("_seen.adsb").over(frame).alias("adsb"), F.count("*").over(frame).alias("n"))
     framed = distinct.withColumns({"_last": F.lag("_seen").over(w), "_pre": near(w.rowsBetween(-k, -1)), "_post": near(w.rowsBetween(0, k - 1))})
+    asked = lambda: (F.col("ts") - F.col("_last.ts")).between(c.gap_min_s, c.gap_max_s)
     if spread:
-        framed = _with_neighbours(distinct, framed, k, key, w, v)
+        framed = _with_neighbours(distinct, framed.where(asked() | F.col("_last").isNull()), k, key, w)
     share = lambda x: F.col(f"{x}.adsb") / F.col(f"{x}.n")
-    gap = F.col("ts") - F.col("_last.ts")
-    found = framed.where(gap.between(c.gap_min_s, c.gap_max_s))
-    return found.select("icao", F.col("_last.ts").alias("start_ts"), F.col("ts").alias("end_ts"), gap.alias("gap_s"), "_last.lat", "_last.lon", "_last.alt_ft", share("_pre").alias("pre_adsb"), share("_post").alias("post_adsb"))
+    gap = (F.col("ts") - F.col("_last.ts")).alias("gap_s")
+    return framed.where(asked()).select("icao", F.col("_last.ts").alias("start_ts"), F.col("ts").alias("end_ts"), gap, "_last.lat", "_last.lon", "_last.alt_ft", share("_pre").alias("pre_adsb"), share("_post").alias("post_adsb"))
 
 
-def _with_neighbours(distinct: DataFrame, framed: DataFrame, k: int, key: list[str], w: WindowSpec, v: WindowSpec) -> DataFrame:
+def _with_neighbours(distinct: DataFrame, framed: DataFrame, k: int, key: list[str], w: WindowSpec) -> DataFrame:
     """``framed`` with what lies beyond a chunk's ends: its frames of ``k`` rows and its first row's last one take up rows of other chunks.
 
     A chunk gives its first and last ``k`` rows; as each has a row at least, ``k`` chunks on either side are enough.
     """
-    back = over(*key, order=[F.desc("ts"), F.desc("seq")])
+    back, v = over(*key, order=[F.desc("ts"), F.desc("seq")]), Window.partitionBy("icao").orderBy("_chunk")
     numbered_ = distinct.select(*key, "ts", "seq", "_seen", F.row_number().over(w).alias("_i"), F.row_number().over(back).alias("_j"))
     some = lambda at: F.array_sort(F.collect_list(F.when(F.col(at) <= k, F.struct("ts", "seq", "_seen"))))
     ends = numbered_.where((F.col("_i") <= k) | (F.col("_j") <= k)).groupBy(*key).agg(some("_i").alias("_head"), some("_j").alias("_tail"))

@@ -14,7 +14,7 @@ from ..functions.text import duration_label, oooi
 from ..operators import derived, flights, joins, points, reports, rollups, scoring, spatial, tracks
 from ..sources import adapter as a
 from ..sources import traces
-from ..sources.store import shared_folder
+from ..sources.store import shared_folder, written
 from ..streaming import flights as live_flights
 from ..streaming import live, watch
 
@@ -57,7 +57,7 @@ def w05_durations(spark, d):
 @query
 def w10_gaps(spark, d):
     """Signal gaps, the nearest airport to each, and their class."""
-    found = tracks.gaps(a.points(spark, d))
+    found = written(tracks.gaps(a.points(spark, d)), "gaps")
     near = spatial.nearest(found, a.airports(spark, d), ["icao", "end_ts"], (0.5, 2.0)).select("icao", "end_ts", F.round(F.col("km") * 0.539957, 2).alias("nearest_nm"))
     rows = tracks.classify_gaps(found.join(near, ["icao", "end_ts"], "left"))
     return rows.select("icao", "start_ts", "end_ts", "gap_s", "alt_ft", F.round("pre_adsb", 3).alias("pre_adsb"), F.round("post_adsb", 3).alias("post_adsb"), "nearest_nm", "gap_class")
