@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..functions.geo import bearing_deg, destination, haversine_km, haversine_m, smallest_angle_deg
+from ..sources.store import written
 
 NM_KM = 1.852
 
@@ -166,36 +167,135 @@ def closest_approach(points: DataFrame, lat: float, lon: float) -> DataFrame:
     return best.select("icao", F.round("b.m", 1).alias("metres"), "b.ts", "b.baro_ft")
 
 
+DEGREE_KM = 111.19  # a little less than a degree of a great circle
+PAIRS = 4096  # pairs of points that two cells may have to be compared one by one
+
+
+def _row_width(cy: Column, step: float) -> Column:
+    """Degrees of longitude of a row's cells: as wide as its end nearer to the equator allows; near the poles they stop growing."""
+    near = F.least(F.abs(cy), F.abs(cy + 1)) * step
+    return step / F.greatest(F.lit(0.02), F.cos(F.radians(F.least(near, F.lit(90.0)))))
+
+
+def _reach(boxes: DataFrame, eps_km: float, step: float) -> DataFrame:
+    """``boxes`` (lat0, lat1, lon0, lon1) once in every cell that may hold a point within ``eps_km``: (cy, cx)."""
+    up = eps_km / DEGREE_KM
+    high = F.least(F.lit(89.9), F.greatest(F.abs("lat0"), F.abs("lat1")) + up)
+    side = up / F.greatest(F.lit(0.0017), F.cos(F.radians(high))) * 1.001
+    rows = F.sequence(F.floor((F.col("lat0") - up) / step), F.floor((F.col("lat1") + up) / step))
+    wide = boxes.withColumns({"_side": side, "cy": F.explode(rows)}).withColumn("_w", _row_width(F.col("cy"), step))
+    columns = F.sequence(F.floor((F.col("lon0") - F.col("_side")) / F.col("_w")), F.floor((F.col("lon1") + F.col("_side")) / F.col("_w")))
+    return wide.withColumn("cx", F.explode(columns)).drop("_side", "_w")
+
+
+def _box_bounds(a: str, b: str) -> tuple[Column, Column]:
+    """Kilometres that points of two boxes are apart: at least, at most."""
+    x = lambda side, name: F.col(f"{side}_{name}")
+    gap = lambda u, v: F.greatest(F.lit(0.0), x(a, u) - x(b, v), x(b, u) - x(a, v))
+    most = lambda u, v: F.greatest(F.abs(x(a, v) - x(b, u)), F.abs(x(b, v) - x(a, u)))
+    far = F.greatest(*(F.abs(x(s, n)) for s in (a, b) for n in ("lat0", "lat1")))
+    flat = F.when((x(a, "lat0") < 0) & (x(a, "lat1") > 0), 0.0).otherwise(F.least(*(F.abs(x(s, n)) for s in (a, b) for n in ("lat0", "lat1"))))
+    low = F.greatest(gap("lat0", "lat1"), gap("lon0", "lon1") * F.cos(F.radians(far))) * DEGREE_KM * 0.999
+    up = F.hypot(most("lat0", "lat1"), most("lon0", "lon1") * F.cos(F.radians(flat))) * 111.2 * 1.001
+    return low, up
+
+
+def _boxes(nodes: DataFrame, *key: str) -> DataFrame:
+    sides = (F.min("lat").alias("lat0"), F.max("lat").alias("lat1"), F.min("lon").alias("lon0"), F.max("lon").alias("lon1"))
+    return nodes.groupBy(*key).agg(F.count("*").alias("places"), *sides)
+
+
+def _linked_cells(nodes: DataFrame, eps_km: float, step: float) -> DataFrame:
+    """(u, v) of dense cells of which two points are within ``eps_km``. nodes: cell, node, lat, lon.
+
+    Cells are compared by the boxes of their points: some are surely near, some surely not. The rest are cut in four, and their
+    quarters are compared, until the points of two boxes are so few that they are compared themselves.
+    """
+    cells = _boxes(nodes, "cell")
+    side = lambda df, s: df.select(*(F.col(c).alias(f"{s}_{c}") for c in df.columns))
+    home = cells.select(F.col("cell").alias("v"), F.col("cell.cy").alias("cy"), F.col("cell.cx").alias("cx"))
+    pairs = _reach(cells, eps_km, step).join(home, ["cy", "cx"]).where(F.col("cell") < F.col("v")).select(F.col("cell").alias("u"), "v").distinct()
+    parts, found, level = nodes.withColumn("part", F.lit(0).cast("long")), [], 0
+    todo = pairs.select("u", "v", F.lit(0).cast("long").alias("a_part"), F.lit(0).cast("long").alias("b_part"))
+    while True:
+        boxes = _boxes(parts, "cell", "part")
+        a, b = side(boxes, "a").withColumnRenamed("a_cell", "u"), side(boxes, "b").withColumnRenamed("b_cell", "v")
+        low, up = _box_bounds("a", "b")
+        met = checkpointed(todo.join(a, ["u", "a_part"]).join(b, ["v", "b_part"]).where(low <= eps_km).withColumn("near", up <= eps_km))
+        near = met.where("near").select("u", "v").distinct()
+        found.append(near)
+        rest = met.where("not near").join(near, ["u", "v"], "left_anti")
+        few = F.col("a_places") * F.col("b_places") <= PAIRS
+        points = lambda s, cell: parts.select(F.col("cell").alias(cell), F.col("part").alias(f"{s}_part"), F.col("lat").alias(f"{s}_lat"), F.col("lon").alias(f"{s}_lon"))
+        each = rest.where(few).select("u", "v", "a_part", "b_part").join(points("a", "u"), ["u", "a_part"]).join(points("b", "v"), ["v", "b_part"])
+        within = haversine_km(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon")) <= eps_km
+        found.append(each.where(within).select("u", "v").distinct())
+        todo = checkpointed(rest.where(~few).select("u", "v", "a_part", "b_part"))
+        level += 1
+        if not todo.take(1) or level > 40:
+            break
+        quarter = (F.floor(F.col("lat") / step * (1 << level)) % 2).cast("long") * 2 + (F.floor(F.col("lon") / step * (1 << level)) % 2).cast("long")
+        parts = parts.withColumn("part", F.col("part") * 4 + F.pmod(quarter, F.lit(4)))
+        todo = todo.select("u", "v", F.explode(F.sequence(F.col("a_part") * 4, F.col("a_part") * 4 + 3)).alias("a_part"), "b_part")
+        todo = todo.select("u", "v", "a_part", F.explode(F.sequence(F.col("b_part") * 4, F.col("b_part") * 4 + 3)).alias("b_part"))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out.distinct()
+
+
 def dbscan(points: DataFrame, eps_km: float = DEFAULT.helipad_eps_km, min_points: int = DEFAULT.helipad_min_points) -> DataFrame:
     """Clusters of (id, lat, lon): rows (id, cluster), cluster the least id of its core points; noise is left out.
 
-    Points of one place are one node with their count. Neighbours are found on a grid; core nodes are linked and
-    their components found by repeated minima; a border point goes to its least neighbouring cluster.
+    Any two points of a cell of side eps / sqrt 2 are near, so that a cell of ``min_points`` points is core as a whole and
+    one node of the graph, whatever it holds: no pairs are made in it, and two such cells are linked by one near pair. Only
+    points of thinner cells, fewer than ``min_points`` each, are compared with the points around them, so that rows grow as the points do. A border
+    point goes to its least neighbouring cluster. Clusters do not go around the antimeridian.
     """
-    nodes = points.groupBy("lat", "lon").agg(F.min("id").alias("node"), F.count("*").alias("n"))
-    # a cell is as high and, at its latitude, at least as wide as eps
-    step = eps_km / 111.0
-    wide = lambda lat: step / F.greatest(F.lit(0.02), F.cos(F.radians(F.floor(lat / step) * step)) * 0.98)
-    a = nodes.select(F.col("node").alias("u"), F.col("lat").alias("ulat"), F.col("lon").alias("ulon"), "n")
-    rows = F.explode(F.array(*(F.lit(i) for i in (-1, 0, 1)))).alias("dy")
-    cells = a.withColumn("cy", F.floor(F.col("ulat") / step).cast("long"))
-    spread = cells.select("*", rows).select("u", "ulat", "ulon", (F.col("cy") + F.col("dy")).alias("cy"))
-    spread = spread.withColumn("w", step / F.greatest(F.lit(0.02), F.cos(F.radians(F.col("cy") * step)) * 0.98))
-    spread = spread.select("u", "ulat", "ulon", "cy", F.explode(F.array(*((F.floor(F.col("ulon") / F.col("w")) + i).cast("long") for i in (-1, 0, 1)))).alias("cx"))
-    home = nodes.select(F.col("node").alias("v"), F.col("lat").alias("vlat"), F.col("lon").alias("vlon"), F.col("n").alias("vn"), F.floor(F.col("lat") / step).cast("long").alias("cy"), F.floor(F.col("lon") / wide(F.col("lat"))).cast("long").alias("cx"))
-    near = spread.join(home, ["cy", "cx"]).where(haversine_km(F.col("ulat"), F.col("ulon"), F.col("vlat"), F.col("vlon")) <= eps_km).select("u", "v", "vn")
-    near = checkpointed(near)
+    # points of one place are one node with their count
+    step = eps_km / math.sqrt(2) / 111.2 * 0.998
+    places = points.groupBy("lat", "lon").agg(F.min("id").alias("node"), F.count("*").alias("n"))
+    cy = F.floor(F.col("lat") / step)
+    celled = places.withColumn("cell", F.struct(cy.alias("cy"), F.floor(F.col("lon") / _row_width(cy, step)).alias("cx")))
+    counts = celled.groupBy("cell").agg(F.sum("n").alias("all"), F.min("node").alias("least"))
+    nodes = checkpointed(celled.join(counts, "cell").withColumn("dense", F.col("all") >= min_points).select("node", "lat", "lon", "n", "cell", "dense", F.when(F.col("dense"), F.col("least")).alias("hub")))
+    thin = nodes.where("not dense")
+    asked = thin.select(F.col("node").alias("u"), F.col("lat").alias("ulat"), F.col("lon").alias("ulon"), *(F.col(c).alias(f"{c}{i}") for c in ("lat", "lon") for i in (0, 1)))
+    home = nodes.select(F.col("node").alias("v"), F.col("lat").alias("vlat"), F.col("lon").alias("vlon"), F.col("n").alias("vn"), "hub", F.col("cell.cy").alias("cy"), F.col("cell.cx").alias("cx"))
+    within = haversine_km(F.col("ulat"), F.col("ulon"), F.col("vlat"), F.col("vlon")) <= eps_km
+    met = _reach(asked, eps_km, step).join(home, ["cy", "cx"]).where(within)
+    # a dense cell's points are summed: its hub stands for them
+    near = checkpointed(met.groupBy("u", F.coalesce("hub", "v").alias("v"), F.col("hub").isNotNull().alias("dense")).agg(F.sum("vn").alias("vn")))
     core = near.groupBy("u").agg(F.sum("vn").alias("n")).where(F.col("n") >= min_points).select("u")
-    links = near.join(core, "u").join(core.select(F.col("u").alias("v")), "v").select("u", "v")
+    sure = near.join(core, "u")
+    thick = sure.where("dense").select("u", "v").unionByName(sure.where("not dense").join(core.select(F.col("u").alias("v")), "v").select("u", "v"))
+    hubs = nodes.where("dense").select("cell", "hub").distinct()
+    cells = _linked_cells(nodes.where("dense").select("cell", "node", "lat", "lon"), eps_km, step)
+    across = cells.join(hubs.select(F.col("cell").alias("u"), F.col("hub").alias("a")), "u").join(hubs.select(F.col("cell").alias("v"), F.col("hub").alias("b")), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    one_way = thick.unionByName(across)
+    own = core.unionByName(hubs.select(F.col("hub").alias("u"))).select("u", F.col("u").alias("v"))
+    links = one_way.unionByName(one_way.select(F.col("v").alias("u"), F.col("u").alias("v"))).unionByName(own).distinct()
     label = least_reachable(links)
     border = near.join(label.select(F.col("u").alias("v"), "cluster"), "v").groupBy("u").agg(F.min("cluster").alias("b"))
-    both = border.join(label, "u", "left").select(F.col("u").alias("node"), F.coalesce("cluster", "b").alias("cluster"))
-    return points.join(nodes.select("lat", "lon", "node"), ["lat", "lon"]).join(both, "node").select("id", "cluster")
+    of = nodes.select("lat", "lon", F.coalesce("hub", "node").alias("u")).join(label, "u", "left").join(border, "u", "left")
+    return points.join(of.select("lat", "lon", F.coalesce("cluster", "b").alias("cluster")), ["lat", "lon"]).where("cluster is not null").select("id", "cluster")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts lineage in the folder that ``spark.checkpoint.dir`` names; without one, the plan stays as it is."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
+    """``df`` from a table in the shared folder, which cuts its lineage durably."""
+    return written(df, "spatial")
+
+
+def backfilled(flights: DataFrame, pads: DataFrame, key: list[str], eps_km: float = DEFAULT.helipad_eps_km) -> DataFrame:
+    """``flights`` with origin_pad and destination_pad: the nearest of ``pads`` (pad, lat, lon) within ``eps_km`` of where each took
+    off and landed; of pads as near as each other the last. A flight that was not seen to land has no destination."""
+    places = pads.select(F.col("pad").alias("p_pad"), F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))
+    for end, name in (("takeoff", "origin_pad"), ("landing", "destination_pad")):
+        at = flights.select(*key, F.col(f"{end}_lat").alias("lat"), F.col(f"{end}_lon").alias("lon")).where("lat is not null and lon is not null")
+        km = haversine_km(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon"))
+        best = _within_nm(at, places, eps_km / NM_KM).groupBy(*key).agg(F.min(F.struct(km.alias("km"), (-F.col("p_pad")).alias("last"))).alias("b"))
+        flights = flights.join(best.select(*key, (-F.col("b.last")).alias(name)), key, "left")
+    return flights
 
 
 def least_reachable(links: DataFrame) -> DataFrame:

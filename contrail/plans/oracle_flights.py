@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .oracle import PTS, SES, STATE, km
+from .oracle import LEGS, PTS, SES, STATE, km
 
 #: One state a point. s: the state after it, f: its fragment, opens: it opens that one, shared: it also ends the one before.
 MACHINE = f"""o as (select * exclude (since), row_number() over (partition by icao, session order by ts, seq) as n, {STATE} as st, coalesce(last_value(callsign ignore nulls) over (partition by icao order by ts, seq rows between unbounded preceding and current row), null) as said from ses),
@@ -48,6 +48,15 @@ SPREAD = PTS.replace("pts as", "raw as", 1) + ", pts as (select * replace (ts +
 FLIGHTS = f"with recursive {PTS}, {SES}, {MACHINE}, {FRAGMENTS}, {STITCHED}"
 
 
+def clusters(eps: float, least: int) -> str:
+    """Density clusters of the rows of src (id, lat, lon, ts): all pairs, and what core points reach."""
+    near = f"select a.id as u, b.id as v from src a join src b on abs(a.lat - b.lat) <= {eps} / 100 where {km('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= {eps}"
+    return f"""np as materialized ({near}), core as (select u from np group by u having count(*) >= {least}), cl as materialized (select np.u, np.v from np join core a on a.u = np.u join core b on b.u = np.v),
+ reach(u, v) as (select u, v from cl union select r.u, c.v from reach r join cl c on c.u = r.v), lab as (select u, min(v) as cluster from reach group by u),
+ of as (select src.*, coalesce(l.cluster, (select min(m.cluster) from np join lab m on m.u = np.v where np.u = src.id)) as cluster from src left join lab l on l.u = src.id),
+ pads as (select cluster, round(avg(lat), 6) as lat, round(avg(lon), 6) as lon, count(*) as landings, min(ts) as first_ts, max(ts) as last_ts from of where cluster is not null group by cluster)"""
+
+
 def sql() -> dict[str, str]:
     shown = "*, round((last_ts - first_ts) / 60, 1) as minutes, landing_ts is not null as landed, fragments - 1 as signal_gaps"
     whole = f"{FLIGHTS} select {shown} from fl"
@@ -57,4 +66,14 @@ def sql() -> dict[str, str]:
     counts = "count(*) as n_points, count(*) filter (version = 2) as v2, count(*) filter (version = 2 and sil = 0) as sil0, count(*) filter (version = 2 and nic = 0) as nic0"
     days = f"select icao, date '1970-01-01' + (ts // 86400)::int as day, {counts}, {listed('case when version = 2 then src end')} as sources, {listed('src')} as all_sources, min(ts) as first_ts, min(callsign) as callsign from pts group by 1, 2"
     scored = f"with {SPREAD}, d as ({days}) select *, round(case when v2 > 0 then 100 * sil0 / v2 else 0 end, 2) as sil0_pct, v2 >= 25 and case when v2 > 0 then 100 * sil0 / v2 else 0 end >= 10 as flagged from d"
-    return {"w03_flights": whole, "t09_live_flights": whole, "t07_incremental_extract": kept, "s06_trace_store": scored, "s13_backfill": scored}
+    surface = "src as (select seq as id, lat, lon, ts from pts where surface)"
+    number = "('0x' || icao)::bigint * 100000 + session * 2"
+    ends = f"src as (select {number} as id, takeoff_lat as lat, takeoff_lon as lon, takeoff_ts as ts from legs union all select {number} + 1, landing_lat, landing_lon, landing_ts from legs)"
+    named = "*, case when lat < 20 or (lon < -85 and lat < 30) then 'offshore_platform_' else 'helipad_' end || cluster as name"
+    pad = lambda end: f"(select arg_min(cluster, (d, -cluster)) from (select cluster, {km(f'fl.{end}_lat', f'fl.{end}_lon', 'pads.lat', 'pads.lon')} as d from pads) where d <= 0.2)"
+    pads = {
+        "g17_helipads": f"with recursive {PTS}, {surface}, {clusters(1.2, 4)} select * from pads",
+        "g18_discovered_pads": f"with recursive {PTS}, {SES}, {LEGS}, {ends}, {clusters(1.2, 4)} select {named} from pads",
+        "j16_helipad_backfill": f"{FLIGHTS}, {surface}, {clusters(1.2, 4)} select icao, first_ts, {pad('takeoff')} as origin_pad, {pad('landing')} as destination_pad from fl",
+    }
+    return pads | {"w03_flights": whole, "t09_live_flights": whole, "t07_incremental_extract": kept, "s06_trace_store": scored, "s13_backfill": scored}

@@ -518,10 +518,10 @@ def a23_off_airport(spark, d):
 
 @query
 def j16_helipad_backfill(spark, d):
-    """The cluster of surface points nearest to each leg's end."""
-    pads = g17_helipads(spark, d).select(F.format_string("pad_%d", "cluster").alias("ident"), "lat", "lon")
-    near = spatial.nearest(_legs(spark, d), pads, ["icao", "session"], (0.02, 0.02), "landing_lat", "landing_lon")
-    return near.where("km <= 2").select("icao", "session", F.col("ident").alias("helipad"), F.round("km", 3).alias("km"))
+    """Flights with the clusters of surface points that both of their ends lie in."""
+    pads = g17_helipads(spark, d).select(F.col("cluster").alias("pad"), "lat", "lon")
+    rows = written(flights.flights(a.points(spark, d)).select("icao", "first_ts", "takeoff_lat", "takeoff_lon", "landing_lat", "landing_lon"), "flights")
+    return spatial.backfilled(rows, pads, ["icao", "first_ts"]).select("icao", "first_ts", "origin_pad", "destination_pad")
 
 
 @query

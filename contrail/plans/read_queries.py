@@ -423,6 +423,7 @@ def o11_first_rows(spark, d):
 def g18_discovered_pads(spark, d):
     """Both ends of legs, clustered and named."""
     legs = _legs(spark, d)
-    ends = legs.select(F.xxhash64("icao", "session", F.lit(0)).alias("id"), F.col("takeoff_lat").alias("lat"), F.col("takeoff_lon").alias("lon"), F.col("takeoff_ts").alias("ts"))
-    both = ends.unionAll(legs.select(F.xxhash64("icao", "session", F.lit(1)), "landing_lat", "landing_lon", "landing_ts"))
+    number = lambda end: (F.conv("icao", 16, 10).cast("long") * 100_000 + F.col("session") * 2 + end).alias("id")
+    ends = legs.select(number(0), F.col("takeoff_lat").alias("lat"), F.col("takeoff_lon").alias("lon"), F.col("takeoff_ts").alias("ts"))
+    both = ends.unionAll(legs.select(number(1), "landing_lat", "landing_lon", "landing_ts"))
     return feeds.offshore_names(spatial.helipads(both, spatial.dbscan(both, eps_km=1.2, min_points=4)))

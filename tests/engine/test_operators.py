@@ -1,6 +1,8 @@
 import math
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from contrail.config import DEFAULT
@@ -137,22 +139,42 @@ def haversine(a, b):
     return 12742 * math.asin(math.sqrt(min(1, h)))
 
 
-def test_dbscan_against_brute_force(spark):
-    rng = random.Random(20260417)
-    centres = [(60.0, 10.0), (60.01, 10.0), (-33.0, 151.0)]
-    pts = [(la + rng.gauss(0, 0.00045), lo + rng.gauss(0, 0.0009)) for la, lo in centres for _ in range(40)]
-    pts += [(rng.uniform(59, 61), rng.uniform(9, 11)) for _ in range(60)] + [pts[0]] * 3
-    near = [[j for j in range(len(pts)) if haversine(pts[i], pts[j]) <= 0.2] for i in range(len(pts))]
-    core = {i for i in range(len(pts)) if len(near[i]) >= 3}
+def clusters(pts, eps, least):
+    near = [[j for j in range(len(pts)) if haversine(pts[i], pts[j]) <= eps] for i in range(len(pts))]
+    core = {i for i in range(len(pts)) if len(near[i]) >= least}
     label = {i: i for i in core}
-    for _ in range(len(pts)):
+    while True:
         new = {i: min(label[j] for j in near[i] if j in core) for i in core}
         if new == label:
             break
         label = new
-    expected = {i: label[i] if i in core else min(label[j] for j in near[i] if j in core) for i in range(len(pts)) if i in core or any(j in core for j in near[i])}
+    return {i: label[i] if i in core else min(label[j] for j in near[i] if j in core) for i in range(len(pts)) if i in core or any(j in core for j in near[i])}
+
+
+@pytest.mark.parametrize("eps, least, few", [(0.2, 3, 4096), (0.2, 9, 1), (0.35, 2, 30)])
+def test_dbscan_against_brute_force(spark, monkeypatch, eps, least, few):
+    monkeypatch.setattr(spatial, "PAIRS", few)
+    rng = random.Random(20260417)
+    centres = [(60.0, 10.0), (60.01, 10.0), (-33.0, 151.0), (0.0, 0.0), (-0.0021, 0.0003)]
+    pts = [(la + rng.gauss(0, 0.00045), lo + rng.gauss(0, 0.0009)) for la, lo in centres for _ in range(40)]
+    pts += [(rng.uniform(59, 61), rng.uniform(9, 11)) for _ in range(60)] + [pts[0]] * 3
     df = spark.createDataFrame([(i, *p) for i, p in enumerate(pts)], "id long, lat double, lon double")
-    assert {r.id: r.cluster for r in spatial.dbscan(df).collect()} == expected
+    assert {r.id: r.cluster for r in spatial.dbscan(df, eps, least).collect()} == clusters(pts, eps, least)
+
+
+def test_a_pad_with_most_of_the_landings_takes_linear_rows(spark):
+    n = 60_000
+    df = spark.range(n).select("id", (45 + F.rand(1) * 0.0008).alias("lat"), (7 + F.rand(2) * 0.0011).alias("lon"))
+    far = spark.createDataFrame([(n + 1, 45.0011, 7.0), (n + 2, 45.3, 7.0)], "id long, lat double, lon double")
+    found = spatial.dbscan(df.unionByName(far)).groupBy("cluster").count().collect()
+    assert [tuple(r) for r in found] == [(0, n + 1)]
+
+
+def test_backfill_takes_both_ends_and_the_last_of_equal_pads(spark):
+    pads = spark.createDataFrame([(1, 10.0, 20.0), (2, 10.0, 20.002), (3, 60.0, 20.0)], "pad long, lat double, lon double")
+    rows = [("a", 10.0, 20.001, 60.0, 20.0035), ("b", 10.0, 20.0003, None, None), ("c", 10.01, 20.0, 60.0, 20.004)]
+    df = spark.createDataFrame(rows, "k string, takeoff_lat double, takeoff_lon double, landing_lat double, landing_lon double")
+    assert {r.k: (r.origin_pad, r.destination_pad) for r in spatial.backfilled(df, pads, ["k"]).collect()} == {"a": (2, 3), "b": (1, None), "c": (None, None)}
 
 
 def test_nearest_prefers_the_small_box(spark):
