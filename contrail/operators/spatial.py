@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, Config
 from ..functions.geo import bearing_deg, destination, haversine_km, haversine_m, smallest_angle_deg
 from ..sources.store import written
+from .tracks import cut
 
 NM_KM = 1.852
 
@@ -92,14 +93,15 @@ def runway_alignment(points: DataFrame, ends: DataFrame, gap_s: float = 20, min_
 def navaid_alignment(points: DataFrame, navaids: DataFrame, tolerance_deg: float = 1, gap_s: float = 120, min_s: float = 30, max_nm: float = 500, pass_nm: float = 80) -> DataFrame:
     """Segments flown towards a beacon within ``tolerance_deg``, keyed by its ident, that pass it within ``pass_nm``.
 
-    Only beacons that the aircraft passes within ``pass_nm`` can have a segment; pairs that may are found on a grid first,
-    and only they are followed out to ``max_nm``.
+    A segment lies within a stretch of points at most ``gap_s`` apart, and so a point meets only the beacons that its own stretch
+    passes within ``pass_nm``, which are found on a grid first: rows are points times beacons along their stretch, whatever
+    else the aircraft flew.
     """
-    asked = points.where("track_deg is not null").select("icao", "ts", "seq", "lat", "lon", "track_deg")
+    asked = cut(points.where("track_deg is not null").select("icao", "ts", "seq", "lat", "lon", "track_deg"), gap_s, "stretch")
     beacons = prefixed(navaids.select("ident", "lat", "lon"))
     # middles of half-degree squares stand for all points in them, at most 22 nm away
-    squares = asked.select("icao", *((F.floor(F.col(x) * 2) / 2 + 0.25).alias(x) for x in ("lat", "lon"))).distinct()
-    passed = _within_nm(squares, beacons, pass_nm + 22).select("icao", "p_ident", "p_lat", "p_lon").distinct()
+    squares = asked.select("icao", "stretch", *((F.floor(F.col(x) * 2) / 2 + 0.25).alias(x) for x in ("lat", "lon"))).distinct()
+    passed = _within_nm(squares, beacons, pass_nm + 22).select("icao", "stretch", "p_ident", "p_lat", "p_lon").distinct()
     # sines and cosines once a point and once a beacon; a pair then takes a few products to see that it is not headed for
     turn = lambda c: (F.sin(F.radians(c)), F.cos(F.radians(c)))
     (sa, ca), (so, co), (st, ct) = (turn(F.col(c)) for c in ("lat", "lon", "track_deg"))
@@ -110,7 +112,7 @@ def navaid_alignment(points: DataFrame, navaids: DataFrame, tolerance_deg: float
     east = (c("sp") * c("co") - c("cp") * c("so")) * c("cb")
     north = c("ca") * c("sb") - c("sa") * c("cb") * (c("cp") * c("co") + c("sp") * c("so"))
     ahead = east * c("st") + north * c("ct") >= math.cos(math.radians(min(180.0, tolerance_deg + 0.01))) * F.sqrt(east * east + north * north) - 1e-12
-    pairs = left.join(right, (left["icao"] == right["icao"]) & ahead).select(left["icao"], "ts", "seq", "lat", "lon", "track_deg", "p_ident", "p_lat", "p_lon")
+    pairs = left.join(right.repartition("icao", "stretch"), (left["icao"] == right["icao"]) & (left["stretch"] == right["stretch"]) & ahead).select(left["icao"], "ts", "seq", "lat", "lon", "track_deg", "p_ident", "p_lat", "p_lon")
     nm = haversine_km(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon")) / NM_KM
     bearing = bearing_deg(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon"))
     kept = pairs.where(smallest_angle_deg(bearing, F.col("track_deg")) < tolerance_deg).withColumn("nm", nm).where(F.col("nm") <= max_nm)
