@@ -228,9 +228,26 @@ def hovers(points: DataFrame, c: Config = DEFAULT, min_s: float | None = None) -
     return islands(points, slow, "icao").where(F.col("end_ts") - F.col("start_ts") >= (c.hover_min_s if min_s is None else min_s))
 
 
+def last_known(rows: DataFrame, column: str, name: str, key: str = "icao", ts: str = "ts", order: list[str] | None = None) -> DataFrame:
+    """Adds ``name``: the last value of ``column`` that is not null, of this row and those before it by ``ts`` and ``order``.
+
+    Chunks of a key's days run by themselves; where a chunk has no value yet, the last one of the chunks before stands, which a
+    window over one row a chunk carries on.
+    """
+    order = order or ["seq"]
+    parts, at = [key, "_chunk"], F.struct(ts, *order)
+    chunked = rows.withColumn("_chunk", F.coalesce(F.floor(F.col(ts) / CHUNK_S), F.lit(-1)))
+    here = F.last(column, ignorenulls=True).over(Window.partitionBy(*parts).orderBy(ts, *order).rowsBetween(Window.unboundedPreceding, 0))
+    ends = chunked.where(F.col(column).isNotNull()).groupBy(*parts).agg(F.max_by(column, at).alias("_end"))
+    all_ = chunked.select(*parts).distinct().join(ends, parts, "left")
+    before = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = all_.select(*parts, F.last("_end", ignorenulls=True).over(before).alias("_carried"))
+    return chunked.withColumn("_here", here).join(carried, parts).withColumn(name, F.coalesce("_here", "_carried")).drop("_chunk", "_here", "_carried")
+
+
 def carried_callsign(points: DataFrame) -> DataFrame:
     """Each point with the last callsign its aircraft has said."""
-    return points.select("icao", "ts", "seq", F.last("callsign", ignorenulls=True).over(over("icao")).alias("callsign"))
+    return last_known(points.select("icao", "ts", "seq", "callsign"), "callsign", "_said").select("icao", "ts", "seq", F.col("_said").alias("callsign"))
 
 
 def turnarounds(legs: DataFrame, max_min: float = 4320) -> DataFrame:

@@ -76,4 +76,7 @@ def sql() -> dict[str, str]:
         "g18_discovered_pads": f"with recursive {PTS}, {SES}, {LEGS}, {ends}, {clusters(1.2, 4)} select {named} from pads",
         "j16_helipad_backfill": f"{FLIGHTS}, {surface}, {clusters(1.2, 4)} select icao, first_ts, {pad('takeoff')} as origin_pad, {pad('landing')} as destination_pad from fl",
     }
+    heard = "h as (select icao, ts, arg_max(squawk, seq) as squawk from pts where squawk is not null group by icao, ts)"
+    fresh = "case when l.takeoff_ts - h.ts <= 7200 then {} end"
+    pads["j27_squawk_as_of"] = f"with {PTS}, {SES}, {LEGS}, {heard} select l.icao, l.session, l.takeoff_ts as ts, {fresh.format('h.ts')} as as_of, {fresh.format('h.squawk')} as squawk from legs l asof left join h on l.icao = h.icao and l.takeoff_ts > h.ts"
     return pads | {"w03_flights": whole, "t09_live_flights": whole, "t07_incremental_extract": kept, "s06_trace_store": scored, "s13_backfill": scored}

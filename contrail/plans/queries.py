@@ -207,6 +207,14 @@ def j26_closest_approach(spark, d):
     return spatial.closest_approach(a.points(spark, d), 34.0, -90.0)
 
 
+@query
+def j27_squawk_as_of(spark, d):
+    """Each leg with the squawk last heard in the two hours before it begins."""
+    legs = _legs(spark, d).select("icao", "session", F.col("takeoff_ts").alias("ts"))
+    heard = a.points(spark, d).where("squawk is not null").select("icao", "ts", "seq", "squawk")
+    return joins.as_of(legs, heard, "icao", "ts", ["squawk"], ["seq"], within_s=7200, before=True)
+
+
 @query
 def j27_prior_end(spark, d):
     return joins.prior_end(_legs(spark, d), F.lit(28_420_000))

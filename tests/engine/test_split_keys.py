@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from contrail.operators import tracks
+from contrail.operators import joins, tracks
 
 from .test_operators import track
 
@@ -41,3 +41,33 @@ def test_one_aircraft_is_spread_over_tasks(spark, points, monkeypatch):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert sum(sizes) == 1200 and max(sizes) < 800 and sum(n > 0 for n in sizes) == 4
+
+
+@pytest.mark.parametrize("chunk", [100, 86400])
+def test_as_of_against_plain_search(spark, monkeypatch, chunk):
+    monkeypatch.setattr(tracks, "CHUNK_S", chunk)
+    rng = random.Random(3)
+    told = [(k, rng.randrange(1000), i, rng.choice(["x", "y", None])) for k in "ab" for i in range(60)] + [("a", None, 99, "never")]
+    asked = [(k, rng.randrange(-50, 1100), i) for i, k in enumerate("aab" * 30)] + [("a", None, 500), ("c", 10, 501)]
+    right = spark.createDataFrame(told, "k string, ts long, n long, v string")
+    left = spark.createDataFrame(asked, "k string, ts long, i long")
+    for within, before in ((None, False), (None, True), (60, False)):
+        expected = set()
+        for k, ts, i in asked:
+            fit = [(t, n, v) for key, t, n, v in told if key == k and t is not None and ts is not None and (t < ts if before else t <= ts)]
+            t, _, v = max(fit, key=lambda x: x[:2], default=(None, None, None))
+            expected.add((k, ts, i, *((t, v) if t is None or within is None or ts - t <= within else (None, None))))
+        found = joins.as_of(left, right, "k", "ts", ["v"], ["n"], within, before).collect()
+        assert len(found) == len(asked) and {tuple(r) for r in found} == expected
+
+
+def test_long_intervals_take_few_rows(spark):
+    rng = random.Random(4)
+    year = 365 * 86400
+    spans = [(k, i, s, s + rng.choice([-5, 0, 10, 4000, 90_000, 700_000, 3 * year, 40 * year])) for k in "abc" for i in range(30) for s in [rng.randrange(50 * year)]]
+    spans += [("d", 0, -5, None), ("d", 1, 0, 20_000 * year)]
+    said = [(rng.choice("abcd"), t) for s in spans for t in (s[2], (s[3] or 0), (s[3] or 0) + 1, rng.randrange(50 * year))]
+    m, i = spark.createDataFrame(said, "k string, t long"), spark.createDataFrame(spans, "k string, i long, s long, e long")
+    found = joins.within_intervals(m, i, "k", "t", "s", "e")
+    expected = sorted((k, t, j) for k, t in said for key, j, s, e in spans if key == k and e is not None and s <= t <= e)
+    assert sorted((r.k, r.t, r.i) for r in found.collect()) == expected
