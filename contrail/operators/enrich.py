@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
-from . import derived, reports, scoring, spatial, tracks
+from . import derived, flights, reports, scoring, spatial, tracks
 
 KEY = ["icao", "session"]
 LOST = ("signal_lost", "dropped")
@@ -60,9 +60,15 @@ def pattern_override() -> Column:
     return F.when((F.col("origin") == F.col("destination")) & (F.col("pattern_cycles") >= 2) & generic, "pattern").otherwise(F.col("mission"))
 
 
-def enriched(points: DataFrame, airports: DataFrame, ends: DataFrame, types: DataFrame, operators: DataFrame | None = None, c: Config = DEFAULT, **alignment: float) -> DataFrame:
-    """All legs that are no noise, with everything derived. types: icao, type_code; operators: icao, operator."""
+def enriched(points: DataFrame, airports: DataFrame, ends: DataFrame, types: DataFrame, operators: DataFrame | None = None, c: Config = DEFAULT, places: DataFrame | None = None, **alignment: float) -> DataFrame:
+    """All legs that are no noise, with everything derived. types: icao, type_code; operators: icao, operator.
+
+    places (icao, session, takeoff_lat, takeoff_lon, landing_lat, landing_lon): where legs began and ended, if not at their first and last points.
+    """
     legs = tracks.legs(points, c)
+    if places is not None:
+        ends_at = [f"{end}_{x}" for end in ("takeoff", "landing") for x in ("lat", "lon")]
+        legs = legs.drop(*ends_at).join(places.select(*KEY, *ends_at), KEY)
     landed = scoring.landings(points, c, spatial.airport_match(legs, airports, "landing", c), types)
     rows = legs.join(landed.drop("ground_points"), KEY).withColumn("minutes", F.round((F.col("landing_ts") - F.col("takeoff_ts")) / 60, 1)).where(~is_noise(c))
     rows = with_ends(rows, airports, c).join(types.select("icao", "type_code"), "icao", "left")
@@ -76,3 +82,13 @@ def enriched(points: DataFrame, airports: DataFrame, ends: DataFrame, types: Dat
     segments = spatial.runway_alignment(points, ends, **alignment)
     rows = aligned(rows.join(likely, KEY, "left"), segments, airports, alignment.get("above_ft", 5000), c)
     return rows.withColumn("mission", pattern_override())
+
+
+def enriched_flights(points: DataFrame, airports: DataFrame, ends: DataFrame, types: DataFrame, operators: DataFrame | None = None, c: Config = DEFAULT, **alignment: float) -> DataFrame:
+    """As ``enriched``, of flights: session numbers an aircraft's flights, which begin at the last ground point before they
+    were airborne and end at their touchdown, where those were seen. Trace points are read and labelled once."""
+    flown, whole = flights.flight_points(points, c)
+    landed = {f"landing_{x}": F.coalesce(f"landing_{x}", f"last_{x}") for x in ("lat", "lon")}
+    rows = enriched(flown, airports, ends, types, operators, c, whole.withColumns(landed), **alignment)
+    kept = ["mid_air", "fragments", "signal_gaps", "landed"]
+    return rows.join(whole.select(*KEY, *kept), KEY)

@@ -18,6 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..config import DEFAULT, Config
 from ..functions.geo import haversine_km
+from ..sources.store import written
 from .points import classified
 from .scoring import endurance
 from .tracks import sessions
@@ -166,11 +167,16 @@ def recorded(points: DataFrame, c: Config = DEFAULT) -> DataFrame:
 
 def fragments_of(points: DataFrame, c: Config = DEFAULT, carried: DataFrame | None = None) -> DataFrame:
     """One row a flight fragment. carried: as for ``said_before``."""
+    return summed(recorded(points, c), said_before(points, c, carried))
+
+
+def summed(rows: DataFrame, said: DataFrame) -> DataFrame:
+    """One row a flight fragment, of ``recorded`` points and what was said before each session."""
     at = F.struct("ts", "seq")
     air, height = F.col("role") == "airborne", F.coalesce("baro_ft", "geom_ft")
     flying = air & (F.col("state") == "airborne") & height.isNotNull()
     landing = F.struct("ts", "lat", "lon")
-    rows = recorded(points, c).groupBy("icao", "session", "fragment").agg(
+    rows = rows.groupBy("icao", "session", "fragment").agg(
         F.max("from").alias("from"),
         F.min("ts").alias("first_ts"),
         F.max("ts").alias("last_ts"),
@@ -186,7 +192,7 @@ def fragments_of(points: DataFrame, c: Config = DEFAULT, carried: DataFrame | No
         F.max("baro_ft").alias("max_alt_ft"),
         F.max("gs_kt").alias("max_gs_kt"),
     )
-    named = rows.join(said_before(points, c, carried), ["icao", "session"]).select(
+    named = rows.join(said, ["icao", "session"]).select(
         "icao", "session", "fragment",
         F.col("from.ts").alias("takeoff_ts"), F.col("from.lat").alias("takeoff_lat"), F.col("from.lon").alias("takeoff_lon"), F.col("from.mid_air").alias("mid_air"),
         F.coalesce("from.callsign", "before").alias("callsign"),
@@ -253,3 +259,19 @@ def merged(parts: DataFrame) -> DataFrame:
 def flights(points: DataFrame, c: Config = DEFAULT, types: DataFrame | None = None, carried: DataFrame | None = None) -> DataFrame:
     """Flights of all aircraft: labelled, freed of single points and short hops, and stitched. carried: as for ``said_before``."""
     return merged(stitched(whole_enough(fragments_of(points, c, carried), c), c, types)).drop("flight")
+
+
+def flight_points(points: DataFrame, c: Config = DEFAULT, types: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The points that belong to flights, with the number of their aircraft's flight as ``session``; and the flights (icao, session and
+    the columns of ``merged``). A point that ends one flight and opens the next is in both.
+
+    The points are labelled once and written, as are the flights' points, so that whatever is derived of flights (all that takes
+    ``session`` for its key) reads that table and neither the trace nor the machine again.
+    """
+    rows = written(recorded(points, c), "recorded")
+    parts = stitched(whole_enough(summed(rows, said_before(points, c)), c), c, types)
+    numbered = written(parts.withColumn("number", F.dense_rank().over(Window.partitionBy("icao").orderBy("flight")).cast("long")), "fragments")
+    of = numbered.select("icao", "session", "fragment", "number")
+    flown = rows.join(of, ["icao", "session", "fragment"]).select(*points.columns, F.col("number").alias("session"))
+    whole = merged(numbered).join(numbered.select("icao", "flight", F.col("number").alias("session")).distinct(), ["icao", "flight"]).drop("flight")
+    return written(flown.repartition("icao", "session").sortWithinPartitions("icao", "session", "ts", "seq"), "flown"), whole

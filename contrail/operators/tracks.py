@@ -51,7 +51,9 @@ def cut(points: DataFrame, gap_s: float, name: str, spread: bool = True) -> Data
 
 
 def sessions(points: DataFrame, c: Config = DEFAULT, spread: bool = True) -> DataFrame:
-    """``session`` within each aircraft: a new one after more than ``session_gap_min``."""
+    """``session`` within each aircraft: a new one after more than ``session_gap_min``. Points that have one, as those of flights do, keep it."""
+    if "session" in points.columns:
+        return points
     return cut(points, c.session_gap_min * 60, "session", spread)
 
 

@@ -241,4 +241,5 @@ def sql() -> dict[str, str]:
     from .oracle_flights import sql as of_flights
     from .oracle_read import more
 
-    return out | more(out) | of_flights()
+    out |= more(out)
+    return out | of_flights(out)

@@ -57,7 +57,22 @@ def clusters(eps: float, least: int) -> str:
  pads as (select cluster, round(avg(lat), 6) as lat, round(avg(lon), 6) as lon, count(*) as landings, min(ts) as first_ts, max(ts) as last_ts from of where cluster is not null group by cluster)"""
 
 
-def sql() -> dict[str, str]:
+def of_flights(enriched: str) -> str:
+    """The SQL of enriched sessions, over the points and places of flights instead."""
+    ses, machine = SES.replace("ses as", "ses0 as", 1), MACHINE.replace("from ses)", "from ses0)", 1)
+    named = STITCHED.split(",\n fl as")[0]
+    flown = """flown as materialized (select o.* exclude (session, n, st, said), dense_rank() over (partition by icao order by k.flight) as session from both_ b join named k using (icao, session, fragment) join o using (icao, session, n)),
+ flx as materialized (select icao, dense_rank() over (partition by icao order by flight) as session, count(*) as fragments, arg_min(mid_air, i) as mid_air, bool_or(i = last_i and landing_ts is not null) as landed, arg_min(takeoff_lat, i) as takeoff_lat, arg_min(takeoff_lon, i) as takeoff_lon,
+  max(case when i = last_i then coalesce(landing_lat, last_lat) end) as landing_lat, max(case when i = last_i then coalesce(landing_lon, last_lon) end) as landing_lon from (select *, max(i) over (partition by icao, flight) as last_i from named) group by icao, flight)"""
+    placed = "takeoff_lat takeoff_lon landing_lat landing_lon".split()
+    legs = LEGS.replace("legs as (", "legs_ as (", 1) + f", legs as (select l.* exclude ({', '.join(placed)}), {', '.join('f.' + x for x in placed)} from legs_ l join flx f using (icao, session))"
+    body = enriched.replace(PTS, "pts as (select * from flown)").replace(SES, "ses as (select * from flown)").replace(LEGS, legs)
+    body, _, columns = body.removeprefix("with pts as (select * from flown)").rpartition(" select icao, session, takeoff_ts,")
+    shown = f"select icao, session, takeoff_ts, landing_ts, {columns.removesuffix(' from fin')}, mid_air, fragments, fragments - 1 as signal_gaps, landed from fin join flx using (icao, session)"
+    return f"with recursive {PTS.replace('pts as', 'raw as', 1)}, {(ses + ', ' + machine + ', ' + FRAGMENTS + ', ' + named).replace('from pts', 'from raw')}, {flown}, pts as (select * from flown){body} {shown}"
+
+
+def sql(known: dict[str, str]) -> dict[str, str]:
     shown = "*, round((last_ts - first_ts) / 60, 1) as minutes, landing_ts is not null as landed, fragments - 1 as signal_gaps"
     whole = f"{FLIGHTS} select {shown} from fl"
     end = "lag(coalesce(landing_ts, last_ts)) over (partition by icao order by first_ts, takeoff_ts)"
@@ -79,4 +94,5 @@ def sql() -> dict[str, str]:
     heard = "h as (select icao, ts, arg_max(squawk, seq) as squawk from pts where squawk is not null group by icao, ts)"
     fresh = "case when l.takeoff_ts - h.ts <= 7200 then {} end"
     pads["j27_squawk_as_of"] = f"with {PTS}, {SES}, {LEGS}, {heard} select l.icao, l.session, l.takeoff_ts as ts, {fresh.format('h.ts')} as as_of, {fresh.format('h.squawk')} as squawk from legs l asof left join h on l.icao = h.icao and l.takeoff_ts > h.ts"
+    pads["c14_enriched_flights"] = of_flights(known["a38_enriched"])
     return pads | {"w03_flights": whole, "t09_live_flights": whole, "t07_incremental_extract": kept, "s06_trace_store": scored, "s13_backfill": scored}

@@ -50,6 +50,14 @@ def a38_enriched(spark, d):
     return rows.select("icao", "session", "takeoff_ts", "minutes", "origin", "near_origin", "destination", "near_destination", "landing_type", "confidence", "mission", "max_alt_ft", "max_gs_kt", "cruise_alt", "cruise_gs", "probable", "aligned_runway", "aligned_s", "pattern_cycles")
 
 
+@query
+def c14_enriched_flights(spark, d):
+    """All that is derived of a flight, from its takeoff and landing on."""
+    rows = enrich.enriched_flights(a.points(spark, d), a.airports(spark, d), a.runway_ends(spark, d), _types(spark, d), **ALIGNMENT)
+    shown = "icao session takeoff_ts landing_ts minutes mid_air fragments signal_gaps landed origin near_origin destination near_destination landing_type confidence mission max_alt_ft max_gs_kt cruise_alt cruise_gs probable aligned_runway aligned_s pattern_cycles"
+    return rows.select(*shown.split())
+
+
 @query
 def p24_trips(spark, d):
     said = _messages(spark, d).select("icao", "ts", F.coalesce(F.col("o.out"), F.col("o.in")).isNotNull().alias("oooi"))
