@@ -42,19 +42,76 @@ def test_groups_against_brute_force(spark):
     assert found == expected(list(enumerate(texts)))
 
 
-def test_a_large_group_is_dealt_in_parts(spark, monkeypatch):
+def changed(rng, words, n, mark):
+    v = list(words)
+    for i in rng.sample(range(len(v)), n):
+        v[i] = f"{mark}{i}"
+    return v
+
+
+def test_a_large_group_of_copies_and_its_outliers(spark, monkeypatch):
     monkeypatch.setattr(near_copies, "CHUNK", 20)
-    monkeypatch.setattr(near_copies, "PIVOTS", 10)
+    monkeypatch.setattr(near_copies, "PIVOTS", 3)
     rng = random.Random(9)
     base = [f"w{rng.randint(0, 9999)}" for _ in range(200)]
-    texts = []
-    for i in range(120):
-        v = list(base)
-        v[rng.randrange(200)] = f"changed{i}"
-        texts.append(" ".join(v))
+    texts = [" ".join(changed(rng, base, 1, f"changed{i}-")) for i in range(120)]
+    # ever further from the base, each a near copy of the one before it
+    for i in range(12):
+        base = changed(rng, base, 3, f"step{i}-")
+        texts.append(" ".join(base))
     texts += varied(rng, 10, 0)
     found = [r.doc_id for r in without_near_copies(documents(spark, texts)).orderBy("doc_id").collect()]
-    assert found == [0, *range(120, 130)]
+    assert found == expected(list(enumerate(texts)))
+
+
+def boilerplate(rng, pairs):
+    """Pairs of alike texts, of whose words 85 % are one boilerplate: texts of different pairs are not alike."""
+    shared = " ".join(f"b{i}" for i in range(170))
+    texts = []
+    for p in range(pairs):
+        own = [f"p{p}w{i}" for i in range(30)]
+        texts += [f"{shared} {' '.join(own)}", f"{shared} {' '.join(changed(rng, own, 1, f'c{p}-'))}"]
+    rng.shuffle(texts)
+    return texts
+
+
+def test_many_groups_in_one_shard(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "CHUNK", 32)
+    monkeypatch.setattr(near_copies, "PIVOTS", 4)
+    texts = boilerplate(random.Random(3), 150)
+    docs = documents(spark, texts)
+    nodes = near_copies.sketches(docs)
+    assert not near_copies.large_shards(nodes).isEmpty()
+    found = [r.doc_id for r in without_near_copies(docs).orderBy("doc_id").collect()]
+    assert found == expected(list(enumerate(texts))) and len(found) == 150
+
+
+def test_all_texts_of_a_token_meet(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "CHUNK", 8)
+
+    def check(roots):
+        rows = [(1, 0, 10, bytes([i]), bytes([r])) for i, r in enumerate(roots)]
+        parts = {}
+        for r in near_copies.met(spark.createDataFrame(rows, "token long, at long, size long, node binary, root binary")).collect():
+            parts.setdefault(r.part, []).append(r.node[0])
+        found = {frozenset((a, b)) for p in parts.values() for a in p for b in p if roots[a] != roots[b]}
+        wanted = {frozenset((a, b)) for a in range(len(roots)) for b in range(len(roots)) if roots[a] != roots[b]}
+        assert found == wanted and all(len(p) <= 4 * 8 for p in parts.values())
+
+    check([0, 1, 2])  # whole
+    check([0] * 40 + [1, 2, 3])  # a component and a few others
+    check(list(range(40)))  # no component: every two chunks
+    check([0] * 40)  # one component: nothing to do
+
+
+def test_alike_texts_are_candidates(spark):
+    rng = random.Random(17)
+    texts = varied(rng, 12, 3)
+    sets = [shingles(t) for t in texts]
+    rows = [(bytes([i]), bytes([i]), t) for i, t in enumerate(texts)]
+    tokens = near_copies.prefixes(spark.createDataFrame(rows, "node binary, root binary, text string"))
+    found = {(r.u[0], r.v[0]) for r in near_copies.candidates(tokens).collect()}
+    assert {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if alike(sets[i], sets[j])} <= found
 
 
 def test_columns_null_ids_repeats_and_empty_tables(spark):
