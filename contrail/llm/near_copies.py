@@ -43,7 +43,9 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS, WIDE = 8, 3, 18
 CHUNK, PIVOTS = 1024, 32
 BUCKETS = 1 << 20  # of shingle hashes, whose counts order shingles by rarity; the order changes work, never results
-_ODD = (np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+# multipliers and addends of the permutations, from hashes: multiples of one constant would have the same shingle least in many
+_ODD, _ADD = (np.array([xxhash.xxh64_intdigest(f"{name}{i}") for i in range(BANDS * ROWS)], np.uint64) for name in ("times", "plus"))
+_ODD |= np.uint64(1)
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -58,11 +60,10 @@ def sketch(text: str | None, k: int = SHINGLE) -> tuple[int, int, np.ndarray]:
     if not hashes:
         return 0, 0, np.arange(BANDS, dtype=np.int64)
     h = np.unique(np.concatenate(hashes))
-    mixed = h ^ (h >> np.uint64(29))
-    least = np.array([(mixed * odd >> np.uint64(1)).min() for odd in _ODD]).reshape(BANDS, ROWS)
+    low = np.array([(h * odd + add).min() for odd, add in zip(_ODD, _ADD, strict=True)]).reshape(BANDS, ROWS)
     key = np.arange(BANDS, dtype=np.uint64)
     for i in range(ROWS):
-        key = (key ^ least[:, i]) * _STEP
+        key = (key ^ low[:, i]) * _STEP
         key ^= key >> np.uint64(31)
     return majority(hashes), len(h), key.view(np.int64)
 

@@ -49,6 +49,19 @@ def changed(rng, words, n, mark):
     return v
 
 
+def test_alike_texts_share_a_band():
+    rng = random.Random(23)
+    shared = n = 0
+    while n < 1500:
+        words = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+        other = changed(rng, words, 3, "new")
+        x, y = shingles(" ".join(words)), shingles(" ".join(other))
+        if 0.8 <= len(x & y) / len(x | y) < 0.83:
+            n += 1
+            shared += any(near_copies.sketch(" ".join(words))[2] == near_copies.sketch(" ".join(other))[2])
+    assert shared >= 0.99 * n  # 0.997 or more is expected
+
+
 def test_a_large_group_of_copies_and_its_outliers(spark, monkeypatch):
     monkeypatch.setattr(near_copies, "CHUNK", 20)
     monkeypatch.setattr(near_copies, "PIVOTS", 3)
