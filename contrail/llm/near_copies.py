@@ -18,9 +18,9 @@ or more. At that similarity SimHash fingerprints differ in up to some fifteen of
    chunks; else every two chunks meet. What passes is compared exactly.
 5. **Join** what is linked to components; the least doc_id of each stays.
 
-Exact copies are one text from the start, by a 128-bit digest. Nothing is sampled or dropped. In large shards no pair is
-missed. In others a pair at exactly 0.8 is missed with the chance of step 1, or if its fingerprints differ in over ``WIDE``
-bits; both fall fast above 0.8.
+Exact copies are one text from the start, by a 128-bit digest. Nothing is sampled or dropped. Texts of large shards
+miss no pair among themselves. Any other pair at exactly 0.8 is missed with the chance of step 1, or if its fingerprints differ
+in over ``WIDE`` bits; both fall fast above 0.8.
 
 Defined results: null is the empty text; texts without words are near copies of each other; rows of the document that
 stays are all kept, repeated ones too, and of its texts only the one in the component; null ids come last.
