@@ -9,15 +9,17 @@ two parts:
   are combined by a gated set of weights, chosen by the bit's depth in the code tree, in the logistic domain. The
   weights are refined online through the whole document, after each token by the errors of its bits, and an adaptive
   probability map trained on the corpus has the last word.
-* the **token within its class**, by its count; absolute discounting leaves the rare class a share for tokens never seen.
+* the **token within its class**. A frequent one by the bits of its path in a tree over its class, cut in halves of like
+  count: each bit is predicted by the node's own counts and under the same hashed contexts, and mixed in the same way, with
+  weights and a map of its own. A rare one by its count; absolute discounting leaves a share for tokens never seen.
 
 Every part is normalised, so a text's score is the log probability of its token sequence, and -score * log2(10)
 over its bytes is its bits per byte.
 
 What is gathered from the corpus: token counts stay distributed, at any vocabulary; only the ``FREQUENT`` most
 frequent tokens are broadcast (a fixed bound). Predictors are counts by hashed context, summed over all training
-documents through a shuffle, in tables of ``2 ** SLOT_BITS`` slots at every size of corpus; contexts share slots as it
-grows, and the mixer learns how far to trust each predictor. Rare tokens of a text meet their counts in a join, pre-aggregated by document.
+documents through a shuffle, in tables of ``2 ** SLOT_BITS`` (classes) and ``2 ** PATH_BITS`` slots (paths) at every size of
+corpus; contexts share slots as it grows, and the mixer learns how far to trust each predictor. Rare tokens of a text meet their counts in a join, pre-aggregated by document.
 
 Defined results: a null text is empty: one end token. Repeated rows are scored each. With nothing to learn from, counts are zero.
 """
@@ -26,7 +28,8 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from copy import copy
 from itertools import repeat
 from uuid import uuid4
 
@@ -45,15 +48,19 @@ CLASSES = 1 << BITS
 RARE, END = 0, 1
 RATE = 0.02
 SLOT_BITS = 17  # of a predictor's table
+PATH_BITS = 18  # of a predictor's table for the bits within a class
 DISCOUNT = 0.75  # what each rare count gives up to tokens never seen
-CHUNK = 400_000  # tokens coded at once
+CHUNK = 400_000  # tokens coded together
+BLOCK = 10_000  # tokens whose predictions are made at once
+PAGE = 1024  # slots of the predictors' tables that are added up together
+COUNT = np.dtype("<i4")  # of a bit in one task
 MODELS = 5
 _END_TOKEN = b" "  # no word holds a blank
 _M, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def tokens(text: str | None) -> list[bytes]:
-    return [*(text.encode().lower().split() if text else ()), _END_TOKEN]
+def tokens(text: str | bytes | None) -> list[bytes]:
+    return [*((text.encode() if isinstance(text, str) else text).lower().split() if text else ()), _END_TOKEN]
 
 
 def token_counts(docs: DataFrame) -> DataFrame:
@@ -66,7 +73,7 @@ def token_counts(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["token", "c"])
 
         for batch in batches:
-            for t in batch.column("text"):
+            for t in batch.column("text").cast(pa.binary()):
                 seen.update(tokens(t.as_py()))
                 if len(seen) > 500_000:
                     yield out()
@@ -95,6 +102,7 @@ class Vocabulary:
         by_band = np.bincount(band, count, CLASSES)
         with np.errstate(divide="ignore", invalid="ignore"):
             self.within = np.where(count > 0, np.log10(count / by_band[band]), 0.0)
+        self._paths(count, band)
         self.hash = np.array([0, *(xxhash.xxh64_intdigest(t) for t, _ in frequent)], np.uint64)
         #: Within the rare class a count c has (c - DISCOUNT) / rare, and all tokens never seen share the rest.
         self.rare = total - int(count.sum())
@@ -103,6 +111,30 @@ class Vocabulary:
         self.base_divisor = math.log10(total + 0.5 * (distinct + 1))
         self.base = np.log10(count + 0.5) - self.base_divisor
 
+    def _paths(self, count: np.ndarray, band: np.ndarray) -> None:
+        """Each frequent token's path in the tree over its class: (node, bit) from ``path_at[id]`` on, ``path_length[id]`` long.
+
+        A node is named by the place, in order of class and count, of its first token on the right.
+        """
+        place = np.argsort(band, kind="stable")[1:]  # the only one of class RARE is id 0
+        mass, in_order = np.concatenate([[0], np.cumsum(count[place])]), band[place]
+        low, high = np.searchsorted(in_order, in_order), np.searchsorted(in_order, in_order, "right")
+        at, levels = np.arange(len(place)), []
+        self.zeros, self.ones = np.zeros(len(place) + 1), np.zeros(len(place) + 1)
+        while len(open_ := np.flatnonzero(high - low > 1)):
+            a, b = low[open_], high[open_]
+            middle = np.clip(np.searchsorted(mass, (mass[a] + mass[b]) / 2), a + 1, b - 1)
+            self.zeros[middle], self.ones[middle] = mass[middle] - mass[a], mass[b] - mass[middle]
+            right = at[open_] >= middle
+            levels.append((place[open_], middle, right))
+            low[open_], high[open_] = np.where(right, middle, a), np.where(right, b, middle)
+        self.depth = max(1, len(levels))  # of the deepest path
+        ids, node, bit = (np.concatenate([np.zeros(0, np.int64), *(x[k] for x in levels)]) for k in range(3))
+        order = np.argsort(ids, kind="stable")
+        self.path_node, self.path_bit = node[order], bit[order].astype(np.int64)
+        self.path_length = np.bincount(ids.astype(np.int64), minlength=len(count))
+        self.path_at = np.cumsum(self.path_length) - self.path_length
+
     def ids(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.number.get, words, repeat(0)), np.int32, len(words))
 
@@ -122,16 +154,35 @@ def contexts(vocabulary: Vocabulary, ids: np.ndarray, first: np.ndarray) -> np.n
     return np.stack([np.zeros(n, np.uint64), b1 * _M, (b1 * np.uint64(CLASSES + 1) + b2) * _M, w1 * _M, (w1 * np.uint64(31) + w2) * _M])
 
 
-def slots(context: np.ndarray, node: np.ndarray, model: int) -> np.ndarray:
-    """Table slots of a predictor's contexts at a node of the code tree; without a context, the node itself."""
-    if not model:
-        return node.astype(np.int64)
-    return (((context[model] + node.astype(np.uint64) * _STEP) * _M) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+def class_bits(vocabulary: Vocabulary, ids: np.ndarray, context: np.ndarray) -> tuple:
+    """The bits of the tokens' classes: place of the token, depth, row of the map, bit, and for each predictor their slots in its table.
+
+    Without a context, a slot is the node itself.
+    """
+    band = vocabulary.band[ids].astype(np.int64)
+    node = np.stack([1 << d | band >> (BITS - d) for d in range(BITS)], axis=1).ravel()  # of the code tree: 1 is the root
+    bit = np.stack([band >> (BITS - 1 - d) & 1 for d in range(BITS)], axis=1).ravel()
+    stepped, depth = node.astype(np.uint64) * _STEP, np.tile(np.arange(BITS), len(ids))
+    return np.repeat(np.arange(len(ids)), BITS), depth, node, bit, (hashed(np.repeat(context[m], BITS), stepped, SLOT_BITS) if m else node for m in range(MODELS))
+
 
+def path_bits(vocabulary: Vocabulary, ids: np.ndarray, context: np.ndarray) -> tuple:
+    """The bits of the tokens' paths within their classes, as ``class_bits``; a token's bits are neighbours, by depth."""
+    length = vocabulary.path_length[ids]
+    token = np.repeat(np.arange(len(ids)), length)
+    every, begin = np.arange(len(token)), np.cumsum(length) - length
+    depth = every - begin.take(token)
+    at = every + (vocabulary.path_at[ids] - begin).take(token)
+    node = vocabulary.path_node.take(at)
+    stepped = node.astype(np.uint64) * _STEP
+    return token, depth, depth, vocabulary.path_bit.take(at), (hashed(context[m].take(token), stepped, PATH_BITS) if m else node for m in range(MODELS))
 
-def node_at(band: np.ndarray, depth: int) -> np.ndarray:
-    """The node of the code tree above bit ``depth`` of a class: 1 is the root."""
-    return (1 << depth) | (band >> (BITS - depth))
+
+def hashed(context: np.ndarray, stepped: np.ndarray, bits: int) -> np.ndarray:
+    slot = context + stepped
+    slot *= _M
+    slot >>= np.uint64(64 - bits)
+    return slot.view(np.int64)
 
 
 def chunks(batches: Iterator[pa.RecordBatch], v: Vocabulary) -> Iterator[tuple]:
@@ -142,7 +193,7 @@ def chunks(batches: Iterator[pa.RecordBatch], v: Vocabulary) -> Iterator[tuple]:
     for batch in batches:
         size = np.asarray(pc.coalesce(pc.binary_length(batch.column("text")), 0))
         batch = batch.take(pa.array(np.argsort(-size.astype(np.int64), kind="stable")))
-        text, at = batch.column("text"), 0
+        text, at = batch.column("text").cast(pa.binary()), 0
         while at < len(batch):
             words, n, begin = [], 0, at
             while at < len(batch) and n < CHUNK:
@@ -156,102 +207,166 @@ def chunks(batches: Iterator[pa.RecordBatch], v: Vocabulary) -> Iterator[tuple]:
 
 
 def predictor_counts(docs: DataFrame, vocabulary) -> DataFrame:
-    """(slot, zeros, ones): how often each predictor's context saw each bit, over all of ``docs``."""
+    """(page, counts): how often each predictor's context saw each bit, over all of ``docs``; PAGE slots a row, each a zeros and a ones.
+
+    The slots of the classes' bits come first, then those of the paths within classes. A task sends a row a page, and
+    the rows of a page are added up together.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, size = vocabulary.value, 1 << SLOT_BITS
-        seen = np.zeros((2, MODELS, size), np.int64)
-        for _, _, ids, first, _ in chunks(batches, v):
-            context, band = contexts(v, ids, first), v.band[ids].astype(np.int64)
-            for depth in range(BITS):
-                node, bit = node_at(band, depth), band >> (BITS - 1 - depth) & 1 == 1
-                for m in range(MODELS):
-                    s = slots(context, node, m)
-                    ones = np.bincount(s[bit], minlength=size)
-                    seen[1, m] += ones
-                    seen[0, m] += np.bincount(s, minlength=size) - ones
-        seen = seen.reshape(2, -1)
-        at = np.flatnonzero(seen.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[0, at]), pa.array(seen[1, at])], ["slot", "zeros", "ones"])
+        v = vocabulary.value
+        classes, inner = np.zeros((MODELS, 2 << SLOT_BITS), COUNT), np.zeros((MODELS, 2 << PATH_BITS), COUNT)
+        for _, _, every, first, _ in chunks(batches, v):
+            before = contexts(v, every, first)
+            for begin in range(0, len(every), 10 * BLOCK):
+                ids, context = every[begin : begin + 10 * BLOCK], before[:, begin : begin + 10 * BLOCK]
+                for seen, (_, _, _, bits, at) in ((classes, class_bits(v, ids, context)), (inner, path_bits(v, ids, context))):
+                    for m, slot in enumerate(at):
+                        counted = np.bincount(slot * 2 + bits)
+                        seen[m, : len(counted)] += counted
+        seen = np.concatenate([classes.ravel(), inner[1:].ravel()]).reshape(-1, 2)  # the nodes' own counts are known
+        pages = seen.reshape(-1, 2 * PAGE)
+        for page in np.flatnonzero(pages.any(axis=1)).tolist():
+            yield pa.RecordBatch.from_arrays([pa.array([page], pa.int64()), pa.array([pages[page].tobytes()], pa.binary())], ["page", "counts"])
+
+    def added(rows: pa.Table) -> pa.Table:
+        total = np.zeros(2 * PAGE, np.int64)
+        for x in rows.column("counts"):
+            total += np.frombuffer(x.as_buffer(), COUNT)
+        return pa.table({"page": rows.column("page")[:1].cast(pa.int64()), "counts": pa.array([total.tobytes()], pa.binary())})
+
+    return docs.select("text").mapInArrow(run, "page long, counts binary").groupBy("page").applyInArrow(added, "page long, counts binary")
+
+
+class Lockstep:
+    """The order in which documents are coded together.
+
+    Tokens are put in order of their place in the document, longest documents first, so that those of one step are
+    neighbours, and a document keeps its lane among them.
+    """
 
-    counted = docs.select("text").mapInArrow(run, "slot long, zeros long, ones long")
-    return counted.groupBy("slot").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
+    def __init__(self, first: np.ndarray):
+        n = len(first)
+        begin = np.flatnonzero(first)
+        length = np.diff(np.append(begin, n))
+        lane = np.empty(len(length), np.int64)
+        lane[np.argsort(-length, kind="stable")] = np.arange(len(length))
+        step = np.arange(n) - np.repeat(begin, length)
+        self.documents, self.live = len(length), np.bincount(step)
+        at = (np.cumsum(self.live) - self.live)[step] + np.repeat(lane, length)
+        self.order = np.empty(n, np.int64)
+        self.order[at] = np.arange(n)
 
 
-class Mixer:
-    """The predictors' counts by slot, and the weights and map that combine them."""
+    def blocks(self) -> Iterator[list[int]]:
+        """How many tokens each step has, for whole steps of about BLOCK tokens together."""
+        end = np.cumsum(self.live)
+        cut = np.flatnonzero(np.diff(end // BLOCK, prepend=0)) + 1
+        yield from (x.tolist() for x in np.split(self.live, cut) if len(x))
 
-    def __init__(self, zeros: np.ndarray, ones: np.ndarray):
+
+class Predictors:
+    """Predictors' counts by slot, and the weights and map that combine what they say about bits of ``depth`` levels.
+
+    bits: which bits of a token these are; starts: where each predictor's slots begin; cells: the map's rows, by
+    node or, where there are many nodes, by depth.
+    """
+
+    def __init__(self, bits: Callable, zeros: np.ndarray, ones: np.ndarray, starts: list[int], depth: int, cells: int):
+        self.bits, self.starts = bits, starts
         self.zeros, self.ones = zeros.astype(np.float32), ones.astype(np.float32)
-        self.weights = np.full((BITS, MODELS + 1), 0.3, np.float32)
+        self.weights = np.full((depth, MODELS + 1), 0.3, np.float32)
         self.weights[:, MODELS] = 0
-        self.map = np.zeros((CLASSES, 33), np.float64)
-        self.seen = np.zeros((CLASSES, 33), np.float64)
+        self.map = np.zeros((cells, 33), np.float64)
+        self.seen = np.zeros((cells, 33), np.float64)
+        self.ended = np.zeros(self.weights.shape)
         self.said = _said(self.zeros, self.ones)
-        self.ended, self.documents = np.zeros(self.weights.shape), 0
+        self.own = None
 
-    def inputs(self, context: np.ndarray, node: np.ndarray, bit: np.ndarray, own: bool) -> np.ndarray:
-        """(tokens, MODELS + 1): what the predictors say, and a bias.
+    def code(self, vocabulary: Vocabulary, ids: np.ndarray, first: np.ndarray, learn: bool = False, given: tuple | None = None) -> np.ndarray:
+        """log10 probability of each token's bits, mixing online through the documents in lockstep.
 
-        own: the counts hold these very bits, as in training, and one of each is taken out.
+        Only the mixing itself runs step by step, over all bits of a step's tokens; what leads to it and follows
+        it is done for many steps at once. A token with fewer bits than ``depth`` predicts nothing by the others, which change no weight.
+        learn: the texts are those the counts came from; gathers the map, and the weights that documents end with.
+        given: the texts' lockstep and contexts, if known.
         """
-        out = np.ones((len(node), MODELS + 1), np.float32)
-        for m in range(MODELS):
-            s = slots(context, node, m)
-            s += m << SLOT_BITS
-            out[:, m] = _said(np.maximum(self.zeros[s] - (1 - bit), 0), np.maximum(self.ones[s] - bit, 0)) if own else self.said[s]
-        return out
-
-    def code(self, vocabulary: Vocabulary, ids: np.ndarray, first: np.ndarray, learn: bool = False) -> np.ndarray:
-        """log10 probability of each token's class, mixing online through the documents in lockstep.
-
-        Tokens are put in order of their place in the document, longest documents first, so that those of one step are
-        neighbours. Only the mixing itself runs step by step, over all bits of a step's tokens; what leads to it and follows
-        it is done at once. learn: the texts are those the counts came from; gathers the map, and the weights that documents end with.
-        """
-        n = len(ids)
-        if not n:
+        depths = len(self.weights)
+        if not len(ids):
             return np.zeros(0)
-        step = np.arange(n) - np.maximum.accumulate(np.where(first, np.arange(n), 0))
-        doc = np.cumsum(first) - 1
-        length = np.bincount(doc)
-        lane = np.empty(len(length), np.int64)
-        lane[np.argsort(-length, kind="stable")] = np.arange(len(length))
-        order = np.lexsort((lane[doc], step))
-        live = np.bincount(step)
-        context, band = contexts(vocabulary, ids, first)[:, order], vocabulary.band[ids].astype(np.int64)[order]
-        given = np.empty((n, BITS, MODELS + 1), np.float32)
-        nodes, bits = np.empty((n, BITS), np.int64), np.empty((n, BITS), np.float32)
-        for depth in range(BITS):
-            nodes[:, depth] = node_at(band, depth)
-            bits[:, depth] = band >> (BITS - 1 - depth) & 1
-            given[:, depth] = self.inputs(context, nodes[:, depth], bits[:, depth], learn)
-        weights = np.repeat(self.weights[None], len(length), axis=0)
-        mixed, begin = np.empty((n, BITS), np.float32), 0
-        with np.errstate(over="ignore"):
-            for width in live.tolist():
-                now = slice(begin, begin + width)
-                begin += width
-                x, w = given[now], weights[:width]  # the documents that are as long come first
-                y = np.einsum("ijk,ijk->ij", w, x)
-                mixed[now] = y
-                wrong = bits[now] - 1 / (1 + np.exp(-y))
-                w += (RATE * wrong)[:, :, None] * x
-        cell = nodes * 33 + np.clip(np.rint(mixed * 2), -16, 16).astype(np.int64) + 16
+        together, context = given or in_lockstep(vocabulary, ids, first)
+        ids, back, begin = ids[together.order], np.zeros(len(ids)), 0
+        weights = np.tile(self.weights.T, together.documents)
+        if not learn:
+            # the adaptive map: the mean of the mixed probability and of what has followed such ones
+            followed = (np.stack([self.seen - self.map, self.map], axis=2) / (self.seen + 4)[..., None]).ravel().astype(np.float32)
+            trust = np.repeat((4 / (self.seen + 4)).ravel(), 2).astype(np.float32)
+        for widths in together.blocks():
+            now = slice(begin, begin + sum(widths))
+            begin = now.stop
+            token, depth, row, bit, at = self.bits(vocabulary, ids[now], context[:, now])
+            n = now.stop - now.start
+            place = token * depths + depth if len(token) < n * depths else slice(None)
+            said, truth = np.zeros((MODELS + 1, n * depths), np.float32), np.zeros(n * depths, np.float32)
+            for m, slot in enumerate(at):
+                said[m, place] = self.say(slot + self.starts[m] if self.starts[m] else slot, bit, learn)
+            said[MODELS, place], truth[place] = 1, bit
+            mixed = self.mixed(said, truth, widths, weights)[place]
+            cell = (np.clip(np.rint(mixed * 2), -16, 16).astype(np.int64) + (row * 33 + 16)) * 2 + bit
+            if learn:
+                found = np.bincount(cell, minlength=2 * self.map.size).reshape(*self.map.shape, 2)
+                self.map += found[..., 1]
+                self.seen += found.sum(axis=2)
+                continue
+            with np.errstate(over="ignore"):
+                p = 1 / (1 + np.exp(np.float32(1 - 2 * bit) * mixed))
+            q = np.clip((p * (1 + trust.take(cell)) + followed.take(cell)) / 2, np.float32(1e-5), np.float32(1 - 1e-5))
+            back[together.order[now]] = np.bincount(token, np.log10(q), n)
         if learn:
-            self.map += np.bincount(cell.ravel(), bits.ravel(), self.map.size).reshape(self.map.shape)
-            self.seen += np.bincount(cell.ravel(), minlength=self.map.size).reshape(self.map.shape)
-            self.ended += weights.astype(np.float64).sum(axis=0)
-            self.documents += len(length)
-            return np.zeros(n)
-        p = 1 / (1 + np.exp(-np.clip(mixed.astype(np.float64), -20, 20)))
-        # the adaptive map: the mean of the mixed probability and of what has followed such ones
-        known = (self.map.ravel()[cell] + 4 * p) / (self.seen.ravel()[cell] + 4)
-        q = np.clip((p + known) / 2, 1e-5, 1 - 1e-5)
-        back = np.empty(n)
-        back[order] = np.log10(np.where(bits == 1, q, 1 - q)).sum(axis=1)
+            self.ended += weights.reshape(MODELS + 1, -1, depths).sum(axis=1, dtype=np.float64).T
         return back
 
+    def mixed(self, said: np.ndarray, truth: np.ndarray, widths: list[int], weights: np.ndarray) -> np.ndarray:
+        """The mixed prediction of each bit, refining the documents' weights after each step."""
+        out, begin, depths = np.empty_like(truth), 0, len(self.weights)
+        with np.errstate(over="ignore"):
+            for width in widths:
+                now = slice(begin, begin + width * depths)
+                begin = now.stop
+                x, w = said[:, now], weights[:, : width * depths]  # the documents that are as long come first
+                y = np.add.reduce(w * x, 0, out=out[now])
+                w += RATE * (truth[now] - 1 / (1 + np.exp(-y))) * x
+        return out
+
+    def say(self, slot: np.ndarray, bit: np.ndarray, own: bool) -> np.ndarray:
+        """What the slots say; own: their counts hold these very bits, as in training, and one of each is taken out."""
+        if not own:
+            return self.said.take(slot)
+        if self.own is None:
+            less = np.float32(1)
+            self.own = np.stack([_said(np.maximum(self.zeros - less, 0), self.ones), _said(self.zeros, np.maximum(self.ones - less, 0))], axis=1).ravel()
+        return self.own.take(slot * 2 + bit)
+
+
+class Mixer(Predictors):
+    """Mixes the bits of classes."""
+
+    def __init__(self, zeros: np.ndarray, ones: np.ndarray):
+        super().__init__(class_bits, zeros, ones, [m << SLOT_BITS for m in range(MODELS)], BITS, CLASSES)
+
+
+class PathMixer(Predictors):
+    """Mixes the bits of paths within classes. The nodes' own counts come first, then a table a predictor with a context."""
+
+    def __init__(self, v: Vocabulary, zeros: np.ndarray, ones: np.ndarray):
+        starts = [0, *(len(v.zeros) + (m << PATH_BITS) for m in range(MODELS - 1))]
+        super().__init__(path_bits, np.concatenate([v.zeros, zeros]), np.concatenate([v.ones, ones]), starts, v.depth, v.depth)
+
+
+def in_lockstep(vocabulary: Vocabulary, ids: np.ndarray, first: np.ndarray) -> tuple[Lockstep, np.ndarray]:
+    together = Lockstep(first)
+    return together, contexts(vocabulary, ids, first)[:, together.order]
+
 
 def _said(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """A predictor's stretched probability, softer the less its context has seen."""
@@ -259,39 +374,53 @@ def _said(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return (np.log((ones + 0.4) / (zeros + 0.4)) * (n / (n + 2))).astype(np.float32)
 
 
-def learned(docs: DataFrame, vocabulary, mixer) -> np.ndarray:
-    """Sums over all of ``docs`` of what coding them teaches: weights, map and its counts; and the number of documents.
+def learned(docs: DataFrame, vocabulary, mixers) -> np.ndarray:
+    """Sums over all of ``docs`` of what coding them teaches each mixer: weights, map and its counts; and the number of documents.
 
-    A task sends one row of fixed size, and rows are added up by cell before they reach the driver.
+    A task sends one row a sum, and rows are added up by cell before they reach the driver.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, mix = vocabulary.value, mixer.value
-        mine = Mixer(mix.zeros, mix.ones)
+        v, mine, documents = vocabulary.value, [fresh(m) for m in mixers.value], 0
         for _, _, ids, first, _ in chunks(batches, v):
-            mine.code(v, ids, first, learn=True)
-        if mine.documents:
-            flat = np.concatenate([mine.ended.ravel(), mine.map.ravel(), mine.seen.ravel(), [mine.documents]])
+            given = in_lockstep(v, ids, first)
+            for m in mine:
+                m.code(v, ids, first, learn=True, given=given)
+            documents += given[0].documents
+        if documents:
+            flat = np.concatenate([*(x.ravel() for m in mine for x in (m.ended, m.map, m.seen)), [documents]])
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], ["cell", "value"])
 
     rows = docs.select("text").mapInArrow(run, "cell long, value double").groupBy("cell").agg(F.sum("value").alias("value")).collect()
-    out = np.zeros(BITS * (MODELS + 1) + 2 * CLASSES * 33 + 1)
+    out = np.zeros(sum(x.size for m in mixers.value for x in (m.ended, m.map, m.seen)) + 1)
     for r in rows:
         out[r.cell] = r.value
     return out
 
 
-def sums(docs: DataFrame, vocabulary, mixer) -> DataFrame:
+def fresh(mixer: Predictors) -> Predictors:
+    """A mixer with the same counts, for one task's sums."""
+    mine = copy(mixer)
+    mine.ended, mine.map, mine.seen = np.zeros_like(mine.ended), np.zeros_like(mine.map), np.zeros_like(mine.seen)
+    return mine
+
+
+def sums(docs: DataFrame, vocabulary, mixers) -> DataFrame:
     """Per document, under a key of its own: what its classes and frequent tokens give, and its rare tokens."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, mix = vocabulary.value, mixer.value
+        v, (classes, inner) = vocabulary.value, mixers.value
         for part, words, ids, first, counts in chunks(batches, v):
             n, owner = len(words), np.repeat(np.arange(len(words)), counts)
-            coded, frequent = mix.code(v, ids, first) + v.within[ids], ids > 0
+            given, frequent = in_lockstep(v, ids, first), ids > 0
+            coded = classes.code(v, ids, first, given=given) + inner.code(v, ids, first, given=given)
             own = np.split(np.flatnonzero(~frequent), np.searchsorted(np.flatnonzero(~frequent), np.cumsum(counts)[:-1]))
             rare = [Counter([ws[i] for i in (at - begin).tolist()]) for ws, at, begin in zip(words, own, np.cumsum(counts) - counts, strict=True)]
+            flat = pa.StructArray.from_arrays(
+                [pa.array([w for r in rare for w in r], pa.binary()), pa.array([c for r in rare for c in r.values()], pa.int64())], ["token", "n"]
+            )
+            offsets = pa.array(np.cumsum([0, *map(len, rare)]), pa.int32())
             yield pa.RecordBatch.from_pydict(
                 {
                     "key": pa.array([uuid4().bytes for _ in words], pa.binary()),
@@ -302,7 +431,7 @@ def sums(docs: DataFrame, vocabulary, mixer) -> DataFrame:
                     "known": pa.array(np.bincount(owner, frequent, n).astype(np.int64)),
                     "base": pa.array(np.bincount(owner, np.where(frequent, v.base[ids], 0), n)),
                     "coded": pa.array(np.bincount(owner, coded, n)),
-                    "rare": pa.array([[{"token": w, "n": c} for w, c in r.items()] for r in rare], pa.list_(pa.struct([("token", pa.binary()), ("n", pa.int64())]))),
+                    "rare": pa.ListArray.from_arrays(offsets, flat),
                 }
             )
 
@@ -336,16 +465,18 @@ def context_mixing_scores(docs: DataFrame, held_out: Column) -> DataFrame:
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     v = Vocabulary(frequent_tokens(counts), total, distinct)
     vocabulary = context.broadcast(v)
-    table = np.zeros((2, MODELS << SLOT_BITS))
-    at = predictor_counts(seen, vocabulary).toArrow()
-    table[:, at["slot"].to_numpy()] = at["zeros"].to_numpy(), at["ones"].to_numpy()
-    mixer = Mixer(*table)
-    taught = learned(seen, vocabulary, context.broadcast(mixer))
-    weights, known, often = np.split(taught[:-1], [mixer.weights.size, mixer.weights.size + mixer.map.size])
+    table = np.zeros((2, (MODELS << SLOT_BITS) + (MODELS - 1 << PATH_BITS)), np.float32)
+    for r in predictor_counts(seen, vocabulary).collect():
+        table[:, r.page * PAGE : (r.page + 1) * PAGE] = np.frombuffer(r.counts, np.int64).reshape(PAGE, 2).T
+    mixers = Mixer(*table[:, : MODELS << SLOT_BITS]), PathMixer(v, *table[:, MODELS << SLOT_BITS :])
+    taught = learned(seen, vocabulary, context.broadcast(mixers))
     if taught[-1]:
-        mixer.weights = (weights / taught[-1]).reshape(mixer.weights.shape).astype(np.float32)
-        mixer.map, mixer.seen = known.reshape(mixer.map.shape), often.reshape(mixer.seen.shape)
-    found = written(sums(docs, vocabulary, context.broadcast(mixer)), "scored")
+        begin = 0
+        for m in mixers:
+            ended, m.map, m.seen = (x.reshape(y.shape) for x, y in zip(np.split(taught[begin:-1], np.cumsum([m.ended.size, m.map.size, m.seen.size]))[:3], (m.ended, m.map, m.seen), strict=True))
+            m.weights = (ended / taught[-1]).astype(np.float32)
+            begin += m.ended.size + m.map.size + m.seen.size
+    found = written(sums(docs, vocabulary, context.broadcast(mixers)), "scored")
     rare = found.select("key", F.explode("rare").alias("r")).select("key", F.col("r.token").alias("token"), F.col("r.n").alias("n"))
     met = rare.join(counts, "token", "left")
     c, n = F.coalesce(F.col("c"), F.lit(0)), F.col("n")

@@ -6,7 +6,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from contrail.llm import queries
-from contrail.llm.context_mixing import MODELS, SLOT_BITS, Mixer, Vocabulary, context_mixing_scores, tokens
+from contrail.llm import context_mixing
+from contrail.llm.context_mixing import MODELS, PATH_BITS, SLOT_BITS, Mixer, PathMixer, Vocabulary, context_mixing_scores, contexts, path_bits, tokens
 
 from ..conftest import DATA
 from .helpers import blank_words, documents
@@ -94,3 +95,63 @@ def test_mixing_against_a_plain_version():
                 weights[depth] += change
             assert math.isclose(total, found[at], abs_tol=2e-2 if abs(total) > 1 else 1e-2), (i, total, found[at])
             at += 1
+
+
+def test_tokens_of_one_class_are_told_apart_by_context(spark):
+    """Where the word before settles the next one, a text is likelier than its words' shares of their classes, with classes for nothing."""
+    words = [f"w{i:02}" for i in range(80)]
+    docs = documents(spark, [" ".join(words[i:] + words[:i]) for i in range(80)] * 4)
+    v = Vocabulary([(b" ", 320), *((w.encode(), 320) for w in words)], 81 * 320, 81)
+    rows = context_mixing_scores(docs, F.col("doc_id") == 0).collect()
+    shares = sum(math.log10(1 / (v.band == v.band[v.number[w.encode()]]).sum()) for w in words)
+    assert next(r.score for r in rows if r.doc_id == 0) > shares / 2
+
+
+def test_paths_are_a_code():
+    """In each class the paths are prefix-free and complete, and the nodes' counts are those of the tokens below them."""
+    counts = [(b" ", 900), *((f"w{i}".encode(), 1 + 5000 // (i + 1)) for i in range(700))]
+    v = Vocabulary(counts, 10**5, 10**3)
+    token, depth, _, bit, at = path_bits(v, np.arange(len(v.count)), np.zeros((MODELS, len(v.count)), np.uint64))
+    node, share, ones, zeros = next(at), np.ones(len(v.count)), Counter(), Counter()
+    np.multiply.at(share, token, 0.5)  # a path of n bits takes 2 ** -n of its class
+    for t, n, b in zip(token.tolist(), node.tolist(), bit.tolist(), strict=True):
+        (ones if b else zeros)[n] += int(v.count[t])
+    assert all(math.isclose(share[v.band == c].sum(), 1) for c in set(v.band[1:].tolist()))
+    assert len({(v.band[i], tuple(bit[token == i])) for i in range(1, len(v.count))}) == len(counts)
+    assert all(v.zeros[n] == zeros[n] > 0 and v.ones[n] == ones[n] > 0 for n in {*ones, *zeros})
+    assert depth.max() + 1 == v.depth
+
+
+def test_paths_mixed_against_a_plain_version(monkeypatch):
+    """As for classes, one document after the other and bit by bit, with blocks of a few steps."""
+    monkeypatch.setattr(context_mixing, "BLOCK", 7)
+    rng = np.random.default_rng(3)
+    v = Vocabulary([(b" ", 900), *((f"w{i}".encode(), 1 + 3000 // (i + 1)) for i in range(300))], 10**5, 10**3)
+    size = MODELS - 1 << PATH_BITS
+    mixer = PathMixer(v, rng.integers(0, 5, size), rng.integers(0, 5, size))
+    mixer.map, mixer.seen = rng.random(mixer.map.shape) * 3, np.full(mixer.seen.shape, 3.0)
+    docs = [[*rng.integers(0, 301, n).tolist(), 1] for n in (30, 1, 7, 0, 30)]
+    ids, first = np.concatenate([np.array(d, np.int32) for d in docs]), np.zeros(sum(map(len, docs)), bool)
+    first[np.cumsum([0, *map(len, docs)][:-1])] = True
+    context, found, at = contexts(v, ids, first), mixer.code(v, ids, first), 0
+    for d in docs:
+        weights = mixer.weights.astype(float)
+        for token in d:
+            changes, total, begin = [], 0.0, int(v.path_at[token])
+            for depth in range(int(v.path_length[token])):
+                node, bit = int(v.path_node[begin + depth]), int(v.path_bit[begin + depth])
+                slots = [node]
+                for m in range(1, MODELS):
+                    key = (int(context[m, at]) + node * 0xC2B2AE3D27D4EB4F) * 0x9E3779B97F4A7C15 & (1 << 64) - 1
+                    slots.append(len(v.zeros) + (m - 1 << PATH_BITS) + (key >> 64 - PATH_BITS))
+                z, o = mixer.zeros[slots].astype(float), mixer.ones[slots].astype(float)
+                x = np.append(np.log((o + 0.4) / (z + 0.4)) * (z + o) / (z + o + 2), 1)
+                y = float(weights[depth] @ x)
+                changes.append((depth, 0.02 * (bit - 1 / (1 + math.exp(-y))) * x))
+                cell, p = (depth, min(16, max(-16, round(y * 2))) + 16), 1 / (1 + math.exp(-y))
+                q = min(1 - 1e-5, max(1e-5, (p + (mixer.map[cell] + 4 * p) / (mixer.seen[cell] + 4)) / 2))
+                total += math.log10(q if bit else 1 - q)
+            for depth, change in changes:
+                weights[depth] += change
+            assert math.isclose(total, found[at], abs_tol=5e-2), (at, total, found[at])
+            at += 1
