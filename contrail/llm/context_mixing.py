@@ -85,7 +85,7 @@ def token_counts(docs: DataFrame) -> DataFrame:
 
 
 class Vocabulary:
-    """The frequent tokens: their number, class and share of their class; and figures of the whole corpus."""
+    """The frequent tokens: their number, class and path within it; and figures of the whole corpus."""
 
     def __init__(self, frequent: list[tuple[bytes, int]], total: int, distinct: int):
         self.total, self.distinct = total, distinct
@@ -99,9 +99,6 @@ class Vocabulary:
         if _END_TOKEN in self.number:
             band[self.number[_END_TOKEN]] = END
         self.band = band.astype(np.uint8)
-        by_band = np.bincount(band, count, CLASSES)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            self.within = np.where(count > 0, np.log10(count / by_band[band]), 0.0)
         self._paths(count, band)
         self.hash = np.array([0, *(xxhash.xxh64_intdigest(t) for t, _ in frequent)], np.uint64)
         #: Within the rare class a count c has (c - DISCOUNT) / rare, and all tokens never seen share the rest.
@@ -139,31 +136,36 @@ class Vocabulary:
         return np.fromiter(map(self.number.get, words, repeat(0)), np.int32, len(words))
 
 
+def preceding(x: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What is one place and two places before each token in its document; 0 beyond its beginning."""
+    one = ~first
+    two = one & np.concatenate([[False], one[:-1]])
+    return tuple(np.where(ok, np.concatenate([np.zeros(k, x.dtype), x[:-k]])[: len(x)], 0) for k, ok in ((1, one), (2, two)))
+
+
 def contexts(vocabulary: Vocabulary, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Hashed contexts (MODELS x tokens) of each token, from the tokens before it in its document.
 
     first: whether a token begins a document.
     """
-    n, band = len(ids), vocabulary.band[ids].astype(np.uint64) + np.uint64(1)
-    word = vocabulary.hash[ids]
-    one = ~first
-    two = one & np.concatenate([[False], one[:-1]])
-    before = lambda x, k, ok: np.where(ok, np.concatenate([np.zeros(k, np.uint64), x[:-k]])[:n], 0)
-    w1, w2 = before(word, 1, one), before(word, 2, two)
-    b1, b2 = before(band, 1, one), before(band, 2, two)
-    return np.stack([np.zeros(n, np.uint64), b1 * _M, (b1 * np.uint64(CLASSES + 1) + b2) * _M, w1 * _M, (w1 * np.uint64(31) + w2) * _M])
+    (w1, w2), (b1, b2) = preceding(vocabulary.hash[ids], first), preceding(vocabulary.band[ids].astype(np.uint64) + np.uint64(1), first)
+    return np.stack([np.zeros(len(ids), np.uint64), b1 * _M, (b1 * np.uint64(CLASSES + 1) + b2) * _M, w1 * _M, (w1 * np.uint64(31) + w2) * _M])
 
 
 def class_bits(vocabulary: Vocabulary, ids: np.ndarray, context: np.ndarray) -> tuple:
-    """The bits of the tokens' classes: place of the token, depth, row of the map, bit, and for each predictor their slots in its table.
+    """The bits of the tokens' classes: place of the token, depth, row of the map, bit, and their slots in the table of predictor ``m``.
 
     Without a context, a slot is the node itself.
     """
-    band = vocabulary.band[ids].astype(np.int64)
+    return band_bits(vocabulary.band[ids].astype(np.int64), context)
+
+
+def band_bits(band: np.ndarray, context: np.ndarray) -> tuple:
+    """``class_bits`` of given classes."""
     node = np.stack([1 << d | band >> (BITS - d) for d in range(BITS)], axis=1).ravel()  # of the code tree: 1 is the root
     bit = np.stack([band >> (BITS - 1 - d) & 1 for d in range(BITS)], axis=1).ravel()
-    stepped, depth = node.astype(np.uint64) * _STEP, np.tile(np.arange(BITS), len(ids))
-    return np.repeat(np.arange(len(ids)), BITS), depth, node, bit, (hashed(np.repeat(context[m], BITS), stepped, SLOT_BITS) if m else node for m in range(MODELS))
+    stepped, depth = node.astype(np.uint64) * _STEP, np.tile(np.arange(BITS), len(band))
+    return np.repeat(np.arange(len(band)), BITS), depth, node, bit, lambda m: hashed(np.repeat(context[m], BITS), stepped, SLOT_BITS) if m else node
 
 
 def path_bits(vocabulary: Vocabulary, ids: np.ndarray, context: np.ndarray) -> tuple:
@@ -175,7 +177,7 @@ def path_bits(vocabulary: Vocabulary, ids: np.ndarray, context: np.ndarray) -> t
     at = every + (vocabulary.path_at[ids] - begin).take(token)
     node = vocabulary.path_node.take(at)
     stepped = node.astype(np.uint64) * _STEP
-    return token, depth, depth, vocabulary.path_bit.take(at), (hashed(context[m].take(token), stepped, PATH_BITS) if m else node for m in range(MODELS))
+    return token, depth, depth, vocabulary.path_bit.take(at), lambda m: hashed(context[m].take(token), stepped, PATH_BITS) if m else node
 
 
 def hashed(context: np.ndarray, stepped: np.ndarray, bits: int) -> np.ndarray:
@@ -216,14 +218,24 @@ def predictor_counts(docs: DataFrame, vocabulary) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary.value
         classes, inner = np.zeros((MODELS, 2 << SLOT_BITS), COUNT), np.zeros((MODELS, 2 << PATH_BITS), COUNT)
+        runs = np.zeros((CLASSES + 1) ** 2 * CLASSES, np.int64)  # of three classes
         for _, _, every, first, _ in chunks(batches, v):
-            before = contexts(v, every, first)
+            before, band = contexts(v, every, first), v.band[every].astype(np.int64)
+            b1, b2 = preceding(band + 1, first)
+            runs += np.bincount((b1 * (CLASSES + 1) + b2) * CLASSES + band, minlength=len(runs))
             for begin in range(0, len(every), 10 * BLOCK):
                 ids, context = every[begin : begin + 10 * BLOCK], before[:, begin : begin + 10 * BLOCK]
-                for seen, (_, _, _, bits, at) in ((classes, class_bits(v, ids, context)), (inner, path_bits(v, ids, context))):
-                    for m, slot in enumerate(at):
-                        counted = np.bincount(slot * 2 + bits)
+                for seen, models, (_, _, _, bits, at) in ((classes, (3, 4), class_bits(v, ids, context)), (inner, (1, 2, 3, 4), path_bits(v, ids, context))):
+                    for m in models:
+                        counted = np.bincount(at(m) * 2 + bits)
                         seen[m, : len(counted)] += counted
+        # predictors that look at classes alone: by what runs of classes there were
+        found = np.flatnonzero(runs)
+        pair, band = np.divmod(found, CLASSES)
+        _, _, _, bits, at = band_bits(band, np.stack([0 * pair, pair // (CLASSES + 1), pair]).astype(np.uint64) * _M)
+        for m in range(3):
+            counted = np.bincount(at(m) * 2 + bits, np.repeat(runs[found], BITS))
+            classes[m, : len(counted)] += counted.astype(np.int64)
         seen = np.concatenate([classes.ravel(), inner[1:].ravel()]).reshape(-1, 2)  # the nodes' own counts are known
         pages = seen.reshape(-1, 2 * PAGE)
         for page in np.flatnonzero(pages.any(axis=1)).tolist():
@@ -308,7 +320,8 @@ class Predictors:
             n = now.stop - now.start
             place = token * depths + depth if len(token) < n * depths else slice(None)
             said, truth = np.zeros((MODELS + 1, n * depths), np.float32), np.zeros(n * depths, np.float32)
-            for m, slot in enumerate(at):
+            for m in range(MODELS):
+                slot = at(m)
                 said[m, place] = self.say(slot + self.starts[m] if self.starts[m] else slot, bit, learn)
             said[MODELS, place], truth[place] = 1, bit
             mixed = self.mixed(said, truth, widths, weights)[place]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from contrail.llm import queries
 from contrail.llm import context_mixing
-from contrail.llm.context_mixing import MODELS, PATH_BITS, SLOT_BITS, Mixer, PathMixer, Vocabulary, context_mixing_scores, contexts, path_bits, tokens
+from contrail.llm.context_mixing import MODELS, PATH_BITS, SLOT_BITS, Mixer, PathMixer, Vocabulary, class_bits, context_mixing_scores, contexts, path_bits, predictor_counts, tokens
 
 from ..conftest import DATA
 from .helpers import blank_words, documents
@@ -112,7 +112,7 @@ def test_paths_are_a_code():
     counts = [(b" ", 900), *((f"w{i}".encode(), 1 + 5000 // (i + 1)) for i in range(700))]
     v = Vocabulary(counts, 10**5, 10**3)
     token, depth, _, bit, at = path_bits(v, np.arange(len(v.count)), np.zeros((MODELS, len(v.count)), np.uint64))
-    node, share, ones, zeros = next(at), np.ones(len(v.count)), Counter(), Counter()
+    node, share, ones, zeros = at(0), np.ones(len(v.count)), Counter(), Counter()
     np.multiply.at(share, token, 0.5)  # a path of n bits takes 2 ** -n of its class
     for t, n, b in zip(token.tolist(), node.tolist(), bit.tolist(), strict=True):
         (ones if b else zeros)[n] += int(v.count[t])
@@ -155,3 +155,24 @@ def test_paths_mixed_against_a_plain_version(monkeypatch):
                 weights[depth] += change
             assert math.isclose(total, found[at], abs_tol=5e-2), (at, total, found[at])
             at += 1
+
+
+def test_predictor_counts_against_a_plain_version(spark):
+    """Each bit of each token is counted in its slot of every predictor's table, over documents in several tasks."""
+    texts = ["a b c a b", None, "b", "a c unknown a c", "c c c b a " * 9, "b a"]
+    counted = Counter(w for t in texts for w in tokens(t) if w != b"unknown")
+    v = Vocabulary(sorted(counted.items(), key=lambda x: (-x[1], x[0])), counted.total() + 1, len(counted) + 1)
+    expected = Counter()
+    for t in texts:
+        ids = v.ids(tokens(t))
+        context = contexts(v, ids, np.arange(len(ids)) == 0)
+        for start, models, bits, (_, _, _, bit, at) in (
+            (0, range(MODELS), SLOT_BITS, class_bits(v, ids, context)),
+            ((MODELS << SLOT_BITS) - (1 << PATH_BITS), range(1, MODELS), PATH_BITS, path_bits(v, ids, context)),
+        ):
+            expected.update((start + (m << bits) + s, b) for m in models for s, b in zip(at(m).tolist(), bit.tolist(), strict=True))
+    found = Counter()
+    for r in predictor_counts(documents(spark, texts).repartition(3), spark.sparkContext.broadcast(v)).collect():
+        pairs = np.frombuffer(r.counts, np.int64).reshape(-1, 2)
+        found.update({(r.page * len(pairs) + int(s), int(b)): int(pairs[s, b]) for s, b in zip(*np.nonzero(pairs), strict=True)})
+    assert found == expected
