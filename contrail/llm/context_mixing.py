@@ -27,10 +27,8 @@ Defined results: a null text is empty: one end token. Repeated rows are scored e
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Callable, Iterator
 from copy import copy
-from itertools import repeat
 from uuid import uuid4
 
 import numpy as np
@@ -45,41 +43,67 @@ from .common import written
 FREQUENT = 100_000
 BITS = 5
 CLASSES = 1 << BITS
+RUNS = (CLASSES + 1) ** 2 * CLASSES  # of three classes; the first two may be missing
 RARE, END = 0, 1
 RATE = 0.02
 SLOT_BITS = 17  # of a predictor's table
 PATH_BITS = 18  # of a predictor's table for the bits within a class
 DISCOUNT = 0.75  # what each rare count gives up to tokens never seen
 CHUNK = 400_000  # tokens coded together
+SLICE = 4 << 20  # bytes of text cut in words at once
+COUNTED = 2_000_000  # words counted at once
 BLOCK = 10_000  # tokens whose predictions are made at once
 PAGE = 1024  # slots of the predictors' tables that are added up together
-COUNT = np.dtype("<i4")  # of a bit in one task
+COUNT = np.int32  # of a bit in one task; a type, as np.add.at is slow on a dtype that was pickled
 MODELS = 5
 _END_TOKEN = b" "  # no word holds a blank
 _M, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_DEPTH = np.arange(BITS)
+_NODES = 1 << _DEPTH | np.arange(CLASSES)[:, None] >> (BITS - _DEPTH)  # of a class, in the code tree: 1 is the root
+_CLASS_BITS = np.arange(CLASSES)[:, None] >> (BITS - 1 - _DEPTH) & 1
+_STEPPED = _NODES.astype(np.uint64) * _STEP
+
+
+def words_of(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, one after the other, and how many each text has."""
+    cut = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(text.cast(pa.binary()), b"").view(pa.string())))
+    words = cut.flatten().view(pa.binary())
+    full = np.asarray(pc.binary_length(words)) > 0  # blanks at a text's ends leave empty words
+    at = np.asarray(cut.offsets)
+    counts = np.diff(np.concatenate([[0], np.cumsum(full)])[at - at[0]])
+    return (words if full.all() else words.filter(pa.array(full))), counts
 
 
 def tokens(text: str | bytes | None) -> list[bytes]:
-    return [*((text.encode() if isinstance(text, str) else text).lower().split() if text else ()), _END_TOKEN]
+    return [*words_of(pa.array([text], pa.binary()))[0].to_pylist(), _END_TOKEN]
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows of about SLICE bytes of text together."""
+    end = np.cumsum(np.asarray(pc.coalesce(pc.binary_length(batch.column("text")), 0)), dtype=np.int64)
+    cut = [0, *(np.flatnonzero(np.diff(end // SLICE)) + 1).tolist(), len(batch)]
+    yield from (batch.slice(a, b - a) for a, b in zip(cut, cut[1:]) if b > a)
 
 
 def token_counts(docs: DataFrame) -> DataFrame:
     """(token, c) over all of ``docs``; counted within tasks first, in pieces of bounded size."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["token", "c"])
+    def counted(words: list[pa.Array], texts: int) -> pa.RecordBatch:
+        seen = pa.chunked_array([*words, pa.array([], pa.binary())]).value_counts()
+        token = pa.concat_arrays([seen.field("values"), pa.array([_END_TOKEN], pa.binary())])
+        return pa.RecordBatch.from_arrays([token, pa.concat_arrays([seen.field("counts"), pa.array([texts], pa.int64())])], ["token", "c"])
 
-        for batch in batches:
-            for t in batch.column("text").cast(pa.binary()):
-                seen.update(tokens(t.as_py()))
-                if len(seen) > 500_000:
-                    yield out()
-                    seen.clear()
-        if seen:
-            yield out()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, texts, n = [], 0, 0
+        for part in (part for batch in batches for part in slices(batch)):
+            words, _ = words_of(part.column("text"))
+            held.append(words)
+            texts, n = texts + len(part), n + len(words)
+            if n > COUNTED:
+                yield counted(held, texts)
+                held, texts, n = [], 0, 0
+        if texts:
+            yield counted(held, texts)
 
     return docs.select("text").mapInArrow(run, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
@@ -90,6 +114,7 @@ class Vocabulary:
     def __init__(self, frequent: list[tuple[bytes, int]], total: int, distinct: int):
         self.total, self.distinct = total, distinct
         self.number = {t: i + 1 for i, (t, _) in enumerate(frequent)}  # 0: rare
+        self.frequent = pa.array([t for t, _ in frequent], pa.binary())
         count = np.array([0, *(c for _, c in frequent)], np.float64)
         self.count = count
         # bands of about equal mass: the code then tells apart the few very frequent tokens
@@ -129,11 +154,14 @@ class Vocabulary:
         ids, node, bit = (np.concatenate([np.zeros(0, np.int64), *(x[k] for x in levels)]) for k in range(3))
         order = np.argsort(ids, kind="stable")
         self.path_node, self.path_bit = node[order], bit[order].astype(np.int64)
+        self.path_both = self.path_node * 2 + self.path_bit
         self.path_length = np.bincount(ids.astype(np.int64), minlength=len(count))
         self.path_at = np.cumsum(self.path_length) - self.path_length
 
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.number.get, words, repeat(0)), np.int32, len(words))
+    def ids(self, words: pa.Array | list[bytes]) -> np.ndarray:
+        if isinstance(words, list):
+            words = pa.array(words, pa.binary())
+        return np.asarray(pc.fill_null(pc.index_in(words, self.frequent), -1)) + np.int32(1)
 
 
 def preceding(x: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -162,22 +190,34 @@ def class_bits(vocabulary: Vocabulary, ids: np.ndarray, context: np.ndarray) ->
 
 def band_bits(band: np.ndarray, context: np.ndarray) -> tuple:
     """``class_bits`` of given classes."""
-    node = np.stack([1 << d | band >> (BITS - d) for d in range(BITS)], axis=1).ravel()  # of the code tree: 1 is the root
-    bit = np.stack([band >> (BITS - 1 - d) & 1 for d in range(BITS)], axis=1).ravel()
-    stepped, depth = node.astype(np.uint64) * _STEP, np.tile(np.arange(BITS), len(band))
-    return np.repeat(np.arange(len(band)), BITS), depth, node, bit, lambda m: hashed(np.repeat(context[m], BITS), stepped, SLOT_BITS) if m else node
+    node, bit, stepped = (x.take(band, axis=0).ravel() for x in (_NODES, _CLASS_BITS, _STEPPED))
+    token, depth = np.repeat(np.arange(len(band)), BITS), np.tile(_DEPTH, len(band))
+    return token, depth, node, bit, lambda m: hashed(np.repeat(context[m], BITS), stepped, SLOT_BITS) if m else node
+
+
+def runs_of(vocabulary: Vocabulary, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Each token's class with the classes of the two tokens before it, as one number."""
+    band = vocabulary.band.take(ids).astype(np.int64)
+    b1, b2 = preceding(band + 1, first)
+    return (b1 * (CLASSES + 1) + b2) * CLASSES + band
+
+
+def run_bits(runs: np.ndarray) -> tuple:
+    """``class_bits`` of such numbers, for the predictors that look at classes alone."""
+    pair, band = np.divmod(runs, CLASSES)
+    return band_bits(band, np.stack([0 * pair, pair // (CLASSES + 1), pair]).astype(np.uint64) * _M)
 
 
 def path_bits(vocabulary: Vocabulary, ids: np.ndarray, context: np.ndarray) -> tuple:
     """The bits of the tokens' paths within their classes, as ``class_bits``; a token's bits are neighbours, by depth."""
-    length = vocabulary.path_length[ids]
+    length = vocabulary.path_length.take(ids)
     token = np.repeat(np.arange(len(ids)), length)
     every, begin = np.arange(len(token)), np.cumsum(length) - length
-    depth = every - begin.take(token)
-    at = every + (vocabulary.path_at[ids] - begin).take(token)
-    node = vocabulary.path_node.take(at)
-    stepped = node.astype(np.uint64) * _STEP
-    return token, depth, depth, vocabulary.path_bit.take(at), lambda m: hashed(context[m].take(token), stepped, PATH_BITS) if m else node
+    depth = every - np.repeat(begin, length)
+    both = vocabulary.path_both.take(every + np.repeat(vocabulary.path_at.take(ids) - begin, length))
+    node = both >> 1
+    stepped = node.view(np.uint64) * _STEP
+    return token, depth, depth, both & 1, lambda m: hashed(np.repeat(context[m], length), stepped, PATH_BITS) if m else node
 
 
 def hashed(context: np.ndarray, stepped: np.ndarray, bits: int) -> np.ndarray:
@@ -188,24 +228,25 @@ def hashed(context: np.ndarray, stepped: np.ndarray, bits: int) -> np.ndarray:
 
 
 def chunks(batches: Iterator[pa.RecordBatch], v: Vocabulary) -> Iterator[tuple]:
-    """Whole documents of about CHUNK tokens together: (part of a batch, tokens by document, ids, first, counts).
+    """Whole documents of about CHUNK tokens together: (part of a batch, its words, ids with those of the ends, first, tokens by document).
 
     Documents of like length go together, longest first, as a chunk takes as many steps as its longest has tokens.
     """
+    end = v.number.get(_END_TOKEN, 0)
     for batch in batches:
         size = np.asarray(pc.coalesce(pc.binary_length(batch.column("text")), 0))
         batch = batch.take(pa.array(np.argsort(-size.astype(np.int64), kind="stable")))
-        text, at = batch.column("text").cast(pa.binary()), 0
-        while at < len(batch):
-            words, n, begin = [], 0, at
-            while at < len(batch) and n < CHUNK:
-                words.append(tokens(text[at].as_py()))
-                n += len(words[-1])
-                at += 1
-            counts = np.fromiter(map(len, words), np.int64, len(words))
-            first = np.zeros(n, bool)
-            first[np.cumsum(counts) - counts] = True
-            yield batch.slice(begin, at - begin), words, np.concatenate([v.ids(w) for w in words]), first, counts
+        for part in slices(batch):
+            words, counts = words_of(part.column("text"))
+            found, after = v.ids(words), np.cumsum(counts)
+            cut = [0, *(np.flatnonzero(np.diff((after + np.arange(len(part))) // CHUNK)) + 1).tolist(), len(part)]
+            for a, b in zip(cut, cut[1:]):
+                mine = slice(after[a] - counts[a], after[b - 1])
+                n, last = mine.stop - mine.start + b - a, after[a:b] - mine.start + np.arange(b - a)
+                ids, first, word = np.full(n, end, found.dtype), np.zeros(n, bool), np.ones(n, bool)
+                first[0], first[last[:-1] + 1], word[last] = True, True, False
+                ids[word] = found[mine]
+                yield part.slice(a, b - a), words.slice(mine.start, mine.stop - mine.start), ids, first, counts[a:b] + 1
 
 
 def predictor_counts(docs: DataFrame, vocabulary) -> DataFrame:
@@ -218,21 +259,18 @@ def predictor_counts(docs: DataFrame, vocabulary) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary.value
         classes, inner = np.zeros((MODELS, 2 << SLOT_BITS), COUNT), np.zeros((MODELS, 2 << PATH_BITS), COUNT)
-        runs = np.zeros((CLASSES + 1) ** 2 * CLASSES, np.int64)  # of three classes
+        runs = np.zeros(RUNS, np.int64)
         for _, _, every, first, _ in chunks(batches, v):
-            before, band = contexts(v, every, first), v.band[every].astype(np.int64)
-            b1, b2 = preceding(band + 1, first)
-            runs += np.bincount((b1 * (CLASSES + 1) + b2) * CLASSES + band, minlength=len(runs))
-            for begin in range(0, len(every), 10 * BLOCK):
-                ids, context = every[begin : begin + 10 * BLOCK], before[:, begin : begin + 10 * BLOCK]
+            before = contexts(v, every, first)
+            runs += np.bincount(runs_of(v, every, first), minlength=RUNS)
+            for begin in range(0, len(every), 5 * BLOCK):
+                ids, context = every[begin : begin + 5 * BLOCK], before[:, begin : begin + 5 * BLOCK]
                 for seen, models, (_, _, _, bits, at) in ((classes, (3, 4), class_bits(v, ids, context)), (inner, (1, 2, 3, 4), path_bits(v, ids, context))):
                     for m in models:
-                        counted = np.bincount(at(m) * 2 + bits)
-                        seen[m, : len(counted)] += counted
+                        np.add.at(seen[m], at(m) * 2 + bits, COUNT(1))
         # predictors that look at classes alone: by what runs of classes there were
         found = np.flatnonzero(runs)
-        pair, band = np.divmod(found, CLASSES)
-        _, _, _, bits, at = band_bits(band, np.stack([0 * pair, pair // (CLASSES + 1), pair]).astype(np.uint64) * _M)
+        _, _, _, bits, at = run_bits(found)
         for m in range(3):
             counted = np.bincount(at(m) * 2 + bits, np.repeat(runs[found], BITS))
             classes[m, : len(counted)] += counted.astype(np.int64)
@@ -295,70 +333,49 @@ class Predictors:
         self.said = _said(self.zeros, self.ones)
         self.own = None
 
-    def code(self, vocabulary: Vocabulary, ids: np.ndarray, first: np.ndarray, learn: bool = False, given: tuple | None = None) -> np.ndarray:
-        """log10 probability of each token's bits, mixing online through the documents in lockstep.
+    def code(self, vocabulary: Vocabulary, ids: np.ndarray, first: np.ndarray, learn: bool = False) -> np.ndarray:
+        return code([self], vocabulary, ids, first, learn)
+
+    def say_all(self, said: np.ndarray, truth: np.ndarray, columns: slice, bits: tuple, runs: np.ndarray, own: bool) -> Callable:
+        """Puts what the predictors say about ``bits`` in these columns of ``said`` (predictors x tokens x columns), and the bits in those of ``truth``.
 
-        Only the mixing itself runs step by step, over all bits of a step's tokens; what leads to it and follows
-        it is done for many steps at once. A token with fewer bits than ``depth`` predicts nothing by the others, which change no weight.
-        learn: the texts are those the counts came from; gathers the map, and the weights that documents end with.
-        given: the texts' lockstep and contexts, if known.
+        Depths that a token does not have stay 0. Gives a function that takes these bits out of such an array.
         """
-        depths = len(self.weights)
-        if not len(ids):
-            return np.zeros(0)
-        together, context = given or in_lockstep(vocabulary, ids, first)
-        ids, back, begin = ids[together.order], np.zeros(len(ids)), 0
-        weights = np.tile(self.weights.T, together.documents)
-        if not learn:
-            # the adaptive map: the mean of the mixed probability and of what has followed such ones
-            followed = (np.stack([self.seen - self.map, self.map], axis=2) / (self.seen + 4)[..., None]).ravel().astype(np.float32)
-            trust = np.repeat((4 / (self.seen + 4)).ravel(), 2).astype(np.float32)
-        for widths in together.blocks():
-            now = slice(begin, begin + sum(widths))
-            begin = now.stop
-            token, depth, row, bit, at = self.bits(vocabulary, ids[now], context[:, now])
-            n = now.stop - now.start
-            place = token * depths + depth if len(token) < n * depths else slice(None)
-            said, truth = np.zeros((MODELS + 1, n * depths), np.float32), np.zeros(n * depths, np.float32)
-            for m in range(MODELS):
-                slot = at(m)
-                said[m, place] = self.say(slot + self.starts[m] if self.starts[m] else slot, bit, learn)
-            said[MODELS, place], truth[place] = 1, bit
-            mixed = self.mixed(said, truth, widths, weights)[place]
-            cell = (np.clip(np.rint(mixed * 2), -16, 16).astype(np.int64) + (row * 33 + 16)) * 2 + bit
-            if learn:
-                found = np.bincount(cell, minlength=2 * self.map.size).reshape(*self.map.shape, 2)
-                self.map += found[..., 1]
-                self.seen += found.sum(axis=2)
-                continue
-            with np.errstate(over="ignore"):
-                p = 1 / (1 + np.exp(np.float32(1 - 2 * bit) * mixed))
-            q = np.clip((p * (1 + trust.take(cell)) + followed.take(cell)) / 2, np.float32(1e-5), np.float32(1 - 1e-5))
-            back[together.order[now]] = np.bincount(token, np.log10(q), n)
-        if learn:
-            self.ended += weights.reshape(MODELS + 1, -1, depths).sum(axis=1, dtype=np.float64).T
-        return back
-
-    def mixed(self, said: np.ndarray, truth: np.ndarray, widths: list[int], weights: np.ndarray) -> np.ndarray:
-        """The mixed prediction of each bit, refining the documents' weights after each step."""
-        out, begin, depths = np.empty_like(truth), 0, len(self.weights)
-        with np.errstate(over="ignore"):
-            for width in widths:
-                now = slice(begin, begin + width * depths)
-                begin = now.stop
-                x, w = said[:, now], weights[:, : width * depths]  # the documents that are as long come first
-                y = np.add.reduce(w * x, 0, out=out[now])
-                w += RATE * (truth[now] - 1 / (1 + np.exp(-y))) * x
-        return out
+        token, depth, _, bit, at = bits
+        n, width = truth.shape
+        whole = len(token) == n * len(self.weights)
+        place = None if whole else token * width + (depth + columns.start)
+
+        def put(x: np.ndarray, values: np.ndarray | int) -> None:
+            if whole:
+                x[:, columns] = values if isinstance(values, int) else values.reshape(n, -1)
+            else:
+                x.reshape(-1)[place] = values
+
+        for m in range(MODELS):
+            put(said[m], self.predicted(m, at, bit, runs, own))
+        put(said[MODELS], 1)
+        put(truth, bit)
+        return lambda x: x[:, columns].ravel() if whole else x.reshape(-1)[place]
+
+    def adaptive(self) -> tuple[np.ndarray, np.ndarray]:
+        """The adaptive map: the mean of the mixed probability and of what has followed such ones."""
+        followed = (np.stack([self.seen - self.map, self.map], axis=2) / (self.seen + 4)[..., None]).ravel().astype(np.float32)
+        return followed, np.repeat((4 / (self.seen + 4)).ravel(), 2).astype(np.float32)
+
+    def predicted(self, m: int, at: Callable, bit: np.ndarray, runs: np.ndarray, own: bool) -> np.ndarray:
+        """What predictor ``m`` says about each bit; ``at`` gives its slots."""
+        slot = at(m)
+        return self.say(slot + self.starts[m] if self.starts[m] else slot, bit, own)
 
     def say(self, slot: np.ndarray, bit: np.ndarray, own: bool) -> np.ndarray:
         """What the slots say; own: their counts hold these very bits, as in training, and one of each is taken out."""
         if not own:
-            return self.said.take(slot)
+            return self.said.take(slot, mode="clip")  # all are within
         if self.own is None:
             less = np.float32(1)
             self.own = np.stack([_said(np.maximum(self.zeros - less, 0), self.ones), _said(self.zeros, np.maximum(self.ones - less, 0))], axis=1).ravel()
-        return self.own.take(slot * 2 + bit)
+        return self.own.take(slot * 2 + bit, mode="clip")
 
 
 class Mixer(Predictors):
@@ -366,6 +383,19 @@ class Mixer(Predictors):
 
     def __init__(self, zeros: np.ndarray, ones: np.ndarray):
         super().__init__(class_bits, zeros, ones, [m << SLOT_BITS for m in range(MODELS)], BITS, CLASSES)
+        self.of_runs = {}
+
+    def predicted(self, m: int, at: Callable, bit: np.ndarray, runs: np.ndarray, own: bool) -> np.ndarray:
+        """Predictors that look at classes alone say the same about all five bits of every like run, and are asked once for each run."""
+        if m > 2:
+            return super().predicted(m, at, bit, runs, own)
+        if own not in self.of_runs:
+            _, _, _, bits, slots = run_bits(np.arange(RUNS))
+            none, one, two = (super(Mixer, self).predicted(k, slots, bits, runs, own).reshape(CLASSES + 1, CLASSES + 1, CLASSES, BITS) for k in range(3))
+            self.of_runs[own] = none[0, 0], one[:, 0].reshape(-1, BITS), two.reshape(-1, BITS)
+        band = runs & (CLASSES - 1)
+        run = runs if m == 2 else runs // (CLASSES * (CLASSES + 1)) * CLASSES + band if m else band
+        return self.of_runs[own][m].take(run, axis=0).ravel()
 
 
 class PathMixer(Predictors):
@@ -376,9 +406,77 @@ class PathMixer(Predictors):
         super().__init__(path_bits, np.concatenate([v.zeros, zeros]), np.concatenate([v.ones, ones]), starts, v.depth, v.depth)
 
 
-def in_lockstep(vocabulary: Vocabulary, ids: np.ndarray, first: np.ndarray) -> tuple[Lockstep, np.ndarray]:
+def in_lockstep(vocabulary: Vocabulary, ids: np.ndarray, first: np.ndarray) -> tuple[Lockstep, np.ndarray, np.ndarray]:
+    """The texts' lockstep, and their contexts and runs of classes in its order."""
     together = Lockstep(first)
-    return together, contexts(vocabulary, ids, first)[:, together.order]
+    context = contexts(vocabulary, ids, first)
+    for of_model in context:
+        of_model[:] = of_model.take(together.order)
+    return together, context, runs_of(vocabulary, ids, first).take(together.order)
+
+
+def code(mixers: list[Predictors], vocabulary: Vocabulary, ids: np.ndarray, first: np.ndarray, learn: bool = False, given: tuple | None = None) -> np.ndarray:
+    """log10 probability of each token's bits of all ``mixers``, mixing online through the documents in lockstep.
+
+    Only the mixing itself runs step by step, over all bits of a step's tokens; what leads to it and follows
+    it is done for many steps at once. A token with fewer bits than a mixer has depths predicts nothing by the others, which change no weight.
+    learn: the texts are those the counts came from; gathers the map, and the weights that documents end with.
+    given: what ``in_lockstep`` gives of the texts, if known.
+    """
+    if not len(ids):
+        return np.zeros(0)
+    together, context, runs = given or in_lockstep(vocabulary, ids, first)
+    ids, back, begin = ids.take(together.order), np.zeros(len(ids)), 0
+    ends = np.cumsum([len(m.weights) for m in mixers]).tolist()
+    columns = [slice(a, b) for a, b in zip([0, *ends], ends, strict=False)]
+    less = np.tile(-np.concatenate([m.weights for m in mixers]).T, together.documents)
+    maps = None if learn else [m.adaptive() for m in mixers]
+    for widths in together.blocks():
+        now = slice(begin, begin + sum(widths))
+        begin, n = now.stop, now.stop - now.start
+        said, truth = np.zeros((MODELS + 1, n, ends[-1]), np.float32), np.zeros((n, ends[-1]), np.float32)
+        bits = [m.bits(vocabulary, ids[now], context[:, now]) for m in mixers]
+        taken = [m.say_all(said, truth, c, b, runs[now], learn) for m, c, b in zip(mixers, columns, bits, strict=True)]
+        every, total = mixed(said.reshape(MODELS + 1, -1), truth.ravel(), [w * ends[-1] for w in widths], less).reshape(n, -1), np.zeros(n)
+        for k, (m, (token, _, row, bit, _)) in enumerate(zip(mixers, bits, strict=True)):
+            y = taken[k](every)
+            cell = (np.clip(np.rint(y * 2), -16, 16).astype(np.int64) + (row * 33 + 16)) * 2 + bit
+            if learn:
+                found = np.bincount(cell, minlength=2 * m.map.size).reshape(*m.map.shape, 2)
+                m.map += found[..., 1]
+                m.seen += found.sum(axis=2)
+                continue
+            with np.errstate(over="ignore"):
+                p = 1 / (1 + np.exp(np.float32(1 - 2 * bit) * y))
+            followed, trust = maps[k]
+            q = np.clip((p * (1 + trust.take(cell)) + followed.take(cell)) / 2, np.float32(1e-5), np.float32(1 - 1e-5))
+            total += np.bincount(token, np.log(q), n)
+        back[together.order[now]] = total / math.log(10)
+    if learn:
+        ended = -less.reshape(MODELS + 1, -1, ends[-1]).sum(axis=1, dtype=np.float64).T
+        for m, c in zip(mixers, columns, strict=True):
+            m.ended += ended[c]
+    return back
+
+
+def mixed(said: np.ndarray, truth: np.ndarray, widths: list[int], less: np.ndarray) -> np.ndarray:
+    """The mixed prediction of each bit, refining the documents' weights after each step. ``less``: the weights' negatives."""
+    out, begin = np.empty_like(truth), 0
+    truth, space, error = truth * np.float32(RATE), np.empty((len(less), max(widths)), np.float32), np.empty(max(widths), np.float32)
+    rate = np.float32(RATE)
+    with np.errstate(over="ignore"):
+        for width in widths:
+            end = begin + width
+            x, w, part, e = said[:, begin:end], less[:, :width], space[:, :width], error[:width]  # the documents that are as long come first
+            np.add.reduce(np.multiply(w, x, out=part), 0, out=out[begin:end])
+            # RATE * (1 / (1 + exp(-y)) - truth), where out has -y as yet
+            np.exp(out[begin:end], out=e)
+            np.add(e, 1, out=e)
+            np.divide(rate, e, out=e)
+            np.subtract(e, truth[begin:end], out=e)
+            np.add(w, np.multiply(e, x, out=part), out=w)
+            begin = end
+    return np.negative(out, out=out)
 
 
 def _said(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
@@ -397,8 +495,7 @@ def learned(docs: DataFrame, vocabulary, mixers) -> np.ndarray:
         v, mine, documents = vocabulary.value, [fresh(m) for m in mixers.value], 0
         for _, _, ids, first, _ in chunks(batches, v):
             given = in_lockstep(v, ids, first)
-            for m in mine:
-                m.code(v, ids, first, learn=True, given=given)
+            code(mine, v, ids, first, learn=True, given=given)
             documents += given[0].documents
         if documents:
             flat = np.concatenate([*(x.ravel() for m in mine for x in (m.ended, m.map, m.seen)), [documents]])
@@ -423,20 +520,15 @@ def sums(docs: DataFrame, vocabulary, mixers) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, (classes, inner) = vocabulary.value, mixers.value
+        v = vocabulary.value
         for part, words, ids, first, counts in chunks(batches, v):
-            n, owner = len(words), np.repeat(np.arange(len(words)), counts)
+            n, owner = len(part), np.repeat(np.arange(len(part)), counts)
             given, frequent = in_lockstep(v, ids, first), ids > 0
-            coded = classes.code(v, ids, first, given=given) + inner.code(v, ids, first, given=given)
-            own = np.split(np.flatnonzero(~frequent), np.searchsorted(np.flatnonzero(~frequent), np.cumsum(counts)[:-1]))
-            rare = [Counter([ws[i] for i in (at - begin).tolist()]) for ws, at, begin in zip(words, own, np.cumsum(counts) - counts, strict=True)]
-            flat = pa.StructArray.from_arrays(
-                [pa.array([w for r in rare for w in r], pa.binary()), pa.array([c for r in rare for c in r.values()], pa.int64())], ["token", "n"]
-            )
-            offsets = pa.array(np.cumsum([0, *map(len, rare)]), pa.int32())
+            coded = code(mixers.value, v, ids, first, given=given)
+            offsets, rare = rare_tokens(words, np.flatnonzero(~frequent), owner, counts)
             yield pa.RecordBatch.from_pydict(
                 {
-                    "key": pa.array([uuid4().bytes for _ in words], pa.binary()),
+                    "key": pa.array([uuid4().bytes for _ in range(n)], pa.binary()),
                     "doc_id": part.column("doc_id"),
                     "held_out": part.column("held_out"),
                     "n_tokens": pa.array(counts),
@@ -444,7 +536,7 @@ def sums(docs: DataFrame, vocabulary, mixers) -> DataFrame:
                     "known": pa.array(np.bincount(owner, frequent, n).astype(np.int64)),
                     "base": pa.array(np.bincount(owner, np.where(frequent, v.base[ids], 0), n)),
                     "coded": pa.array(np.bincount(owner, coded, n)),
-                    "rare": pa.ListArray.from_arrays(offsets, flat),
+                    "rare": pa.ListArray.from_arrays(offsets, rare),
                 }
             )
 
@@ -452,6 +544,21 @@ def sums(docs: DataFrame, vocabulary, mixers) -> DataFrame:
     return docs.select("doc_id", "held_out", "text").mapInArrow(run, schema)
 
 
+def rare_tokens(words: pa.Array, at: np.ndarray, owner: np.ndarray, counts: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Each document's rare tokens with how often it has them, as offsets and (token, n); ``at``: their places among the documents' tokens.
+
+    Those places count a document's end, which ``words`` does not hold.
+    """
+    whose = owner[at]
+    end = at == (np.cumsum(counts) - 1)[whose]
+    found = pc.fill_null(words.take(pa.array(at - whose, mask=end)), _END_TOKEN).dictionary_encode()
+    kinds = max(1, len(found.dictionary))
+    pair, n = np.unique(whose * kinds + np.asarray(found.indices), return_counts=True)
+    offsets = np.searchsorted(pair // kinds, np.arange(len(counts) + 1))
+    rare = pa.StructArray.from_arrays([found.dictionary.take(pa.array(pair % kinds)), pa.array(n.astype(np.int64))], ["token", "n"])
+    return pa.array(offsets, pa.int32()), rare
+
+
 def frequent_tokens(counts: DataFrame, most: int = FREQUENT) -> list[tuple[bytes, int]]:
     """The tokens seen often enough that there are ``most`` of them at most, and twice at least; by a histogram of counts."""
     step = F.floor(F.log2("c") * 8)

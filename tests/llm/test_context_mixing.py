@@ -3,6 +3,7 @@ from collections import Counter
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from contrail.llm import queries
@@ -176,3 +177,37 @@ def test_predictor_counts_against_a_plain_version(spark):
         pairs = np.frombuffer(r.counts, np.int64).reshape(-1, 2)
         found.update({(r.page * len(pairs) + int(s), int(b)): int(pairs[s, b]) for s, b in zip(*np.nonzero(pairs), strict=True)})
     assert found == expected
+
+
+def test_mixers_together_ask_once_for_a_run_of_classes(monkeypatch):
+    """Coded in one loop, classes and paths give what they give apart, in training too; predictors that look at classes alone hash nothing a bit."""
+    rng = np.random.default_rng(5)
+    v = Vocabulary([(b" ", 900), *((f"w{i}".encode(), 1 + 3000 // (i + 1)) for i in range(300))], 10**5, 10**3)
+    sizes = MODELS << SLOT_BITS, MODELS - 1 << PATH_BITS
+    counts = [(rng.integers(0, 5, n), rng.integers(0, 5, n)) for n in sizes]
+    ids = rng.integers(0, 301, 20_000)
+    first = np.arange(len(ids)) % 400 == 0
+    for learn in (True, False):
+        together, apart = ([Mixer(*counts[0]), PathMixer(v, *counts[1])] for _ in range(2))
+        found = context_mixing.code(together, v, ids, first, learn)
+        assert np.allclose(found, sum(m.code(v, ids, first, learn) for m in apart), rtol=1e-4)
+        for a, b in zip(together, apart, strict=True):
+            assert np.allclose(a.ended, b.ended, rtol=1e-3, atol=1e-3) and a.seen.sum() == b.seen.sum()
+    hashed, asked = context_mixing.hashed, []
+    monkeypatch.setattr(context_mixing, "hashed", lambda context, *x: asked.append(len(context)) or hashed(context, *x))
+    together[0].code(v, ids, first)
+    assert sum(asked) == 2 * 5 * len(ids)  # by the token before and the two before; all four contexts until round 3
+
+
+def test_words_and_rare_tokens_by_document():
+    """Blanks at a text's ends, invalid UTF-8 and texts without a word; a rare end is a token of its document."""
+    texts = [b" A b\x0bb ", None, b"\xff x\xff", b" ", b"b"]
+    words, counts = context_mixing.words_of(pa.array(texts, pa.binary()))
+    assert words.to_pylist() == [b"a", b"b", b"b", b"\xff", b"x\xff", b"b"] and counts.tolist() == [3, 0, 2, 0, 1]
+    v = Vocabulary([(b"b", 5)], 20, 9)
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], ["text"])
+    ((part, words, ids, first, counts),) = context_mixing.chunks(iter([batch]), v)
+    offsets, rare = context_mixing.rare_tokens(words, np.flatnonzero(ids == 0), np.repeat(np.arange(5), counts), counts)
+    found = {t: {r["token"]: r["n"] for r in rs} for t, rs in zip(part.column("text").to_pylist(), pa.ListArray.from_arrays(offsets, rare).to_pylist(), strict=True)}
+    assert found == {t: {w: n for w, n in Counter(tokens(t)).items() if w != b"b"} for t in texts}
+    assert first.sum() == 5 and counts.sum() == len(ids) == 11
