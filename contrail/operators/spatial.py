@@ -7,6 +7,7 @@ broadcast or crossed; the exact test follows.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,10 +30,11 @@ def near_cells(places: DataFrame, size: float, lat: str = "lat", lon: str = "lon
     return places.select("*", F.explode(around).alias("_c")).select(*places.columns, "_c.cy", "_c.cx")
 
 
-def nearby(points: DataFrame, places: DataFrame, delta: float, lat: str = "lat", lon: str = "lon") -> DataFrame:
-    """Pairs within ``delta`` degrees on both axes, with km. ``places``: p_ columns with p_lat and p_lon."""
-    left = points.withColumns({"cy": _cell(F.col(lat), delta), "cx": _cell(F.col(lon), delta)})
-    met = left.join(near_cells(places, delta, "p_lat", "p_lon"), ["cy", "cx"]).drop("cy", "cx")
+def nearby(points: DataFrame, places: DataFrame, delta: float, lat: str = "lat", lon: str = "lon", key: list[str] | None = None) -> DataFrame:
+    """Pairs within ``delta`` degrees on both axes, with km, and of equal ``key``. ``places``: p_ columns with p_lat and p_lon."""
+    size = delta * 1.001  # so that no rounding puts two that are just within it two cells apart
+    left = points.withColumns({"cy": _cell(F.col(lat), size), "cx": _cell(F.col(lon), size)})
+    met = left.join(near_cells(places, size, "p_lat", "p_lon"), [*(key or []), "cy", "cx"]).drop("cy", "cx")
     box = (F.abs(F.col(lat) - F.col("p_lat")) <= delta) & (F.abs(F.col(lon) - F.col("p_lon")) <= delta)
     return met.where(box).withColumn("km", haversine_km(F.col(lat), F.col(lon), F.col("p_lat"), F.col("p_lon")))
 
@@ -41,6 +43,19 @@ def prefixed(df: DataFrame) -> DataFrame:
     return df.select(*(F.col(c).alias(f"p_{c}") for c in df.columns))
 
 
+def alike(places: DataFrame, *name: str) -> tuple[DataFrame, DataFrame]:
+    """``places`` of which one stands for all that differ by ``name`` alone, and the names: (p_as and p_ columns, p_as and p_ names).
+
+    What is found of one place is found of all at its coordinates, so that rows grow with distinct places until the names are joined
+    at the end. Rows of one name belong together.
+    """
+    rest = [c for c in places.columns if c not in name]
+    shapes = places.groupBy(*name).agg(F.array_sort(F.collect_list(F.struct(*rest))).alias("shape"))
+    known = shapes.withColumn("as", F.min(F.struct(*name)).over(Window.partitionBy("shape")))
+    one = known.where(F.struct(*name).eqNullSafe(F.col("as"))).select("as", F.inline("shape"))
+    return prefixed(one), prefixed(known.select("as", *name))
+
+
 def nearest(points: DataFrame, places: DataFrame, key: list[str], deltas: tuple[float, float], lat: str = "lat", lon: str = "lon") -> DataFrame:
     """For each ``key``: the nearest place in the small box, or in the large box if the small one holds none at all. Ties: least ident."""
     pairs = nearby(points, prefixed(places), deltas[1], lat, lon)
@@ -70,24 +85,46 @@ def probable_destination(landings: DataFrame, anchors: DataFrame, airports: Data
     return joined.select("icao", "session", F.col("ident").alias("probable"), F.round("km", 2).alias("km"), F.round(0.4 * low + 0.4 * close + 0.2 * F.col("descent"), 2).alias("confidence"))
 
 
-def split_on_gaps(kept: DataFrame, key: list[str], gap_s: float, min_s: float, *measures: Column) -> DataFrame:
-    """Segments of kept points no more than ``gap_s`` apart that span ``min_s`` at least."""
-    w = Window.partitionBy(*key).orderBy("ts", "seq")
-    since = F.col("ts") - F.lag("ts").over(w)
-    cut = kept.withColumn("_seg", F.sum(F.when(since.isNull() | (since > gap_s), 1).otherwise(0)).over(w))
-    rows = cut.groupBy(*key, "_seg").agg(F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), F.count("*").alias("n"), *measures)
+def split_on_gaps(kept: DataFrame, key: list[str], gap_s: float, min_s: float, **measures: tuple[Callable[[str], Column], str]) -> DataFrame:
+    """Segments of kept points no more than ``gap_s`` apart that span ``min_s`` at least, with least or greatest values of columns.
+
+    Points within half of ``gap_s`` are never parted: they are summed unsorted, before they are dealt by ``key``, and the sums are cut.
+    """
+    half = F.floor(F.col("ts") / (gap_s / 2)).alias("_half")
+    sums = (F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), F.count("*").alias("n"))
+    parts = kept.where(F.col("ts").isNotNull()).groupBy(*key, half).agg(*sums, *(f(c).alias(x) for x, (f, c) in measures.items()))
+    w = Window.partitionBy(*key).orderBy("_half")
+    since = F.col("start_ts") - F.lag("end_ts").over(w)
+    cut = parts.withColumn("_seg", F.sum(F.when(since.isNull() | (since > gap_s), 1).otherwise(0)).over(w))
+    sums = (F.min("start_ts").alias("start_ts"), F.max("end_ts").alias("end_ts"), F.sum("n").alias("n"))
+    rows = cut.groupBy(*key, "_seg").agg(*sums, *(f(x).alias(x) for x, (f, _) in measures.items()))
     return rows.where(F.col("end_ts") - F.col("start_ts") >= min_s).drop("_seg")
 
 
-def runway_alignment(points: DataFrame, ends: DataFrame, gap_s: float = 20, min_s: float = 30, offset_m: float = 100, above_ft: float = 5000, delta: float = 0.5) -> DataFrame:
-    """Segments in line with a runway end: low enough, heading towards it, within ``offset_m`` of its centre line."""
-    pairs = nearby(points, prefixed(ends), delta)
+def runway_alignment(points: DataFrame, ends: DataFrame, gap_s: float = 20, min_s: float = 30, offset_m: float = 100, above_ft: float = 5000, delta: float = 0.5, asked: DataFrame | None = None) -> DataFrame:
+    """Segments in line with a runway end: low enough, heading towards it, within ``offset_m`` of its centre line.
+
+    The distance and the centre line are those of coordinates: distinct ones are compared, and points then meet the ends that
+    lie right. asked (icao, p_ident): the airports at which an aircraft's segments are wanted, if not all.
+    """
+    tracked = points.where(F.col("track_deg").isNotNull())
     bearing = bearing_deg(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon"))
-    ahead = F.cos(F.radians(bearing - F.col("track_deg"))) > 0
-    offset = F.col("km") * 1000 * F.radians(smallest_angle_deg(bearing, F.col("p_heading")))
+    offset = F.col("km") * 1000 * F.radians(smallest_angle_deg(F.col("bearing"), F.col("p_heading")))
+    in_line = lambda pairs: pairs.withColumn("bearing", bearing).withColumn("offset_m", offset).where(F.col("offset_m") < offset_m)
+    ends = ends.select("ident", "runway", "lat", "lon", "elevation_ft", "heading")
+    if asked is None:
+        one, names = alike(ends, "ident", "runway")
+        sites = in_line(nearby(tracked.select("lat", "lon").distinct(), one, delta))
+        pairs, key = tracked.join(sites, ["lat", "lon"]), ["icao", "p_as"]
+    else:
+        places = asked.select("icao", "p_ident").distinct().join(prefixed(ends), "p_ident")
+        pairs, key = in_line(nearby(tracked, places, delta, key=["icao"])), ["icao", "p_ident", "p_runway"]
+    ahead = F.cos(F.radians(F.col("bearing") - F.col("track_deg"))) > 0
     alt = F.coalesce(F.col("baro_ft"), F.lit(0))
-    kept = pairs.withColumn("offset_m", offset).where(F.col("track_deg").isNotNull() & (alt <= F.col("p_elevation_ft") + above_ft) & ahead & (F.col("offset_m") < offset_m))
-    return split_on_gaps(kept, ["icao", "p_ident", "p_runway"], gap_s, min_s, F.round(F.min("offset_m"), 1).alias("offset_m"), F.round(F.min("km"), 1).alias("km"))
+    kept = pairs.where((alt <= F.col("p_elevation_ft") + above_ft) & ahead)
+    segments = split_on_gaps(kept, key, gap_s, min_s, offset_m=(F.min, "offset_m"), km=(F.min, "km"))
+    named = segments.join(names, "p_as") if asked is None else segments
+    return named.select("icao", "p_ident", "p_runway", "start_ts", "end_ts", "n", F.round("offset_m", 1).alias("offset_m"), F.round("km", 1).alias("km"))
 
 
 def navaid_alignment(points: DataFrame, navaids: DataFrame, tolerance_deg: float = 1, gap_s: float = 120, min_s: float = 30, max_nm: float = 500, pass_nm: float = 80) -> DataFrame:
@@ -116,7 +153,7 @@ def navaid_alignment(points: DataFrame, navaids: DataFrame, tolerance_deg: float
     nm = haversine_km(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon")) / NM_KM
     bearing = bearing_deg(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon"))
     kept = pairs.where(smallest_angle_deg(bearing, F.col("track_deg")) < tolerance_deg).withColumn("nm", nm).where(F.col("nm") <= max_nm)
-    return split_on_gaps(kept, ["icao", "p_ident"], gap_s, min_s, F.round(F.min("nm"), 2).alias("nm")).where(F.col("nm") < pass_nm)
+    return split_on_gaps(kept, ["icao", "p_ident"], gap_s, min_s, nm=(F.min, "nm")).withColumn("nm", F.round("nm", 2)).where(F.col("nm") < pass_nm)
 
 
 def _within_nm(points: DataFrame, places: DataFrame, nm: float) -> DataFrame:
@@ -145,7 +182,7 @@ def takeoff_runway(points: DataFrame, ends: DataFrame, gap_s: float = 20, min_gs
     climbing = (F.coalesce(F.col("rate_fpm"), F.lit(0)) > 256) | (F.col("gs_kt") > min_gs)
     inside = along.between(0, zone_m) & (across <= near_half_m + along * math.tan(math.radians(opening_deg)))
     kept = pairs.where((F.coalesce(F.col("baro_ft"), F.lit(0)) <= F.col("p_elevation_ft") + above_ft) & climbing & F.col("track_deg").isNotNull() & inside)
-    runs = split_on_gaps(kept, ["icao", "p_ident", "p_runway"], gap_s, 0, F.max("gs_kt").alias("gs")).where(F.col("gs") >= min_gs)
+    runs = split_on_gaps(kept, ["icao", "p_ident", "p_runway"], gap_s, 0, gs=(F.max, "gs_kt")).where(F.col("gs") >= min_gs)
     longest = F.struct((F.col("start_ts") - F.col("end_ts")).alias("d"), F.col("p_runway").alias("runway"))
     return runs.groupBy("icao", "p_ident").agg(F.min(longest).alias("b")).select("icao", "p_ident", F.col("b.runway").alias("runway"), (-F.col("b.d")).alias("run_s"))
 

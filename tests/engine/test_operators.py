@@ -197,6 +197,50 @@ def test_takeoff_runway(spark):
     assert [(r.runway, r.run_s) for r in spatial.takeoff_runway(track(spark, rows), ends).collect()] == [("36", 115)]
 
 
+def pairs_of(monkeypatch, name: str) -> list[int]:
+    """How many pairs each call of ``spatial.name`` makes, from now on."""
+    made, inner = [], getattr(spatial, name)
+
+    def counted(*args, **more):
+        found = inner(*args, **more)
+        made.append(found.count())
+        return found
+
+    monkeypatch.setattr(spatial, name, counted)
+    return made
+
+
+APPROACH = [{"icao": k, "ts": i * 5, "lat": 10 - (30 - i) * 0.002, "lon": 20.0, "track_deg": 0.0, "baro_ft": 2000 - i * 60} for i in range(30) for k in "abc"]
+ENDS = "ident string, lat double, lon double, elevation_ft int, runway string, heading double"
+
+
+def test_alignment_compares_distinct_places_and_runways(spark, monkeypatch):
+    made = pairs_of(monkeypatch, "nearby")
+    ends = spark.createDataFrame([(f"K{k:02}", 10.0, 20.0, 0, r, h) for k in range(20) for r, h in (("36", 0.0), ("18", 180.0))], ENDS)
+    found = spatial.runway_alignment(track(spark, APPROACH), ends).collect()
+    assert sorted((r.icao, r.p_ident, r.p_runway, r.start_ts, r.end_ts, r.n) for r in found) == [(a, f"K{k:02}", "36", 0, 145, 30) for a in "abc" for k in range(20)]
+    assert made == [60]  # 30 places, two ends
+
+
+@pytest.mark.parametrize("gap_s", [7, 20.0])
+def test_segments_are_those_of_sorted_points(spark, gap_s):
+    rng, t, rows = random.Random(4), -100.0, []
+    for i in range(400):
+        t += rng.choice([0, 1, gap_s / 2, gap_s, gap_s + 0.25, 3 * gap_s])
+        rows.append((rng.choice("ab"), t, i, rng.random()))
+    kept = spark.createDataFrame([*rows, ("a", None, 999, 0.5)], "icao string, ts double, seq long, x double")
+    expected = []
+    for k in "ab":
+        runs = []
+        for _, t, _, x in (r for r in rows if r[0] == k):
+            if not runs or t - runs[-1][-1][0] > gap_s:
+                runs.append([])
+            runs[-1].append((t, x))
+        expected += [(k, r[0][0], r[-1][0], len(r), min(x for _, x in r)) for r in runs if r[-1][0] - r[0][0] >= 3]
+    found = spatial.split_on_gaps(kept, ["icao"], gap_s, 3, x=(F.min, "x")).collect()
+    assert sorted((r.icao, r.start_ts, r.end_ts, r.n, r.x) for r in found) == sorted(expected)
+
+
 def test_ranges_prefer_the_narrowest(spark):
     a = spark.createDataFrame([("00000a",), ("000014",), ("0000ff",)], "icao string")
     r = spark.createDataFrame([("wide", 0, 100), ("narrow", 8, 12)], "country string, low long, high long")
