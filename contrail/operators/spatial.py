@@ -132,13 +132,14 @@ def navaid_alignment(points: DataFrame, navaids: DataFrame, tolerance_deg: float
 
     A segment lies within a stretch of points at most ``gap_s`` apart, and so a point meets only the beacons that its own stretch
     passes within ``pass_nm``, which are found on a grid first: rows are points times beacons along their stretch, whatever
-    else the aircraft flew.
+    else the aircraft flew. Beacons at one place are one until the end, and a square's are looked up once for all that crossed it.
     """
     asked = cut(points.where("track_deg is not null").select("icao", "ts", "seq", "lat", "lon", "track_deg"), gap_s, "stretch")
-    beacons = prefixed(navaids.select("ident", "lat", "lon"))
+    beacons, names = alike(navaids.select("ident", "lat", "lon").distinct(), "ident")
     # middles of half-degree squares stand for all points in them, at most 22 nm away
     squares = asked.select("icao", "stretch", *((F.floor(F.col(x) * 2) / 2 + 0.25).alias(x) for x in ("lat", "lon"))).distinct()
-    passed = _within_nm(squares, beacons, pass_nm + 22).select("icao", "stretch", "p_ident", "p_lat", "p_lon").distinct()
+    around = _within_nm(squares.select("lat", "lon").distinct(), beacons, pass_nm + 22).select("lat", "lon", "p_as", "p_lat", "p_lon")
+    passed = squares.join(around, ["lat", "lon"]).select("icao", "stretch", "p_as", "p_lat", "p_lon").distinct()
     # sines and cosines once a point and once a beacon; a pair then takes a few products to see that it is not headed for
     turn = lambda c: (F.sin(F.radians(c)), F.cos(F.radians(c)))
     (sa, ca), (so, co), (st, ct) = (turn(F.col(c)) for c in ("lat", "lon", "track_deg"))
@@ -149,11 +150,12 @@ def navaid_alignment(points: DataFrame, navaids: DataFrame, tolerance_deg: float
     east = (c("sp") * c("co") - c("cp") * c("so")) * c("cb")
     north = c("ca") * c("sb") - c("sa") * c("cb") * (c("cp") * c("co") + c("sp") * c("so"))
     ahead = east * c("st") + north * c("ct") >= math.cos(math.radians(min(180.0, tolerance_deg + 0.01))) * F.sqrt(east * east + north * north) - 1e-12
-    pairs = left.join(right.repartition("icao", "stretch"), (left["icao"] == right["icao"]) & (left["stretch"] == right["stretch"]) & ahead).select(left["icao"], "ts", "seq", "lat", "lon", "track_deg", "p_ident", "p_lat", "p_lon")
+    pairs = left.join(right.repartition("icao", "stretch"), (left["icao"] == right["icao"]) & (left["stretch"] == right["stretch"]) & ahead).select(left["icao"], "ts", "seq", "lat", "lon", "track_deg", "p_as", "p_lat", "p_lon")
     nm = haversine_km(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon")) / NM_KM
     bearing = bearing_deg(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon"))
     kept = pairs.where(smallest_angle_deg(bearing, F.col("track_deg")) < tolerance_deg).withColumn("nm", nm).where(F.col("nm") <= max_nm)
-    return split_on_gaps(kept, ["icao", "p_ident"], gap_s, min_s, nm=(F.min, "nm")).withColumn("nm", F.round("nm", 2)).where(F.col("nm") < pass_nm)
+    segments = split_on_gaps(kept, ["icao", "p_as"], gap_s, min_s, nm=(F.min, "nm")).withColumn("nm", F.round("nm", 2)).where(F.col("nm") < pass_nm)
+    return segments.join(names, "p_as").select("icao", "p_ident", "start_ts", "end_ts", "n", "nm")
 
 
 def _within_nm(points: DataFrame, places: DataFrame, nm: float) -> DataFrame:

@@ -241,6 +241,14 @@ def test_segments_are_those_of_sorted_points(spark, gap_s):
     assert sorted((r.icao, r.start_ts, r.end_ts, r.n, r.x) for r in found) == sorted(expected)
 
 
+def test_beacons_of_one_place_are_followed_once(spark, monkeypatch):
+    made = pairs_of(monkeypatch, "_within_nm")
+    beacons = spark.createDataFrame([(f"V{k:02}", 10.5, 20.0) for k in range(20)] + [("V03", 10.5, 20.0), ("W", 11.0, 20.0), ("W", 60.0, 20.0)], "ident string, lat double, lon double")
+    found = spatial.navaid_alignment(track(spark, APPROACH), beacons).collect()
+    assert sorted((r.icao, r.p_ident, r.start_ts, r.end_ts, r.n) for r in found) == [(a, v, 0, 145, 30) for a in "abc" for v in [*(f"V{k:02}" for k in range(20)), "W"]]
+    assert made == [2]  # one square, two places
+
+
 def test_ranges_prefer_the_narrowest(spark):
     a = spark.createDataFrame([("00000a",), ("000014",), ("0000ff",)], "icao string")
     r = spark.createDataFrame([("wide", 0, 100), ("narrow", 8, 12)], "country string, low long, high long")
