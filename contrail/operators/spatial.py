@@ -57,11 +57,19 @@ def alike(places: DataFrame, *name: str) -> tuple[DataFrame, DataFrame]:
 
 
 def nearest(points: DataFrame, places: DataFrame, key: list[str], deltas: tuple[float, float], lat: str = "lat", lon: str = "lon") -> DataFrame:
-    """For each ``key``: the nearest place in the small box, or in the large box if the small one holds none at all. Ties: least ident."""
-    pairs = nearby(points, prefixed(places), deltas[1], lat, lon)
-    inner = (F.abs(F.col(lat) - F.col("p_lat")) <= deltas[0]) & (F.abs(F.col(lon) - F.col("p_lon")) <= deltas[0])
-    best = pairs.groupBy(*key).agg(F.min(F.struct((~inner).alias("far"), "km", F.col("p_ident").alias("ident"))).alias("b"))
-    return best.select(*key, F.col("b.ident").alias("ident"), F.col("b.km").alias("km"))
+    """For each ``key``: the nearest place in the small box, or in the large box if the small one holds none at all. Ties: least ident.
+
+    Distinct coordinates are compared, and the large box is looked through only around those whose small one is empty.
+    """
+    rows = written(points.select(*key, F.col(lat).alias("lat"), F.col(lon).alias("lon")).where("lat is not null and lon is not null"), "asked")
+    one = prefixed(places.groupBy("lat", "lon").agg(F.min("ident").alias("ident")))
+    sites, found = rows.select("lat", "lon").distinct(), []
+    for delta in sorted(set(deltas)):
+        best = nearby(sites, one, delta).groupBy("lat", "lon").agg(F.min(F.struct(F.lit(delta).alias("far"), "km", F.col("p_ident").alias("ident"))).alias("b"))
+        found.append(written(best, "nearest"))
+        sites = sites.join(found[-1].select("lat", "lon"), ["lat", "lon"], "left_anti")
+    at = found[0].unionByName(found[1]) if len(found) > 1 else found[0]
+    return rows.join(at, ["lat", "lon"]).groupBy(*key).agg(F.min("b").alias("b")).select(*key, F.col("b.ident").alias("ident"), F.col("b.km").alias("km"))
 
 
 def airport_match(legs: DataFrame, airports: DataFrame, end: str, c: Config = DEFAULT) -> DataFrame:

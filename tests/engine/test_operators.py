@@ -249,6 +249,15 @@ def test_beacons_of_one_place_are_followed_once(spark, monkeypatch):
     assert made == [2]  # one square, two places
 
 
+def test_nearest_compares_distinct_places(spark, monkeypatch):
+    made = pairs_of(monkeypatch, "nearby")
+    at = spark.createDataFrame([(k, 10.0, 20.0 + k % 2 * 5) for k in range(60)] + [(60, None, 20.0)], "k int, lat double, lon double")
+    places = spark.createDataFrame([(f"K{k:02}", 10.1, 20.1) for k in range(9, -1, -1)] + [("far", 10.0, 25.4), ("A", 10.3, 20.3)], "ident string, lat double, lon double")
+    found = {r.k: r.ident for r in spatial.nearest(at, places, ["k"], (0.15, 0.5)).collect()}
+    assert found == {k: "far" if k % 2 else "K00" for k in range(60)}
+    assert made == [1, 1]  # the large box is looked through only where the small one is empty
+
+
 def test_ranges_prefer_the_narrowest(spark):
     a = spark.createDataFrame([("00000a",), ("000014",), ("0000ff",)], "icao string")
     r = spark.createDataFrame([("wide", 0, 100), ("narrow", 8, 12)], "country string, low long, high long")
