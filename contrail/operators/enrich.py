@@ -11,10 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
+from ..sources.store import written
 from . import derived, flights, reports, scoring, spatial, tracks
 
 KEY = ["icao", "session"]
 LOST = ("signal_lost", "dropped")
+LIKELY = lambda: F.coalesce("destination", "near_destination", "probable")  # noqa: E731  the airport that a leg most likely went to
 
 
 def is_noise(c: Config = DEFAULT) -> Column:
@@ -38,13 +40,12 @@ def aligned(legs: DataFrame, segments: DataFrame, airports: DataFrame, above_ft:
 
     It adds to the confidence, and makes a lost signal low over the airport a dropped approach. pattern_cycles counts the segments.
     """
-    likely = F.coalesce("destination", "near_destination", "probable")
-    asked = legs.select(*KEY, "takeoff_ts", "landing_ts", likely.alias("p_ident")).where("p_ident is not null")
+    asked = legs.select(*KEY, "takeoff_ts", "landing_ts", LIKELY().alias("p_ident")).where("p_ident is not null")
     seconds = F.col("end_ts") - F.col("start_ts")
     met = asked.join(segments, ["icao", "p_ident"]).where((F.col("start_ts") >= F.col("takeoff_ts")) & (F.col("end_ts") <= F.col("landing_ts")))
     best = met.groupBy(*KEY).agg(F.count("*").alias("n"), F.max(F.struct(seconds.alias("s"), (-F.col("start_ts")).alias("first"), F.col("p_runway").alias("runway"))).alias("b"))
     field = airports.select(F.col("ident").alias("_likely"), "elevation_ft")
-    rows = legs.withColumn("_likely", likely).join(best, KEY, "left").join(field, "_likely", "left")
+    rows = legs.withColumn("_likely", LIKELY()).join(best, KEY, "left").join(field, "_likely", "left")
     s = F.col("b.s")
     bonus = F.when(s >= c.aligned_long_s, c.aligned_long_bonus).when(s >= c.aligned_short_s, c.aligned_short_bonus).otherwise(0.0)
     low = F.col("last_alt") < F.coalesce("elevation_ft", F.lit(0)) + above_ft
@@ -64,7 +65,11 @@ def enriched(points: DataFrame, airports: DataFrame, ends: DataFrame, types: Dat
     """All legs that are no noise, with everything derived. types: icao, type_code; operators: icao, operator.
 
     places (icao, session, takeoff_lat, takeoff_lon, landing_lat, landing_lon): where legs began and ended, if not at their first and last points.
+
+    Sessions are found once and written, as are the legs before their alignment, which is looked for at their likely airports alone.
     """
+    if "session" not in points.columns:
+        points = written(tracks.sessions(points, c), "sessions")
     legs = tracks.legs(points, c)
     if places is not None:
         ends_at = [f"{end}_{x}" for end in ("takeoff", "landing") for x in ("lat", "lon")]
@@ -79,8 +84,10 @@ def enriched(points: DataFrame, airports: DataFrame, ends: DataFrame, types: Dat
     loiter = F.when(F.col("max_km") > 0, F.col("path_km") / (2 * F.col("max_km")))
     rows = reports.type_caps(rows.withColumns({"callsign": said, "loiter": loiter}).withColumn("mission", scoring.mission()))
     likely = spatial.probable_destination(landed, derived.landing_anchor(points), airports, c).select(*KEY, "probable", F.col("km").alias("probable_km"))
-    segments = spatial.runway_alignment(points, ends, **alignment)
-    rows = aligned(rows.join(likely, KEY, "left"), segments, airports, alignment.get("above_ft", 5000), c)
+    rows = written(rows.join(likely, KEY, "left"), "legs")
+    asked = rows.select("icao", LIKELY().alias("p_ident")).where("p_ident is not null")
+    segments = spatial.runway_alignment(points, ends, asked=asked, **alignment)
+    rows = aligned(rows, segments, airports, alignment.get("above_ft", 5000), c)
     return rows.withColumn("mission", pattern_override())
 
 

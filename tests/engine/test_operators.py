@@ -222,6 +222,16 @@ def test_alignment_compares_distinct_places_and_runways(spark, monkeypatch):
     assert made == [60]  # 30 places, two ends
 
 
+def test_alignment_at_asked_airports_alone(spark, monkeypatch):
+    ends = spark.createDataFrame([(f"K{k:02}", 10.0, 20.0, 0, r, h) for k in range(20) for r, h in (("36", 0.0), ("18", 180.0))], ENDS)
+    asked = spark.createDataFrame([("a", "K03"), ("a", "K03"), ("b", "K07"), ("c", "none")], "icao string, p_ident string")
+    every = spatial.runway_alignment(track(spark, APPROACH), ends).join(asked.distinct(), ["icao", "p_ident"])
+    made = pairs_of(monkeypatch, "nearby")
+    found = spatial.runway_alignment(track(spark, APPROACH), ends, asked=asked)
+    assert found.columns == every.columns and sorted(map(tuple, found.collect())) == sorted(map(tuple, every.collect()))
+    assert found.count() == 2 and made == [120]  # 30 points of two aircraft, two ends
+
+
 @pytest.mark.parametrize("gap_s", [7, 20.0])
 def test_segments_are_those_of_sorted_points(spark, gap_s):
     rng, t, rows = random.Random(4), -100.0, []
