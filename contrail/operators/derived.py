@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
-from ..functions.geo import bearing_deg, circular_mean_deg, haversine_km, haversine_m
+from ..functions.geo import bearing_deg, direction_deg, exact_turn, haversine_km, haversine_m
 from .points import classified
 from .tracks import over, sessions
 
@@ -94,15 +94,15 @@ def phase_budget(points: DataFrame, c: Config = DEFAULT) -> DataFrame:
 def headings(points: DataFrame) -> DataFrame:
     """Takeoff and landing directions: circular means over windows that widen until one has enough points, else by position."""
     whole, w = Window.partitionBy(*KEY), over(*KEY)
-    rows = sessions(points).withColumns({"since": F.col("ts") - F.min("ts").over(whole), "left": F.max("ts").over(whole) - F.col("ts"), "blat": F.lag("lat").over(w), "blon": F.lag("lon").over(w)})
+    rows = sessions(points).withColumns({"since": F.col("ts") - F.min("ts").over(whole), "left": F.max("ts").over(whole) - F.col("ts"), "blat": F.lag("lat").over(w), "blon": F.lag("lon").over(w)}).withColumn("turn", exact_turn(F.col("track_deg")))
     far = haversine_m(F.col("blat"), F.col("blon"), F.col("lat"), F.col("lon")) > 50
     at = F.struct("ts", "seq")
     gs = F.coalesce("gs_kt", F.lit(0.0))
     windows = [(60, 40, 3), (120, 10, 3), (240, 10, 3), (600, 10, 3), (600, 0, 1)]
 
     def mean(held: Column, n: int) -> Column:
-        track = F.when(held, F.col("track_deg"))
-        return F.when(F.count(track) >= n, circular_mean_deg(track))
+        y, x = (F.sum(F.when(held, F.col(f"turn.{c}"))) for c in ("sin", "cos"))
+        return F.when(F.count(F.when(held, F.col("track_deg"))) >= n, direction_deg(y, x))
 
     takeoff = mean((F.col("since") <= 60) & (F.col("gs_kt").isNull() | (F.col("gs_kt") > 40)), 1)
     landing = [mean((F.col("left") <= s) & (gs >= kt), n) for s, kt, n in windows]

@@ -4,10 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from contrail.config import DEFAULT
-from contrail.functions.geo import bearing_deg, destination, haversine_km, lerp, smallest_angle_deg
+from contrail.functions.geo import bearing_deg, destination, exact_turn, haversine_km, lerp, smallest_angle_deg
 from contrail.functions.identity import hex_to_tail, octal_to_hex, tail_to_hex
 from contrail.functions.solar import is_night, solar_altitude_deg
 from contrail.functions.text import duration_label, oooi, percent_floor, pick
+from contrail.operators import derived
 
 
 def one(spark, *columns):
@@ -36,6 +37,19 @@ def test_every_hundredth_address_round_trips(spark):
     assert rows.where(~tail_to_hex(hex_to_tail(F.col("h"))).eqNullSafe(F.col("h"))).count() == 0
 
 
+def test_turns_are_those_of_the_c_library(spark):
+    rows = spark.range(361).select(F.when(F.col("id") < 360, F.col("id").cast("double")).alias("d")).select("d", exact_turn(F.col("d")).alias("t")).collect()
+    assert all((r.t.sin, r.t.cos) == ((math.sin(math.radians(r.d)), math.cos(math.radians(r.d))) if r.d is not None else (None, None)) for r in rows)
+
+
+def test_headings_that_cancel_are_those_of_sql(spark):
+    rows = [("a", i, 100 + i, float(t), 300.0, 10.0, 20.0) for i, t in enumerate((117, 297))]
+    points = spark.createDataFrame(rows, "icao string, seq long, ts long, track_deg double, gs_kt double, lat double, lon double")
+    found = derived.headings(points).first()
+    y, x = (sum(f(math.radians(t)) for t in (117, 297)) for f in (math.sin, math.cos))
+    assert found.takeoff_deg == found.landing_deg == round(math.degrees(math.atan2(y, x)) % 360, 1)
+
+
 def test_octal(spark):
     assert one(spark, octal_to_hex(F.lit("50000001")), octal_to_hex(F.lit("8"))) == ("a00001", None)
 
