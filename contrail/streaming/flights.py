@@ -6,7 +6,8 @@ however it is cut into batches. A point behind the mark can change what is alrea
 kind ``late``, for the incremental extract (``operators.extract``). Points over ``keep_s`` behind the mark are dropped by
 Spark's watermark, which counts them.
 
-One event-time timer an aircraft is set to the next moment at which something is due without a point: waiting
+State is kept by buckets of aircraft (``BUCKETS``), as each read and write of a state costs a round trip to it: a bucket's aircraft are
+read and written at once. One event-time timer a bucket is set to the next moment at which something is due without a point: waiting
 points, a session's end (which closes the flight) or the end of a stitching window (which lets a lone fragment go). What is
 remembered of an aircraft is one fragment in the air, one held for stitching, and the waiting points.
 """
@@ -14,6 +15,7 @@ remembered of an aircraft is one fragment in the air, one held for stitching, an
 from __future__ import annotations
 
 import json
+from collections import defaultdict
 from collections.abc import Iterator
 from math import asin, cos, radians, sin, sqrt
 
@@ -29,11 +31,13 @@ from ..operators.points import classified
 from ..operators.scoring import endurance
 
 POINT = ["ts", "seq", "lat", "lon", "state", "gs_kt", "callsign", "baro_ft", "height", "stitch_s"]
+KEPT = ["icao", *POINT]
 FIRST = ["takeoff_ts", "takeoff_lat", "takeoff_lon", "mid_air", "first_ts", "first_alt_ft"]
 LAST = ["last_ts", "landing_ts", "landing_lat", "landing_lon", "last_lat", "last_lon", "landing_points", "seen_alt_ft", "last_alt_ft"]
 GREATEST = ["peak_ft", "max_alt_ft", "max_gs_kt"]
 FEET = ["baro_ft", "height"]
 WHOLE = ["takeoff_ts", "first_ts", "last_ts", "landing_ts"]
+BUCKETS = 1024  # a running query keeps the number it began with
 
 
 def kilometres(a: float, b: float, c: float, d: float) -> float:
@@ -146,7 +150,7 @@ class Aircraft:
 
 
 class LiveFlights(StatefulProcessor):
-    """Keeps an ``Aircraft`` and its waiting points by aircraft; rows of flights and of late points come out."""
+    """Keeps each ``Aircraft`` of a bucket and their waiting points; rows of flights and of late points come out."""
 
     def __init__(self, c: Config, late_s: float, keep_s: float, schema: T.StructType, waiting: T.StructType):
         self.c, self.late_s, self.keep_s, self.schema, self.kind = c, late_s, keep_s, schema, waiting
@@ -159,9 +163,10 @@ class LiveFlights(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         mark, late, new = self.mark(timerValues), [], []
         for frame in rows:
-            for values in zip(*(frame[c].tolist() for c in POINT), strict=True):
-                # pandas holds whole numbers beside nulls as floats
-                p = {c: None if pd.isna(v) else int(v) if c in FEET else v for c, v in zip(POINT, values, strict=True)}
+            # pandas holds whole numbers beside nulls as floats
+            columns = ([None if pd.isna(v) else int(v) if c in FEET else v for v in frame[c].tolist()] for c in KEPT)
+            for values in zip(*columns, strict=True):
+                p = dict(zip(KEPT, values, strict=True))
                 (late if mark is not None and p["ts"] <= mark else new).append(p)
         yield from self.settled(key, mark, new, late)
 
@@ -175,31 +180,34 @@ class LiveFlights(StatefulProcessor):
 
     def settled(self, key, mark: float | None, new: list[dict], late: list[dict]) -> Iterator[pd.DataFrame]:
         kept = self.known.get() if self.known.exists() else None
-        a, done = Aircraft(self.c, kept[0] if kept else None), []
-        points = [dict(zip(POINT, p, strict=True)) for p in self.waiting.get()] if self.waiting.exists() else []
-        ready = [p for p in points + new if mark is not None and p["ts"] <= mark]
-        for p in sorted(ready, key=lambda p: (p["ts"], p["seq"])):
-            done += a.point(p)
-        if mark is not None:
-            done += a.at(mark)
-        left = [p for p in points + new if mark is None or p["ts"] > mark]
+        known, done = json.loads(kept[0]) if kept else {}, []  # by icao: what is known of it, and when that is due
+        points = [dict(zip(KEPT, p, strict=True)) for p in self.waiting.get()] if self.waiting.exists() else []
+        ready, left = defaultdict(list), []
+        for p in points + new:
+            (ready[p["icao"]] if mark is not None and p["ts"] <= mark else left).append(p)
+        over = [x for x, (_, due) in known.items() if mark is not None and due is not None and due < mark]
+        for icao in dict.fromkeys([*ready, *over]):
+            a, settled = Aircraft(self.c, known[icao][0] if icao in known else None), []
+            for p in sorted(ready.get(icao, []), key=lambda p: (p["ts"], p["seq"])):
+                settled += a.point(p)
+            settled += a.at(mark)
+            done += [{"icao": icao, "kind": "flight", "fragments": 1, **f} for f in settled]
+            known[icao] = a.dumped(), a.due()
         if ready or not points:
             self.waiting.clear()
             if left:
-                self.waiting.put([tuple(p[c] for c in POINT) for p in left])
+                self.waiting.put([tuple(p[c] for c in KEPT) for p in left])
         elif new:
-            self.waiting.appendList([tuple(p[c] for c in POINT) for p in new])
-        self.known.update((a.dumped(),))
+            self.waiting.appendList([tuple(p[c] for c in KEPT) for p in new])
+        self.known.update((json.dumps(known),))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        times = [p["ts"] for p in left] + ([a.due()] if a.due() is not None else [])
+        times = [p["ts"] for p in left] + [due for _, due in known.values() if due is not None]
         if times:
             self.handle.registerTimer(int((min(times) - self.keep_s) * 1000) + 1)
-        rows = [{"kind": "flight", "fragments": 1, **f} for f in done] + [{"kind": "late", "first_ts": p["ts"], "seq": p["seq"]} for p in late]
+        rows = done + [{"icao": p["icao"], "kind": "late", "first_ts": p["ts"], "seq": p["seq"]} for p in late]
         if rows:
-            frame = pd.DataFrame({f.name: pd.Series([r.get(f.name) for r in rows], dtype=object) for f in self.schema})
-            frame["icao"] = key[0]
-            yield frame
+            yield pd.DataFrame({f.name: pd.Series([r.get(f.name) for r in rows], dtype=object) for f in self.schema})
 
     def close(self) -> None:
         pass
@@ -210,16 +218,16 @@ def live_flights(points: DataFrame, c: Config = DEFAULT, types: DataFrame | None
     and late points (kind ``late``, with first_ts and seq). types: icao, type_code, as for the batch. Needs the RocksDB state store."""
     typed = points.join(types.select("icao", "type_code"), "icao", "left") if types is not None else points.withColumn("type_code", F.lit(None).cast("string"))
     window_s = F.greatest(F.lit(float(c.stitch_gap_min)), c.stitch_endurance_ratio * endurance(c=c)) * 60
-    lean = classified(typed, c).withColumns({"height": F.coalesce("baro_ft", "geom_ft"), "stitch_s": window_s}).select("icao", "event_time", *POINT)
+    lean = classified(typed, c).withColumns({"height": F.coalesce("baro_ft", "geom_ft"), "stitch_s": window_s}).select(F.pmod(F.xxhash64("icao"), F.lit(BUCKETS)).alias("bucket"), "event_time", *KEPT)
     ts = points.schema["ts"].dataType
     kinds = {x: ts for x in WHOLE} | {"mid_air": T.BooleanType(), "callsign": T.StringType(), "max_gs_kt": T.DoubleType()}
     kinds |= {x: T.LongType() for x in ("n_points", "landing_points", "fragments", "seq")} | {x: points.schema["baro_ft"].dataType for x in ("first_alt_ft", "seen_alt_ft", "last_alt_ft", "peak_ft", "max_alt_ft")}
     names = ["fragments", *FIRST, "callsign", *LAST, "n_points", *GREATEST, "seq"]
     schema = T.StructType([T.StructField("kind", T.StringType()), T.StructField("icao", T.StringType()), *(T.StructField(x, kinds.get(x, T.DoubleType())) for x in names)])
-    waiting = T.StructType([lean.schema[x] for x in POINT])
+    waiting = T.StructType([lean.schema[x] for x in KEPT])
     processor = LiveFlights(c, late_s, keep_s, schema, waiting)
     delay = f"{int((late_s + keep_s) * 1000)} milliseconds"
-    return lean.withWatermark("event_time", delay).groupBy("icao").transformWithStateInPandas(processor, schema, "Append", "EventTime")
+    return lean.withWatermark("event_time", delay).groupBy("bucket").transformWithStateInPandas(processor, schema, "Append", "EventTime")
 
 
 def settled_flights(found: DataFrame) -> DataFrame:

@@ -2,9 +2,11 @@
 
 import random
 
+import pandas as pd
 import pytest
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from contrail.operators import flights
 from contrail.streaming import flights as live
@@ -89,3 +91,64 @@ def test_the_aircraft_alone_against_the_batch(spark, days):
         rows += [{"icao": icao, "fragments": 1, **f} for f in done]
     names = ["icao", "fragments", *live.FIRST, "callsign", *live.LAST, "n_points", *live.GREATEST]
     assert sorted(tuple(str(r.get(c)) for c in names) for r in rows) == shown(batch, names)
+
+
+class Kept:
+    """A value, a list and timers, as a handle gives them, with their accesses counted."""
+
+    def __init__(self):
+        self.held, self.timers, self.asked = None, [], 0
+
+    def getValueState(self, *_):
+        self.value = Kept()
+        return self.value
+
+    def getListState(self, *_):
+        self.list = Kept()
+        return self.list
+
+    def exists(self):
+        return self.held is not None
+
+    def get(self):
+        self.asked += 1
+        return self.held
+
+    def update(self, x):
+        self.asked, self.held = self.asked + 1, x
+
+    put = update
+
+    def clear(self):
+        self.held = None
+
+    def listTimers(self):
+        return self.timers
+
+    def deleteTimer(self, t):
+        self.timers = [x for x in self.timers if x != t]
+
+    def registerTimer(self, t):
+        self.timers = [*self.timers, t]
+
+
+class Clock:
+    def __init__(self, mark):
+        self.mark = mark
+
+    def getCurrentWatermarkInMs(self):
+        return int((self.mark - 86400) * 1000)
+
+
+def test_aircraft_of_a_bucket_are_read_and_written_at_once():
+    schema = T.StructType([T.StructField(x, T.StringType()) for x in ("kind", "icao", "first_ts", "last_ts", "n_points", "seq")])
+    processor, handle = live.LiveFlights(live.DEFAULT, 3600, 86400, schema, None), Kept()
+    processor.init(handle)
+    point = {"lat": 1.0, "lon": 2.0, "state": "airborne", "gs_kt": 200.0, "callsign": None, "baro_ft": 9000, "height": 9000, "stitch_s": 5400.0}
+    rows = [{"icao": f"{k:02}", "ts": 1_000_000 + k + i * 60, "seq": i, **point} for k in range(50) for i in range(5)]
+    assert list(processor.handleInputRows((0,), iter([pd.DataFrame(rows)]), Clock(1_000_000 - 3600))) == []
+    assert (handle.value.asked, handle.list.asked, len(handle.timers)) == (1, 1, 1)
+    assert list(processor.handleExpiredTimer((0,), Clock(1_001_000), None)) == []  # all in the air
+    found = pd.concat(processor.handleExpiredTimer((0,), Clock(1_100_000), None))
+    assert sorted(zip(found.icao, found.kind, found.first_ts, found.n_points)) == [(f"{k:02}", "flight", 1_000_000 + k, 5) for k in range(50)]
+    assert (handle.value.asked, handle.timers) == (5, [])
